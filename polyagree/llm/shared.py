@@ -136,14 +136,13 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     for i in live if k < longest else ():  # a few very long words
         tail = _BYTE_KEY[raw[starts[i] + k : ends[i]]]
         powers = _powers(len(tail))
-        out[i] = out[i] * (powers[0] * base if len(tail) else np.uint64(1)) + (tail * powers).sum(dtype=np.uint64)
+        with np.errstate(over="ignore"):  # modulo 2^64
+            out[i] = out[i] * (powers[0] * base) + (tail * powers).sum(dtype=np.uint64)
     return _mixed(out ^ (lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
 
 
 def _powers(n: int) -> np.ndarray:
     """base^(n-1) ... base^0, modulo 2^64."""
-    if n == 0:
-        return np.zeros(0, np.uint64)
     up = np.full(n, np.uint64(_BASE))
     up[0] = 1
     return np.cumprod(up, dtype=np.uint64)[::-1]
