@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import shared
 
 SIZES, ROWS, WIDTH = (2, 3, 4), 1 << 14, 16
-#: Labelled rows that training sees at most, least hash of their id first, and the part of them kept for calibration.
+#: Labelled rows that training sees about, least hashes of their ids, and the part of them kept for calibration.
 SAMPLE, HELD = 3000, 0.2
 EPOCHS, RATE, BATCH = 12, 2.0, 16
 UNKNOWN = "und"
@@ -93,11 +93,6 @@ class Model:
         return self._columns
 
 
-def sampled(rows: DataFrame, most: int) -> DataFrame:
-    """At most `most` rows, those of the least hash of their doc_id."""
-    return rows.withColumn("__order", F.xxhash64(F.lit(5), "doc_id")).orderBy("__order", "doc_id").limit(most).drop("__order")
-
-
 def _counted(batches):
     import pyarrow as pa
 
@@ -167,9 +162,9 @@ def fit(examples: list, seed: int = 5) -> Model:
 def train(docs: DataFrame, most: int = SAMPLE) -> Model:
     """From rows (doc_id, text, lang) with a text and a language."""
     shared.prepare(docs.sparkSession)
-    rows = sampled(docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang"), most)
+    rows = shared.hash_sample(docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang"), most, seed=5)
     counted = rows.select(shared.text_bytes().alias("text"), "lang").mapInArrow(_counted, "rows array<int>, counts array<float>, lang string").toPandas()
-    return fit(list(counted.itertuples(index=False, name=None)))
+    return fit(sorted(counted.itertuples(index=False, name=None), key=lambda x: (x[2], len(x[0]), list(x[0]), list(x[1]))))
 
 
 def _has_letter(text: bytes) -> bool:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from . import shared
 
 WORDS, STATS, RANK = 1 << 12, 14, 6
-#: Labelled rows that training sees at most, least hash of their id first.
+#: Labelled rows that training sees about, least hashes of their ids.
 SAMPLE = 6000
 EPOCHS, RATE, DECAY, DAMP = 14, 0.02, 1e-4, 20
 THRESHOLD = 0.7
@@ -148,15 +148,14 @@ def _featured(batches):
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = SAMPLE) -> Model:
     """From documents (doc_id, text) with labels (doc_id, and 0 or 1 in the column `label`).
 
-    The sample is drawn from the labels, so what is broadcast is bounded by `most`.
+    The sample is drawn from the labels, so what is broadcast is bounded by twice `most`.
     """
     shared.prepare(docs.sparkSession)
     chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("__label"))
-    chosen = chosen.withColumn("__order", F.xxhash64(F.lit(10), "__id")).orderBy("__order", "__id", "__label").limit(most)
-    rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
-    made = rows.select(shared.text_bytes().alias("text"), "__label", "__order", "__id").orderBy("__order", "__id", "__label").select("text", "__label")
-    found = made.mapInArrow(_featured, "features array<int>, values array<float>, label int").toPandas()
-    return fit(list(found.itertuples(index=False, name=None)))
+    chosen = shared.hash_sample(chosen, most, 10, "__id")
+    rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select(shared.text_bytes().alias("text"), "__label")
+    found = rows.mapInArrow(_featured, "features array<int>, values array<float>, label int").toPandas()
+    return fit(sorted(found.itertuples(index=False, name=None), key=lambda x: (x[2], len(x[0]), list(x[0]), list(x[1]))))
 
 
 def scored(model: Model, text: Column) -> Column:

@@ -58,6 +58,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def hash_sample(rows: DataFrame, most: int, seed: int, key: str = "doc_id") -> DataFrame:
+    """About `most` rows, those with the least hashes of `key`, and never over twice as many; all rows if they are as few.
+
+    A threshold on the hash needs no sort, and sends no more rows the more tasks there are.
+    """
+    n = rows.count()
+    if n <= most:
+        return rows
+    share = int((most / n - 0.5) * 2 * (1 << 63)) - 1
+    return rows.where(F.xxhash64(F.lit(seed), key) <= F.lit(share).cast("long")).limit(2 * most)
+
+
 def crc_of_id(col) -> F.Column:
     """crc32 of an integer id written as decimal text."""
     return F.crc32(col.cast("string").cast("binary"))
