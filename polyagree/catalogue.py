@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from polyagree.plans import agreeing, covering
+
+QUERIES = agreeing.QUERIES | covering.QUERIES
+ORACLE_SQL = agreeing.ORACLE_SQL | covering.ORACLE_SQL
 FLAGSHIP = "agreement_within_variant"
