@@ -17,7 +17,7 @@ shingle give one shingle; repeated rows stay rows; a null doc_id has no part in
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
@@ -100,18 +100,23 @@ def near(a: str, b: str, distance: int) -> F.Column:
 
 
 def classes(prints: DataFrame, distance: int) -> DataFrame:
-    """(fp, label) of distinct fingerprints `prints` (fp): label is the least fingerprint reachable."""
-    indexed = variants(prints, distance)
-    hubs = indexed.groupBy("key").agg(F.min("fp").alias("hub"), F.max("fp").alias("most")).where("hub < most").select("key", "hub")
-    spokes = indexed.join(hubs, "key").where((F.col("fp") != F.col("hub")) & near("fp", "hub", distance))
+    """(fp, label) of distinct fingerprints `prints` (fp): label is the least fingerprint reachable.
+
+    Each of the two passes shuffles the index once. What a bucket's members have in common is found beside them by a
+    window, so that no row is made for members that merely share a key.
+    """
+    bucket = Window.partitionBy("key")
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spokes = variants(prints.repartition(parts, "fp"), distance).withColumn("hub", F.min("fp").over(bucket))
+    spokes = spokes.where((F.col("fp") != F.col("hub")) & near("fp", "hub", distance))
     first = components(spokes.select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct())
     named = prints.join(first, prints.fp == first.node, "left").select("fp", F.coalesce("label", "fp").alias("label"))
     named = shared.staged(named, "named")
-    indexed = variants(named, distance)
-    mixed = indexed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key", "lo")
-    members = indexed.join(mixed, "key")
-    others = members.where("label <> lo").select("key", F.col("fp").alias("fp2"), F.col("label").alias("label2"), F.col("lo").alias("lo2"))
-    across = members.join(others, "key").where((F.col("label") != F.col("label2")) & ((F.col("label") == F.col("lo")) | (F.col("label") < F.col("label2"))) & near("fp", "fp2", distance))
+    members = variants(named.repartition(parts, "fp"), distance)
+    members = members.withColumns({"lo": F.min("label").over(bucket), "hi": F.max("label").over(bucket)}).where("lo < hi").drop("hi")
+    others = members.where("label <> lo").select("key", F.col("fp").alias("fp2"), F.col("label").alias("label2"))
+    one_side = (F.col("label") == F.col("lo")) | (F.col("label") < F.col("label2"))
+    across = members.join(others, "key").where((F.col("label") != F.col("label2")) & one_side & near("fp", "fp2", distance))
     second = components(across.select(F.col("label").alias("a"), F.col("label2").alias("b")).distinct())
     return named.join(second, named.label == second.node, "left").select("fp", F.coalesce(second.label, named.label).alias("label"))
 
