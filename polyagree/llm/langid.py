@@ -106,7 +106,7 @@ def _counted(batches):
                     counts += np.bincount(rows, minlength=ROWS)
             at_ = np.flatnonzero(counts)
             found.append((at_.astype(np.int32), counts[at_].astype(np.float32)))
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.list_(pa.int32())), pa.array([x[1] for x in found], pa.list_(pa.float32())), b.column(1).cast(pa.string())], ["rows", "counts", "lang"])
+        yield pa.RecordBatch.from_arrays([pa.array([x[0].tobytes() for x in found], pa.binary()), pa.array([x[1].tobytes() for x in found], pa.binary()), b.column(1).cast(pa.string())], ["rows", "counts", "lang"])
 
 
 def fit(examples: list, seed: int = 5) -> Model:
@@ -116,7 +116,7 @@ def fit(examples: list, seed: int = 5) -> Model:
         return Model([UNKNOWN], np.zeros((ROWS, 1)), np.zeros(1), 1.0, 1.0)
     rng, k = np.random.default_rng(seed), len(languages)
     of = {x: i for i, x in enumerate(languages)}
-    data = [(np.asarray(r, np.int64), np.asarray(c, np.float32) / max(1.0, float(np.sum(c))), of[lang]) for r, c, lang in examples if len(r)]
+    data = [(r, c / max(1.0, float(np.sum(c))), of[lang]) for r, c, lang in examples if len(r)]
     order = rng.permutation(len(data))
     held = [data[i] for i in order[: int(len(data) * HELD)]]
     learn = [data[i] for i in order[len(held) :]]
@@ -163,8 +163,9 @@ def train(docs: DataFrame, most: int = SAMPLE) -> Model:
     """From rows (doc_id, text, lang) with a text and a language."""
     shared.prepare(docs.sparkSession)
     rows = shared.hash_sample(docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang"), most, seed=5)
-    counted = rows.select(shared.text_bytes().alias("text"), "lang").mapInArrow(_counted, "rows array<int>, counts array<float>, lang string").toPandas()
-    return fit(sorted(counted.itertuples(index=False, name=None), key=lambda x: (x[2], len(x[0]), list(x[0]), list(x[1]))))
+    counted = rows.select(shared.text_bytes().alias("text"), "lang").mapInArrow(_counted, "rows binary, counts binary, lang string").toPandas()
+    examples = sorted(counted.itertuples(index=False, name=None), key=lambda x: (x[2], len(x[0]), x[0], x[1]))
+    return fit([(np.frombuffer(r, np.int32), np.frombuffer(c, np.float32), lang) for r, c, lang in examples])
 
 
 def _has_letter(text: bytes) -> bool:

@@ -105,7 +105,7 @@ def fit(examples: list, seed: int = 10) -> Model:
     y = np.array([x[2] for x in examples], float)
     theta = np.concatenate([w[:, None], v], axis=1)
     m1, m2, step = np.zeros_like(theta), np.zeros_like(theta), 0
-    data = [(np.asarray(a, np.int64), np.asarray(b, float)) for a, b, _ in examples]
+    data = [(a, b) for a, b, _ in examples]
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS) + 1e-4
         order = rng.permutation(len(data))
@@ -142,7 +142,7 @@ def _featured(batches):
             for i in range(n):
                 own = order[edges[i] : edges[i + 1]]
                 out[first + i] = (cols[own], x[own])
-        yield pa.RecordBatch.from_arrays([pa.array([a.astype(np.int32) for a, _ in out], pa.list_(pa.int32())), pa.array([x.astype(np.float32) for _, x in out], pa.list_(pa.float32())), b.column(1)], ["features", "values", "label"])
+        yield pa.RecordBatch.from_arrays([pa.array([a.astype(np.int32).tobytes() for a, _ in out], pa.binary()), pa.array([x.astype(np.float32).tobytes() for _, x in out], pa.binary()), b.column(1)], ["features", "values", "label"])
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = SAMPLE) -> Model:
@@ -154,8 +154,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
     chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("__label"))
     chosen = shared.hash_sample(chosen, most, 10, "__id")
     rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select(shared.text_bytes().alias("text"), "__label")
-    found = rows.mapInArrow(_featured, "features array<int>, values array<float>, label int").toPandas()
-    return fit(sorted(found.itertuples(index=False, name=None), key=lambda x: (x[2], len(x[0]), list(x[0]), list(x[1]))))
+    found = rows.mapInArrow(_featured, "features binary, values binary, label int").toPandas()
+    examples = sorted(found.itertuples(index=False, name=None), key=lambda x: (x[2], len(x[0]), x[0], x[1]))
+    return fit([(np.frombuffer(f, np.int32), np.frombuffer(v, np.float32), y) for f, v, y in examples])
 
 
 def scored(model: Model, text: Column) -> Column:
