@@ -10,12 +10,19 @@ its key's bucket; buckets whose members are then one component need no further l
 different components are compared, the component of the bucket's least label on one side. So a dense group of near copies
 costs about its size, not its square, and no link between components is lost.
 
+`keep_one` deduplicates by similarity of texts rather than by distance of one fingerprint: texts whose five-word shingles
+are alike to 0.8 differ in 10 of 64 bits of a fingerprint of shingles, too many for an index, but in few bits of one of
+words, weighted by the root of their counts. So two fingerprints of words are indexed by their variants, and candidates
+are verified by a fingerprint of 128 bits of the shingles and by the numbers of distinct shingles.
+
 Cases: null text counts as empty; a text without words has fingerprint zero and links like any other; fewer words than a
 shingle give one shingle; repeated rows stay rows; a null doc_id has no part in naming components.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,16 +71,21 @@ def segments(distance: int) -> list[tuple[int, int]]:
     return list(zip(edges, (b - a for a, b in zip(edges, edges[1:]))))
 
 
-def variants(prints: DataFrame, distance: int) -> DataFrame:
-    """All columns and `key`: one row for each segment and bit of it, of the segment without that bit."""
-    keys, number = [], 0
+def variant_keys(column: str, distance: int, first: int = 0, shift: int = 32) -> list:
+    """A key for each segment and bit of it, of the segment without that bit; keys are numbered from `first` above `shift` bits."""
+    keys, number = [], first
     for low, width in segments(distance):
-        part = F.shiftrightunsigned("fp", low).bitwiseAND((1 << width) - 1)
+        part = F.shiftrightunsigned(column, low).bitwiseAND((1 << width) - 1)
         for bit in range(width):
             short = F.shiftrightunsigned(part, bit + 1) if bit + 1 < width else F.lit(0).cast("long")
-            keys.append(F.lit(number << 32) + F.shiftleft(short, bit) + part.bitwiseAND((1 << bit) - 1))
+            keys.append(F.lit(number << shift) + F.shiftleft(short, bit) + part.bitwiseAND((1 << bit) - 1))
             number += 1
-    return prints.withColumn("key", F.explode(F.array(*keys)))
+    return keys
+
+
+def variants(prints: DataFrame, distance: int) -> DataFrame:
+    """All columns and `key`: a row for each key of `fp`."""
+    return prints.withColumn("key", F.explode(F.array(*variant_keys("fp", distance))))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -133,9 +145,104 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = 4) -> Dat
     return marked.join(table, "fp").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, distance: int = 4) -> DataFrame:
-    """The rows of `docs` whose doc_id names their group, one row for each, with all columns as they are."""
-    found = near_duplicates(docs, shingle, distance)
+#: Bits of 128 in which fingerprints of shingles may differ: 19.4, with a deviation of 4.1, are expected at a similarity of 0.8.
+ALIKE_BITS = 22
+#: Least and greatest number of distinct shingles, as a ratio; no two sets of a higher similarity have a lower one.
+ALIKE = (4, 5)
+
+
+def majority(tokens: list[bytes], weights: np.ndarray | None = None) -> tuple[int, int]:
+    """The fingerprint of 128 bits, as two signed halves: each bit as more than half the weight of the tokens' XXH3 has it."""
+    from xxhash import xxh3_128_digest as digest
+
+    ones = np.zeros(128)
+    for i in range(0, len(tokens), 1 << 14):
+        block = tokens[i : i + (1 << 14)]
+        bits = np.unpackbits(np.frombuffer(b"".join(map(digest, block)), np.uint8).reshape(-1, 16), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int64) if weights is None else weights[i : i + (1 << 14)] @ bits
+    total = len(tokens) if weights is None else weights.sum()
+    a, b = np.packbits(ones * 2 > total, bitorder="little").view("<i8").tolist()
+    return a, b
+
+
+def sketch(text: bytes, shingle: int = 5) -> tuple[int, int, int, int, int]:
+    """Two fingerprints of words, the two halves of the one of distinct shingles, and the number of those; zeros without words."""
+    words = text.lower().split()
+    if not words:
+        return 0, 0, 0, 0, 0
+    times = Counter(words)
+    roots = np.sqrt(np.fromiter(times.values(), np.float64, len(times)))
+    joined, n = b" ".join(words), len(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n)) + np.arange(n)
+    begins = np.concatenate([[0], ends[:-1] + 1])[: max(1, n - shingle + 1)].tolist()
+    shingles = list({joined[a:b]: None for a, b in zip(begins, ends[min(shingle, n) - 1 :].tolist())})
+    return *majority(list(times), roots), *majority(shingles), len(shingles)
+
+
+def sketches(text, shingle: int) -> F.Column:
+    @F.arrow_udf("struct<a:long,b:long,g0:long,g1:long,n:int>")
+    def of(texts):
+        import pyarrow as pa
+
+        raw, at = shared.buffer_of(texts)
+        found = [sketch(raw[at[i] : at[i + 1]].tobytes(), shingle) for i in range(len(texts))]
+        parts = zip(*found) if found else [()] * 5
+        return pa.StructArray.from_arrays([pa.array(list(x), pa.int32() if k == "n" else pa.int64()) for k, x in zip(("a", "b", "g0", "g1", "n"), parts)], ["a", "b", "g0", "g1", "n"])
+
+    return of(text)
+
+
+def alike(g0, g1, n, h0, h1, m) -> F.Column:
+    bits = F.bit_count(F.col(g0).bitwiseXOR(F.col(h0))) + F.bit_count(F.col(g1).bitwiseXOR(F.col(h1)))
+    return (F.least(n, m) * ALIKE[1] >= F.greatest(n, m) * ALIKE[0]) & (bits <= ALIKE_BITS)
+
+
+def text_classes(prints: DataFrame, distance: int) -> DataFrame:
+    """(node, label) of distinct sketches `prints` (a, b, g0, g1, n): node is a hash of the last three, label the least node reachable.
+
+    As classes(), with rows of two fingerprints' variants and links by the shingles.
+    """
+    bucket, node = Window.partitionBy("key"), F.xxhash64("g0", "g1", "n")
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    number = sum(width for _, width in segments(distance))
+    keys = F.array(*(k.cast("int") for k in variant_keys("a", distance, 0, 22) + variant_keys("b", distance, number, 22)))
+    index = prints.repartition(parts, "g0").select(F.explode(keys).alias("key"), "g0", "g1", "n")
+    spokes = index.withColumn("hub", F.min(F.struct("g0", "g1", "n")).over(bucket)).select("g0", "g1", "n", F.col("hub.g0").alias("h0"), F.col("hub.g1").alias("h1"), F.col("hub.n").alias("m"))
+    spokes = spokes.select(node.alias("a"), F.xxhash64("h0", "h1", "m").alias("b"), alike("g0", "g1", "n", "h0", "h1", "m").alias("alike"))
+    first = components(spokes.where("a <> b and alike").select("a", "b").distinct())
+    named = prints.withColumn("__node", node).join(first, F.col("__node") == F.col("node"), "left").select("a", "b", "g0", "g1", "n", F.coalesce("label", "__node").alias("label"))
+    named = shared.staged(named, "named")
+    members = named.repartition(parts, "g0").select(F.explode(keys).alias("key"), "g0", "g1", "n", "label")
+    members = members.withColumns({"lo": F.min("label").over(bucket), "hi": F.max("label").over(bucket)}).where("lo < hi").drop("hi")
+    others = members.where("label <> lo").select("key", F.col("g0").alias("h0"), F.col("g1").alias("h1"), F.col("n").alias("m"), F.col("label").alias("label2"))
+    one_side = (F.col("label") == F.col("lo")) | (F.col("label") < F.col("label2"))
+    across = members.join(others, "key").where((F.col("label") != F.col("label2")) & one_side & alike("g0", "g1", "n", "h0", "h1", "m"))
+    second = components(across.select(F.col("label").alias("a"), F.col("label2").alias("b")).distinct())
+    out = named.select(node.alias("__node"), F.col("label").alias("__label")).distinct().join(second, F.col("__label") == F.col("node"), "left")
+    return out.select(F.col("__node").alias("node"), F.coalesce("label", "__label").alias("label"))
+
+
+def similar_texts(docs: DataFrame, shingle: int = 5, distance: int = 5) -> DataFrame:
+    """doc_id and component_id, the least doc_id of the row's group of texts alike to 0.8 or more in their shingles, for each row.
+
+    Links are kept that two fingerprints of words find: each within `distance` bits, and many beyond.
+    """
+    shared.prepare(docs.sparkSession)
+    marked = docs.select(F.col("doc_id").cast("long"), sketches(shared.text_bytes(), shingle).alias("s")).select("doc_id", "s.*")
+    marked = shared.staged(marked, "sketches")
+    named = shared.staged(text_classes(marked.select("a", "b", "g0", "g1", "n").distinct(), distance), "classes")
+    least = marked.groupBy(F.xxhash64("g0", "g1", "n").alias("node")).agg(F.min("doc_id").alias("least")).join(named, "node")
+    table = least.join(least.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("node", "component_id")
+    rows = marked.select("doc_id", F.xxhash64("g0", "g1", "n").alias("node"))
+    return rows.join(shared.staged(table, "groups"), "node").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, distance: int = 5) -> DataFrame:
+    """The rows of `docs` whose doc_id names their group of similar_texts(), one row for each, with all columns as they are.
+
+    Rows without a doc_id name no group and go, as no later stage could tell them apart.
+    """
+    found = similar_texts(docs, shingle, distance)
     names = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
     kept = docs.join(names, docs.doc_id == names["__kept"], "left_semi")
     return kept.dropDuplicates(["doc_id"])

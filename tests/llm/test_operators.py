@@ -163,9 +163,30 @@ def test_simhash(spark, docs, empty):
     rows = [*ROWS, *((1000 + i, " ".join(["x" if j == i else w for j, w in enumerate(near[0].split())]), "en", None, 1, 1, None, 1, 1, 1) for i in range(40))]
     got = simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3), 4, 4).collect()
     assert by_row(got, "doc_id", "fp", "component_id") == brute_components(rows, 4, 4)
-    kept = simhash.keep_one(docs, 5, 4)
+    kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns and kept.count() == kept.select("doc_id").distinct().count()
-    assert simhash.near_duplicates(empty).count() == 0
+    assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
+
+
+def test_similar_texts(spark):
+    """Groups of copies with a few words changed stay together, whatever two of the words changed; others stay apart."""
+    rnd, rows, group = random.Random(9), [], {}
+    words = [a + b for a in "abcdefghij" for b in "klmnopqrst"]
+    for g in range(30):
+        base = [rnd.choice(words) + rnd.choice(words) for _ in range(rnd.choice([120, 400, 1500]))]
+        for k in range(6):
+            copy = list(base)
+            for at in rnd.sample(range(len(copy)), len(copy) // 100 if k else 0):
+                copy[at] = rnd.choice(words)
+            group[len(rows)] = g
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(900, None), (901, ""), (902, " \n"), (903, "one"), (904, "ONE"), (905, "two"), (906, "x " * 200000), (None, "one")]
+    found = simhash.similar_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert len(found) == len(rows)
+    least = {r.doc_id: r.component_id for r in found if r.doc_id is not None}
+    for doc, g in group.items():
+        assert least[doc] == 6 * g
+    assert [least[i] for i in range(900, 907)] == [900, 900, 900, 903, 903, 905, 906]
 
 
 def test_linked_fingerprints_share_a_variant(spark):

@@ -11,6 +11,11 @@ DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="needs the driver's tables")
 
 
+def shingles(text):
+    words = text.encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     stages = dict(corpus_pipeline.STAGES)
@@ -24,13 +29,17 @@ def test_stages(spark):
     known = stages["language"](spark, good, DATA)
     assert known.columns == docs.columns and known.count() >= 0.95 * good.count()
     rows = known.collect()
-    prints = [(r.doc_id, simhash.fingerprint((r.text or "").encode(), 5)) for r in rows]
-    label = {i: i for i, _ in prints}
-    for _ in range(5):
-        for i, a in prints:
-            label[i] = min(label[j] for j, b in prints if (a ^ b).bit_count() <= 4)
+    near = {r.doc_id: simhash.sketch((r.text or "").encode()) for r in rows}
+    sets = {r.doc_id: shingles(r.text or "") for r in rows}
     one = stages["near_copies"](spark, known, DATA)
-    assert sorted(r.doc_id for r in one.collect()) == sorted({*label.values()})
+    kept = {r.doc_id for r in one.collect()}
+    for i, a in sets.items():
+        assert i in kept or any(sum(((near[i][k] ^ near[j][k]) & (1 << 64) - 1).bit_count() for k in (2, 3)) <= simhash.ALIKE_BITS for j in near if j != i)
+        assert i not in kept or not any(i != j and j in kept and a == b for j, b in sets.items())
+    pairs = [(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert sum({i, j} <= kept for i, j in pairs) <= 0.05 * len(pairs)
+    alone = [i for i, a in sets.items() if all(i == j or len(a & b) <= 0.3 * len(a | b) for j, b in sets.items())]
+    assert set(alone) <= kept
     mixed = stages["mix"](spark, one, DATA)
     times = {r.doc_id: -(-r.taken // r["size"]) for r in mixing.mix(one).collect() if r["size"]}
     found = {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
