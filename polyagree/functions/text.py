@@ -95,11 +95,22 @@ def is_empty_rationale(x: Column) -> Column:
     return ~present(x) | F.lower(F.rtrim(F.lit("."), F.trim(x))).isin(*EMPTY_RATIONALES)
 
 
+def most_repeated(tokens: Column) -> Column:
+    """How often the commonest of the tokens comes: the longest run of them in order."""
+    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+
+    def step(a: Column, t: Column) -> Column:
+        run = F.when(a["last"] == t, a["run"] + 1).otherwise(1)
+        return F.struct(t.alias("last"), run.alias("run"), F.greatest(a["best"], run).alias("best"))
+
+    return F.aggregate(F.array_sort(tokens), start, step, lambda a: a["best"])
+
+
 def is_repetition_loop(x: Column) -> Column:
     """Four tokens or more, of which one comes four times or more and makes up 30 %."""
-    top = F.transform(F.array(F.array_sort(words(F.lower(x)))), lambda w: F.array_max(F.transform(F.array_distinct(w), lambda t: F.array_position(F.reverse(w), t) * -1 + F.size(w) + 2 - F.array_position(w, t))))[0]
     n = F.size(words(x))
-    return (n >= 4) & (F.coalesce(top, F.lit(0)) >= 4) & (F.coalesce(top, F.lit(0)) >= 0.3 * n)
+    top = most_repeated(words(F.lower(x)))
+    return (n >= 4) & (top >= 4) & (top >= 0.3 * n)
 
 
 def is_extreme_length(x: Column, most: int = 100) -> Column:

@@ -70,11 +70,13 @@ def pairing_enforced(spark, d):
 
 
 def difference_categories(spark, d):
-    """Pairs of distinct first words of a language that differ in case or marks only, or by content: counts."""
-    one = views.texts(spark, d).select("language", "term").where("length(term) <= 3").distinct()
-    two = one.withColumnRenamed("term", "other")
-    kinds = one.join(two, "language").where("term < other").select("language", X.difference(F.col("term"), F.col("other")).alias("kind"))
-    return kinds.groupBy("language", "kind").agg(F.count("*").alias("n"))
+    """Pairs of distinct first words of a language that differ in case only, or by content: counts, from those of groups and without a row for any pair."""
+    pairs = lambda n: (n * (n - 1) / 2).cast("long")
+    one = views.texts(spark, d).select("language", "term").distinct()
+    folds = one.groupBy("language", F.lower("term").alias("fold")).agg(F.count("*").alias("n"))
+    sums = folds.groupBy("language").agg(F.sum(pairs(F.col("n"))).alias("case"), F.sum("n").alias("n"))
+    kinds = F.array(F.struct(F.lit("capitalization").alias("kind"), F.col("case").alias("n")), F.struct(F.lit("content").alias("kind"), (pairs(F.col("n")) - F.col("case")).alias("n")))
+    return sums.select("language", F.explode(kinds).alias("k")).select("language", "k.kind", "k.n").where("n > 0")
 
 
 def difference_tiers(spark, d):
@@ -86,7 +88,7 @@ def difference_tiers(spark, d):
 
 def _features(spark, d):
     rows = views.texts(spark, d).withColumn("group", F.col("doc_id") % 97).withColumn("term", F.regexp_replace("term", "[^A-Za-z]", ""))
-    found = disagreement.features(rows.where("length(term) <= 6"), ["group", "language"], ["the", "of", "and"], "src1")
+    found = disagreement.features(rows, ["group", "language"], ["the", "of", "and"], "src1")
     return found.withColumns({"script_disagreement": F.lit(False), "english": F.col("language") == "en", "absence": F.lit(2) * (F.col("n") % 2)})
 
 
@@ -108,7 +110,7 @@ def category_shares(spark, d):
 
 
 FEATURES = rf"""{TEXTS}, f0 AS (SELECT doc_id % 97 AS "group", language, service, regexp_replace(term, '[^A-Za-z]', '', 'g') AS term FROM texts),
-f1 AS (SELECT *, lower(term) AS raw FROM f0 WHERE length(term) <= 6 AND term <> ''),
+f1 AS (SELECT *, lower(term) AS raw FROM f0 WHERE term <> ''),
 f2 AS (SELECT "group", language, count(*) AS n, count(DISTINCT raw) AS n_raw, list_sort(list(DISTINCT raw)) AS norms, CAST(floor(greatest(2.0, 0.15 * avg(length(raw)))) AS INTEGER) AS threshold, bool_or(service = 'src1') AS anchored FROM f1 GROUP BY 1, 2),
 f3 AS (SELECT *, CAST(len(norms) AS INTEGER) AS n_norm, CAST(list_max(list_transform(norms, lambda a: list_max(list_transform(norms, lambda b: levenshtein(a, b))))) AS INTEGER) AS max_distance,
  array_to_string(list_filter(norms, lambda x: x IN ('the', 'of', 'and')), ',') AS borrowed, language = 'en' AS english, 2 * (n % 2) AS absence FROM f2),
@@ -126,7 +128,7 @@ def term_selection(spark, d):
 
 
 def _directed(spark, d):
-    rows = views.texts(spark, d).where("length(term) between 2 and 8")
+    rows = views.texts(spark, d).where("length(term) >= 2")
     return rows.select("term", "language", F.when(F.col("doc_id") % 11 == 0, "rtl").otherwise("ltr").alias("direction"))
 
 
@@ -143,10 +145,10 @@ def conflict_split(spark, d):
 
 
 def corroborated_terms(spark, d):
-    return search_terms.corroborated(views.texts(spark, d).where("length(term) <= 8").withColumn("valid", F.col("doc_id") % 50 == 0))
+    return search_terms.corroborated(views.texts(spark, d).withColumn("valid", F.col("doc_id") % 50 == 0))
 
 
-GROUPED = f"""{TEXTS}, x AS (SELECT DISTINCT lower(term) AS search_term, language, CASE WHEN doc_id % 11 = 0 THEN 'rtl' ELSE 'ltr' END AS direction FROM texts WHERE length(term) BETWEEN 2 AND 8),
+GROUPED = f"""{TEXTS}, x AS (SELECT DISTINCT lower(term) AS search_term, language, CASE WHEN doc_id % 11 = 0 THEN 'rtl' ELSE 'ltr' END AS direction FROM texts WHERE length(term) >= 2),
 y AS (SELECT search_term, count(DISTINCT language) AS counts, array_to_string(list_sort(list(DISTINCT language)), ', ') AS natural_language, count(*) FILTER (direction = 'ltr') AS l, count(*) FILTER (direction = 'rtl') AS r,
  array_to_string(list_sort(coalesce(list(DISTINCT language) FILTER (direction = 'ltr'), [])), ', ') AS ltr_languages, array_to_string(list_sort(coalesce(list(DISTINCT language) FILTER (direction = 'rtl'), [])), ', ') AS rtl_languages FROM x GROUP BY 1),
 g AS (SELECT search_term, natural_language, counts, CASE WHEN l >= r THEN 'ltr' ELSE 'rtl' END AS directionality, l > 0 AND r > 0 AS directionality_conflict, ltr_languages, rtl_languages FROM y)"""
@@ -190,7 +192,7 @@ ORACLE_SQL = {
     "majority_outliers": f"WITH {CELLS}, p AS ({PV}) SELECT c.item, c.variant, c.service, c.term, p.best_candidate FROM cells c JOIN p ON c.item = p.item AND c.variant = p.variant WHERE agreeing_services * 2 > total_services AND c.term <> p.best_candidate",
     "fully_divergent": f"WITH {CELLS}, p AS ({PV}) SELECT item, variant, total_services FROM p WHERE total_services >= 3 AND agreeing_services = 1",
     "pairing_enforced": f"WITH {PAIRS} SELECT conv_id, turn, coalesce(ok, false) AS has_term, CASE WHEN ok THEN length(rationale) END AS rationale_chars FROM (SELECT *, lower(trim(term)) NOT IN ('', 'nan', 'none', 'null') AND lower(trim(rationale)) NOT IN ('', 'nan', 'none', 'null') AND lower(rtrim(trim(rationale), '.')) NOT IN ('no rationale provided', 'no rationale', 'none', 'n/a', 'not provided') AS ok FROM pairs)",
-    "difference_categories": f"WITH {TEXTS}, o AS (SELECT DISTINCT language, term FROM texts WHERE length(term) <= 3) SELECT x.language, {DIFF.format(a='x.term', b='y.term')} AS kind, count(*) AS n FROM o x JOIN o y ON x.language = y.language AND x.term < y.term GROUP BY 1, 2",
+    "difference_categories": f"WITH {TEXTS}, o AS (SELECT DISTINCT language, term FROM texts) SELECT x.language, {DIFF.format(a='x.term', b='y.term')} AS kind, count(*) AS n FROM o x JOIN o y ON x.language = y.language AND x.term < y.term GROUP BY 1, 2",
     "difference_tiers": rf"WITH {TEXTS}, k AS (SELECT language, lower(regexp_replace(term, '[.,]', '', 'g')) AS k, list_sort(list(DISTINCT term)) AS ts FROM texts GROUP BY 1, 2) SELECT language, CASE WHEN len(ts) = 1 THEN 'all_identical' WHEN len(list_filter(ts, lambda t: lower(t) <> lower(ts[1]))) > 0 THEN 'has_content' ELSE 'trivial_only' END AS tier, count(*) AS n FROM k GROUP BY 1, 2",
     "disagreement_rules": f"WITH {FEATURES} SELECT * FROM kinds",
     "keyword_ablation_flow": f"""WITH {FEATURES} SELECT category AS before, CASE WHEN rule IN ('sparse', 'convergent') THEN 'TRANSMOGRIFICATION' ELSE category END AS after, count(*) AS n FROM kinds GROUP BY 1, 2""",
@@ -199,7 +201,7 @@ ORACLE_SQL = {
     "search_terms_grouped": f"WITH {GROUPED} SELECT * FROM g",
     "direction_conflicts": f"WITH {GROUPED} SELECT search_term, ltr_languages, rtl_languages FROM g WHERE directionality_conflict",
     "conflict_split": f"WITH {GROUPED} SELECT search_term, 'ltr' AS directionality, ltr_languages AS natural_language FROM g WHERE directionality_conflict UNION ALL SELECT search_term, 'rtl', rtl_languages FROM g WHERE directionality_conflict UNION ALL SELECT search_term, directionality, natural_language FROM g WHERE NOT directionality_conflict",
-    "corroborated_terms": f"WITH {TEXTS} SELECT lower(term) AS term, count(*) AS n, bool_or(doc_id % 50 = 0) AS valid FROM texts WHERE length(term) <= 8 GROUP BY 1 HAVING count(*) >= 2 OR bool_or(doc_id % 50 = 0)",
+    "corroborated_terms": f"WITH {TEXTS} SELECT lower(term) AS term, count(*) AS n, bool_or(doc_id % 50 = 0) AS valid FROM texts GROUP BY 1 HAVING count(*) >= 2 OR bool_or(doc_id % 50 = 0)",
     "manual_exclusions": f"WITH {CELLS} SELECT m.mode, count(*) AS n_rows, count(*) FILTER (m.mode = 'full' OR item % 10 > 1 OR (m.mode = 'quality' AND item % 10 = 1)) AS n_terms FROM cells, (VALUES ('full'), ('quality'), ('search_ready')) m(mode) GROUP BY 1",
     "judge_context": f"""WITH {CELLS}, t AS (SELECT item, term, count(*) AS n, '(' || array_to_string(list_sort(list(DISTINCT service)), ', ') || '): "' || term || '"' AS line FROM cells GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY n DESC, term) AS i FROM t) SELECT item, string_agg(i || '. ' || line, '; ' ORDER BY i) AS context FROM r GROUP BY item""",
 }

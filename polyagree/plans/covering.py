@@ -62,7 +62,7 @@ def signal_table(spark, d):
     """Signals of each document as sorted lists by source, with their number."""
     docs = table(spark, d, "documents").where("text is not null")
     t = F.col("text")
-    signals = {"extreme": X.is_extreme_length(t, 4000), "loop": X.is_repetition_loop(F.substring("text", 1, 200)), "placeholder": X.is_placeholder(t), "short": X.is_short(X.opening(t, 1)), "unsafe": X.is_search_unsafe(t)}
+    signals = {"extreme": X.is_extreme_length(t, 4000), "loop": X.is_repetition_loop(t), "placeholder": X.is_placeholder(t), "short": X.is_short(t), "unsafe": X.is_search_unsafe(t)}
     flags = docs.select("source", F.explode(F.filter(F.array(*(F.when(c, F.lit(n)) for n, c in signals.items())), lambda x: x.isNotNull())).alias("signal"))
     return flags.groupBy("source").agg(F.array_join(F.array_sort(F.collect_set("signal")), ";").alias("signals"), F.count("*").alias("n_flags"))
 
@@ -184,8 +184,8 @@ def fill_merged(spark, d):
 
 def text_signals(spark, d):
     docs = table(spark, d, "documents").where("text is not null")
-    t = X.opening(F.col("text"), 12)
-    return docs.select("doc_id", F.size(X.words(F.col("text"))).cast("long").alias("n_words"), X.is_repetition_loop(t).alias("loop"), X.is_extreme_length(F.col("text")).alias("extreme"), X.is_short(X.opening(t, 1)).alias("short"), X.has_escape(F.col("text")).alias("escape"), X.is_search_unsafe(F.col("text")).alias("unsafe"), X.leaks_source(t, "the thing").alias("leak"))
+    t = F.col("text")
+    return docs.select("doc_id", F.size(X.words(F.col("text"))).cast("long").alias("n_words"), X.is_repetition_loop(t).alias("loop"), X.is_extreme_length(F.col("text")).alias("extreme"), X.is_short(t).alias("short"), X.has_escape(F.col("text")).alias("escape"), X.is_search_unsafe(F.col("text")).alias("unsafe"), X.leaks_source(t, "the thing").alias("leak"))
 
 
 def word_count_cv(spark, d):
@@ -239,7 +239,7 @@ def folded_terms(spark, d):
 
 
 def script_profile(spark, d):
-    t = X.opening(F.col("text"), 12)
+    t = F.col("text")
     return table(spark, d, "documents").where("text is not null").select("doc_id", X.dominant_script(t).alias("script"), X.is_mixed(t).alias("mixed"))
 
 
@@ -248,7 +248,7 @@ def message_signatures(spark, d):
 
 
 def parsed_replies(spark, d):
-    reply = F.concat(F.lit('```json\n{"term": "'), F.regexp_replace(X.opening(F.col("text"), 2), '["\\\\\\\\]', ""), F.lit('", "rationale": "why"}\n```'))
+    reply = F.concat(F.lit('```json\n{"term": "'), F.regexp_replace("text", '["\\\\\\\\]', ""), F.lit('", "rationale": "why"}\n```'))
     return table(spark, d, "conversations").select("conv_id", "turn", X.parsed_reply(reply).alias("r")).select("conv_id", "turn", "r.term", "r.status")
 
 
@@ -283,9 +283,8 @@ ORACLE_SQL = {
     "candidate_lookup": "WITH k AS (SELECT 'k' || n_nationkey AS code FROM nation) SELECT c_custkey, CASE WHEN 'k' || (c_custkey % 97) IN (SELECT code FROM k) THEN 'k' || (c_custkey % 97) WHEN 'k' || (c_custkey % 31) IN (SELECT code FROM k) THEN 'k' || (c_custkey % 31) ELSE 'k' || (c_custkey % 7) END AS code FROM customer",
     "registry_union": "WITH u AS (SELECT c_nationkey AS code, 'customer' AS source FROM customer UNION SELECT s_nationkey, 'supplier' FROM supplier UNION SELECT n_nationkey, 'nation' FROM nation), s AS (SELECT code, string_agg(source, ' + ' ORDER BY source) AS combination FROM u GROUP BY 1) SELECT combination, count(*) AS n FROM s GROUP BY 1",
     "fill_merged": "WITH r AS (SELECT l_orderkey, l_linenumber, nullif(min(l_returnflag), 'N') AS term FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2) SELECT l_orderkey, arg_min(term, l_linenumber) FILTER (term IS NOT NULL) AS term FROM r GROUP BY 1",
-    "text_signals": rf"""WITH t AS (SELECT doc_id, text, {WORDS.format(t='text')} AS w FROM documents WHERE text IS NOT NULL), o AS (SELECT *, w[1:12] AS o, list_transform(w[1:12], lambda x: lower(x)) AS l, array_to_string(w[1:12], ' ') AS j FROM t),
- m AS (SELECT *, coalesce(list_max(list_transform(l, lambda x: len(list_filter(l, lambda y: x = y)))), 0) AS top FROM o)
- SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(l) >= 4 AND top >= 4 AND top >= 0.3 * len(l) AS "loop", length(trim(text, ' ')) > 100 AS extreme, coalesce(length(w[1]) BETWEEN 1 AND 3, false) AS short, regexp_matches(text, '\\u[0-9a-fA-F]{{4}}') AS escape, regexp_matches(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]') AS unsafe, contains(lower(j), 'the thing') OR regexp_matches(j, '\bTT\b') AS leak FROM m""",
+    "text_signals": rf"""WITH t AS (SELECT doc_id, text, {WORDS.format(t='lower(text)')} AS l FROM documents WHERE text IS NOT NULL), m AS (SELECT *, coalesce(list_max(map_values(list_histogram(l))), 0) AS top FROM t)
+ SELECT doc_id, CAST(len(l) AS BIGINT) AS n_words, len(l) >= 4 AND top >= 4 AND top >= 0.3 * len(l) AS "loop", length(trim(text, ' ')) > 100 AS extreme, coalesce(length(trim(text, ' ')) BETWEEN 1 AND 3, false) AS short, regexp_matches(text, '\\u[0-9a-fA-F]{{4}}') AS escape, regexp_matches(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]') AS unsafe, contains(lower(text), 'the thing') OR regexp_matches(text, '\bTT\b') AS leak FROM m""",
     "word_count_cv": rf"WITH w AS (SELECT lang, source, len({WORDS.format(t='text')}) AS w FROM documents WHERE text IS NOT NULL) SELECT lang, source, count(w) AS n, round(avg(w), 6) AS mean, round(median(w), 6) AS median, round(stddev_samp(w), 6) AS std, round(stddev_samp(w) / avg(w), 6) AS cv FROM w GROUP BY 1, 2",
     "error_taxonomy": f"WITH {ERRORS} SELECT CASE k % 4 WHEN 0 THEN 'timeout' WHEN 1 THEN 'quota' WHEN 2 THEN 'parse' ELSE 'other' END AS kind, count(*) AS n, count(DISTINCT user_id) AS users FROM errors GROUP BY 1",
     "error_compaction": f"WITH {ERRORS}, l AS (SELECT *, k % 4 = 0 AS transient, row_number() OVER (PARTITION BY user_id, k % 4 = 0 ORDER BY ts DESC, event_id DESC) AS rn FROM errors), m AS (SELECT *, bool_or(NOT transient) OVER (PARTITION BY user_id) AS lasting FROM l WHERE rn = 1) SELECT user_id, event_id, transient FROM m WHERE NOT transient OR NOT lasting",
