@@ -145,8 +145,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = 4) -> Dat
     return marked.join(table, "fp").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-#: Bits of 128 in which fingerprints of shingles may differ: 19.4, with a deviation of 4.1, are expected at a similarity of 0.8.
-ALIKE_BITS = 22
+#: Bits of 128 in which fingerprints of shingles may differ: at a similarity of 0.8, 19.4 with a deviation of 4.1 are expected, so two
+#: deviations above it lose 2 in 100 links of just 0.8 and fewer above; some of 0.6 to 0.8 are linked too.
+ALIKE_BITS = 28
 #: Least and greatest number of distinct shingles, as a ratio; no two sets of a higher similarity have a lower one.
 ALIKE = (4, 5)
 
