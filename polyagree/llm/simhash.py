@@ -22,6 +22,8 @@ shingle give one shingle; repeated rows stay rows; a null doc_id has no part in
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
+from operator import or_
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -148,6 +150,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = 4) -> Dat
 #: Bits of 128 in which fingerprints of shingles may differ: at a similarity of 0.8, 19.4 with a deviation of 4.1 are expected, so two
 #: deviations above it lose 2 in 100 links of just 0.8 and fewer above; some of 0.6 to 0.8 are linked too.
 ALIKE_BITS = 28
+#: Members of a bucket that the first pass tries with each, besides the bucket's first.
+CHAIN = 8
 #: Least and greatest number of distinct shingles, as a ratio; no two sets of a higher similarity have a lower one.
 ALIKE = (4, 5)
 
@@ -201,16 +205,20 @@ def alike(g0, g1, n, h0, h1, m) -> F.Column:
 def text_classes(prints: DataFrame, distance: int) -> DataFrame:
     """(node, label) of distinct sketches `prints` (a, b, g0, g1, n): node is a hash of the last three, label the least node reachable.
 
-    As classes(), with rows of two fingerprints' variants and links by the shingles.
+    As classes(), with rows of two fingerprints' variants and links by the shingles. These are not as near to a bucket's first
+    member as to others, so the first pass also tries the CHAIN members before each, in the order of the sketches, which is
+    a random one as to texts: a group of copies is one component before the second pass looks for what is left.
     """
     bucket, node = Window.partitionBy("key"), F.xxhash64("g0", "g1", "n")
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     number = sum(width for _, width in segments(distance))
     keys = F.array(*(k.cast("int") for k in variant_keys("a", distance, 0, 22) + variant_keys("b", distance, number, 22)))
     index = prints.repartition(parts, "g0").select(F.explode(keys).alias("key"), "g0", "g1", "n")
-    spokes = index.withColumn("hub", F.min(F.struct("g0", "g1", "n")).over(bucket)).select("g0", "g1", "n", F.col("hub.g0").alias("h0"), F.col("hub.g1").alias("h1"), F.col("hub.n").alias("m"))
-    spokes = spokes.select(node.alias("a"), F.xxhash64("h0", "h1", "m").alias("b"), alike("g0", "g1", "n", "h0", "h1", "m").alias("alike"))
-    first = components(spokes.where("a <> b and alike").select("a", "b").distinct())
+    in_order, me = Window.partitionBy("key").orderBy("g0", "g1", "n"), F.struct("g0", "g1", "n")
+    tried = index.select("g0", "g1", "n", F.first(me).over(in_order).alias("x0"), *(F.lag(me, k).over(in_order).alias(f"x{k}") for k in range(1, CHAIN + 1)))
+    links = [F.coalesce(alike("g0", "g1", "n", f"{x}.g0", f"{x}.g1", f"{x}.n") & (F.col(f"{x}.g0") != F.col("g0")), F.lit(False)) for x in (f"x{k}" for k in range(CHAIN + 1))]
+    tried = tried.where(reduce(or_, links)).withColumn("x", F.explode(F.array_compact(F.array(*(F.when(link, F.col(f"x{k}")) for k, link in enumerate(links))))))
+    first = components(tried.select(node.alias("a"), F.xxhash64("x.g0", "x.g1", "x.n").alias("b")).distinct())
     named = prints.withColumn("__node", node).join(first, F.col("__node") == F.col("node"), "left").select("a", "b", "g0", "g1", "n", F.coalesce("label", "__node").alias("label"))
     named = shared.staged(named, "named")
     members = named.repartition(parts, "g0").select(F.explode(keys).alias("key"), "g0", "g1", "n", "label")
