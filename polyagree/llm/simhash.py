@@ -207,7 +207,9 @@ def text_classes(prints: DataFrame, distance: int) -> DataFrame:
 
     As classes(), with rows of two fingerprints' variants and links by the shingles. These are not as near to a bucket's first
     member as to others, so the first pass also tries the CHAIN members before each, in the order of the sketches, which is
-    a random one as to texts: a group of copies is one component before the second pass looks for what is left.
+    a random one as to texts: a group of copies is one component before the second pass looks for what is left. Of the links
+    found for a member over all its keys, four go on: the first and last of them in order, and two at random by their hash.
+    The second pass compares whatever these leave in different components, so no link between components is lost.
     """
     bucket, node = Window.partitionBy("key"), F.xxhash64("g0", "g1", "n")
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -218,7 +220,9 @@ def text_classes(prints: DataFrame, distance: int) -> DataFrame:
     tried = index.select("g0", "g1", "n", F.first(me).over(in_order).alias("x0"), *(F.lag(me, k).over(in_order).alias(f"x{k}") for k in range(1, CHAIN + 1)))
     links = [F.coalesce(alike("g0", "g1", "n", f"{x}.g0", f"{x}.g1", f"{x}.n") & (F.col(f"{x}.g0") != F.col("g0")), F.lit(False)) for x in (f"x{k}" for k in range(CHAIN + 1))]
     tried = tried.where(reduce(or_, links)).withColumn("x", F.explode(F.array_compact(F.array(*(F.when(link, F.col(f"x{k}")) for k, link in enumerate(links))))))
-    first = components(tried.select(node.alias("a"), F.xxhash64("x.g0", "x.g1", "x.n").alias("b")).distinct())
+    tried = tried.select(node.alias("a"), F.xxhash64("x.g0", "x.g1", "x.n").alias("b"), F.col("x.g0").alias("at"))
+    spanning = tried.groupBy("a").agg(F.min("b").alias("b0"), F.max("b").alias("b1"), F.min_by("b", "at").alias("b2"), F.max_by("b", "at").alias("b3"))
+    first = components(spanning.select("a", F.explode(F.array_distinct(F.array("b0", "b1", "b2", "b3"))).alias("b")))
     named = prints.withColumn("__node", node).join(first, F.col("__node") == F.col("node"), "left").select("a", "b", "g0", "g1", "n", F.coalesce("label", "__node").alias("label"))
     named = shared.staged(named, "named")
     members = named.repartition(parts, "g0").select(F.explode(keys).alias("key"), "g0", "g1", "n", "label")
