@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from polyagree.plans import agreeing, covering
+from polyagree.plans import agreeing, covering, curating
 
-QUERIES = agreeing.QUERIES | covering.QUERIES
-ORACLE_SQL = agreeing.ORACLE_SQL | covering.ORACLE_SQL
+QUERIES = agreeing.QUERIES | covering.QUERIES | curating.QUERIES
+ORACLE_SQL = agreeing.ORACLE_SQL | covering.ORACLE_SQL | curating.ORACLE_SQL
 FLAGSHIP = "agreement_within_variant"

@@ -1,0 +1,72 @@
+"""Curation, similarity, families and streams on small fixtures."""
+
+import math
+from collections import Counter
+from datetime import datetime
+
+from pyspark.sql import functions as F
+
+from polyagree.functions import curation
+from polyagree.operators import families, similarity
+from polyagree.streaming import logs
+
+
+def test_curation(spark):
+    cases = {
+        None: (None, "unchanged"), "": ("", "unchanged"), "humanidades digitales": ("humanidades digitales", "unchanged"),
+        "not available": (None, "placeholder"), "Digital Humanities = Panagbalikas": ("Panagbalikas", "stripped"), "/Dkawng Thau/": ("Dkawng Thau", "stripped"),
+        "цифровые гуманитарные науки (tsifrovye)": ("цифровые гуманитарные науки", "stripped"), "цифровые науки / tsifrovye nauki": ("цифровые науки", "stripped"),
+        "Humanities: цифровые гуманитарные науки": ("цифровые гуманитарные науки", "stripped"), "Digital Humanities цифровые гуманитарные": ("цифровые гуманитарные", "stripped"),
+        "цифроdigitвыеhumanные": (None, "nulled"),
+    }
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "i int, term string")
+    got = {r.i: (r.term_curated, r.term_action) for r in curation.curated(rows, "term").collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+    assert not curation.curated(rows.limit(0), "term").count()
+
+
+def vector(text):
+    return Counter(p[i : i + n] for w in text.lower().split() for p in [f" {w} "] for n in (3, 4, 5) for i in range(len(p) - n + 1))
+
+
+def test_similarity_is_the_mean_over_pairs(spark):
+    groups = {1: ["a loan of words", "words on loan", "nothing alike"], 2: ["same words here", "same words here"], 3: ["alone"], 4: ["ab", "xyz", "", None, "nan"], 5: ["één über", "über één één"]}
+    rows = spark.createDataFrame([(g, i, t) for g, ts in groups.items() for i, t in enumerate(ts)], "g int, i int, t string")
+    got = {r.g: r for r in similarity.mean_similarity(rows, "g", ["i"], "t").collect()}
+    for g, texts in groups.items():
+        vectors = [vector(t) for t in texts if t and t != "nan"]
+        n, df = len(vectors), Counter(k for v in vectors for k in v)
+        unit = []
+        for v in vectors:
+            w = {k: c * (math.log((n + 1) / (df[k] + 1)) + 1) for k, c in v.items()}
+            unit.append({k: x / math.sqrt(sum(y * y for y in w.values())) for k, x in w.items()})
+        pairs = [sum(x * unit[j].get(k, 0) for k, x in unit[i].items()) for i in range(n) for j in range(i + 1, n)]
+        assert got[g].n == n
+        assert got[g].similarity is None if n < 2 else abs(got[g].similarity - sum(pairs) / len(pairs)) < 1e-4
+
+
+def test_assignments_fill_blanks_and_add_rows(spark):
+    old = spark.createDataFrame([("aa", "X", None), ("bb", " ", "n")], "code string, family string, note string")
+    new = spark.createDataFrame([("aa", "Y", "m"), ("bb", "Z", "o"), ("cc", "W", None)], "code string, family string, note string")
+    assert sorted(map(tuple, families.assigned(old, new, "code").collect())) == [("aa", "X", "m"), ("bb", "Z", "n"), ("cc", "W", None)]
+
+
+def test_stream_keeps_the_latest(spark, tmp_path):
+    schema, target = "k string, at timestamp, v int", str(tmp_path / "target")
+    for number, batch in enumerate([[("a", 1, 1), ("b", 5, 2), ("a", 3, 3)], [("a", 2, 4), ("b", 6, 5), ("c", 1, 6)]]):
+        rows = spark.createDataFrame([(k, datetime(2024, 1, day), v) for k, day, v in batch], schema)
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+        query = logs.upsert_latest(logs.read_log(spark, str(tmp_path / "log"), schema), ["k"], "at", target, str(tmp_path / "checkpoint"))
+        assert query.awaitTermination(120)
+    assert {r.k: r.v for r in spark.read.parquet(f"{target}/version={number}").collect()} == {"a": 3, "b": 5, "c": 6}
+
+
+def test_stream_windows_drop_what_is_late(spark, tmp_path):
+    schema = "k string, at timestamp"
+    for batch in ([("a", 1), ("a", 1), ("b", 1)], [("a", 9)], [("a", 1), ("a", 9)]):
+        spark.createDataFrame([(k, datetime(2024, 1, day, 3)) for k, day in batch], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+        stream = logs.windowed_counts(logs.read_log(spark, str(tmp_path / "log"), schema), "at", "1 hour", "1 day", "k")
+        query = stream.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
+        assert query.awaitTermination(120)
+    closed = spark.read.parquet(str(tmp_path / "out")).select("k", F.dayofmonth("window.start").alias("day"), "n")
+    assert sorted(map(tuple, closed.collect())) == [("a", 1, 2), ("b", 1, 1)]
