@@ -1,11 +1,11 @@
-"""Queries on repaired terms, alike texts and families."""
+"""Queries on repaired terms, alike texts, families and genres."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from polyagree.functions import curation
-from polyagree.operators import families, similarity
+from polyagree.operators import families, genre, similarity
 from polyagree.sources.files import table
 
 from . import views
@@ -41,7 +41,13 @@ def family_review(spark, d):
     return families.reviewed(rows, pairs, one, labels).select("language_code", "reviewed", "review_source", "analysis")
 
 
-QUERIES = {f.__name__: f for f in (curation_actions, rationale_similarity, family_mapping, family_review)}
+def genre_confusion(spark, d):
+    """Labels of documents predicted out of fold from their words."""
+    rows = table(spark, d, "labels").select("doc_id", "quality").join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    return genre.confusion(genre.out_of_fold(rows, "doc_id", "text", "quality", ["0", "1"]))
+
+
+QUERIES = {f.__name__: f for f in (curation_actions, rationale_similarity, family_mapping, family_review, genre_confusion)}
 
 REGISTRY = "registry AS (SELECT CAST(c_custkey AS VARCHAR) AS code, c_name AS name, c_mktsegment AS glottolog, n_nationkey, n_name AS raw, CASE WHEN n_nationkey = 0 THEN '' ELSE r_name END AS family FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
 

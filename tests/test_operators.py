@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from polyagree.functions import curation
-from polyagree.operators import families, similarity
+from polyagree.operators import families, genre, similarity
 from polyagree.streaming import logs
 
 
@@ -70,3 +70,21 @@ def test_stream_windows_drop_what_is_late(spark, tmp_path):
         assert query.awaitTermination(120)
     closed = spark.read.parquet(str(tmp_path / "out")).select("k", F.dayofmonth("window.start").alias("day"), "n")
     assert sorted(map(tuple, closed.collect())) == [("a", 1, 2), ("b", 1, 1)]
+
+
+def test_genre(spark):
+    kinds = {"loan": "borrowed foreign wording taken", "gloss": "literal rendering described meaning", "none": "missing absent nothing found"}
+    rows = [(i, k, " ".join(kinds[k].split()[j] for j in {i % 4, (i // 3) % 4, (i // 5) % 4}) + " subject") for i in range(120) for k in [list(kinds)[i % 3]]]
+    rows = spark.createDataFrame([*rows, (900, None, "borrowed"), (901, "loan", None)], "id int, kind string, why string")
+    found = genre.out_of_fold(rows, "id", "why", "kind", list(kinds))
+    got = found.collect()
+    assert len(got) == 121 and sum(r.label == r.predicted for r in got) >= 115
+    hits = {c: 2 * sum(r.label == r.predicted == c for r in got) / (sum(r.label == c for r in got) + sum(r.predicted == c for r in got)) for c in kinds}
+    assert abs(genre.macro_f1(found).first().macro_f1 - sum(hits.values()) / 3) < 1e-9
+    assert all(abs(sum(r.percent for r in genre.confusion(found).collect() if r.label == c) - 100) < 0.01 for c in kinds)
+    weighted = genre.Weights(seen := genre.terms(rows.where("id < 120").withColumn("c", (F.col("id") % 3).cast("double")), "why"))
+    model = genre.fit(weighted.transform(seen), "c")
+    best = genre.top_terms(model, weighted, list(kinds), spark, n=3).collect()
+    assert all(r.term.split()[0] in kinds[r["class"]] for r in best)
+    masked = spark.createDataFrame([("The C++ (Loan) word loaned, LOAN  word",)], "t string").select(genre.masked(F.col("t"), ["loan", "loan word"])).first()[0]
+    assert masked == "The C++ ( ) word loaned,"
