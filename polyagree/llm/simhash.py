@@ -10,10 +10,10 @@ its key's bucket; buckets whose members are then one component need no further l
 different components are compared, the component of the bucket's least label on one side. So a dense group of near copies
 costs about its size, not its square, and no link between components is lost.
 
-`keep_one` deduplicates by similarity of texts rather than by distance of one fingerprint: texts whose five-word shingles
-are alike to 0.8 differ in 10 of 64 bits of a fingerprint of shingles, too many for an index, but in few bits of one of
-words, weighted by the root of their counts. So two fingerprints of words are indexed by their variants, and candidates
-are verified by a fingerprint of 128 bits of the shingles and by the numbers of distinct shingles.
+`keep_one` deduplicates by similarity of texts rather than by distance of one fingerprint. Texts whose five-word shingles are
+alike to 0.8 (Jaccard) meet in a band of minima of hashes over the shingles (MinHash; BANDS of ROWS minima: 5 of 100,000 pairs
+of just 0.8 meet in none, fewer above). A loose fingerprint of 128 bits sorts out the unlike, and every link left is checked on
+the sets of shingles themselves, by 64-bit hashes.
 
 Cases: null text counts as empty; a text without words has fingerprint zero and links like any other; fewer words than a
 shingle give one shingle; repeated rows stay rows; a null doc_id has no part in naming components.
@@ -21,7 +21,6 @@ shingle give one shingle; repeated rows stay rows; a null doc_id has no part in
 
 from __future__ import annotations
 
-from collections import Counter
 from functools import reduce
 from operator import or_
 
@@ -147,115 +146,163 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = 4) -> Dat
     return marked.join(table, "fp").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-#: Bits of 128 in which fingerprints of shingles may differ: at a similarity of 0.8, 19.4 with a deviation of 4.1 are expected, so two
-#: deviations above it lose 2 in 100 links of just 0.8 and fewer above; some of 0.6 to 0.8 are linked too.
-ALIKE_BITS = 28
-#: Members of a bucket that the first pass tries with each, besides the bucket's first.
+#: Bands of minima over the shingles, and minima in each: pairs alike to s meet with a chance of 1 - (1 - s^ROWS)^BANDS.
+BANDS, ROWS = 25, 5
+#: Bits of 128 in which fingerprints of shingles may differ for a pair to be checked on its sets: at a similarity of 0.8, 19.4 with a
+#: deviation of 4.1 are expected, so this is over five deviations above it.
+ALIKE_BITS = 42
+#: Members of a bucket before each that the first pass tries.
 CHAIN = 8
-#: Least and greatest number of distinct shingles, as a ratio; no two sets of a higher similarity have a lower one.
+#: Least similarity of two sets of shingles, as a ratio; the numbers of their shingles have no lower ratio.
 ALIKE = (4, 5)
 
+_RNG = np.random.default_rng(7)
+_FLIPS, _TIMES = (_RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) for _ in range(2))
 
-def majority(tokens: list[bytes], weights: np.ndarray | None = None) -> tuple[int, int]:
-    """The fingerprint of 128 bits, as two signed halves: each bit as more than half the weight of the tokens' XXH3 has it."""
-    from xxhash import xxh3_128_digest as digest
 
-    ones = np.zeros(128)
-    for i in range(0, len(tokens), 1 << 14):
-        block = tokens[i : i + (1 << 14)]
-        bits = np.unpackbits(np.frombuffer(b"".join(map(digest, block)), np.uint8).reshape(-1, 16), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64) if weights is None else weights[i : i + (1 << 14)] @ bits
-    total = len(tokens) if weights is None else weights.sum()
-    a, b = np.packbits(ones * 2 > total, bitorder="little").view("<i8").tolist()
-    return a, b
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band: a hash of its ROWS minima and its number."""
+    least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    high = (hashes >> np.uint64(32)).astype(np.uint32)
+    for i in range(0, len(high), 1 << 11):
+        mixed = (high[None, i : i + (1 << 11)] ^ _FLIPS[:, None]) * (_TIMES | np.uint32(1))[:, None]
+        least = np.minimum(least, mixed.min(axis=1))
+    rows, keys = least.reshape(BANDS, ROWS).astype(np.uint64), np.arange(1, BANDS + 1, dtype=np.uint64)
+    for k in range(ROWS):
+        keys = shared._mixed(keys * np.uint64(shared._BASE) + rows[:, k])
+    return keys.view(np.int64)
 
 
-def sketch(text: bytes, shingle: int = 5) -> tuple[int, int, int, int, int]:
-    """Two fingerprints of words, the two halves of the one of distinct shingles, and the number of those; zeros without words."""
+def sketch(text: bytes, shingle: int = 5) -> tuple[int, int, int, int, np.ndarray, bytes]:
+    """A hash of the set of shingles, its size, the two halves of its fingerprint, keys of its bands, and the sorted hashes of its members.
+
+    Zeros and no keys without words. The fingerprint has 128 bits, each as more than half of the shingles' XXH3 have it.
+    """
+    from xxhash import xxh3_64_intdigest, xxh3_128_digest
+
     words = text.lower().split()
     if not words:
-        return 0, 0, 0, 0, 0
-    times = Counter(words)
-    roots = np.sqrt(np.fromiter(times.values(), np.float64, len(times)))
+        return 0, 0, 0, 0, np.zeros(0, np.int64), b""
     joined, n = b" ".join(words), len(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n)) + np.arange(n)
     begins = np.concatenate([[0], ends[:-1] + 1])[: max(1, n - shingle + 1)].tolist()
     shingles = list({joined[a:b]: None for a, b in zip(begins, ends[min(shingle, n) - 1 :].tolist())})
-    return *majority(list(times), roots), *majority(shingles), len(shingles)
+    ones, hashes = np.zeros(128, np.int64), []
+    for i in range(0, len(shingles), 1 << 14):
+        block = np.frombuffer(b"".join(map(xxh3_128_digest, shingles[i : i + (1 << 14)])), np.uint8).reshape(-1, 16)
+        ones += np.unpackbits(block, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        hashes.append(block.view("<u8")[:, 0])
+    g0, g1 = np.packbits(ones * 2 > len(shingles), bitorder="little").view("<i8").tolist()
+    members = np.sort(np.concatenate(hashes))
+    node = xxh3_64_intdigest(members.tobytes())
+    return node - (node >> 63 << 64), len(shingles), g0, g1, band_keys(members), members.tobytes()
 
 
 def sketches(text, shingle: int) -> F.Column:
-    @F.arrow_udf("struct<a:long,b:long,g0:long,g1:long,n:int>")
+    @F.arrow_udf("struct<node:long,n:int,g0:long,g1:long,keys:array<long>,members:binary>")
     def of(texts):
         import pyarrow as pa
 
         raw, at = shared.buffer_of(texts)
         found = [sketch(raw[at[i] : at[i + 1]].tobytes(), shingle) for i in range(len(texts))]
-        parts = zip(*found) if found else [()] * 5
-        return pa.StructArray.from_arrays([pa.array(list(x), pa.int32() if k == "n" else pa.int64()) for k, x in zip(("a", "b", "g0", "g1", "n"), parts)], ["a", "b", "g0", "g1", "n"])
+        node, n, g0, g1, keys, members = map(list, zip(*found)) if found else ([] for _ in range(6))
+        edges = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
+        columns = [pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(g0, pa.int64()), pa.array(g1, pa.int64()), lists, pa.array(members, pa.binary())]
+        return pa.StructArray.from_arrays(columns, ["node", "n", "g0", "g1", "keys", "members"])
 
     return of(text)
 
 
-def alike(g0, g1, n, h0, h1, m) -> F.Column:
-    bits = F.bit_count(F.col(g0).bitwiseXOR(F.col(h0))) + F.bit_count(F.col(g1).bitwiseXOR(F.col(h1)))
-    return (F.least(n, m) * ALIKE[1] >= F.greatest(n, m) * ALIKE[0]) & (bits <= ALIKE_BITS)
+def differing(g0, g1, h0, h1) -> F.Column:
+    return F.bit_count(F.col(g0).bitwiseXOR(F.col(h0))) + F.bit_count(F.col(g1).bitwiseXOR(F.col(h1)))
+
+
+def likely(g0, g1, n, h0, h1, m) -> F.Column:
+    return (F.least(n, m) * ALIKE[1] >= F.greatest(n, m) * ALIKE[0]) & (differing(g0, g1, h0, h1) <= ALIKE_BITS)
+
+
+def sets_alike(left, right) -> F.Column:
+    @F.arrow_udf("boolean")
+    def of(lefts, rights):
+        import pyarrow as pa
+
+        out = []
+        (a, at), (b, bt) = shared.buffer_of(lefts), shared.buffer_of(rights)
+        for i in range(len(lefts)):
+            x, y = (np.frombuffer(raw[e[i] : e[i + 1]].tobytes(), "<u8") for raw, e in ((a, at), (b, bt)))
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(both * ALIKE[1] >= (len(x) + len(y) - both) * ALIKE[0])
+        return pa.array(out, pa.bool_())
+
+    return of(left, right)
+
+
+def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of distinct `pairs` (a, b) whose sets (node, members) are alike. Only the sets of nodes in pairs are moved."""
+    pairs = shared.staged(pairs, "pairs")
+    some = shared.staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+    sets = shared.staged(sets.join(some, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    left, right = (sets.select(F.col("node").alias(x), F.col("members").alias(f"{x}_members")) for x in "ab")
+    return shared.staged(pairs.join(left, "a").join(right, "b").where(sets_alike("a_members", "b_members")).select("a", "b"), "links")
 
 
-def text_classes(prints: DataFrame, distance: int) -> DataFrame:
-    """(node, label) of distinct sketches `prints` (a, b, g0, g1, n): node is a hash of the last three, label the least node reachable.
+def text_classes(marked: DataFrame) -> DataFrame:
+    """(node, label) of the distinct sets of `marked` (node, n, g0, g1, keys, members): label is the least node reachable.
 
-    As classes(), with rows of two fingerprints' variants and links by the shingles. These are not as near to a bucket's first
-    member as to others, so the first pass also tries the CHAIN members before each, in the order of the sketches, which is
-    a random one as to texts: a group of copies is one component before the second pass looks for what is left. Of the links
-    found for a member over all its keys, four go on: the first and last of them in order, and two at random by their hash.
-    The second pass compares whatever these leave in different components, so no link between components is lost.
+    As classes(), over the bands. The first pass tries the CHAIN members before each in its bucket, in the order of the numbers of
+    shingles, so that a text and its shortened or extended copies are close; a group of copies is one component before the
+    second pass looks for what is left. Of the links found for a member over all its keys, four go on: the closest by
+    fingerprint, the first and last, and one at random. The second pass compares whatever these, and the check of them
+    on their sets, leave in different components, so no link between components is lost.
     """
-    bucket, node = Window.partitionBy("key"), F.xxhash64("g0", "g1", "n")
-    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    number = sum(width for _, width in segments(distance))
-    keys = F.array(*(k.cast("int") for k in variant_keys("a", distance, 0, 22) + variant_keys("b", distance, number, 22)))
-    index = prints.repartition(parts, "g0").select(F.explode(keys).alias("key"), "g0", "g1", "n")
-    in_order, me = Window.partitionBy("key").orderBy("g0", "g1", "n"), F.struct("g0", "g1", "n")
-    tried = index.select("g0", "g1", "n", F.first(me).over(in_order).alias("x0"), *(F.lag(me, k).over(in_order).alias(f"x{k}") for k in range(1, CHAIN + 1)))
-    links = [F.coalesce(alike("g0", "g1", "n", f"{x}.g0", f"{x}.g1", f"{x}.n") & (F.col(f"{x}.g0") != F.col("g0")), F.lit(False)) for x in (f"x{k}" for k in range(CHAIN + 1))]
-    tried = tried.where(reduce(or_, links)).withColumn("x", F.explode(F.array_compact(F.array(*(F.when(link, F.col(f"x{k}")) for k, link in enumerate(links))))))
-    tried = tried.select(node.alias("a"), F.xxhash64("x.g0", "x.g1", "x.n").alias("b"), F.col("x.g0").alias("at"))
-    spanning = tried.groupBy("a").agg(F.min("b").alias("b0"), F.max("b").alias("b1"), F.min_by("b", "at").alias("b2"), F.max_by("b", "at").alias("b3"))
-    first = components(spanning.select("a", F.explode(F.array_distinct(F.array("b0", "b1", "b2", "b3"))).alias("b")))
-    named = prints.withColumn("__node", node).join(first, F.col("__node") == F.col("node"), "left").select("a", "b", "g0", "g1", "n", F.coalesce("label", "__node").alias("label"))
+    parts = int(marked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sets = marked.select("node", "members")
+    prints = shared.staged(marked.select("node", "n", "g0", "g1", "keys").dropDuplicates(["node"]), "prints")
+    bucket, in_order, me = Window.partitionBy("key"), Window.partitionBy("key").orderBy("n", "g0", "node"), F.struct("node", "n", "g0", "g1")
+    index = prints.repartition(parts, "node").select(F.explode("keys").alias("key"), "node", "n", "g0", "g1")
+    tried = index.select("node", "n", "g0", "g1", *(F.lag(me, k).over(in_order).alias(f"x{k}") for k in range(1, CHAIN + 1)))
+    links = [F.coalesce(likely("g0", "g1", "n", f"{x}.g0", f"{x}.g1", f"{x}.n"), F.lit(False)) for x in (f"x{k}" for k in range(1, CHAIN + 1))]
+    tried = tried.where(reduce(or_, links)).withColumn("x", F.explode(F.array_compact(F.array(*(F.when(link, F.col(f"x{k}")) for k, link in enumerate(links, 1))))))
+    tried = tried.select(F.col("node").alias("a"), F.col("x.node").alias("b"), F.struct(differing("g0", "g1", "x.g0", "x.g1"), F.xxhash64("x.node", "node")).alias("off"))
+    spanning = tried.groupBy("a").agg(F.min_by("b", "off").alias("b0"), F.min("b").alias("b1"), F.max("b").alias("b2"), F.min_by("b", F.col("off").getField("col2")).alias("b3"))
+    first = components(checked(spanning.select("a", F.explode(F.array_distinct(F.array("b0", "b1", "b2", "b3"))).alias("b")), sets))
+    named = prints.join(first, "node", "left").select("node", "n", "g0", "g1", "keys", F.coalesce("label", "node").alias("label"))
     named = shared.staged(named, "named")
-    members = named.repartition(parts, "g0").select(F.explode(keys).alias("key"), "g0", "g1", "n", "label")
+    members = named.repartition(parts, "node").select(F.explode("keys").alias("key"), "node", "n", "g0", "g1", "label")
     members = members.withColumns({"lo": F.min("label").over(bucket), "hi": F.max("label").over(bucket)}).where("lo < hi").drop("hi")
-    others = members.where("label <> lo").select("key", F.col("g0").alias("h0"), F.col("g1").alias("h1"), F.col("n").alias("m"), F.col("label").alias("label2"))
+    others = members.where("label <> lo").select("key", F.col("node").alias("b"), F.col("g0").alias("h0"), F.col("g1").alias("h1"), F.col("n").alias("m"), F.col("label").alias("label2"))
     one_side = (F.col("label") == F.col("lo")) | (F.col("label") < F.col("label2"))
-    across = members.join(others, "key").where((F.col("label") != F.col("label2")) & one_side & alike("g0", "g1", "n", "h0", "h1", "m"))
-    second = components(across.select(F.col("label").alias("a"), F.col("label2").alias("b")).distinct())
-    out = named.select(node.alias("__node"), F.col("label").alias("__label")).distinct().join(second, F.col("__label") == F.col("node"), "left")
-    return out.select(F.col("__node").alias("node"), F.coalesce("label", "__label").alias("label"))
+    across = members.join(others, "key").where((F.col("label") != F.col("label2")) & one_side & likely("g0", "g1", "n", "h0", "h1", "m"))
+    found = checked(across.select(F.col("node").alias("a"), "b").distinct(), sets)
+    names = named.select("node", "label")
+    found = found.join(names.toDF("a", "label"), "a").join(names.toDF("b", "label2"), "b")
+    second = components(found.select(F.col("label").alias("a"), F.col("label2").alias("b")).distinct())
+    return names.join(second.toDF("label", "least"), "label", "left").select("node", F.coalesce("least", "label").alias("label"))
 
 
-def similar_texts(docs: DataFrame, shingle: int = 5, distance: int = 5) -> DataFrame:
-    """doc_id and component_id, the least doc_id of the row's group of texts alike to 0.8 or more in their shingles, for each row.
-
-    Links are kept that two fingerprints of words find: each within `distance` bits, and many beyond.
-    """
+def grouped_texts(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, a hash of the text and node for each row, and (node, label) of text_classes()."""
     shared.prepare(docs.sparkSession)
-    marked = docs.select(F.col("doc_id").cast("long"), sketches(shared.text_bytes(), shingle).alias("s")).select("doc_id", "s.*")
-    marked = shared.staged(marked, "sketches")
-    named = shared.staged(text_classes(marked.select("a", "b", "g0", "g1", "n").distinct(), distance), "classes")
-    least = marked.groupBy(F.xxhash64("g0", "g1", "n").alias("node")).agg(F.min("doc_id").alias("least")).join(named, "node")
+    marked = docs.select(F.col("doc_id").cast("long"), F.xxhash64(shared.text_bytes()).alias("hash"), sketches(shared.text_bytes(), shingle).alias("s"))
+    marked = shared.staged(marked.select("doc_id", "hash", "s.*"), "sketches")
+    return marked.select("doc_id", "hash", "node"), shared.staged(text_classes(marked.drop("doc_id", "hash")), "classes")
+
+
+def similar_texts(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """doc_id and component_id, the least doc_id of the row's group of texts alike to 0.8 or more in their shingles, for each row."""
+    rows, named = grouped_texts(docs, shingle)
+    least = rows.groupBy("node").agg(F.min("doc_id").alias("least")).join(named, "node")
     table = least.join(least.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("node", "component_id")
-    rows = marked.select("doc_id", F.xxhash64("g0", "g1", "n").alias("node"))
     return rows.join(shared.staged(table, "groups"), "node").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, distance: int = 5) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """The rows of `docs` whose doc_id names their group of similar_texts(), one row for each, with all columns as they are.
 
     Rows without a doc_id name no group and go, as no later stage could tell them apart.
     """
-    found = similar_texts(docs, shingle, distance)
+    found = similar_texts(docs, shingle)
     names = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
     kept = docs.join(names, docs.doc_id == names["__kept"], "left_semi")
     return kept.dropDuplicates(["doc_id"])

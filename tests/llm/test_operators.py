@@ -189,6 +189,25 @@ def test_similar_texts(spark):
     assert [least[i] for i in range(900, 907)] == [900, 900, 900, 903, 903, 905, 906]
 
 
+def test_shortened_and_extended_copies_meet(spark):
+    """Of texts of all lengths and their copies cut or carried on at the end, those alike to 0.8 to 0.9 are linked, and none below 0.8."""
+    rnd, rows, sets = random.Random(12), [], []
+    words = [a + b for a in "abcdefghijklmnop" for b in "qrstuvwxyz"]
+    for k in range(400):
+        n = rnd.choice([rnd.randint(25, 60), rnd.randint(60, 150), rnd.randint(150, 1000), rnd.randint(1000, 3000)])
+        base = [rnd.choice(words) + rnd.choice(words) for _ in range(n)]
+        alike = rnd.choice([0.74, 0.77, 0.81, 0.82, 0.86, 0.9])
+        shorter = base[: 4 + round(alike * (n - 4))]
+        for part in (base, shorter) if k % 2 else (shorter, base):
+            sets.append({tuple(part[i : i + 5]) for i in range(len(part) - 4)})
+            rows.append((len(rows), " ".join(part)))
+    found = simhash.similar_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    least = {r.doc_id: r.component_id for r in found}
+    for i in range(0, len(rows), 2):
+        both = len(sets[i] & sets[i + 1])
+        assert (least[i + 1] == i) == (5 * both >= 4 * len(sets[i] | sets[i + 1])), (len(sets[i]), len(sets[i + 1]), both)
+
+
 def test_linked_fingerprints_share_a_variant(spark):
     rnd, rows = random.Random(5), []
     for i in range(300):
