@@ -298,11 +298,14 @@ def similar_texts(docs: DataFrame, shingle: int = 5) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """The rows of `docs` whose doc_id names their group of similar_texts(), one row for each, with all columns as they are.
+    """One row of `docs` of each group of similar_texts(), with all columns as they are.
 
-    Rows without a doc_id name no group and go, as no later stage could tell them apart.
+    It is the one of least (doc_id, hash of the text), null ids last. So a group without an id keeps a row too, and of different
+    texts under one id each group keeps its own; of rows equal in both, any one.
     """
-    found = similar_texts(docs, shingle)
-    names = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    kept = docs.join(names, docs.doc_id == names["__kept"], "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    rows, named = grouped_texts(docs, shingle)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "hash")
+    kept = rows.join(named, "node").groupBy("label").agg(F.min(order).alias("kept")).select(F.col("kept.doc_id").alias("__id"), F.col("kept.hash").alias("__kept"))
+    marked = docs.withColumn("__hash", F.xxhash64(shared.text_bytes()))
+    found = marked.join(kept, F.col("__id").eqNullSafe(marked.doc_id.cast("long")) & (F.col("__kept") == F.col("__hash")), "left_semi")
+    return found.dropDuplicates(["doc_id", "__hash"]).drop("__hash")

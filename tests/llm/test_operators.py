@@ -208,6 +208,14 @@ def test_shortened_and_extended_copies_meet(spark):
         assert (least[i + 1] == i) == (5 * both >= 4 * len(sets[i] | sets[i + 1])), (len(sets[i]), len(sets[i + 1]), both)
 
 
+def test_each_group_keeps_one_row_whatever_its_ids(spark):
+    """Groups of rows without an id keep a row, and so does each of different texts under one id."""
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcde")
+    rows = [(None, a), (None, a), (None, b), (1, b), (2, c), (2, d), (2, d), (None, None), (None, ""), (3, e), (0, e + " z")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert collections.Counter((r.doc_id, r.text or "") for r in kept) == collections.Counter([(None, a), (1, b), (2, c), (2, d), (None, ""), (0, e + " z")])
+
+
 def test_linked_fingerprints_share_a_variant(spark):
     rnd, rows = random.Random(5), []
     for i in range(300):
