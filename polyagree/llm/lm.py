@@ -9,7 +9,9 @@ the shares of their counts (one added, and one unseen word more). The end of a t
 probabilities of all words sum to one. States start at zero with each text and go on from window to window until its end;
 training is cut after WINDOW steps, scoring never.
 
-Training runs on the driver over a bounded sample of training texts; counts are of all of them. Cases: null text counts as
+Training starts on the driver, over a bounded sample of training texts that gives all tasks the same start. Each partition
+then trains a copy of it in one pass over all its training texts, and the copies are averaged by their words. So the
+network has seen every training text, as the counts have; its weights depend on how texts lie in partitions. Cases: null text counts as
 empty and has only its end; without a training text all counts are zero; repeated rows are scored each; an empty table
 gives an empty result; other columns are not read.
 """
@@ -27,8 +29,10 @@ from . import shared
 
 TOP, DYNAMIC, IN_CLASS, BANDS = 1 << 17, 1024, 32, 14
 HIDDEN, INPUTS, STREAMS, WINDOW = 16, 2048, 64, 32
-#: Training texts that the network sees, about, those of the least hashes of their ids; passes over them; and its words at most.
+#: Texts that the network starts with, about, those of the least hashes of their ids; passes over them; and its words at most.
 SAMPLE, EPOCHS, RATE, SAMPLE_WORDS = 1500, 3, 0.01, 1_200_000
+#: In the pass over all texts: lanes of a stream, its words, the first rate, and weights in a row of those that are averaged.
+LANES, STREAM_WORDS, PASS_RATE, BLOCK = 256, 1 << 20, 0.004, 2048
 #: Words of the texts that are scored together.
 POOL_WORDS, POOL_ROWS = 4_000_000, 8192
 
@@ -153,53 +157,6 @@ class Network:
                     flow[own] += d @ self.p["wd"][k].T
         return out if back is None else (out, flow)
 
-    def train(self, table: Table, stream: np.ndarray) -> list[float]:
-        """Truncated backpropagation over `stream`, ids with an end after each text, dealt into STREAMS. Returns mean losses."""
-        length = len(stream) // STREAMS
-        if length < 2:
-            return []
-        lanes = stream[: length * STREAMS].reshape(STREAMS, length).T
-        m1, m2 = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
-        losses, count, planned = [], 0, EPOCHS * -(-length // WINDOW)
-        for _ in range(EPOCHS):
-            h = np.zeros((STREAMS, HIDDEN), np.float32)
-            for begin in range(0, length, WINDOW):
-                ids = lanes[begin : begin + WINDOW]
-                kept, states, on = [], [], table.of[ids] != table.end
-                for t in range(len(ids)):
-                    states.append(h)
-                    rows = table.input[ids[t]]
-                    after, parts = self.step(h, rows)
-                    kept.append((rows, parts))
-                    h = after * on[t][:, None]
-                back = {k: np.zeros_like(v) for k, v in self.p.items()}
-                got, flow = self.loss(table, np.concatenate(states), ids.ravel(), back)
-                losses.append(float(-got.mean()))
-                flow = flow.reshape(len(ids), STREAMS, HIDDEN)
-                dh = np.zeros((STREAMS, HIDDEN), np.float32)
-                rows_all, grads = [], []
-                for t in range(len(ids) - 1, -1, -1):
-                    dh = dh * on[t][:, None]
-                    before, (rows, (z, r, n, a)) = states[t], kept[t]
-                    dn = dh * (1 - z) * (1 - n * n)
-                    dz = dh * (before - n) * z * (1 - z)
-                    dr = dn * a * r * (1 - r)
-                    inner = np.concatenate([dz, dr, dn * r], axis=1)
-                    rows_all.append(rows)
-                    grads.append(np.concatenate([dz, dr, dn], axis=1))
-                    back["u"] += before.T @ inner
-                    dh = dh * z + inner @ self.p["u"].T + flow[t]
-                np.add.at(back["x"], np.concatenate(rows_all), np.concatenate(grads))
-                count += 1
-                rate = RATE * (1 - 0.9 * count / planned)
-                for k, g in back.items():
-                    g /= ids.size
-                    m1[k] += 0.1 * (g - m1[k])
-                    m2[k] += 0.01 * (g * g - m2[k])
-                    self.p[k] -= (rate * (m1[k] / (1 - 0.9**count)) / (np.sqrt(m2[k] / (1 - 0.99**count)) + 1e-7)).astype(np.float32)
-                h = h.copy()
-        return losses
-
     def score(self, table: Table, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Natural log probability of each text: `ids` without ends, end to end; the end is added. States last for the whole text."""
         end = len(table.hashes) + 1
@@ -233,10 +190,65 @@ class Network:
         return back
 
 
+class Learner:
+    """Truncated backpropagation with Adam over one stream after another, each dealt into lanes; `planned` updates bring the rate to a tenth."""
+
+    def __init__(self, network: Network, table: Table, lanes: int, rate: float, planned: float):
+        self.network, self.table, self.lanes, self.rate, self.planned, self.count = network, table, lanes, rate, max(1, planned), 0
+        self.m1, self.m2 = ({k: np.zeros_like(v) for k, v in network.p.items()} for _ in range(2))
+
+    def learn(self, stream: np.ndarray) -> np.ndarray:
+        """One pass over `stream`, ids with an end after each text. Returns what is left at its end, fewer ids than lanes."""
+        many = min(self.lanes, max(1, len(stream) // WINDOW))
+        length = len(stream) // many
+        lanes, h = stream[: length * many].reshape(many, length).T, np.zeros((many, HIDDEN), np.float32)
+        for begin in range(0, length, WINDOW):
+            h = self._update(lanes[begin : begin + WINDOW], h)
+        return stream[length * many :]
+
+    def _update(self, ids: np.ndarray, h: np.ndarray) -> np.ndarray:
+        network, table = self.network, self.table
+        kept, states, on = [], [], (table.of[ids] != table.end)[:, :, None]
+        inputs = table.input[ids]
+        for t in range(len(ids)):
+            states.append(h)
+            after, parts = network.step(h, inputs[t])
+            kept.append(parts)
+            h = after * on[t]
+        back = {k: np.zeros_like(v) for k, v in network.p.items()}
+        _, flow = network.loss(table, np.concatenate(states), ids.ravel(), back)
+        flow = flow.reshape(*ids.shape, HIDDEN)
+        dh, grads = np.zeros_like(h), np.empty((*ids.shape, 3 * HIDDEN), np.float32)
+        for t in range(len(ids) - 1, -1, -1):
+            dh = dh * on[t]
+            before, (z, r, n, a) = states[t], kept[t]
+            dn = dh * (1 - z) * (1 - n * n)
+            dz = dh * (before - n) * z * (1 - z)
+            dr = dn * a * r * (1 - r)
+            inner = np.concatenate([dz, dr, dn * r], axis=1)
+            grads[t, :, : 2 * HIDDEN], grads[t, :, 2 * HIDDEN :] = inner[:, : 2 * HIDDEN], dn
+            back["u"] += before.T @ inner
+            dh = dh * z + inner @ network.p["u"].T + flow[t]
+        rows, grads = inputs.ravel(), grads.reshape(-1, 3 * HIDDEN)
+        order = np.argsort(rows, kind="stable")
+        starts = np.flatnonzero(np.diff(rows[order], prepend=-1))
+        back["x"][rows[order[starts]]] = np.add.reduceat(grads[order], starts, axis=0)
+        self.count += 1
+        rate = self.rate * max(0.1, 1 - 0.9 * self.count / self.planned)
+        for k, g in back.items():
+            g /= self.lanes * WINDOW
+            m1, m2 = self.m1[k], self.m2[k]
+            m1 += 0.1 * (g - m1)
+            m2 += 0.01 * (g * g - m2)
+            network.p[k] -= (rate / (1 - 0.9**self.count) * m1 / (np.sqrt(m2 / (1 - 0.99**self.count)) + 1e-7)).astype(np.float32)
+        return h
+
+
 @dataclass
 class Model:
     table: Table
     network: Network
+    seen: int = 0  # words and ends of the pass over all texts
 
 
 def _hashes(batches):
@@ -259,6 +271,66 @@ def least_count(counts: DataFrame) -> int:
     return found
 
 
+def _learner(model, planned: float):
+    """Trains a copy of the network over the texts of a partition, and yields its weights in blocks with the words it has seen."""
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        table = model.value.table
+        network = Network(table)
+        network.p = {k: v.copy() for k, v in model.value.network.p.items()}
+        learner, seen, size, pool = Learner(network, table, LANES, PASS_RATE, planned), 0, 0, []
+        for b in batches:
+            words, n = hashed_words(*shared.buffer_of(b.column(0)))
+            ids = np.insert(table.ids(words), np.cumsum(n), len(table.hashes) + 1)
+            pool.append(ids)
+            seen, size = seen + len(ids), size + len(ids)
+            if size >= STREAM_WORDS:
+                pool = [learner.learn(np.concatenate(pool))]
+                size = len(pool[0])
+        left = np.concatenate(pool) if pool else np.zeros(0, np.int32)
+        while len(left):
+            left = learner.learn(left)
+        if seen:
+            flat = np.concatenate([v.ravel() for v in network.p.values()])
+            blocks = [flat[i : i + BLOCK].tobytes() for i in range(0, len(flat), BLOCK)]
+            n, part = len(blocks), TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(n), pa.int32()), pa.array([part] * n, pa.int32()), pa.array([seen] * n, pa.int64()), pa.array(blocks, pa.binary())], ["block", "part", "seen", "weights"]
+            )
+
+    return run
+
+
+def _averaged(blocks):
+    """Of one block, the mean of its weights by words seen, in the order of the partitions."""
+    import pyarrow as pa
+
+    rows = blocks.sort_by("part")
+    seen = rows["seen"].to_numpy().astype(np.float64)
+    weights = np.zeros(len(rows["weights"][0].as_py()) // 4)
+    for n, x in zip(seen / seen.sum(), rows["weights"]):
+        weights += n * np.frombuffer(x.as_py(), np.float32)
+    return pa.table({"block": rows["block"][:1], "seen": pa.array([int(seen.sum())], pa.int64()), "weights": pa.array([weights.astype(np.float32).tobytes()], pa.binary())})
+
+
+def learn_all(texts: DataFrame, model: Model) -> int:
+    """Train the network of `model` over all texts (a column of bytes), a copy a partition, and average. Returns the words seen, ends included."""
+    sent = texts.sparkSession.sparkContext.broadcast(model)
+    planned = model.table.tokens / max(1, texts.rdd.getNumPartitions()) / (LANES * WINDOW)
+    trained = texts.mapInArrow(_learner(sent, planned), "block int, part int, seen long, weights binary")
+    blocks = sorted(trained.groupBy("block").applyInArrow(_averaged, "block int, seen long, weights binary").collect())  # the size of one network
+    if not blocks:
+        return 0
+    flat, at = np.frombuffer(b"".join(bytes(r.weights) for r in blocks), np.float32), 0
+    for k, v in model.network.p.items():
+        model.network.p[k] = flat[at : at + v.size].reshape(v.shape).copy()
+        at += v.size
+    return blocks[0].seen
+
+
 def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     """The model of the texts of `docs` (doc_id, text), and the counts (word, c) of all their words as a staged table."""
     shared.prepare(docs.sparkSession)
@@ -276,9 +348,13 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
         if size < SAMPLE_WORDS:
             stream.append(np.append(table.ids(words), len(table.hashes) + 1))
             size += len(words)
-    network = Network(table)
-    network.train(table, np.concatenate(stream) if stream else np.zeros(0, np.int64))
-    return Model(table, network), counts
+    model = Model(table, Network(table))
+    start = np.concatenate(stream) if stream else np.zeros(0, np.int64)
+    learner = Learner(model.network, table, STREAMS, RATE, EPOCHS * len(start) / (STREAMS * WINDOW))
+    for _ in range(EPOCHS if len(start) else 0):
+        learner.learn(start)
+    model.seen = learn_all(rows.select("text"), model)
+    return model, counts
 
 
 def _scorer(model):

@@ -317,6 +317,47 @@ def test_lm(docs, empty):
     assert lm.score(docs, model, counts).count() == len(ROWS)
 
 
+def test_lm_network_learns_from_all_training_texts(spark):
+    """Texts outside the sample that the network starts with alone have an order of words; the network knows it."""
+    rnd, words = random.Random(8), [f"w{i}" for i in range(12)]
+    ids = spark.createDataFrame([(i, "") for i in range(6000)], "doc_id long, text string")
+    first = {r.doc_id for r in shared.hash_sample(ids, lm.SAMPLE, 6).collect()}
+    assert len(first) < 3000
+    turning = [(words * 35)[i : i + 400] for i in range(12)]
+    rows = [(i, " ".join(rnd.choices(words, k=400) if i in first else rnd.choice(turning))) for i in range(6000)]
+    model, counts = lm.train(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert model.seen == model.table.tokens == 6000 * 401
+    got = lm.score(spark.createDataFrame([(1, " ".join(turning[0])), (2, " ".join(turning[5]))], "doc_id long, text string"), model, counts).collect()
+    assert all(r.score > 0.8 * r.base_score for r in got)
+
+
+def test_lm_gradients_through_time():
+    """What training adds to each weight is the slope of the loss over a window."""
+    rng = np.random.default_rng(2)
+    counts = np.sort(rng.integers(1, 50, 60))[::-1].copy()
+    table = lm.Table(rng.integers(0, 1 << 62, 60).astype(np.uint64), counts, 10, int(counts.sum()) + 40, 90)
+    network = lm.Network(table)
+    ids = rng.integers(0, 62, (6, 4)).astype(np.int32)
+
+    def loss():
+        h, total = np.zeros((4, lm.HIDDEN), np.float32), 0.0
+        for row in ids:
+            total -= network.loss(table, h, row).sum()
+            h = network.step(h, table.input[row])[0] * (table.of[row] != table.end)[:, None]
+        return total
+
+    learner = lm.Learner(network, table, 4, 0.0, 1)
+    learner._update(ids, np.zeros((4, lm.HIDDEN), np.float32))
+    for k, at in (("u", (3, 5)), ("u", (2, 40)), ("x", (table.input[ids[0, 0]], 20)), ("wc", (1, 0))):
+        slope, before = learner.m1[k][at] / 0.1 * 4 * lm.WINDOW, network.p[k][at]
+        network.p[k][at] = before + 1e-2
+        up = loss()
+        network.p[k][at] = before - 1e-2
+        down = loss()
+        network.p[k][at] = before
+        assert slope == pytest.approx((up - down) / 2e-2, rel=0.05, abs=2e-2)
+
+
 def test_lm_probabilities_sum_to_one_and_gradients_hold():
     rng = np.random.default_rng(1)
     counts = np.sort(rng.integers(1, 50, 1500))[::-1].copy()
