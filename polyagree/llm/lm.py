@@ -29,7 +29,7 @@ from . import shared
 
 TOP, DYNAMIC, IN_CLASS, BANDS = 1 << 17, 1024, 32, 14
 HIDDEN, INPUTS, STREAMS, WINDOW = 16, 2048, 64, 32
-#: Texts that the network starts with, about, those of the least hashes of their ids; passes over them; and its words at most.
+#: Texts that the network starts with, about, those of the least hashes of their ids; passes over them; and the words after which no text is added.
 SAMPLE, EPOCHS, RATE, SAMPLE_WORDS = 1500, 3, 0.01, 1_200_000
 #: In the pass over all texts: lanes of a stream, its words, the first rate, and weights in a row of those that are averaged.
 LANES, STREAM_WORDS, PASS_RATE, BLOCK = 256, 1 << 20, 0.004, 2048
@@ -255,8 +255,9 @@ def _hashes(batches):
     import pyarrow as pa
 
     for b in batches:
-        words, n = hashed_words(*shared.buffer_of(b.column(0)))
-        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in np.split(words, np.cumsum(n)[:-1])] if len(n) else [], pa.binary())], ["words"])
+        words, n = hashed_words(*shared.buffer_of(b.column(1)))
+        texts = [x.tobytes() for x in np.split(words, np.cumsum(n)[:-1])] if len(n) else []
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n.astype(np.int64)), pa.array(texts, pa.binary())], ["order", "n", "words"])
 
 
 def least_count(counts: DataFrame) -> int:
@@ -331,6 +332,23 @@ def learn_all(texts: DataFrame, model: Model) -> int:
     return blocks[0].seen
 
 
+def starting_texts(rows: DataFrame) -> list[np.ndarray]:
+    """Hashes of words of the texts that the network starts with, of `rows` (doc_id, text), in the order of the hashes of their ids.
+
+    Texts are added until they have SAMPLE_WORDS words, the last one whole; texts of one id come together. Only these reach the driver.
+    """
+    order = F.xxhash64(F.lit(6), "doc_id").alias("order")
+    sample = shared.hash_sample(rows, SAMPLE, 6).select(order, "text").mapInArrow(_hashes, "order long, n long, words binary")
+    sample = shared.staged(sample, "sample")
+    sizes = sample.groupBy("order").agg(F.sum("n").alias("n")).toPandas().sort_values("order")  # twice SAMPLE rows at most
+    before = sizes["n"].cumsum() - sizes["n"]
+    if not len(sizes):
+        return []
+    last = sizes["order"][before < SAMPLE_WORDS].max()
+    found = sample.where(F.col("order") <= F.lit(int(last))).select("order", "words").collect()
+    return [np.frombuffer(r.words, np.uint64) for r in sorted(found, key=lambda r: (r.order, bytes(r.words)))]
+
+
 def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     """The model of the texts of `docs` (doc_id, text), and the counts (word, c) of all their words as a staged table."""
     shared.prepare(docs.sparkSession)
@@ -341,15 +359,9 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     least = least_count(counts)
     top = counts.where(F.col("c") >= least).toPandas().sort_values(["c", "word"], ascending=[False, True])  # TOP rows at most
     table = Table(top["word"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64), texts, (total.n or 0) + texts, total.v + bool(texts))
-    sample = shared.hash_sample(rows, SAMPLE, 6).select("text").mapInArrow(_hashes, "words binary").toPandas()
-    stream, size = [], 0
-    for hashes in sorted(sample["words"]):  # the same order each time
-        words = np.frombuffer(hashes, np.uint64)
-        if size < SAMPLE_WORDS:
-            stream.append(np.append(table.ids(words), len(table.hashes) + 1))
-            size += len(words)
+    start = [np.append(table.ids(words), len(table.hashes) + 1) for words in starting_texts(rows)]
+    start = np.concatenate(start) if start else np.zeros(0, np.int64)
     model = Model(table, Network(table))
-    start = np.concatenate(stream) if stream else np.zeros(0, np.int64)
     learner = Learner(model.network, table, STREAMS, RATE, EPOCHS * len(start) / (STREAMS * WINDOW))
     for _ in range(EPOCHS if len(start) else 0):
         learner.learn(start)

@@ -331,6 +331,20 @@ def test_lm_network_learns_from_all_training_texts(spark):
     assert all(r.score > 0.8 * r.base_score for r in got)
 
 
+def test_lm_start_is_thinned_by_ids_not_by_first_words(spark):
+    """Of texts with more words than the start takes, those that open with either word are taken alike, by the hash of the id."""
+    rows = [(i, ["first ", "other "][i % 2] + "word " * 2999) for i in range(1000)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    raw = b"first other"
+    first, other = shared.word_hashes(np.frombuffer(raw, np.uint8), np.array([0, 6]), np.array([5, 11])).tolist()
+    got = lm.starting_texts(texts.select("doc_id", shared.text_bytes().alias("text")))
+    assert len(got) == lm.SAMPLE_WORDS // 3000
+    opening = collections.Counter(int(x[0]) for x in got)
+    assert set(opening) == {first, other} and min(opening.values()) > 0.4 * len(got)
+    order = texts.select("doc_id").orderBy(F.xxhash64(F.lit(6), "doc_id")).limit(len(got)).collect()
+    assert [int(x[0]) for x in got] == [[first, other][r.doc_id % 2] for r in order]
+
+
 def test_lm_gradients_through_time():
     """What training adds to each weight is the slope of the loss over a window."""
     rng = np.random.default_rng(2)
