@@ -3,7 +3,7 @@
 A rolling hash over a window of ids cuts each document's stream into chunks, so equal passages give equal chunks wherever
 they stand. A chunk is stored once under the digest of its bytes; a document is a recipe, the list of its chunks' digests,
 with the root of a Merkle tree over them. Recipes lie in ascending order of document ids. Reading back checks each chunk
-against its digest and each recipe against its root.
+against its digest, each recipe against its root and its chunks' lengths, and the recipes against the manifest.
 
 Layout under the store's folder (Parquet, zstd):
   objects/kind=chunk   digest, payload (ids, little-endian, 2 bytes each if the vocabulary allows, else 4)
@@ -30,6 +30,7 @@ from .tokenizing import Encoder
 #: Ids under the rolling hash; the chance of a cut at an id is one of 2^CUT_BITS; chunks but a document's last have these sizes.
 WINDOW, CUT_BITS, LEAST, MOST = 16, 9, 64, 4096
 DIGEST = 16
+MANIFEST = "part int, first_doc long, last_doc long, documents long, tokens long, root binary"
 MADE = "kind string, digest binary, payload binary, doc_id long, row long, n_tokens long, root binary, chunks array<struct<digest:binary,after:long>>"
 
 
@@ -131,11 +132,12 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> str:
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = recipes.select("doc_id", "row", "n_tokens", "root", "chunks").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "root", "row")
     ordered.select(F.spark_partition_id().alias("part"), "*").write.option("compression", "zstd").parquet(f"{path}/recipes")
+    manifest(spark, path).write.option("compression", "zstd").parquet(f"{path}/manifest")
     return path
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each part of the recipes: its span, totals and Merkle root over the roots in order."""
+    """A row for each part of the recipes, made from them: its span, totals and Merkle root over the roots in order."""
 
     def run(batches):
         import pyarrow as pa
@@ -157,7 +159,15 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"part": [p], "first_doc": [lo], "last_doc": [hi], "documents": [n], "tokens": [t], "root": [top]}, pa.schema([("part", pa.int32()), ("first_doc", pa.int64()), ("last_doc", pa.int64()), ("documents", pa.int64()), ("tokens", pa.int64()), ("root", pa.binary())]))
 
     rows = read_recipes(spark, path).select("part", "doc_id", "n_tokens", "root", "row")
-    return rows.repartition("part").sortWithinPartitions("part", "doc_id", "root", "row").select("part", "doc_id", "n_tokens", "root").mapInArrow(run, "part int, first_doc long, last_doc long, documents long, tokens long, root binary")
+    return rows.repartition("part").sortWithinPartitions("part", "doc_id", "root", "row").select("part", "doc_id", "n_tokens", "root").mapInArrow(run, MANIFEST)
+
+
+def checked_parts(spark: SparkSession, path: str) -> DataFrame:
+    """part and its tokens, of the stored manifest; reading a row fails where the recipes are not as it says."""
+    stored = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
+    both = stored.select("part", F.struct(*stored.columns).alias("s")).join((made := manifest(spark, path)).select("part", F.struct(*made.columns).alias("m")), "part", "full")
+    wrong = F.raise_error(F.format_string("part %d of the recipes is not as the manifest says", "part"))
+    return both.select("part", F.when(F.col("s").eqNullSafe(F.col("m")), F.col("s.tokens")).otherwise(wrong).alias("tokens"))
 
 
 def read_recipes(spark: SparkSession, path: str) -> DataFrame:
@@ -209,6 +219,7 @@ def read_back(spark: SparkSession, path: str, width: int) -> DataFrame:
     """doc_id, row, part, start, n_tokens and ids_crc32 of each document, from the stored files.
 
     Recipes meet their chunks' facts, not the ids: a document's crc32 is an exclusive or of what its chunks add to it.
+    It fails where a recipe does not have its root, a chunk is missing or of another length, or the manifest says otherwise.
     """
     facts = chunk_facts(spark, path, width)
 
@@ -218,13 +229,28 @@ def read_back(spark: SparkSession, path: str, width: int) -> DataFrame:
 
         return pa.array(shifted_crc(crc.to_numpy(zero_copy_only=False), after.to_numpy(zero_copy_only=False) * 4).astype(np.int64))
 
-    entries = read_recipes(spark, path).select("part", "doc_id", "row", "root", F.explode("chunks").alias("c")).select("part", "doc_id", "row", "root", "c.digest", "c.after")
-    joined = entries.join(facts, "digest")
-    found = joined.select("part", "doc_id", "row", "root", "n", adds("crc", "after").alias("add"))
-    found = found.groupBy("part", "doc_id", "row", "root").agg(F.sum("n").alias("n_tokens"), F.expr("bit_xor(add)").alias("ids_crc32"))
+    @F.arrow_udf("binary")
+    def rooted(chunks, root):
+        import pyarrow as pa
+
+        for names, r in zip(chunks.to_pylist(), root.to_pylist()):
+            if merkle_root(names) != r:
+                raise ValueError("a recipe does not have its root")
+        return pa.array(root, pa.binary())
+
+    names = ["part", "doc_id", "row", "root", "n_tokens"]
+    upto = lambda i: F.when(i == 0, F.col("n_tokens")).otherwise(F.get("chunks", i - 1).getField("after"))
+    lengths = F.transform("chunks", lambda c, i: F.struct(c.digest.alias("digest"), c.after.alias("after"), (upto(i) - c.after).alias("length")))
+    recipes = read_recipes(spark, path).select("part", "doc_id", "row", rooted("chunks.digest", "root").alias("root"), "n_tokens", lengths.alias("chunks"))
+    entries = recipes.select(*names, F.explode("chunks").alias("c")).select(*names, "c.*")
+    wrong = F.raise_error(F.concat(F.lit("a chunk is missing, or not as long as a recipe says: "), F.hex("digest")))
+    joined = entries.join(facts, "digest", "left").withColumn("n", F.when(F.col("n") == F.col("length"), F.col("n")).otherwise(wrong))
+    found = joined.select(*names, "n", adds("crc", "after").alias("add"))
+    found = found.groupBy(*names).agg(F.sum("n").alias("sum"), F.expr("bit_xor(add)").alias("ids_crc32"))
+    short = F.raise_error(F.concat(F.lit("the chunks of a document are not its n_tokens: "), F.coalesce(F.col("doc_id").cast("string"), F.lit("no id"))))
+    found = found.withColumn("n_tokens", F.when(F.col("sum") == F.col("n_tokens"), F.col("n_tokens")).otherwise(short)).drop("sum")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = read_recipes(spark, path).groupBy("part").agg(F.sum("n_tokens").alias("s"))
-    sums = sums.select("part", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("base"))  # as many rows as parts
+    sums = checked_parts(spark, path).select("part", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))  # as many rows as parts
     inside = Window.partitionBy("part").orderBy("doc_id", "root", "row").rowsBetween(Window.unboundedPreceding, -1)
     return found.join(sums, "part").select("doc_id", "row", "part", (F.col("base") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).alias("start"), "n_tokens", "ids_crc32")
 

@@ -100,6 +100,34 @@ def test_token_store(spark, docs, empty):
     assert token_store.read_back(spark, path, 2).count() == 0
 
 
+def test_a_damaged_token_store_is_not_read(spark):
+    rnd = random.Random(13)
+    texts = [(i, " ".join(rnd.choice(["alpha", "beta", "gamma", "delta"]) + str(rnd.randint(0, 99)) for _ in range(2000))) for i in range(6)]
+    path = token_store.write(spark.createDataFrame(texts, "doc_id long, text string").repartition(2), shared.new_folder(spark, "t"), queries.tokenizer_path(), 2)
+    recipes, manifest = token_store.read_recipes(spark, path), spark.read.parquet(f"{path}/manifest")
+    objects = spark.read.parquet(f"{path}/objects")
+    assert manifest.agg(F.sum("documents"), F.sum("tokens")).first() == (6, recipes.agg(F.sum("n_tokens")).first()[0])
+    lost, one = token_store.read_chunks(spark, path).first().digest, F.col("doc_id") == 3
+
+    def read(objects=objects, recipes=recipes, manifest=manifest):
+        other = shared.new_folder(spark, "t")
+        objects.write.partitionBy("kind").parquet(f"{other}/objects")
+        recipes.write.parquet(f"{other}/recipes")
+        manifest.write.parquet(f"{other}/manifest")
+        return token_store.read_back(spark, other, 2).select("doc_id", "start", "n_tokens", "ids_crc32").collect()
+
+    assert len(read()) == 6
+    for damage, says in (
+        ({"objects": objects.where(F.col("digest") != F.lit(bytes(lost)))}, "a chunk is missing"),
+        ({"recipes": recipes.withColumn("chunks", F.when(one, F.reverse("chunks")).otherwise(F.col("chunks")))}, "does not have its root"),
+        ({"recipes": recipes.withColumn("n_tokens", F.col("n_tokens") + one.cast("long"))}, "not as long as|manifest|not its n_tokens"),
+        ({"recipes": recipes.where(~one)}, "manifest"),
+        ({"manifest": manifest.withColumn("root", F.lit(b"0" * 16))}, "manifest"),
+    ):
+        with pytest.raises(Exception, match=says):
+            read(**damage)
+
+
 def test_chunks_follow_content():
     gear, rnd = token_store._gear(1000), np.random.default_rng(0)
     a = rnd.integers(0, 1000, 20000)
