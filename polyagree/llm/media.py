@@ -148,3 +148,8 @@ def describe(stored: DataFrame) -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, tile (NPY) and feature (hex) of stored images."""
     shared.prepare(stored.sparkSession)
     return stored.mapInArrow(_described, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, tile binary, feature string")
+
+
+def store_tiles(stored: DataFrame) -> DataFrame:
+    """Write what describe() says of stored images, NPY tiles and hashes with it, as a table beside them; read it again."""
+    return shared.staged(describe(stored), "tiles")

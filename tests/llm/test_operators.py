@@ -432,6 +432,16 @@ def test_media(docs, empty):
     assert len(got) == len(ROWS) and media.describe(media.store(empty)).count() == 0
 
 
+def test_tiles_are_stored(spark, docs):
+    tiles = media.store_tiles(media.store(docs))
+    path = tiles.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    rows = spark.read.parquet(path).collect()
+    assert len(rows) == len(ROWS)
+    for r in rows:
+        tile = np.load(io.BytesIO(r.tile))
+        assert tile.shape == media.TILE and tile.dtype == np.uint8 and len(r.feature) == 16
+
+
 def test_images():
     assert media.decode(b"P2\n# note\n2 1\n255\n0 255\n")[:, :, 0].tolist() == [[0, 255]]
     assert media.decode(b"P1\n2 2\n10\n01")[:, :, 0].tolist() == [[0, 255], [255, 0]]
