@@ -3,8 +3,9 @@
 Each task tokenizes its documents. Whole windows of `capacity` ids are sequences of their own; what remains of each
 document, shorter than a window, waits in a pool. A subset-sum dynamic program over the pool's lengths, a bitset of the
 sums that can be reached, finds the multiset of lengths that fills a window closest to its capacity; it starts from the
-longest that waits, and is applied as often as the counts of lengths allow. A task ends by cutting what waits to fill its
-last sequences, so at most one sequence of each task is not full. No shuffle: the packing of a task needs its own rows only.
+longest that waits, and is applied as often as the counts of lengths allow. Where no multiset fills a window, a piece is cut to
+fill it, so the pool stays small and at most one sequence of each task is not full. No shuffle: the packing of a task needs its
+own rows only.
 
 Cases: null text counts as empty and has only the end id; repeated rows and repeated doc_ids are packed each; an empty
 table gives no sequence; other columns are not read.
@@ -54,66 +55,61 @@ def closest_fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
 
 
 class Pool:
-    """Pieces by length, in the order they came."""
+    """Pieces (document, start, length, ids, tokens of the document) by length, in the order they came."""
 
     def __init__(self, capacity: int):
-        self.capacity, self.by, self.n = capacity, defaultdict(list), 0
+        self.capacity, self.by, self.counts, self.n = capacity, defaultdict(list), {}, 0
 
     def add(self, piece: tuple) -> None:
         self.by[piece[2]].append(piece)
+        self.counts[piece[2]] = self.counts.get(piece[2], 0) + 1
         self.n += 1
 
-    def counts(self) -> dict[int, int]:
-        return {k: len(v) for k, v in self.by.items() if v}
+    def _take(self, length: int, times: int = 1) -> list[tuple]:
+        self.n -= times
+        self.counts[length] -= times
+        if not self.counts[length]:
+            del self.counts[length]
+        return [self.by[length].pop() for _ in range(times)]
 
     def fill(self, all_of_it: bool):
-        """Full sequences, as lists of pieces; with `all_of_it`, also what is left, cut to fill sequences but the last."""
-        counts, rest = self.counts(), []
-        while counts and (all_of_it or sum(counts.values()) > POOL // 8):
-            used = closest_fill(counts, self.capacity)
-            whole = sum(k * n for k, n in used.items()) == self.capacity
-            for _ in range(min(counts[k] // n for k, n in used.items()) if whole else 1):
-                sequence = [self.by[k].pop() for k, n in used.items() for _ in range(n)]
-                if whole:
-                    yield sequence
-                else:
-                    rest += sequence
-            counts = self.counts()
-            if not whole and not all_of_it:
-                break
-        sequence, room = [], self.capacity
-        for doc, start, length, ids, total in rest if all_of_it else ():
-            width = len(ids) // length
-            while length:
-                n = min(length, room)
-                sequence.append((doc, start, n, ids[: n * width], total))
-                start, length, ids, room = start + n, length - n, ids[n * width :], room - n
-                if not room:
-                    yield sequence
-                    sequence, room = [], self.capacity
-        if sequence:
-            yield sequence
-        for piece in () if all_of_it else rest:
-            self.by[piece[2]].append(piece)
-        self.n = sum(map(len, self.by.values()))
-
-
-def _packer(tokenizer: str, end_id: int, capacity: int):
+        """Full sequences, as lists of pieces, until few are left; with `all_of_it` until none is, the last as it comes.
+
+        Where no multiset of lengths fills a window, the longest piece left is cut to fill it.
+        """
+        while self.counts and (all_of_it or self.n > POOL // 8):
+            used = closest_fill(self.counts, self.capacity)
+            room = self.capacity - sum(k * n for k, n in used.items())
+            for _ in range(1 if room else min(self.counts[k] // n for k, n in used.items())):
+                sequence = [piece for k, n in used.items() for piece in self._take(k, n)]
+                if room and self.counts:
+                    doc, start, length, ids, total = self._take(max(self.counts))[0]
+                    cut = room * (len(ids) // length)
+                    sequence.append((doc, start, room, ids[:cut], total))
+                    self.add((doc, start + room, length - room, ids[cut:], total))
+                yield sequence
+
+
+def _crc(ids: bytes, width: int) -> int:
+    return zlib.crc32(np.frombuffer(ids, f"<u{width}").astype("<u4").tobytes())
+
+
+def _packer(tokenizer: str, end_id: int, capacity: int, digest: bool):
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
         encoder = Encoder.of(tokenizer)
-        width, end = encoder.kind.itemsize, np.array([end_id], encoder.kind).tobytes()
-        pool, sequence_id = Pool(capacity), TaskContext.get().partitionId() << 33
-        schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+        pool, sequence_id, width = Pool(capacity), TaskContext.get().partitionId() << 33, 0
+        ids_field = ("ids_crc32", pa.int64()) if digest else ("ids", pa.binary())
+        schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ids_field, ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
         out: list[list] = [[] for _ in schema]
 
         def put(sequence):
             nonlocal sequence_id
             offset = 0
             for doc, start, length, ids, total in sequence:
-                for column, x in zip(out, (doc, start, length, ids, total, sequence_id, offset)):
+                for column, x in zip(out, (doc, start, length, _crc(ids, width) if digest else ids, total, sequence_id, offset)):
                     column.append(x)
                 offset += length
             sequence_id += 1
@@ -126,18 +122,20 @@ def _packer(tokenizer: str, end_id: int, capacity: int):
 
         for batch in batches:
             docs, (raw, at) = batch.column(0).to_pylist(), shared.buffer_of(batch.column(1))
-            for i, doc in enumerate(docs):
-                ids = encoder.encode(raw[at[i] : at[i + 1]].tobytes()) + end
-                total = len(ids) // width
-                for start in range(0, total, capacity):
-                    n = min(capacity, total - start)
-                    piece = (doc, start, n, ids[start * width : (start + n) * width], total)
-                    put([piece]) if n == capacity else pool.add(piece)
-                if pool.n >= POOL:
-                    for sequence in pool.fill(False):
-                        put(sequence)
-                if len(out[0]) >= 4096:
-                    yield flushed()
+            for first, last in shared.row_blocks(at, 2 << 20):
+                whole, starts = encoder.ended(raw[at[first] : at[last]], at[first : last + 1] - at[first], end_id)
+                width, stream, edges = whole.itemsize, whole.tobytes(), starts.tolist()
+                for doc, begin, end in zip(docs[first:last], edges, edges[1:]):
+                    total = end - begin
+                    for start in range(0, total, capacity):
+                        n = min(capacity, total - start)
+                        piece = (doc, start, n, stream[(begin + start) * width : (begin + start + n) * width], total)
+                        put([piece]) if n == capacity else pool.add(piece)
+                    if pool.n >= POOL:
+                        for sequence in pool.fill(False):
+                            put(sequence)
+                    if len(out[0]) >= 4096:
+                        yield flushed()
         for sequence in pool.fill(True):
             put(sequence)
         yield flushed()
@@ -145,19 +143,17 @@ def _packer(tokenizer: str, end_id: int, capacity: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1024) -> DataFrame:
-    """A row for each piece: doc_id, start (its document's ids before it), length, ids (2 bytes each where the vocabulary allows, else 4), doc_tokens, sequence_id, offset."""
+def _packed(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, digest: bool) -> DataFrame:
     shared.prepare(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), shared.text_bytes().alias("text")).mapInArrow(_packer(tokenizer, end_id, capacity), SCHEMA)
-
+    schema = SCHEMA.replace("ids binary", "ids_crc32 long") if digest else SCHEMA
+    return docs.select(F.col("doc_id").cast("long"), shared.text_bytes().alias("text")).mapInArrow(_packer(tokenizer, end_id, capacity, digest), schema)
 
-def digests(pieces: DataFrame, width: int) -> DataFrame:
-    """The same rows with ids_crc32, of the ids as 4-byte little-endian integers, in place of the ids."""
 
-    @F.arrow_udf("long")
-    def crc(ids):
-        import pyarrow as pa
+def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1024) -> DataFrame:
+    """A row for each piece: doc_id, start (its document's ids before it), length, ids (2 bytes each where the vocabulary and `end_id` allow, else 4), doc_tokens, sequence_id, offset."""
+    return _packed(docs, tokenizer, end_id, capacity, False)
 
-        return pa.array([zlib.crc32(np.frombuffer(x, f"<u{width}").astype("<u4").tobytes()) for x in ids.to_pylist()], pa.int64())
 
-    return pieces.select("doc_id", "start", "length", crc("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+def pack_digests(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1024) -> DataFrame:
+    """The rows of pack() with ids_crc32, of a piece's ids as 4-byte little-endian integers, in place of the ids: one pass in Python."""
+    return _packed(docs, tokenizer, end_id, capacity, True)

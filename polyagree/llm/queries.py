@@ -59,7 +59,7 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.digests(packing.pack(shared.documents(spark, sf_dir), tokenizer_path(), end_id=0, capacity=1024), width=2)
+    return packing.pack_digests(shared.documents(spark, sf_dir), tokenizer_path(), end_id=0, capacity=1024)
 
 
 def op10_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:

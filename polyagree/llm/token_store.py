@@ -86,33 +86,44 @@ def _make(tokenizer: str, end_id: int):
 
         encoder = Encoder.of(tokenizer)
         gear = _gear(max(encoder.tokenizer.get_vocab_size(), end_id + 1))
-        kind = encoder.kind if end_id < 1 << 8 * encoder.kind.itemsize else np.dtype(np.uint32)
-        end = np.array([end_id], encoder.kind).tobytes()
-        schema, row, seen = None, TaskContext.get().partitionId() << 40, set()
+        link = pa.struct([("digest", pa.binary()), ("after", pa.int64())])
+        schema = pa.schema([("kind", pa.string()), ("digest", pa.binary()), ("payload", pa.binary()), ("doc_id", pa.int64()), ("row", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary()), ("chunks", pa.list_(link))])
+        row, seen = TaskContext.get().partitionId() << 40, set()
+
+        def rows(kind, **columns):
+            n = len(columns["digest"])
+            return pa.RecordBatch.from_arrays([pa.array([kind] * n) if f.name == "kind" else columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
         for batch in batches:
-            ids_of, (raw, at) = batch.column(0).to_pylist(), shared.buffer_of(batch.column(1))
-            for first, last in shared.row_blocks(at, 8 << 20):
-                streams = [encoder.encode(raw[at[i] : at[i + 1]].tobytes()) + end for i in range(first, last)]
-                whole = np.frombuffer(b"".join(streams), encoder.kind)
-                starts = np.concatenate([[0], np.cumsum([len(x) // encoder.kind.itemsize for x in streams])])
-                out = {k: [] for k in ("kind", "digest", "payload", "doc_id", "row", "n_tokens", "root", "chunks")}
-                width = encoder.kind.itemsize
-                for k, ends in enumerate(cuts(rolling(whole, gear), starts)):
-                    n, begin, recipe = ends[-1], 0, []
-                    for e in ends:
-                        name = digest(payload := streams[k][begin * width : e * width])
-                        recipe.append({"digest": name, "after": n - e})
-                        begin = e
-                        if name not in seen:
-                            seen.add(name)
-                            for c, x in zip(out, ("chunk", name, payload, None, None, None, None, None)):
-                                out[c].append(x)
-                    root = merkle_root([x["digest"] for x in recipe])
-                    for c, x in zip(out, ("recipe", digest(row.to_bytes(8, "little")), None, ids_of[first + k], row, n, root, recipe)):
-                        out[c].append(x)
-                    row += 1
-                schema = schema or pa.schema([("kind", pa.string()), ("digest", pa.binary()), ("payload", pa.binary()), ("doc_id", pa.int64()), ("row", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary()), ("chunks", pa.list_(pa.struct([("digest", pa.binary()), ("after", pa.int64())])))])
-                yield pa.RecordBatch.from_pydict(out, schema)
+            raw, at = shared.buffer_of(batch.column(1))
+            for first, last in shared.row_blocks(at, 2 << 20):
+                whole, starts = encoder.ended(raw[at[first] : at[last]], at[first : last + 1] - at[first], end_id)
+                n, width, stream = last - first, whole.itemsize, whole.tobytes()
+                ends = cuts(rolling(whole, gear), starts)
+                many = np.array([len(x) for x in ends])
+                inner = np.array([e for x in ends for e in x], np.int64)
+                edges = (inner + np.repeat(starts[:-1], many)) * width
+                names = [digest(stream[a:b]) for a, b in zip([0, *edges[:-1].tolist()], edges.tolist())]
+                of = np.concatenate([[0], np.cumsum(many)]).tolist()
+                fresh = []
+                for k, name in enumerate(names):
+                    if name not in seen:
+                        seen.add(name)
+                        fresh.append(k)
+                begins = np.append(0, edges[:-1])
+                yield rows("chunk", digest=pa.array([names[k] for k in fresh], pa.binary()), payload=pa.array([stream[begins[k] : edges[k]] for k in fresh], pa.binary()))
+                numbers = np.arange(row, row + n)
+                links = pa.StructArray.from_arrays([pa.array(names, pa.binary()), pa.array(np.repeat(np.diff(starts), many) - inner)], fields=list(link))
+                yield rows(
+                    "recipe",
+                    digest=pa.array([digest(int(x).to_bytes(8, "little")) for x in numbers], pa.binary()),
+                    doc_id=batch.column(0).slice(first, n),
+                    row=pa.array(numbers),
+                    n_tokens=pa.array(np.diff(starts)),
+                    root=pa.array([merkle_root(names[i:j]) for i, j in zip(of, of[1:])], pa.binary()),
+                    chunks=pa.ListArray.from_arrays(pa.array(np.array(of, np.int32)), links, type=pa.list_(link)),
+                )
+                row += n
 
     return run
 

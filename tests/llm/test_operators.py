@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from polyagree.llm import langid, licenses, lm, media, mixing, packing, quality_fm, quality_rules, queries, shared, simhash, token_store
+from polyagree.llm import langid, licenses, lm, media, mixing, packing, quality_fm, quality_rules, queries, shared, simhash, token_store, tokenizing
 from polyagree.llm.tokenizing import Encoder
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, key string, label int, fp long, size long"
@@ -72,12 +72,34 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
-def test_encoder_equals_the_library():
+PARTS = [" ", "  ", "\n", "\n\n", " \n", "\t", "\t\t", "a", "Bc", "é", "'s", "'", "'re", "'ll", "l", "e", "don't", "12", "½", "²", "x.", ", ", ". ", ".\n", "...", "\u00a0", "\u3000", "<|endoftext|>", "中文", "ъ", "́", "١", "\r\n", "\x1c", "\x85", " the", "!!", "&&&", "“", "—", "×", "»", "İ", "_", "\x01", "😀", "aaaaaaaaaaaa", "x" * 50]
+
+
+def test_encoder_equals_the_library(monkeypatch):
     encoder, rnd = Encoder(queries.tokenizer_path()), random.Random(1)
-    parts = [" ", "  ", "\n", "\n\n", " \n", "\t", "a", "Bc", "é", "'s", "don't", "12", "½", "x.", ", ", ". ", ".\n", "...", " ", "　", "<|endoftext|>", "中文", "\r\n", "\x1c", "\x85", " the", "!!", "&&&", "×", "»", "İ", "_", "\x01", "😀"]
-    for _ in range(4000):
-        text = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 9)))
-        assert np.frombuffer(encoder.encode(text.encode()), np.uint16).tolist() == tokenizer_.encode(text, add_special_tokens=False).ids, repr(text)
+
+    def same(texts):
+        raw = [t.encode() for t in texts]
+        ids, n = encoder.encode_buffer(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]))
+        for text, got in zip(texts, np.split(ids, np.cumsum(n)[:-1])):
+            assert got.tolist() == tokenizer_.encode(text, add_special_tokens=False).ids, repr(text)
+
+    same(["".join(rnd.choice(PARTS) for _ in range(rnd.randint(0, 9))) for _ in range(20000)])
+    for t in ("plain text, it's only ASCII", "x", "\n a", "tab\tand  two ", "'s 'tis o'll"):
+        same([t])
+    monkeypatch.setattr(tokenizing, "BLOCK", 300)
+    monkeypatch.setattr(tokenizing, "PARTED", 500)
+    same([" ".join(rnd.choice(["the", "reading", "straße", "a", "x.", "»a", "12", "don't", "“q”"]) for _ in range(3000)) for _ in range(5)])
+    monkeypatch.setattr(tokenizing, "REMEMBERED", 50)  # forgets all the time
+    same(["".join(rnd.choice(PARTS) for _ in range(40)) for _ in range(300)])
+
+
+def test_encoder_bears_hashes_that_collide(monkeypatch):
+    encoder, texts = Encoder(queries.tokenizer_path()), ["one two three", "four five", "one five"]
+    monkeypatch.setattr(Encoder, "_hashes", lambda self, raw, starts, ends: (ends - starts).astype(np.uint64))
+    for _ in range(2):
+        for t in texts:
+            assert np.frombuffer(encoder.encode(t.encode()), np.uint16).tolist() == tokenizer_.encode(t, add_special_tokens=False).ids
 
 
 def test_token_store(spark, docs, empty):
@@ -139,7 +161,9 @@ def test_chunks_follow_content():
 
 
 def test_packing(docs, empty):
-    got = packing.digests(packing.pack(docs, queries.tokenizer_path(), 0, 1024), 2).collect()
+    got = packing.pack_digests(docs, queries.tokenizer_path(), 0, 1024).collect()
+    ids = {(r.doc_id, r.start, r.sequence_id, r.offset): bytes(r.ids) for r in packing.pack(docs, queries.tokenizer_path(), 0, 1024).collect()}
+    assert all(zlib.crc32(np.frombuffer(ids[r.doc_id, r.start, r.sequence_id, r.offset], "<u2").astype("<u4").tobytes()) == r.ids_crc32 for r in got)
     by = collections.defaultdict(list)
     for r in got:
         by[r.sequence_id].append(r)
