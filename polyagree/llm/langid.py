@@ -8,7 +8,7 @@ multiplies table and softmax once and adds up a few numbers for each subword; wh
 
 Cases: null text and text without a letter give `und` with score 0; texts with subwords of no learnt language have a score
 below the floor and are rejected by `accepted`; an empty table, or no labelled row, gives `und` for all; repeated rows get
-the same result; only the text is an input of a prediction.
+the same result; only the text is an input of a prediction, and `accepted` returns other columns whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ SIZES, ROWS, WIDTH = (2, 3, 4), 1 << 14, 16
 SAMPLE, HELD = 3000, 0.2
 EPOCHS, RATE, BATCH = 12, 2.0, 16
 UNKNOWN = "und"
-BLOCK = 2 << 20
+BLOCK = 1 << 19
 
 
 def subwords(raw: np.ndarray, offsets: np.ndarray, upto: int | None = None):
@@ -199,5 +199,5 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of `docs` whose language is known with the calibrated confidence; columns stay."""
     shared.prepare(docs.sparkSession)
-    marked = docs.withColumn("__lang", predicted(model, shared.text_bytes()))
-    return marked.where((F.col("__lang.lang_pred") != UNKNOWN) & (F.col("__lang.score") >= model.floor)).select(*docs.columns)
+    marked = docs.select(F.struct("*").alias("document"), predicted(model, shared.text_bytes()).alias("p"))
+    return marked.where((F.col("p.lang_pred") != UNKNOWN) & (F.col("p.score") >= model.floor)).select("document.*")

@@ -40,7 +40,7 @@ POOL_WORDS, POOL_ROWS = 4_000_000, 8192
 def hashed_words(raw: np.ndarray, at: np.ndarray):
     """Hashes of all words of the texts and the number of words of each, a block at a time."""
     hashes, counts = [], []
-    for first, last in shared.row_blocks(at, 4 << 20):
+    for first, last in shared.row_blocks(at, 1 << 20):
         low = shared.lowered(raw[at[first] : at[last]])
         starts, ends, n = shared.word_spans(low, at[first : last + 1] - at[first])
         hashes.append(shared.word_hashes(low, starts, ends))

@@ -7,7 +7,8 @@ length as metadata. Words and statistics are counted over the buffer of a whole
 object for each word. Training runs on the driver, on a bounded sample of labelled rows whose features executors made.
 
 Cases: null text counts as empty and has a score; a label that is null is no label; several labels of a document count
-each; no labelled row gives the score 0.5 to all; repeated rows get equal scores; only the text is an input of a score.
+each; no labelled row gives the score 0.5 to all; repeated rows get equal scores; an empty table gives an empty result; only the
+text is an input of a score, and `accepted` returns other columns whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ WORDS, STATS, RANK = 1 << 12, 14, 6
 SAMPLE = 6000
 EPOCHS, RATE, DECAY, DAMP = 14, 0.02, 1e-4, 20
 THRESHOLD = 0.7
-BLOCK = 2 << 20
+BLOCK = 1 << 19
 FEATURES = WORDS + STATS
 
 _KIND = np.zeros(256, np.int64)  # 1 capital, 2 small, 3 digit, 4 white space, 5 mark of a sentence, 6 symbol, 7 other ASCII, 8 beyond ASCII
@@ -151,9 +152,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
     The sample is drawn from the labels, so what is broadcast is bounded by twice `most`.
     """
     shared.prepare(docs.sparkSession)
-    chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("__label"))
-    chosen = shared.hash_sample(chosen, most, 10, "__id")
-    rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select(shared.text_bytes().alias("text"), "__label")
+    chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("label"))
+    chosen = shared.hash_sample(chosen, most, 10, "id")
+    texts = docs.select("doc_id", shared.text_bytes().alias("text"))
+    rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("text", "label")
     found = rows.mapInArrow(_featured, "features binary, values binary, label int").toPandas()
     examples = sorted(found.itertuples(index=False, name=None), key=lambda x: (x[2], len(x[0]), x[0], x[1]))
     return fit([(np.frombuffer(f, np.int32), np.frombuffer(v, np.float32), y) for f, v, y in examples])
@@ -180,4 +182,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `docs` that score `threshold` or more; columns stay."""
     shared.prepare(docs.sparkSession)
-    return docs.withColumn("__score", scored(model, shared.text_bytes())).where(F.col("__score") >= threshold).select(*docs.columns)
+    marked = docs.select(F.struct("*").alias("document"), scored(model, shared.text_bytes()).alias("score"))
+    return marked.where(F.col("score") >= threshold).select("document.*")

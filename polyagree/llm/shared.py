@@ -27,15 +27,20 @@ def prepare(spark: SparkSession) -> None:
     env.setdefault("OMP_NUM_THREADS", "1")
     env.setdefault("OPENBLAS_NUM_THREADS", "1")
     env.setdefault("TOKENIZERS_PARALLELISM", "false")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")  # memory of large arrays goes back when they do
+    env.setdefault("MALLOC_ARENA_MAX", "1")
+    env.setdefault("MALLOC_MMAP_THRESHOLD_", str(4 << 20))
+    env.setdefault("MALLOC_TRIM_THRESHOLD_", str(32 << 20))
+    for key, value in (("maxRecordsPerBatch", "4000"), ("maxBytesPerBatch", str(8 << 20))):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}", None) in (None, "10000", "67108864b"):  # the defaults; a session's own setting stays
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", value)
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from spark.checkpoint.dir; a temporary one only in local mode where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext._jsc.sc().isLocal():
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="polyagree-")
         spark.conf.set("spark.checkpoint.dir", found)
@@ -59,15 +64,27 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hash_sample(rows: DataFrame, most: int, seed: int, key: str = "doc_id") -> DataFrame:
-    """About `most` rows, those with the least hashes of `key`, and never over twice as many; all rows if they are as few.
+    """About `most` rows, those with the least hashes of `key`, and over twice as many only by repeats of one key; all rows if they are as few.
 
-    A threshold on the hash needs no sort, and sends no more rows the more tasks there are.
+    A threshold on the hash needs no sort, and sends no more rows the more tasks there are. Should more than twice `most` be under
+    it (keys that repeat), the threshold falls to where about `most` are, by a count of the hashes in 4096 bins below it.
     """
     n = rows.count()
     if n <= most:
         return rows
-    share = int((most / n - 0.5) * 2 * (1 << 63)) - 1
-    return rows.where(F.xxhash64(F.lit(seed), key) <= F.lit(share).cast("long")).limit(2 * most)
+    hashed = F.xxhash64(F.lit(seed), key)
+    least, share = -(1 << 63), int((most / n - 0.5) * 2 * (1 << 63)) - 1
+    found = rows.where(hashed <= F.lit(share).cast("long"))
+    if found.count() <= 2 * most:
+        return found
+    width = max(1, (share - least) // 4096)
+    bins = found.groupBy(F.floor((hashed.cast("decimal(20,0)") - F.lit(least).cast("decimal(20,0)")) / width).cast("long").alias("bin")).count().orderBy("bin").collect()  # 4098 rows at most
+    kept, upto = 0, bins[0].bin
+    for b in bins:
+        if kept and kept + b["count"] > 2 * most:
+            break
+        kept, upto = kept + b["count"], b.bin
+    return rows.where(hashed <= F.lit(min(share, least + width * (upto + 1) - 1)).cast("long"))
 
 
 def crc_of_id(col) -> F.Column:

@@ -21,7 +21,7 @@ from . import shared
 #: Where a long text may be parted: before a space between ASCII letters, where a piece begins.
 BETWEEN = re.compile(rb"(?<=[A-Za-z]) (?=[A-Za-z])")
 #: Pieces that a worker remembers, and bytes above which one is not remembered and goes to the library.
-REMEMBERED, LONGEST = 1 << 20, 40
+REMEMBERED, LONGEST = 1 << 19, 40
 #: Bytes of texts that are cut together, and bytes above which a text is parted.
 BLOCK, PARTED = 1 << 20, 2 << 20
 #: Pieces merged at once.
