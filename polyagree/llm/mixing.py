@@ -1,16 +1,18 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling. DataFrame functions only.
 
-Each document has an exponential key, -ln(u) / weight, with u from a hash of its id and the weight its quality; within a
-source, documents are taken in order of the key until the source's budget of words is met. A budget above the source's
-size first takes complete epochs of it; the rest is the fractional selection.
+Each document has an exponential key, -ln(u) / weight, with u from a hash of its id and the weight its quality: what is left
+of 1 by symbols, repeated lines, repeated words and words of an odd length. Within a source, documents are taken in order of
+the key until the source's budget of words is met. A budget above the source's size first takes complete epochs of it; the
+rest is the fractional selection.
 
 No source is sorted. Keys fall into BUCKETS bins, whose word counts by source are summed before they shuffle; a prefix sum
-over bins finds the bin in which the budget ends, and only that bin's documents are put in order. What results is one row
-for each source, so the choice on a document needs its own row and its source's.
+over bins finds the bin in which the budget ends, that bin is parted again in the same way, and only the documents of the
+small bin that is found last are put in order. What results is one row for each source, so the choice on a document needs its
+own row and its source's. Targets are found by windows over one row for each source, and never on the driver.
 
-Sources are rows on the driver, one each. Cases: null text has no words; a null source is one, last; a null doc_id is an id;
-repeated rows count each and share their fate, also at the cut, where a source then exceeds its budget by the repeats of
-one document; empty tables give empty results; other columns stay untouched.
+Cases: null text has no words; a null source is one, last; a null doc_id is an id; repeated rows count each and share their
+fate, also at the cut, where a source then exceeds its budget by the repeats of one document; empty tables give empty results;
+other columns stay untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,18 +21,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
+from .quality_rules import SYMBOLS, let, words_of
 
 WEIGHTS, MOST_EPOCHS, BUCKETS, SEED = (5, 2, 1), 3, 4096, 20
+LEAST_WEIGHT = 0.05
 
 
 def n_words(text: Column) -> Column:
-    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), shared.SPACE_RUN), "")).cast("long")
+    return F.size(words_of(F.coalesce(text, F.lit("")))).cast("long")
 
 
-def quality_weight(text: Column) -> Column:
-    """0.25 to 1: the part of the characters that are not symbols of markup or tables."""
+def size_and_weight(text: Column) -> Column:
+    """Struct of size (words) and weight, LEAST_WEIGHT to 1: the product of the shares of characters that are no symbols, of lines
+    that repeat no earlier one, of the mean of 1 and the share of distinct words, and of 1 for words of 3 to 10 characters on average."""
     text = F.coalesce(text, F.lit(""))
-    return 0.25 + 0.75 * F.length(F.regexp_replace(text, "[#*$%&|<>{}\\\\^~=]", "")) / F.greatest(F.length(text), F.lit(1))
+    part = lambda n, of: n / F.greatest(of, F.lit(1))
+    clean = 1 - part(F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, "")), F.length(text))
+    lines = let(F.split(text, "\n"), lambda x: part(F.size(F.array_distinct(x)), F.size(x)))
+
+    def of(w: Column) -> Column:
+        n = F.size(w)
+        mean = part(F.length(F.array_join(w, "")), n)
+        usual = F.least(F.lit(1.0), mean / 3, 10 / F.greatest(mean, F.lit(1.0)))
+        weight = F.greatest(F.lit(LEAST_WEIGHT), clean * lines * (0.5 + 0.5 * part(F.size(F.array_distinct(w)), n)) * usual)
+        return F.struct(n.cast("long").alias("size"), weight.alias("weight"))
+
+    return let(words_of(text), of)
 
 
 def exponential_key(doc_id: Column, weight: Column, seed: int = SEED) -> Column:
@@ -38,27 +54,41 @@ def exponential_key(doc_id: Column, weight: Column, seed: int = SEED) -> Column:
     return -F.ln(u) / weight
 
 
-def bucket_of(key: Column) -> Column:
-    """Bins that rise with the key, about as full as one another."""
-    return F.least(F.floor((1 - F.exp(-key)) * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
+def bin_of(key: Column, level: int) -> Column:
+    """Bins that rise with the key, about as full as one another; of a further level, within those of the one before."""
+    place = F.least(F.floor((1 - F.exp(-key)) * float(BUCKETS ** (level + 1))), F.lit(BUCKETS ** (level + 1) - 1))
+    return place if level == 0 else place % BUCKETS
+
 
+def targets(sizes: DataFrame, weights=WEIGHTS, most: float = MOST_EPOCHS) -> DataFrame:
+    """`sizes` (source, source_size) with target: all words shared by weight, what is above `most` times a size shared anew among the others.
 
-def targets(sizes: dict[str | None, int], weights=WEIGHTS, most: float = MOST_EPOCHS) -> dict[str | None, float]:
-    """All words shared by weight; what is above `most` times a source's size is shared anew among the others."""
-    names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
-    out, open_, left = {}, names, float(sum(sizes.values()))
-    while open_:
-        unit = left / sum(weight[s] for s in open_)
-        above = [s for s in open_ if unit * weight[s] > most * sizes[s]]
-        if not above:
-            return out | {s: unit * weight[s] for s in open_}
-        for s in above:
-            out[s] = float(most * sizes[s])
-            left -= out[s]
-        full = set(above)
-        open_ = [s for s in open_ if s not in full]
-    return out
+    Sources stand in order of size by weight: those above their limit come first, and each is above it by what the ones before
+    leave. One row a source, so one task does it.
+    """
+    by_name = Window.orderBy(F.col("source").asc_nulls_last())
+    by_room = Window.orderBy(F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last())
+    all_of_it = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = sizes.withColumn("weight", F.get(F.array(*(F.lit(float(w)) for w in weights)), (F.row_number().over(by_name) - 1) % len(weights)))
+    before = F.coalesce(F.sum("source_size").over(by_room.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    weight_left = F.sum("weight").over(by_room.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    rows = rows.withColumn("unit", (F.sum("source_size").over(all_of_it) - most * before) / weight_left)
+    rows = rows.withColumn("full", F.col("unit") * F.col("weight") > most * F.col("source_size"))
+    unit = F.min(F.when(~F.col("full"), F.struct((F.col("source_size") / F.col("weight")).alias("room"), "unit"))).over(all_of_it)["unit"]
+    return rows.select("source", "source_size", F.when(F.col("full"), F.col("source_size") * float(most)).otherwise(unit * F.col("weight")).alias("target"))
+
+
+def _end(binned: DataFrame, budgets: DataFrame) -> DataFrame:
+    """source_, end (bin) and rest: the bin of each source in which its budget ends, and the words of it that are in."""
+    up_to = Window.partitionBy("source_").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = binned.withColumnRenamed("source", "source_").withColumn("upto", F.sum("words").over(up_to))
+    ends = ends.join(budgets, F.col("source_").eqNullSafe(F.col("source")))
+    ends = ends.where((F.col("upto") >= F.col("budget")) & (F.col("upto") - F.col("words") < F.col("budget")))
+    return ends.select("source_", F.col("bin").alias("end"), (F.col("budget") - F.col("upto") + F.col("words")).alias("rest"))
+
+
+def _bins(rows: DataFrame, level: int) -> DataFrame:
+    return rows.groupBy("source", bin_of(F.col("key"), level).alias("bin")).agg(F.sum("size").alias("words"))
 
 
 def plan(sized: DataFrame) -> DataFrame:
@@ -66,37 +96,45 @@ def plan(sized: DataFrame) -> DataFrame:
 
     sized: doc_id, source, size, key.
     """
-    spark = sized.sparkSession
-    binned = sized.groupBy("source", bucket_of(F.col("key")).alias("bucket")).agg(F.sum("size").alias("words"))
-    binned = shared.staged(binned, "bins")
-    sizes = {r.source: r.words for r in binned.groupBy("source").agg(F.sum("words").alias("words")).toLocalIterator()}
-    aims = targets(sizes)
-    rows = []
-    for s, size in sizes.items():
-        epochs = min(int(aims[s] // size), MOST_EPOCHS) if size else 0
-        rows.append((s, size, aims[s], epochs, min(round(aims[s] - epochs * size), size) if epochs < MOST_EPOCHS else 0))
-    table = spark.createDataFrame(rows, "source string, source_size long, target double, epochs int, budget long")
-    up_to = Window.partitionBy("source_").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = binned.withColumnRenamed("source", "source_").withColumn("upto", F.sum("words").over(up_to))
-    ends = ends.join(table, F.col("source_").eqNullSafe(F.col("source"))).where((F.col("upto") >= F.col("budget")) & (F.col("upto") - F.col("words") < F.col("budget")))
-    ends = ends.select(F.col("source").alias("source_"), F.col("bucket").alias("end_bucket"), (F.col("budget") - F.col("upto") + F.col("words")).alias("rest"))
-    last = sized.join(ends, F.col("source").eqNullSafe(F.col("source_")) & (bucket_of(F.col("key")) == F.col("end_bucket"))).where("size > 0")
-    in_order = Window.partitionBy("source_").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = last.withColumn("upto", F.sum("size").over(in_order)).where((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("size") < F.col("rest")))
-    last = last.select("source_", F.col("key").alias("cut_key"), F.col("doc_id").alias("cut_id"), (F.col("rest") - F.col("upto") + F.col("size")).alias("cut_words"))
-    return shared.staged(table.join(last, F.col("source").eqNullSafe(F.col("source_")), "left").drop("source_"), "plan")
+    binned = shared.staged(_bins(sized, 0), "bins")
+    table = targets(binned.groupBy("source").agg(F.sum("words").alias("source_size")))
+    epochs = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(MOST_EPOCHS))).otherwise(0).cast("int")
+    table = table.withColumn("epochs", epochs)
+    rest = F.least(F.rint(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"), "source_size")
+    table = shared.staged(table.withColumn("budget", F.when(F.col("epochs") < MOST_EPOCHS, rest).otherwise(F.lit(0).cast("long"))), "targets")
+    inside, budgets = sized.where("size > 0"), table.select("source", "budget")
+    for level in (0, 1):
+        ends = _end(binned, budgets)
+        here = (F.col("source").eqNullSafe(F.col("source_"))) & (bin_of(F.col("key"), level) == F.col("end"))
+        inside = shared.staged(inside.join(ends, here).drop("source_", "end", "rest"), "end-bins")
+        budgets = shared.staged(ends.select(F.col("source_").alias("source"), F.col("rest").alias("budget")), "budgets")
+        binned = _bins(inside, 1)
+    in_order = Window.partitionBy("source").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = inside.withColumn("upto", F.sum("size").over(in_order)).join(budgets.withColumnRenamed("source", "source_"), F.col("source").eqNullSafe(F.col("source_")))
+    last = last.where((F.col("upto") >= F.col("budget")) & (F.col("upto") - F.col("size") < F.col("budget")))
+    last = last.select("source_", F.col("key").alias("cut_key"), F.col("doc_id").alias("cut_id"), (F.col("budget") - F.col("upto") + F.col("size")).alias("cut_words"))
+    return shared.staged(table.drop("budget").join(last, F.col("source").eqNullSafe(F.col("source_")), "left").drop("source_"), "plan")
+
+
+def before_cut(doc_id: Column, key: Column) -> Column:
+    """Whether a document comes before the one at which its source's selection ends."""
+    return F.coalesce((key < F.col("cut_key")) | ((key == F.col("cut_key")) & ~doc_id.eqNullSafe(F.col("cut_id")) & (doc_id < F.col("cut_id"))), F.lit(False))
+
+
+def at_cut(doc_id: Column, key: Column) -> Column:
+    return F.coalesce((key == F.col("cut_key")) & doc_id.eqNullSafe(F.col("cut_id")), F.lit(False))
 
 
 def taken(doc_id: Column, size: Column, key: Column) -> Column:
     """Words the mix takes of a document, repeats counted, beside its source's columns of plan()."""
-    same = doc_id.eqNullSafe(F.col("cut_id"))
-    before = (key < F.col("cut_key")) | ((key == F.col("cut_key")) & ~same & (doc_id < F.col("cut_id")))
-    part = F.when(F.coalesce(before, F.lit(False)), size).when((key == F.col("cut_key")) & same, F.col("cut_words")).otherwise(0)
+    part = F.when(before_cut(doc_id, key), size).when(at_cut(doc_id, key), F.col("cut_words")).otherwise(0)
     return (F.col("epochs") * size + part).cast("long")
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.col("source"), n_words(F.col("text")).alias("size"), exponential_key(F.col("doc_id").cast("long"), quality_weight(F.col("text"))).alias("key"))
+def sized(docs: DataFrame, *others: Column) -> DataFrame:
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("source"), size_and_weight(F.col("text")).alias("w"), *others)
+    names = [c for c in rows.columns if c not in ("doc_id", "source", "w")]
+    return rows.select("doc_id", "source", "w.size", exponential_key(F.col("doc_id"), F.col("w.weight")).alias("key"), *names)
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -109,12 +147,9 @@ def mix(docs: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The rows of `docs` in the mix, each as often as it is taken, the last time in part; the columns stay."""
-    chosen = plan(shared.staged(sized(docs), "sized")).withColumnRenamed("source", "__source")
-    chosen = chosen.select([F.col(c).alias(c if c.startswith("__") else f"__{c}") for c in chosen.columns])
-    names = {"doc_id": F.col("doc_id").cast("long"), "size": n_words(F.col("text"))}
-    rows = docs.withColumns({"__size": names["size"], "__key": exponential_key(names["doc_id"], quality_weight(F.col("text")))})
-    joined = rows.join(chosen, F.col("source").eqNullSafe(F.col("__source")))
-    same = F.col("__cut_id").eqNullSafe(names["doc_id"])
-    before = (F.col("__key") < F.col("__cut_key")) | ((F.col("__key") == F.col("__cut_key")) & (same | (names["doc_id"] < F.col("__cut_id"))))
-    times = F.when(F.col("__size") > 0, F.col("__epochs") + F.coalesce(before, F.lit(False)).cast("int")).otherwise(0)
-    return joined.withColumn("__times", times).where("__times > 0").withColumn("__one", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    chosen = plan(shared.staged(sized(docs), "sized")).withColumnRenamed("source", "source_")
+    rows = sized(docs, F.struct("*").alias("document"))
+    joined = rows.join(chosen, F.col("source").eqNullSafe(F.col("source_")))
+    last = before_cut(F.col("doc_id"), F.col("key")) | at_cut(F.col("doc_id"), F.col("key"))
+    times = F.when(F.col("size") > 0, F.col("epochs") + last.cast("int")).otherwise(0)
+    return joined.select("document", times.alias("times")).where("times > 0").select("document", F.explode(F.sequence(F.lit(1), F.col("times")))).select("document.*")

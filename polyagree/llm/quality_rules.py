@@ -20,6 +20,8 @@ from . import shared
 
 WINDOW = 5
 LEAST_WORDS, MOST_REPEATED = 10, 20
+#: Characters of markup and tables.
+SYMBOLS = "[#*$%&|<>]"
 #: The shrunk rate of failures above which a host fails.
 WORST = 0.5
 
@@ -62,7 +64,7 @@ def document_rules(docs: DataFrame, host: str = "source") -> DataFrame:
         "host",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.concat_ws("", "words")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.regexp_replace("text", "[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
+        (F.length("text") - F.length(F.regexp_replace("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words")).cast("long").alias("n_repeat_words"),
     )

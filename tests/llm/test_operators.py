@@ -268,6 +268,46 @@ def test_each_group_keeps_one_row_whatever_its_ids(spark):
     assert collections.Counter((r.doc_id, r.text or "") for r in kept) == collections.Counter([(None, a), (1, b), (2, c), (2, d), (None, ""), (0, e + " z")])
 
 
+def test_a_large_group_of_copies_loses_no_link(spark):
+    """Copies of a short text with none to eight words changed: components equal those of all pairs alike to 0.8, and few pairs are made."""
+    rnd = random.Random(21)
+    words = [a + b for a in "abcdefghijklmnop" for b in "qrstuvwxyz"]
+    rows, bases = [], [[rnd.choice(words) + rnd.choice(words) for _ in range(n)] for n in (70, 150)]
+    for base in bases:
+        for _ in range(150):
+            copy = list(base)
+            for at in rnd.sample(range(len(copy)), rnd.randint(0, 8)):
+                copy[at] = rnd.choice(words) + rnd.choice(words)
+            rows.append((len(rows), " ".join(copy)))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for _, t in rows for w in [t.split()]]
+    label = list(range(len(rows)))
+    near = [[j for j, b in enumerate(sets) if 9 * len(a & b) >= 4 * (len(a) + len(b))] for a in sets]
+    while (after := [min(label[j] for j in near[i]) for i in range(len(rows))]) != label:
+        label = after
+    found = simhash.similar_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert {r.doc_id: r.component_id for r in found} == dict(enumerate(label))
+
+
+def test_names_of_other_columns_do_not_matter(spark, docs):
+    names = ["document", "p", "score", "id", "hash", "kept_id", "key", "size", "times", "label", "source_", "epochs", "__score", "__lang", "__hash", "text_hash", "w"]
+    rows = docs.where("doc_id < 40").select("doc_id", "text", "lang", "source", *(F.lit(i).alias(n) for i, n in enumerate(names)))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int").withColumn("text", F.lit("x"))
+    want = set(rows.columns)
+    for out in (quality_fm.accepted(rows, quality_fm.train(rows, labels), 0.0), langid.accepted(rows, langid.train(rows)), simhash.keep_one(rows), mixing.mixed_documents(rows)):
+        got = out.collect()
+        assert set(out.columns) == want and got and all(r[n] == i for r in got for i, n in enumerate(names))
+    for out in (mixing.mix(rows), simhash.near_duplicates(rows), quality_rules.judge(rows), licenses.scan(rows), media.store(rows)):
+        assert out.count() == rows.count()
+
+
+def test_hash_sample_is_bounded_and_reruns_agree(spark):
+    ids = spark.range(20000).select((F.col("id") % 3000).alias("doc_id"))
+    one, two = (sorted(r.doc_id for r in shared.hash_sample(ids.repartition(n), 1000, 6).collect()) for n in (3, 7))
+    assert one == two and 500 < len(one) <= 2000
+    hot = spark.range(5000).select(F.when(F.col("id") < 3000, 7).otherwise(F.col("id")).alias("doc_id"))
+    assert len({tuple(sorted(r.doc_id for r in shared.hash_sample(hot.repartition(n), 100, 6).collect())) for n in (2, 5)}) == 1
+
+
 def test_linked_fingerprints_share_a_variant(spark):
     rnd, rows = random.Random(5), []
     for i in range(300):
@@ -319,10 +359,54 @@ def test_mixing(docs, empty):
     assert rows.columns == docs.columns and rows.count() == sum(-(-r.taken // r["size"]) for r in got if r["size"])
 
 
-def test_targets():
-    assert mixing.targets({"a": 100, "b": 100, None: 100}) == pytest.approx({"a": 187.5, "b": 75.0, None: 37.5})
-    capped = mixing.targets({"a": 1, "b": 99, "c": 100})
-    assert capped["a"] == 3 and sum(capped.values()) == pytest.approx(200)
+def brute_targets(sizes, weights=(5, 2, 1), most=3):
+    names = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)
+    weight, left, full = {s: weights[i % 3] for i, s in enumerate(names)}, float(sum(sizes.values())), {}
+    while True:
+        rest = [s for s in names if s not in full]
+        share = {s: (left - sum(full.values())) * weight[s] / sum(weight[x] for x in rest) for s in rest}
+        above = [s for s in rest if share[s] > most * sizes[s]]
+        if not above:
+            return full | share
+        full |= {s: float(most * sizes[s]) for s in above}
+
+
+@pytest.mark.parametrize("sizes", [{"a": 100, "b": 100, None: 100}, {"a": 1, "b": 99, "c": 100}, {"a": 0, "b": 5}, {"é": 1, "z": 2, "A": 3, "a": 400, None: 7}, {"a": 0}, {f"s{i}": i * i for i in range(9)}])
+def test_targets(spark, sizes):
+    rows = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    assert {r.source: r.target for r in mixing.targets(rows).collect()} == pytest.approx(brute_targets(sizes))
+
+
+def brute_weight(text):
+    words, lines = WORD.findall(text or ""), (text or "").split("\n")
+    clean = 1 - sum(c in "#*$%&|<>" for c in text or "") / max(1, len(text or ""))
+    mean = sum(map(len, words)) / max(1, len(words))
+    return max(0.05, clean * len(set(lines)) / len(lines) * (0.5 + 0.5 * len(set(words)) / max(1, len(words))) * min(1, mean / 3, 10 / max(mean, 1)))
+
+
+def test_mixing_equals_a_sort_by_key(spark, docs):
+    """The key of each row, its source's target, and what is taken, from a plain sort of each source."""
+    rnd = random.Random(11)
+    rows = [(i, " ".join(rnd.choice(["one", "two", "three", "#", "four"]) for _ in range(rnd.randint(0, 30))), rnd.choice("aaaaabbc") if i % 50 else None) for i in range(3000)]
+    rows += [rows[0], rows[1], (None, "no id", "a"), (5000, None, "b")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mix(frame).collect()
+    u = {r.doc_id: ((r.h % (1 << 64) >> 11) + 0.5) / (1 << 53) for r in frame.select("doc_id", F.xxhash64(F.lit(mixing.SEED), "doc_id").alias("h")).collect()}
+    want_key = collections.Counter((d, round(-math.log(u[d]) / brute_weight(t), 6)) for d, t, _ in rows)
+    assert collections.Counter((r.doc_id, round(r.key, 6)) for r in got) == want_key
+    sizes = collections.Counter()
+    for r in got:
+        sizes[r.source] += r["size"]
+    aims = brute_targets(sizes)
+    for source in sizes:
+        own = sorted((r for r in got if r.source == source and r["size"]), key=lambda r: (r.key, r.doc_id is not None, r.doc_id or 0))
+        epochs = min(int(aims[source] // sizes[source]), 3)
+        left = min(round(aims[source] - epochs * sizes[source]), sizes[source]) if epochs < 3 else 0
+        for i, r in enumerate(own):
+            n = min(r["size"], left)
+            twin = i and own[i - 1].doc_id == r.doc_id
+            left -= n
+            assert r.target == pytest.approx(aims[source]) and (r.taken == epochs * r["size"] + n or twin), (source, r)
 
 
 def test_langid(docs, empty):
