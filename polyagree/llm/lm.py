@@ -32,7 +32,7 @@ HIDDEN, INPUTS, STREAMS, WINDOW = 16, 2048, 64, 32
 #: Texts that the network starts with, about, those of the least hashes of their ids; passes over them; and the words after which no text is added.
 SAMPLE, EPOCHS, RATE, SAMPLE_WORDS = 1500, 3, 0.01, 1_200_000
 #: In the pass over all texts: lanes of a stream, its words, the first rate, and weights in a row of those that are averaged.
-LANES, STREAM_WORDS, PASS_RATE, BLOCK = 256, 1 << 20, 0.004, 2048
+LANES, STREAM_WORDS, PASS_RATE, BLOCK = 512, 1 << 20, 0.006, 2048
 #: Words of the texts that are scored together.
 POOL_WORDS, POOL_ROWS = 4_000_000, 8192
 
@@ -95,7 +95,19 @@ class Table:
 
 
 def _sigmoid(x):
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    x = np.tanh(0.5 * x)
+    x *= 0.5
+    x += 0.5
+    return x
+
+
+def _softmax(h: np.ndarray, w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials and their sums, one row a state. Biases are at most zero and states within one, so nothing overflows below 60."""
+    z = h @ w
+    z += b
+    np.minimum(z, 60, out=z)
+    np.exp(z, out=z)
+    return z, z @ np.ones(z.shape[1], z.dtype)
 
 
 class Network:
@@ -111,8 +123,8 @@ class Network:
         words = np.zeros(DYNAMIC)
         words[: min(DYNAMIC, len(table.counts))] = table.counts[:DYNAMIC]
         self.p = {
-            "x": f(INPUTS + c, 3 * HIDDEN), "u": f(HIDDEN, 3 * HIDDEN), "wc": f(HIDDEN, c), "bc": np.log(seen + 0.01).astype(np.float32),
-            "wd": f(DYNAMIC // IN_CLASS, HIDDEN, IN_CLASS), "bd": np.where(words > 0, np.log(words + 0.01), -30).reshape(-1, IN_CLASS).astype(np.float32),
+            "x": f(INPUTS + c, 3 * HIDDEN), "u": f(HIDDEN, 3 * HIDDEN), "wc": f(HIDDEN, c), "bc": np.log((seen + 0.01) / (seen.max() + 0.01)).astype(np.float32),
+            "wd": f(DYNAMIC // IN_CLASS, HIDDEN, IN_CLASS), "bd": np.where(words > 0, np.log((words + 0.01) / (words.max() + 0.01)), -30).reshape(-1, IN_CLASS).astype(np.float32),
         }
 
     def step(self, h: np.ndarray, rows: np.ndarray):
@@ -124,37 +136,31 @@ class Network:
 
     def loss(self, table: Table, h: np.ndarray, ids: np.ndarray, back: dict | None = None):
         """Natural log probabilities of words (the class alone for static ones, plus their share) after states; with `back`, also what flows back."""
-        c = table.of[ids]
-        z = h @ self.p["wc"] + self.p["bc"]
-        top = z.max(axis=1, keepdims=True)
-        e = np.exp(z - top)
-        total = e.sum(axis=1, keepdims=True)
-        every = np.arange(len(ids))
-        out = z[every, c] - top[:, 0] - np.log(total[:, 0]) + table.inside[ids]
+        c, every = table.of[ids], np.arange(len(ids))
+        e, total = _softmax(h, self.p["wc"], self.p["bc"])
+        out = np.log(e[every, c] / total).astype(np.float64) + table.inside[ids]
         if back is not None:
-            d = e / total
-            d[every, c] -= 1
-            back["wc"] += h.T @ d
-            back["bc"] += d.sum(axis=0)
-            flow = d @ self.p["wc"].T
+            e /= total[:, None]
+            e[every, c] -= 1
+            back["wc"] += h.T @ e
+            back["bc"] += np.ones(len(e), e.dtype) @ e
+            flow = e @ self.p["wc"].T
         some = np.flatnonzero(ids < min(DYNAMIC, len(table.hashes)))
-        some = some[np.argsort(c[some], kind="stable")]
-        edges = np.searchsorted(c[some], np.arange(DYNAMIC // IN_CLASS + 1))
+        kind = c[some].astype(np.int16)
+        some = some[np.argsort(kind, kind="stable")]
+        edges = np.concatenate([[0], np.cumsum(np.bincount(kind, minlength=DYNAMIC // IN_CLASS))])
         for k in range(DYNAMIC // IN_CLASS):
             own = some[edges[k] : edges[k + 1]]
             if len(own):
-                hk, word = h[own], ids[own] % IN_CLASS
-                z = hk @ self.p["wd"][k] + self.p["bd"][k]
-                top = z.max(axis=1, keepdims=True)
-                e = np.exp(z - top)
-                total = e.sum(axis=1, keepdims=True)
-                out[own] += z[np.arange(len(own)), word] - top[:, 0] - np.log(total[:, 0])
+                hk, word, each = h[own], ids[own] % IN_CLASS, np.arange(len(own))
+                e, total = _softmax(hk, self.p["wd"][k], self.p["bd"][k])
+                out[own] += np.log(e[each, word] / total)
                 if back is not None:
-                    d = e / total
-                    d[np.arange(len(own)), word] -= 1
-                    back["wd"][k] += hk.T @ d
-                    back["bd"][k] += d.sum(axis=0)
-                    flow[own] += d @ self.p["wd"][k].T
+                    e /= total[:, None]
+                    e[each, word] -= 1
+                    back["wd"][k] += hk.T @ e
+                    back["bd"][k] += np.ones(len(e), e.dtype) @ e
+                    flow[own] += e @ self.p["wd"][k].T
         return out if back is None else (out, flow)
 
     def score(self, table: Table, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -219,16 +225,19 @@ class Learner:
         _, flow = network.loss(table, np.concatenate(states), ids.ravel(), back)
         flow = flow.reshape(*ids.shape, HIDDEN)
         dh, grads = np.zeros_like(h), np.empty((*ids.shape, 3 * HIDDEN), np.float32)
+        inner, turned = np.empty((len(h), 3 * HIDDEN), np.float32), np.ascontiguousarray(network.p["u"].T)
         for t in range(len(ids) - 1, -1, -1):
-            dh = dh * on[t]
+            dh *= on[t]
             before, (z, r, n, a) = states[t], kept[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (before - n) * z * (1 - z)
-            dr = dn * a * r * (1 - r)
-            inner = np.concatenate([dz, dr, dn * r], axis=1)
+            rest = 1 - z
+            dn = dh * rest
+            dn *= 1 - n * n
+            inner[:, :HIDDEN] = dh * (before - n) * z * rest
+            inner[:, HIDDEN : 2 * HIDDEN] = dn * a * r * (1 - r)
+            inner[:, 2 * HIDDEN :] = dn * r
             grads[t, :, : 2 * HIDDEN], grads[t, :, 2 * HIDDEN :] = inner[:, : 2 * HIDDEN], dn
             back["u"] += before.T @ inner
-            dh = dh * z + inner @ network.p["u"].T + flow[t]
+            dh = dh * z + inner @ turned + flow[t]
         rows, grads = inputs.ravel(), grads.reshape(-1, 3 * HIDDEN)
         order = np.argsort(rows, kind="stable")
         starts = np.flatnonzero(np.diff(rows[order], prepend=-1))
