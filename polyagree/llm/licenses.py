@@ -2,8 +2,10 @@
 
 All rolling k-word hashes of a text are joined to the positions of licence templates. A match at word p of the text and
 word t of a template votes for the diagonal p - t: the place where the template would begin. Votes are counted by diagonal;
-diagonals that lie near one another are merged, as a word more or less in the text moves the rest to a neighbour; a merged
-span is a hit if its matches cover enough of the template's words and it is not much longer than the template.
+diagonals that lie near one another are merged, as a word more or less in the text moves the rest to a neighbour. A merged
+span is verified by alignment: its matches are runs of equal words in the order of the text, and what lies between runs, before
+the first and after the last counts as edits; a hit has one edit for each EDIT_WORDS words of the template at most, so a
+short notice must stand word for word. Of hits of which one lies within another, the outer one counts.
 
 Base phrases are found as they stand, whatever the templates say.
 
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .quality_rules import let
 
-K, NEAR, LEAST_COVER, MOST_STRETCH = 4, 3, 0.7, 1.5
+K, NEAR, EDIT_WORDS = 4, 3, 12
 
 # Base phrases with their labels, and notices of public licences with the labels they give.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -43,6 +45,13 @@ TEMPLATES = {
     "cc-by-nc": ["licensed under cc by nc 4 0", "licensed under a creative commons attribution noncommercial 4 0 international license"],
     "cc-by": ["licensed under a creative commons attribution 4 0 international license"],
     "cc-by-sa": ["licensed under a creative commons attribution sharealike 4 0 international license"],
+    "mit-text": [
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
+    ],
+    "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"],
+    "zlib": ["permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"],
+    "unlicense": ["this is free and unencumbered software released into the public domain"],
     "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
     "mpl-2.0": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
     "all-rights-reserved": ["no part of this publication may be reproduced distributed or transmitted in any form or by any means"],
@@ -95,22 +104,40 @@ def template_positions(spark, templates: dict[str, list[str]], k: int) -> DataFr
     return table.select("template", "label", F.size("words").alias("n_template"), F.posexplode(grams(F.col("words"), k)).alias("at", "gram"))
 
 
+def _aligned(matches: Column, size: Column, k: int) -> Column:
+    """Struct of first, last (words of the text) and edits, from matches (place, at) in the order of the text."""
+    start = F.struct(F.lit(-1).alias("first"), F.lit(-1).alias("place"), F.lit(-1).alias("at"), F.lit(0).alias("edits"))
+
+    def step(a: Column, x: Column) -> Column:
+        text, template = x["place"] - a["place"] - 1, x["at"] - a["at"] - 1  # words between; negative where runs overlap
+        between = F.greatest(text, template, F.abs(text - template), F.lit(0))
+        return F.struct(
+            F.when(a["first"] < 0, x["place"]).otherwise(a["first"]).alias("first"),
+            (x["place"] + (k - 1)).alias("place"),
+            F.greatest(a["at"], x["at"] + (k - 1)).alias("at"),
+            (a["edits"] + F.when(a["first"] < 0, x["at"]).otherwise(between)).alias("edits"),
+        )
+
+    return F.aggregate(matches, start, step, lambda a: F.struct(a["first"].alias("first"), a["place"].alias("last"), (a["edits"] + size - 1 - a["at"]).alias("edits")))
+
+
 def hits(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, k: int = K) -> DataFrame:
-    """doc_id, text_hash, label, template, first, last (words of the text), cover: the verified spans."""
+    """doc_id, text_hash, label, template, first, last (words of the text), cover (1 less edits by words): the verified spans."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_hash"), words_of(text).alias("words"))
     rows = rows.select("doc_id", "text_hash", F.posexplode(grams(F.col("words"), k)).alias("place", "gram"))
     votes = rows.join(F.broadcast(template_positions(docs.sparkSession, templates, k)), "gram")  # as small as the templates
     key = ["doc_id", "text_hash", "label", "template", "n_template"]
-    diagonals = votes.groupBy(*key, (F.col("place") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("ats"), F.min("place").alias("first"), F.max("place").alias("last"))
+    diagonals = votes.groupBy(*key, (F.col("place") - F.col("at")).alias("diagonal")).agg(F.collect_set(F.struct("place", "at")).alias("matches"))
     along = Window.partitionBy("doc_id", "text_hash", "template").orderBy("diagonal")
     new = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > NEAR, F.lit(True))
     merged = diagonals.withColumn("new", new.cast("int")).withColumn("span", F.sum("new").over(along))
-    merged = merged.groupBy(*key, "span").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("ats"), F.min("first").alias("first"), (F.max("last") + (k - 1)).alias("last"))
-    covered = F.aggregate("ats", F.struct(F.lit(-k).alias("at"), F.lit(0).alias("n")), lambda a, x: F.struct(x.alias("at"), (a["n"] + F.least(F.lit(k), x - a["at"])).alias("n")), lambda a: a["n"])
-    spans = merged.withColumn("cover", covered / F.col("n_template"))
-    long = F.col("last") - F.col("first") + 1 > MOST_STRETCH * F.col("n_template") + NEAR
-    return spans.where((F.col("cover") >= LEAST_COVER) & ~long).select("doc_id", "text_hash", "label", "template", "first", "last", "cover")
+    merged = merged.groupBy(*key, "span").agg(F.array_sort(F.flatten(F.collect_list("matches"))).alias("matches"))
+    spans = merged.select(*key, _aligned(F.col("matches"), F.col("n_template"), k).alias("s")).select(*key, "s.*")
+    spans = spans.where(F.col("edits") * EDIT_WORDS <= F.col("n_template"))
+    outer = Window.partitionBy("doc_id", "text_hash").orderBy("first", F.desc("last"), "edits", "label", "template").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("upto", F.max("last").over(outer)).where(F.coalesce(F.col("upto") < F.col("last"), F.lit(True)))
+    return spans.select("doc_id", "text_hash", "label", "template", "first", "last", (1 - F.col("edits") / F.col("n_template")).alias("cover"))
 
 
 def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:

@@ -586,6 +586,42 @@ def test_licenses_bear_small_changes(spark):
     assert got == {1: "mit-notice", 2: "", 3: ""}
 
 
+def test_each_template_gives_its_own_label_only(spark):
+    texts = [(label, t) for label, ts in licenses.TEMPLATES.items() for t in ts]
+    rows = [(i, "Some words before. " + t.capitalize() + ", and after.") for i, (_, t) in enumerate(texts)]
+    rows += [(100, "licensed under the mit license"), (101, "licensed under a creative commons attribution noderivatives 4 0 international license"), (102, "the mit license"), (103, None)]
+    got = {r.doc_id: sorted({x.label for x in r.spans or []}) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (label, t) in enumerate(texts):
+        assert got[i] == [label]
+    assert got[100] == got[101] == got[102] == got[103] == []
+
+
+def word_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def test_licence_spans_equal_word_edits(spark):
+    """Templates with words changed, dropped and added, five words or more apart: a hit where the edit distance allows it, with its cover."""
+    rnd, rows, want = random.Random(17), [], {}
+    pool = [(f"{label}/{i}", t.split()) for label, ts in licenses.TEMPLATES.items() if label != "mit-notice" for i, t in enumerate(ts)]
+    for n in range(200):
+        name, words = rnd.choice(pool)
+        changed, places = list(words), list(range(4, len(words) - 4, 6))
+        for at in sorted(rnd.sample(places, rnd.randint(0, min(4, len(places)))), reverse=True):
+            changed[at : at + 1] = rnd.choice([[], ["zzz"], [changed[at], "zzz"]])
+        edits = word_edits(words, changed)
+        if edits * licenses.EDIT_WORDS <= len(words):
+            want[n] = (name, round(1 - edits / len(words), 9), 3, 2 + len(changed))
+        rows.append((n, "x y z " + " ".join(changed) + " end"))
+    got = {r.doc_id: (r.template, round(r.cover, 9), r["first"], r["last"]) for r in licenses.hits(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and 50 < len(want) < 180
+
+
 def test_quality_fm(spark, docs, empty):
     labels = spark.createDataFrame([(r[0], 0 if r[1] and ("#" in r[1] or r[0] % 3 == 1) else 1) for r in ROWS[:101]] + [(None, 1), (5, None)], "doc_id long, quality int")
     model = quality_fm.train(docs, labels)
