@@ -5,15 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from polyagree.functions import fixed as V
+
 EDGE_SPACE = "(?U)^\\s+|\\s+$"
-#: Scripts told apart, as Java names them.
-SCRIPTS = ["Latin", "Greek", "Cyrillic", "Armenian", "Hebrew", "Arabic", "Devanagari", "Bengali", "Tamil", "Telugu", "Thai", "Georgian", "Hangul", "Ethiopic", "Khmer", "Hiragana", "Katakana", "Han"]
-CJK = {"Hiragana", "Katakana", "Han"}
+#: Where scripts are compared, Han and the Japanese ones are one.
+MERGED = {"CJK": ["CJK", "Japanese"], **{k: [k] for k in V.SCRIPTS if k not in ("CJK", "Japanese")}}
+
+
+def let(value: Column, body) -> Column:
+    """`body` of `value`, which is computed once however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def any_of(patterns) -> str:
+    """One pattern, in any case and with Unicode's letters, of several."""
+    return "(?iU)" + "|".join(f"(?:{p})" for p in ([patterns] if isinstance(patterns, str) else patterns))
 
-# Phrases of placeholder answers, and stems of rationales that say nothing.
-PLACEHOLDERS = r"(?i)\b(not available|no translation|no direct (translation|equivalent)|unknown|untranslatable|cannot (be )?translate[d]?|n/a|placeholder)\b"
-EMPTY_RATIONALES = ["no rationale provided", "no rationale", "none", "n/a", "not provided"]
-ERROR_KINDS = {"timeout": ["timeout", "timed out"], "quota": ["quota", "rate limit", "429"], "parse": ["json", "parse", "decode"], "refusal": ["refus", "cannot", "unable"], "unsupported": ["unsupported", "not supported"]}
+
+def says(x: Column, patterns) -> Column:
+    """Whether a text holds one of the patterns; a null one does not."""
+    return F.coalesce(x.rlike(any_of(patterns)), F.lit(False))
 
 
 def present(x: Column) -> Column:
@@ -47,8 +58,8 @@ def ascii_normalised(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), "[^\\w\\s]", ""), "\\s+", " "))
 
 
-def folded(x: Column, form: str = "NFKD") -> Column:
-    """Unicode normalisation; NFKD also drops combining marks. Arrow, as Spark has no such function."""
+def normal(x: Column, form: str = "NFKD", casefold: bool = False) -> Column:
+    """Unicode normalisation of lower-cased text; NFKD also drops combining marks. Arrow, as Spark has no such function."""
 
     @F.arrow_udf("string")
     def of(texts):
@@ -59,12 +70,18 @@ def folded(x: Column, form: str = "NFKD") -> Column:
         def one(t):
             if t is None:
                 return ""
-            t = unicodedata.normalize(form, t.lower() if form == "NFKD" else t)
-            return "".join(c for c in t if not unicodedata.combining(c)) if form == "NFKD" else t.casefold()
+            t = unicodedata.normalize(form, t.casefold() if casefold else t.lower())
+            return "".join(c for c in t if not unicodedata.combining(c)) if form == "NFKD" else t
 
         return pa.array([one(t) for t in texts.to_pylist()], pa.string())
 
-    return F.trim(F.regexp_replace(F.regexp_replace(of(x), "(?U)[^\\w\\s]", ""), "(?U)\\s+", " "))
+    return of(x)
+
+
+def folded(x: Column) -> Column:
+    """Lower case, no marks of letters, nothing but words and single spaces. Text that is ASCII does not leave the JVM."""
+    plain = F.when(x.rlike("[^\\x00-\\x7F]"), normal(x)).otherwise(F.lower(F.coalesce(x, F.lit(""))))
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, "(?U)[^\\w\\s]", ""), "(?U)\\s+", " "))
 
 
 def unescaped(x: Column) -> Column:
@@ -88,11 +105,93 @@ def opening(x: Column, n: int = 8) -> Column:
 
 
 def is_placeholder(x: Column) -> Column:
-    return F.coalesce(x.rlike(PLACEHOLDERS), F.lit(False))
+    return says(x, V.PLACEHOLDER_TERMS)
 
 
 def is_empty_rationale(x: Column) -> Column:
-    return ~present(x) | F.lower(F.rtrim(F.lit("."), F.trim(x))).isin(*EMPTY_RATIONALES)
+    return ~present(x) | F.lower(F.rtrim(F.lit("."), stripped(x))).isin(*V.EMPTY_RATIONALES)
+
+
+def is_refusal(x: Column) -> Column:
+    return says(x, V.REFUSAL)
+
+
+def is_transliteration(x: Column) -> Column:
+    return says(x, V.TRANSLITERATION)
+
+
+def is_placeholder_rationale(x: Column) -> Column:
+    return says(x, V.PLACEHOLDER_RATIONALE)
+
+
+def is_aware(x: Column) -> Column:
+    return says(x, V.AWARE)
+
+
+def keywords(x: Column, family: str) -> Column:
+    """The keywords of a family of V.SIGNALS that a rationale holds, in their order."""
+    return F.array_compact(F.array(*(F.when(says(x, k), F.lit(k)) for k in V.SIGNALS[family])))
+
+
+def comparable(x: Column, marks: str = V.EDGE_MARKS) -> Column:
+    """For exact comparison: NFKC, case folded, single spaces, no marks at the edges; empty if there is no text."""
+    plain = F.trim(F.regexp_replace(normal(x, "NFKC", True), "(?U)\\s+", " "))
+    return F.when(present(x), F.btrim(plain, F.lit(marks))).otherwise("")
+
+
+def is_language_name(x: Column, name: Column) -> Column:
+    """The term is the language's name, or holds it as whole words, or is whole words of it."""
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), "(?U)[^\\w]+", " "))
+    padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    t, n = plain(x), plain(name)
+    return F.coalesce((t != "") & (n != "") & (F.contains(padded(t), padded(n)) | F.contains(padded(n), padded(t))), F.lit(False))
+
+
+def has_foreign_rationale(x: Column, least: int = 20) -> Column:
+    """Twenty letters or more, of which less than half are Latin."""
+    letters = F.char_length(F.regexp_replace(x, "[^\\p{L}]", ""))
+    latin = F.char_length(F.regexp_replace(x, "[^\\p{IsLatin}]", ""))
+    return F.coalesce((letters >= least) & (2 * latin < letters), F.lit(False))
+
+
+def slug(x: Column) -> Column:
+    return F.replace(F.lower(x), F.lit(" "), F.lit("_"))
+
+
+def edit_kind(before: Column, after: Column, source: str) -> Column:
+    """What a correction did; the first that holds."""
+    a, b = stripped(before), stripped(after)
+    return (
+        F.when(b == F.regexp_replace(a, "(?U)^[\\s\\W]+|[\\s\\W]+$", ""), "strip_punctuation")
+        .when(F.contains(a, F.lit(source)) & ~F.contains(b, F.lit(source)), "remove_source_wrapper")
+        .when(F.startswith(a, F.lit("/")) & (b == F.substr(a, F.lit(2))), "remove_leading_slash")
+        .when(a.rlike("\\(.+\\)$") & (b == F.trim(F.regexp_replace(a, "\\s*\\(.+\\)$", ""))), "strip_trailing_parenthetical")
+        .otherwise("other")
+    )
+
+
+def name_difference(a: Column, b: Column) -> Column:
+    """How two names of one thing differ: same, case, qualifier (one holds the other) or substantive."""
+    x, y = F.lower(stripped(a)), F.lower(stripped(b))
+    return F.when(a == b, "same").when(x == y, "case").when(F.contains(x, y) | F.contains(y, x), "qualifier").otherwise("substantive")
+
+
+def short_family(x: Column) -> Column:
+    return F.regexp_replace(F.trim(x), "(?i)\\s+(languages?|family)$", "")
+
+
+def canonical_tag(x: Column) -> Column:
+    """A language tag with hyphens: language lower, script with a capital, region upper."""
+    parts = F.split(F.replace(F.trim(x), F.lit("_"), F.lit("-")), "-")
+    return F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, F.lower(p)).when(F.length(p) == 4, F.initcap(p)).when(F.length(p) == 2, F.upper(p)).otherwise(F.lower(p))), "-")
+
+
+def bins(x: Column, edges: list, labels: list[str]) -> Column:
+    """The label of the bin, closed to the right, that a number lies in; null outside."""
+    out = F.lit(None).cast("string")
+    for low, high, label in reversed([*zip(edges, edges[1:], labels)]):
+        out = F.when((x > low) & (x <= high), label).otherwise(out)
+    return out
 
 
 def most_repeated(tokens: Column) -> Column:
@@ -129,52 +228,149 @@ def is_search_unsafe(x: Column) -> Column:
     return F.coalesce(x.rlike("[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]"), F.lit(False))
 
 
+def source_tokens(source: str) -> list[str]:
+    """The term in lower case, its words, and its initials if it has two words or more; each once."""
+    parts = source.lower().split()
+    return list(dict.fromkeys([" ".join(parts), *parts, *(["".join(w[0] for w in parts)] if len(parts) > 1 else [])]))
+
+
 def leaks_source(x: Column, source: str) -> Column:
     """The source term stands in the text, in any case, or its initials as a word of capitals."""
     initials = "".join(w[0].upper() for w in source.split())
-    found = F.lower(x).contains(source.lower())
-    return F.coalesce(found | x.rlike(f"\\b{initials}\\b") if len(initials) > 1 else found, F.lit(False))
+    found = F.contains(F.lower(x), F.lit(source.lower()))
+    return F.coalesce(found | x.rlike(f"\\b\\Q{initials}\\E\\b") if len(initials) > 1 else found, F.lit(False))
+
+
+def is_real_translation(x: Column, source: str) -> Column:
+    """There is a term, and it is neither the source's, nor holds it, nor a placeholder."""
+    return present(x) & ~F.coalesce(F.lower(stripped(x)) == source.lower(), F.lit(False)) & ~leaks_source(x, source) & ~is_placeholder(x)
+
+
+def _class(names) -> str:
+    return "".join(f"\\p{{Is{n}}}" for n in names)
+
+
+def script_entries(x: Column, merged: bool = False) -> Column:
+    """Array of (script, n, distinct, first) of the scripts of a text: letters, different ones, and the first one's place.
+
+    Spaces, marks, symbols, controls and digits do not count. What is of no script known is `Other`, unless `merged`, when Han
+    and the Japanese scripts are one. All but Latin letters are few in most texts, so the other scripts read only what is left.
+    """
+    groups = MERGED if merged else {k: [k] for k in V.SCRIPTS}
+    java = {k: [n for m in v for n in V.SCRIPTS[m]] for k, v in groups.items()}
+
+    def of(kept: Column) -> Column:
+        def entries(rest: Column) -> Column:
+            def entry(name: str, chars: Column, pattern: str) -> Column:
+                n = F.char_length(chars)
+                made = F.struct(F.lit(name).alias("script"), n.alias("n"), (F.size(F.array_distinct(F.split(chars, ""))) - 1).alias("distinct"), F.regexp_instr(kept, F.lit(pattern)).alias("first"))
+                return F.when(n > 0, made)
+
+            only = lambda k: entry(k, F.regexp_replace(kept if k == "Latin" else rest, f"[^{_class(java[k])}]", ""), f"[{_class(java[k])}]")
+            found = [only("Latin")]
+            others = F.array(*(only(k) for k in java if k != "Latin"))
+            every = _class(n for v in java.values() for n in v)
+            if not merged:
+                found.append(entry("Other", F.regexp_replace(rest, f"[{every}]", ""), f"[^{every}]"))
+            return F.array_compact(F.concat(F.array(*found), F.when(F.char_length(rest) > 0, others).otherwise(F.array().cast("array<struct<script:string,n:int,distinct:int,first:int>>"))))
+
+        return let(F.regexp_replace(kept, "\\p{IsLatin}", ""), entries)
+
+    return let(F.regexp_replace(F.coalesce(x, F.lit("")), "[\\p{Z}\\p{P}\\p{S}\\p{C}\\p{Nd}]", ""), of)
 
 
 def script_counts(x: Column) -> Column:
     """Map of scripts to numbers of letters, those that occur; Chinese and Japanese ones are one."""
-    one = lambda s: F.char_length(F.regexp_replace(F.coalesce(x, F.lit("")), f"[^\\p{{Is{s}}}]", ""))
-    parts = [(s, one(s)) for s in SCRIPTS if s not in CJK]
-    parts.append(("CJK", F.char_length(F.regexp_replace(F.coalesce(x, F.lit("")), "[^\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}]", ""))))
-    return F.map_filter(F.map_from_entries(F.array(*(F.struct(F.lit(s), n) for s, n in parts))), lambda k, v: v > 0)
+    return F.map_from_entries(F.transform(script_entries(x, merged=True), lambda e: F.struct(e["script"], e["n"])))
+
+
+def _main(entries: Column) -> Column:
+    return F.array_max(F.transform(entries, lambda e: F.struct(e["n"].alias("n"), (-e["first"]).alias("place"), e["script"].alias("script"))))["script"]
 
 
-def dominant_script(x: Column) -> Column:
-    entries = F.map_entries(script_counts(x))
-    best = F.array_max(F.transform(entries, lambda e: F.struct(e["value"].alias("n"), e["key"].alias("s"))))
-    return F.coalesce(best["s"], F.lit("Unknown"))
+def dominant_script(x: Column, merged: bool = False) -> Column:
+    """The script of most letters, of equals the one seen first; Unknown without a letter."""
+    return F.coalesce(_main(script_entries(x, merged)), F.lit("Unknown"))
+
+
+def script_mix(x: Column) -> Column:
+    """Struct of dominant, secondary (script, n, distinct, share), any (a second script of a tenth) and mixed.
+
+    Mixed: a second script of a tenth of the letters with five different ones, or of a fifth with three.
+    """
+
+    def of(entries: Column) -> Column:
+        total = F.aggregate(entries, F.lit(0), lambda a, e: a + e["n"])
+        main = F.coalesce(_main(entries), F.lit("Unknown"))
+        share = lambda e: e["n"] / F.greatest(total, F.lit(1))
+        second = F.transform(F.filter(entries, lambda e: e["script"] != main), lambda e: F.struct(e["script"].alias("script"), e["n"].alias("n"), e["distinct"].alias("distinct"), F.round(share(e), 6).alias("share")))
+        wide = F.filter(second, lambda e: e["n"] >= V.MIXED_SHARE * total)
+        mixed = F.exists(wide, lambda e: (e["distinct"] >= V.MANY_LETTERS) | ((e["distinct"] >= V.SOME_LETTERS) & (e["n"] >= V.LARGE_SHARE * total)))
+        return F.struct(main.alias("dominant"), second.alias("secondary"), (F.size(wide) > 0).alias("any"), mixed.alias("mixed"))
+
+    return let(script_entries(x, merged=True), of)
 
 
 def is_mixed(x: Column) -> Column:
-    """A second script makes up 10 % with five different letters, or 20 % with three."""
-    counts = script_counts(x)
-    total = F.aggregate(F.map_values(counts), F.lit(0), lambda a, v: a + v)
-    unique = lambda k: F.size(F.array_distinct(F.split(F.regexp_replace(x, F.concat(F.lit("[^\\p{Is"), F.when(k == "CJK", "Han").otherwise(k), F.lit("}]")), ""), ""))) - 1
-    minor = F.filter(F.map_entries(counts), lambda e: (e["key"] != dominant_script(x)) & (e["value"] >= 0.1 * total) & ((unique(e["key"]) >= 5) | ((unique(e["key"]) >= 3) & (e["value"] >= 0.2 * total))))
-    return F.size(minor) > 0
+    return script_mix(x)["mixed"]
+
+
+def is_mixed_at_all(x: Column, share: float = V.MIXED_SHARE) -> Column:
+    """The letters that are not of the main script make up a tenth or more together."""
+
+    def of(entries: Column) -> Column:
+        total = F.aggregate(entries, F.lit(0), lambda a, e: a + e["n"])
+        most = F.coalesce(F.array_max(F.transform(entries, lambda e: e["n"])), F.lit(0))
+        return (total > 0) & (total - most >= share * total)
+
+    return let(script_entries(x, merged=True), of)
+
+
+def is_repeated_output(x: Column) -> Column:
+    """An error message that wraps a term which goes on in a circle: few different characters, or a short piece five times or more."""
+    term = F.regexp_replace(F.regexp_extract(x, '(?s)"translated_term"\\s*:\\s*"(.{15,})', 1), '["} \\n\\r\\t]+$', "")
+
+    def of(t: Column) -> Column:
+        size = F.char_length(t)
+        longest = F.least(F.floor(size / 4), F.lit(11)).cast("int")
+        times = lambda piece: (size - F.char_length(F.replace(t, piece, F.lit("")))) / F.greatest(F.char_length(piece), F.lit(1))
+        pieces = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: F.transform(F.sequence(F.lit(2), F.greatest(longest, F.lit(2))), lambda n: F.substring(t, i, n))))
+        few = F.size(F.array_distinct(F.split(t, ""))) - 1 < 0.15 * size
+        return (size >= 20) & (few | F.exists(pieces, lambda p: (p != "") & (times(p) >= 5)))
+
+    return F.coalesce(let(term, of), F.lit(False))
 
 
 def error_kind(x: Column) -> Column:
-    """First kind one of whose keywords stands in the message."""
-    out = F.when(~present(x), "none")
-    for kind, keys in ERROR_KINDS.items():
-        found = F.lower(x).contains(keys[0])
-        for k in keys[1:]:
-            found = found | F.lower(x).contains(k)
-        out = out.when(found, kind)
+    """The kind of an error message: unknown if blank, a term in a circle, a reply that was not parsed, or by the first keyword found."""
+    text = F.lower(stripped(x))
+    out = F.when(~present(x), "unknown").when(is_repeated_output(x), "repetition_loop").when(F.startswith(text, F.lit("{")) | F.contains(text, F.lit('"translated_term"')), "parse_format")
+    for kind, keys in V.ERROR_KINDS.items():
+        out = out.when(says(x, [f"\\Q{k}\\E" for k in keys]), kind)
     return out.otherwise("other")
 
 
-def signature(x: Column, most: int = 180) -> Column:
-    """An error message without what changes from one to the next: addresses, quoted parts, numbers, long runs."""
-    for pattern, by in (("https?://\\S+", "<url>"), ("'[^']*'|\"[^\"]*\"", "<text>"), ("\\d+", "<n>"), ("(.)\\1{5,}", "$1…"), ("\\s+", " ")):
-        x = F.regexp_replace(x, pattern, by)
-    return F.substring(F.trim(x), 1, most)
+def error_layer(kind: Column) -> Column:
+    return F.create_map(*(F.lit(v) for pair in V.ERROR_LAYERS.items() for v in pair))[kind]
+
+
+def error_status(x: Column) -> Column:
+    """A status for a failed request: 429 for quotas, 400 for what was not supported, refused or not parsed, else 500."""
+    kind = error_kind(x)
+    return F.when(says(x, ["quota", "rate limit", "429"]), 429).when(says(x, ["unsupported", "not supported"]) | kind.isin("generic_refusal", "knowledge_gap", "parse_format"), 400).otherwise(500)
+
+
+def signature(x: Column, source: str = "the source term", most: int = 180) -> Column:
+    """An error message without what changes from one to the next: fences, terms, rationales, languages, numbers, long runs."""
+    steps = (
+        ("(?i)```json|```", ""), ('(?s)"translated_term"\\s*:\\s*"[^"]*"', '"translated_term": "<term>"'),
+        ('(?s)"translation_rationale"\\s*:\\s*"[^"]*"', '"translation_rationale": "<rationale>"'), (f"\\Q{source}\\E\\s*→\\s*[^.\\n]+", f"{source} → <language>"),
+        ("\\b[0-9]{3,}\\b", "<num>"), ("(.)\\1{5,}", "$1<repeat>"), ("(?U)\\s+", " "),
+    )
+    text = x
+    for pattern, by in steps:
+        text = F.regexp_replace(text, pattern, by)
+    return F.when(present(x), F.substring(F.trim(text), 1, most)).otherwise("<empty>")
 
 
 def parsed_reply(x: Column) -> Column:

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polyagree.functions.text import ascii_normalised
+from polyagree.functions import fixed as V
+from polyagree.functions import text as X
 
 
 class RuleChain:
@@ -30,23 +31,35 @@ class RuleChain:
         return rows.withColumns({"category": self._case(lambda r: F.lit(r[1])), "rule": self._case(lambda r: F.lit(r[0])), "evidence": self._case(lambda r: r[3])})
 
 
-def features(cells: DataFrame, key: list[str], source_tokens: Sequence[str], anchor: str, normalised=ascii_normalised) -> DataFrame:
-    """n, n_raw, n_norm, max_distance, threshold, borrowed and anchored for each key. Distances are among distinct terms of a key.
+def features(cells: DataFrame, key: list[str], source_tokens: Sequence[str], anchor: str, normalised=X.folded, english: Column | None = None) -> DataFrame:
+    """What the rules ask of each key: n, n_raw, n_norm, max_distance, threshold, borrowed, anchored, scripts, script_disagreement, absence, construction, debate, english.
 
-    cells: key, service, term. `anchor`: the service whose presence shows a living usage.
+    cells: key, service, term, rationale; a key has as many rows as there are services, and distances are among its distinct
+    normalised terms that are not empty. threshold: 0.15 of their mean length, 2 at least. `anchor`: the service whose presence
+    shows a living usage. `english`: whether a row's rationale is to be read; keywords are counted by service and keyword.
     """
-    rows = cells.where(F.col("term").isNotNull() & (F.trim("term") != "")).withColumns({"raw": F.lower(F.trim("term")), "norm": normalised(F.col("term"))})
+    english = F.lit(True) if english is None else english
+    why = F.when(english & X.present(F.col("rationale")), F.col("rationale"))
+    counted = {k: F.size(X.keywords(why, k)) for k in V.SIGNALS}
+    rows = cells.where(X.present(F.col("term"))).withColumns({"raw": F.lower(X.stripped(F.col("term"))), "norm": F.nullif(normalised(F.col("term")), F.lit("")), "script": X.dominant_script(F.col("term")), "__english": english, **counted})
     out = rows.groupBy(*key).agg(
         F.count("*").alias("n"),
         F.count_distinct("raw").alias("n_raw"),
         F.array_sort(F.collect_set("norm")).alias("norms"),
-        F.floor(F.greatest(F.lit(2.0), 0.15 * F.avg(F.char_length("norm")))).cast("int").alias("threshold"),
-        F.bool_or(F.col("service") == anchor).alias("anchored"),
+        F.array_sort(F.array_remove(F.collect_set("script"), "Unknown")).alias("scripts"),
+        F.coalesce(F.bool_or(F.col("service") == anchor), F.lit(False)).alias("anchored"),
+        F.bool_and("__english").alias("english"),
+        *(F.sum(k).alias(k) for k in V.SIGNALS),
     )
-    longest = F.array_max(F.transform("norms", lambda a: F.array_max(F.transform("norms", lambda b: F.levenshtein(a, b)))))
+    later = lambda a, i: F.array_max(F.transform(F.slice("norms", i + 2, F.size("norms")), lambda b: F.levenshtein(a, b)))
+    longest = F.array_max(F.transform("norms", later))
+    mean = F.aggregate("norms", F.lit(0), lambda a, x: a + F.char_length(x)) / F.greatest(F.size("norms"), F.lit(1))
     tokens = F.flatten(F.transform("norms", lambda x: F.split(x, " ")))
     borrowed = F.array_sort(F.array_intersect(tokens, F.array(*(F.lit(t) for t in source_tokens))))
-    return out.withColumns({"n_norm": F.size("norms"), "max_distance": F.coalesce(longest, F.lit(0)), "borrowed": F.array_join(borrowed, ",")}).drop("norms")
+    return out.withColumns({
+        "n_norm": F.size("norms"), "max_distance": F.coalesce(longest, F.lit(0)), "threshold": F.floor(F.greatest(F.lit(2.0), 0.15 * mean)).cast("int"),
+        "borrowed": F.array_join(borrowed, ","), "script_disagreement": F.size("scripts") > 1,
+    }).drop("norms")
 
 
 def standard_chain(least_outputs: int = 2, sparse: int = 2, signals: int = 2) -> RuleChain:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from polyagree.functions import fixed as V
 from polyagree.functions import text as X
 from polyagree.operators import agreement, cells, disagreement, search_terms
 
@@ -51,7 +52,7 @@ def normalised_confidence(spark, d):
     """Agreement by text as it is and by lower-cased text, and the gain."""
     rows = views.texts(spark, d).withColumn("voter", F.col("doc_id"))
     exact = agreement.plurality(rows, ["language"], "voter").select("language", F.col("confidence").alias("exact"))
-    loose = agreement.plurality(rows.withColumn("term", F.lower(F.regexp_replace("term", "[.,]", ""))), ["language"], "voter").select("language", F.col("confidence").alias("loose"))
+    loose = agreement.plurality(rows.withColumn("term", F.trim(F.lower("term"))), ["language"], "voter").select("language", F.col("confidence").alias("loose"))
     return exact.join(loose, "language").withColumn("gain", F.round(F.col("loose") - F.col("exact"), 4))
 
 
@@ -62,7 +63,9 @@ def majority_outliers(spark, d):
 
 
 def fully_divergent(spark, d):
-    return agreement_within_variant(spark, d).where("total_services >= 3 and agreeing_services = 1").select("item", "variant", "total_services")
+    """Places of twelve documents at which four or more have a sentence, and a quarter or less the same one."""
+    rows = views.texts(spark, d).withColumn("item", F.expr("doc_id div 12"))
+    return agreement.plurality(rows, ["item", "pos"], "doc_id").where("total_services >= 4 and confidence <= 0.25").select("item", "pos", "total_services", "agreeing_services")
 
 
 def pairing_enforced(spark, d):
@@ -70,13 +73,13 @@ def pairing_enforced(spark, d):
 
 
 def difference_categories(spark, d):
-    """Pairs of distinct first words of a language that differ in case only, or by content: counts, from those of groups and without a row for any pair."""
+    """Pairs of distinct sentences of a language and source that differ in case only, or by content: counts, from those of groups and without a row for any pair."""
     pairs = lambda n: (n * (n - 1) / 2).cast("long")
-    one = views.texts(spark, d).select("language", "term").distinct()
-    folds = one.groupBy("language", F.lower("term").alias("fold")).agg(F.count("*").alias("n"))
-    sums = folds.groupBy("language").agg(F.sum(pairs(F.col("n"))).alias("case"), F.sum("n").alias("n"))
+    one = views.texts(spark, d).select("language", "service", "term").distinct()
+    folds = one.groupBy("language", "service", F.lower("term").alias("fold")).agg(F.count("*").alias("n"))
+    sums = folds.groupBy("language", "service").agg(F.sum(pairs(F.col("n"))).alias("case"), F.sum("n").alias("n"))
     kinds = F.array(F.struct(F.lit("capitalization").alias("kind"), F.col("case").alias("n")), F.struct(F.lit("content").alias("kind"), (pairs(F.col("n")) - F.col("case")).alias("n")))
-    return sums.select("language", F.explode(kinds).alias("k")).select("language", "k.kind", "k.n").where("n > 0")
+    return sums.select("language", "service", F.explode(kinds).alias("k")).select("language", "service", "k.kind", "k.n").where("n > 0")
 
 
 def difference_tiers(spark, d):
@@ -87,19 +90,19 @@ def difference_tiers(spark, d):
 
 
 def _features(spark, d):
-    rows = views.texts(spark, d).withColumn("group", F.col("doc_id") % 97).withColumn("term", F.regexp_replace("term", "[^A-Za-z]", ""))
-    found = disagreement.features(rows, ["group", "language"], ["the", "of", "and"], "src1")
-    return found.withColumns({"script_disagreement": F.lit(False), "english": F.col("language") == "en", "absence": F.lit(2) * (F.col("n") % 2)})
+    """Twelve documents in a row stand for services, and their sentences at one place for the terms of an item."""
+    rows = views.texts(spark, d).withColumn("group", F.expr("doc_id div 12"))
+    return disagreement.features(rows, ["group", "pos", "language"], ["the", "of", "and"], "src1", english=F.col("language") == "en")
 
 
 def disagreement_rules(spark, d):
     out = disagreement.standard_chain().apply(_features(spark, d))
-    return out.select("group", "language", "n", "n_raw", "n_norm", "max_distance", "threshold", "borrowed", "anchored", "category", "rule")
+    return out.select("group", "pos", "language", "n", "n_raw", "n_norm", "max_distance", "threshold", "borrowed", "anchored", "script_disagreement", "absence", "category", "rule", "evidence")
 
 
 def keyword_ablation_flow(spark, d):
     f, chain = _features(spark, d), disagreement.standard_chain()
-    return disagreement.changed_categories(chain.apply(f), chain.without("sparse", "convergent").apply(f), ["group", "language"])
+    return disagreement.changed_categories(chain.apply(f), chain.without("sparse", "convergent").apply(f), ["group", "pos", "language"])
 
 
 def category_shares(spark, d):
@@ -109,15 +112,23 @@ def category_shares(spark, d):
     return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("language")), 6))
 
 
-FEATURES = rf"""{TEXTS}, f0 AS (SELECT doc_id % 97 AS "group", language, service, regexp_replace(term, '[^A-Za-z]', '', 'g') AS term FROM texts),
-f1 AS (SELECT *, lower(term) AS raw FROM f0 WHERE term <> ''),
-f2 AS (SELECT "group", language, count(*) AS n, count(DISTINCT raw) AS n_raw, list_sort(list(DISTINCT raw)) AS norms, CAST(floor(greatest(2.0, 0.15 * avg(length(raw)))) AS INTEGER) AS threshold, bool_or(service = 'src1') AS anchored FROM f1 GROUP BY 1, 2),
-f3 AS (SELECT *, CAST(len(norms) AS INTEGER) AS n_norm, CAST(list_max(list_transform(norms, lambda a: list_max(list_transform(norms, lambda b: levenshtein(a, b))))) AS INTEGER) AS max_distance,
- array_to_string(list_filter(norms, lambda x: x IN ('the', 'of', 'and')), ',') AS borrowed, language = 'en' AS english, 2 * (n % 2) AS absence FROM f2),
-rules AS (SELECT "group", language, n, n_raw, n_norm, max_distance, threshold, borrowed, anchored,
- CASE WHEN n = 0 THEN 'no_translations' WHEN n_raw = 1 THEN 'all_agree' WHEN n_norm <= 1 OR max_distance <= threshold THEN 'normalization' WHEN anchored AND n_raw >= 2 THEN 'anchored' WHEN borrowed <> '' THEN 'loanword'
- WHEN english AND absence >= 2 AND n <= 2 THEN 'sparse' WHEN english AND absence >= 2 AND n_raw <= 2 THEN 'convergent' ELSE 'default' END AS rule FROM f3),
-kinds AS (SELECT *, CASE rule WHEN 'all_agree' THEN 'COMPLETE_CONSENSUS' WHEN 'normalization' THEN 'MEASUREMENT_ARTEFACT' WHEN 'anchored' THEN 'PRODUCTIVE_DISAGREEMENT' WHEN 'default' THEN 'TRANSMOGRIFICATION' ELSE 'STRUCTURAL_ABSENCE' END AS category FROM rules)"""
+KEYWORDS = ", ".join("'" + k.replace("'", "''") + "'" for k in V.SIGNALS["absence"])
+FEATURES = rf"""{TEXTS}, f1 AS (SELECT doc_id // 12 AS "group", pos, language, service, trim(lower(term)) AS raw,
+ trim(regexp_replace(regexp_replace(strip_accents(lower(term)), '[^\p{{L}}\p{{N}}\p{{M}}_\s]', '', 'g'), '\s+', ' ', 'g')) AS norm, CASE WHEN regexp_matches(term, '\p{{L}}') THEN 'Latin' ELSE 'Unknown' END AS script,
+ CASE WHEN language = 'en' AND rationale IS NOT NULL AND lower(trim(rationale)) NOT IN ('', 'nan', 'none', 'null') THEN len(list_filter([{KEYWORDS}], lambda k: regexp_matches(rationale, '(?i)' || k))) ELSE 0 END AS absence
+ FROM texts WHERE lower(trim(term)) NOT IN ('', 'nan', 'none', 'null')),
+f2 AS (SELECT "group", pos, language, count(*) AS n, count(DISTINCT raw) AS n_raw, list_filter(list(DISTINCT norm), lambda x: x <> '') AS norms, coalesce(bool_or(service = 'src1'), false) AS anchored, CAST(sum(absence) AS BIGINT) AS absence,
+ count(DISTINCT CASE WHEN script <> 'Unknown' THEN script END) > 1 AS script_disagreement FROM f1 GROUP BY 1, 2, 3),
+f3 AS (SELECT *, CAST(len(norms) AS INTEGER) AS n_norm, list_transform(norms, lambda x: replace(x, 'ß', '~')) AS plain,
+ list_sort(list_distinct(list_filter(flatten(list_transform(norms, lambda x: string_split(x, ' '))), lambda w: w IN ('the', 'of', 'and')))) AS loans FROM f2),
+f4 AS (SELECT *, CAST(coalesce(list_max(list_transform(plain, lambda a: list_max(list_transform(plain, lambda b: levenshtein(a, b))))), 0) AS INTEGER) AS max_distance,
+ CAST(greatest(2, floor(0.15 * coalesce(list_sum(list_transform(norms, lambda x: length(x))) / len(norms), 0))) AS INTEGER) AS threshold, array_to_string(loans, ',') AS borrowed FROM f3),
+rules AS (SELECT *, CASE WHEN n_raw = 1 THEN 'all_agree' WHEN script_disagreement AND n_norm <= 1 THEN 'script_only' WHEN n_norm <= 1 OR max_distance <= threshold THEN 'normalization' WHEN anchored AND n_raw >= 2 THEN 'anchored' WHEN borrowed <> '' THEN 'loanword'
+ WHEN language = 'en' AND absence >= 2 AND n <= 2 THEN 'sparse' WHEN language = 'en' AND absence >= 2 AND n_raw <= 2 THEN 'convergent' ELSE 'default' END AS rule FROM f4),
+kinds AS (SELECT "group", pos, language, n, n_raw, n_norm, max_distance, threshold, borrowed, anchored, script_disagreement, absence, rule, CASE rule WHEN 'all_agree' THEN 'COMPLETE_CONSENSUS' WHEN 'script_only' THEN 'MEASUREMENT_ARTEFACT' WHEN 'normalization' THEN 'MEASUREMENT_ARTEFACT'
+ WHEN 'anchored' THEN 'PRODUCTIVE_DISAGREEMENT' WHEN 'default' THEN 'TRANSMOGRIFICATION' ELSE 'STRUCTURAL_ABSENCE' END AS category, CASE rule WHEN 'all_agree' THEN 'all services gave one term'
+ WHEN 'script_only' THEN 'one term in ' || n_raw || ' spellings of several scripts' WHEN 'normalization' THEN n_norm || ' normalised terms, at most ' || max_distance || ' edits apart' WHEN 'anchored' THEN 'anchored, ' || n_raw || ' terms'
+ WHEN 'loanword' THEN 'borrowed: ' || borrowed WHEN 'sparse' THEN n || ' services, and they say so' WHEN 'convergent' THEN n_raw || ' terms, and they say so' ELSE n_raw || ' terms without an anchor' END AS evidence FROM rules)"""
 
 
 def term_selection(spark, d):
@@ -188,11 +199,11 @@ ORACLE_SQL = {
     "consensus_all_cells": f"WITH {CELLS}, p AS ({PI}) SELECT p.*, (SELECT count(DISTINCT service) FROM cells c WHERE c.item = p.item AND c.term = p.best_candidate) AS services, (SELECT count(DISTINCT variant) FROM cells c WHERE c.item = p.item AND c.term = p.best_candidate) AS variants FROM p",
     "pairwise_service_agreement": f"WITH {CELLS} SELECT x.service AS a, y.service AS b, count(*) AS shared, count(*) FILTER (x.term = y.term) AS alike, round(count(*) FILTER (x.term = y.term) / count(*), 6) AS rate FROM cells x JOIN cells y ON x.item = y.item AND x.variant = y.variant AND x.service < y.service GROUP BY 1, 2",
     "variant_similarity": f"WITH {CELLS} SELECT x.variant AS a, y.variant AS b, count(*) AS shared, count(*) FILTER (x.term = y.term) AS alike, round(count(*) FILTER (x.term = y.term) / count(*), 6) AS rate FROM cells x JOIN cells y ON x.item = y.item AND x.service = y.service AND x.variant < y.variant GROUP BY 1, 2",
-    "normalised_confidence": rf"WITH {TEXTS}, a AS (SELECT language, max(n) / sum(n) AS e FROM (SELECT language, term, count(*) AS n FROM texts WHERE term <> '' GROUP BY 1, 2) GROUP BY 1), b AS (SELECT language, max(n) / sum(n) AS l FROM (SELECT language, lower(regexp_replace(term, '[.,]', '', 'g')) AS t, count(*) AS n FROM texts GROUP BY 1, 2) WHERE t <> '' GROUP BY 1) SELECT language, round(e, 4) AS exact, round(l, 4) AS loose, round(round(l, 4) - round(e, 4), 4) AS gain FROM a JOIN b USING (language)",
+    "normalised_confidence": rf"WITH {TEXTS}, a AS (SELECT language, max(n) / sum(n) AS e FROM (SELECT language, term, count(*) AS n FROM texts WHERE term <> '' GROUP BY 1, 2) GROUP BY 1), b AS (SELECT language, max(n) / sum(n) AS l FROM (SELECT language, trim(lower(term)) AS t, count(*) AS n FROM texts GROUP BY 1, 2) WHERE t <> '' GROUP BY 1) SELECT language, round(e, 4) AS exact, round(l, 4) AS loose, round(round(l, 4) - round(e, 4), 4) AS gain FROM a JOIN b USING (language)",
     "majority_outliers": f"WITH {CELLS}, p AS ({PV}) SELECT c.item, c.variant, c.service, c.term, p.best_candidate FROM cells c JOIN p ON c.item = p.item AND c.variant = p.variant WHERE agreeing_services * 2 > total_services AND c.term <> p.best_candidate",
-    "fully_divergent": f"WITH {CELLS}, p AS ({PV}) SELECT item, variant, total_services FROM p WHERE total_services >= 3 AND agreeing_services = 1",
-    "pairing_enforced": f"WITH {PAIRS} SELECT conv_id, turn, coalesce(ok, false) AS has_term, CASE WHEN ok THEN length(rationale) END AS rationale_chars FROM (SELECT *, lower(trim(term)) NOT IN ('', 'nan', 'none', 'null') AND lower(trim(rationale)) NOT IN ('', 'nan', 'none', 'null') AND lower(rtrim(trim(rationale), '.')) NOT IN ('no rationale provided', 'no rationale', 'none', 'n/a', 'not provided') AS ok FROM pairs)",
-    "difference_categories": f"WITH {TEXTS}, o AS (SELECT DISTINCT language, term FROM texts) SELECT x.language, {DIFF.format(a='x.term', b='y.term')} AS kind, count(*) AS n FROM o x JOIN o y ON x.language = y.language AND x.term < y.term GROUP BY 1, 2",
+    "fully_divergent": f"WITH {TEXTS}, c AS (SELECT doc_id // 12 AS item, pos, term, count(*) AS n FROM texts WHERE term <> '' GROUP BY 1, 2, 3) SELECT item, pos, CAST(sum(n) AS BIGINT) AS total_services, max(n) AS agreeing_services FROM c GROUP BY 1, 2 HAVING sum(n) >= 4 AND max(n) <= 0.25 * sum(n)",
+    "pairing_enforced": f"WITH {PAIRS} SELECT conv_id, turn, coalesce(ok, false) AS has_term, CASE WHEN ok THEN length(rationale) END AS rationale_chars FROM (SELECT *, lower(trim(term)) NOT IN ('', 'nan', 'none', 'null') AND lower(trim(rationale)) NOT IN ('', 'nan', 'none', 'null') AND lower(rtrim(trim(rationale), '.')) NOT IN ('no rationale provided', 'no rationale', 'n/a', 'none', 'not applicable', 'no explanation provided', 'no reason provided') AS ok FROM pairs)",
+    "difference_categories": f"WITH {TEXTS}, o AS (SELECT DISTINCT language, service, term FROM texts) SELECT x.language, x.service, {DIFF.format(a='x.term', b='y.term')} AS kind, count(*) AS n FROM o x JOIN o y ON x.language IS NOT DISTINCT FROM y.language AND x.service IS NOT DISTINCT FROM y.service AND x.term < y.term GROUP BY 1, 2, 3",
     "difference_tiers": rf"WITH {TEXTS}, k AS (SELECT language, lower(regexp_replace(term, '[.,]', '', 'g')) AS k, list_sort(list(DISTINCT term)) AS ts FROM texts GROUP BY 1, 2) SELECT language, CASE WHEN len(ts) = 1 THEN 'all_identical' WHEN len(list_filter(ts, lambda t: lower(t) <> lower(ts[1]))) > 0 THEN 'has_content' ELSE 'trivial_only' END AS tier, count(*) AS n FROM k GROUP BY 1, 2",
     "disagreement_rules": f"WITH {FEATURES} SELECT * FROM kinds",
     "keyword_ablation_flow": f"""WITH {FEATURES} SELECT category AS before, CASE WHEN rule IN ('sparse', 'convergent') THEN 'TRANSMOGRIFICATION' ELSE category END AS after, count(*) AS n FROM kinds GROUP BY 1, 2""",

@@ -12,7 +12,7 @@ from polyagree.sources.files import table
 from polyagree.streaming import logs
 
 from . import views
-from .views import CELLS, ERRORS
+from .views import CELLS, ERRORS, TEXTS
 
 
 def keep_latest(spark, d):
@@ -194,7 +194,8 @@ def word_count_cv(spark, d):
 
 
 def error_taxonomy(spark, d):
-    text = F.concat(F.lit("status "), F.when(F.col("k") % 4 == 0, "timed out").when(F.col("k") % 4 == 1, "429 quota").when(F.col("k") % 4 == 2, "bad json").otherwise("odd"))
+    text = F.concat(F.lit("status "), F.when(F.col("k") % 4 == 0, "timed out").when(F.col("k") % 4 == 1, "token limit").otherwise("odd"))
+    text = F.when(F.col("k") % 4 == 2, F.lit('```json {"translated_term": "x"}')).otherwise(text)
     return views.errors(spark, d).groupBy(X.error_kind(text).alias("kind")).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
 
 
@@ -235,7 +236,7 @@ def page_entities(spark, d):
 
 
 def folded_terms(spark, d):
-    return views.texts(spark, d).select("doc_id", X.folded(F.col("term")).alias("folded"))
+    return views.texts(spark, d).select("doc_id", "pos", X.folded(F.col("term")).alias("folded"))
 
 
 def script_profile(spark, d):
@@ -286,10 +287,15 @@ ORACLE_SQL = {
     "text_signals": rf"""WITH t AS (SELECT doc_id, text, {WORDS.format(t='lower(text)')} AS l FROM documents WHERE text IS NOT NULL), m AS (SELECT *, coalesce(list_max(map_values(list_histogram(l))), 0) AS top FROM t)
  SELECT doc_id, CAST(len(l) AS BIGINT) AS n_words, len(l) >= 4 AND top >= 4 AND top >= 0.3 * len(l) AS "loop", length(trim(text, ' ')) > 100 AS extreme, coalesce(length(trim(text, ' ')) BETWEEN 1 AND 3, false) AS short, regexp_matches(text, '\\u[0-9a-fA-F]{{4}}') AS escape, regexp_matches(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]') AS unsafe, contains(lower(text), 'the thing') OR regexp_matches(text, '\bTT\b') AS leak FROM m""",
     "word_count_cv": rf"WITH w AS (SELECT lang, source, len({WORDS.format(t='text')}) AS w FROM documents WHERE text IS NOT NULL) SELECT lang, source, count(w) AS n, round(avg(w), 6) AS mean, round(median(w), 6) AS median, round(stddev_samp(w), 6) AS std, round(stddev_samp(w) / avg(w), 6) AS cv FROM w GROUP BY 1, 2",
-    "error_taxonomy": f"WITH {ERRORS} SELECT CASE k % 4 WHEN 0 THEN 'timeout' WHEN 1 THEN 'quota' WHEN 2 THEN 'parse' ELSE 'other' END AS kind, count(*) AS n, count(DISTINCT user_id) AS users FROM errors GROUP BY 1",
+    "error_taxonomy": f"WITH {ERRORS} SELECT CASE k % 4 WHEN 0 THEN 'api_error' WHEN 1 THEN 'max_tokens' WHEN 2 THEN 'parse_format' ELSE 'other' END AS kind, count(*) AS n, count(DISTINCT user_id) AS users FROM errors GROUP BY 1",
     "error_compaction": f"WITH {ERRORS}, l AS (SELECT *, k % 4 = 0 AS transient, row_number() OVER (PARTITION BY user_id, k % 4 = 0 ORDER BY ts DESC, event_id DESC) AS rn FROM errors), m AS (SELECT *, bool_or(NOT transient) OVER (PARTITION BY user_id) AS lasting FROM l WHERE rn = 1) SELECT user_id, event_id, transient FROM m WHERE NOT transient OR NOT lasting",
     "mark_errored": f"WITH {ERRORS} SELECT event_id, user_id, user_id IN (SELECT user_id FROM errors WHERE k % 4 <> 0) AS excluded FROM events WHERE event_type = 'purchase'",
     "circuit_breaks": "WITH r AS (SELECT user_id, event_type = 'error' AS failed, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM events), x AS (SELECT user_id, run, count(*) AS length FROM r WHERE failed GROUP BY 1, 2 HAVING count(*) >= 3) SELECT user_id, count(*) AS breaks, max(length) AS longest FROM x GROUP BY 1",
+    "folded_terms": rf"WITH {TEXTS} SELECT doc_id, pos, trim(regexp_replace(regexp_replace(strip_accents(lower(term)), '[^\p{{L}}\p{{N}}\p{{M}}_\s]', '', 'g'), '\s+', ' ', 'g')) AS folded FROM texts",
+    "script_profile": r"WITH t AS (SELECT doc_id, regexp_matches(text, '\p{L}') AS l FROM documents WHERE text IS NOT NULL) SELECT doc_id, CASE WHEN l THEN 'Latin' ELSE 'Unknown' END AS script, false AS mixed FROM t",
+    "page_items": r"WITH r AS (SELECT page_id, regexp_extract_all(html, '(?is)<li[^>]*>(.*?)</li>', 1) AS x FROM pages), u AS (SELECT page_id, x, unnest(range(0, len(x))) AS pos FROM r) SELECT page_id, CAST(pos AS INTEGER) AS pos, trim(regexp_replace(x[pos + 1], '<[^>]*>', '', 'gs')) AS text FROM u",
+    "parsed_replies": r"""WITH t AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(text, '["\\]', '', 'g'), '\n', ' ', 'g')) AS t FROM conversations), s AS (SELECT *, CASE WHEN t IS NULL THEN 'empty' WHEN t = '' OR lower(t) IN ('null', 'none') THEN 'refused' WHEN length(t) > 300 THEN 'too_long' ELSE 'parsed' END AS status FROM t)
+ SELECT conv_id, turn, CASE WHEN status = 'parsed' THEN t END AS term, status FROM s""",
     "event_windows": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "benchmark_retention": rf"WITH r AS (SELECT DISTINCT item_id, unnest({WORDS.format(t='lower(text)')}) AS word FROM benchmark), n AS (SELECT word, count(*) AS items FROM r GROUP BY 1) SELECT item_id, count(*) AS words, count(*) FILTER (items > 1) AS shared FROM r JOIN n USING (word) GROUP BY 1",
 }

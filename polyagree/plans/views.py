@@ -10,7 +10,8 @@ from polyagree.sources.files import table
 
 CELLS = """cells AS (SELECT l_orderkey AS item, l_linenumber AS service, l_linestatus AS variant, l_returnflag AS term, l_shipdate AS ts FROM
  (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_linestatus ORDER BY l_shipdate DESC, l_extendedprice DESC, l_partkey DESC, l_returnflag DESC) AS rn FROM lineitem) WHERE rn = 1)"""
-TEXTS = r"""texts AS (SELECT doc_id, lang AS language, source AS service, regexp_extract(text, '^[ \t\n]*([^ \t\n]+)', 1) AS term, text AS rationale FROM documents WHERE text IS NOT NULL)"""
+TEXTS = r"""texts AS (SELECT doc_id, lang AS language, source AS service, CAST(i - 1 AS INTEGER) AS pos, s[i] AS term, s[i + 1] AS rationale FROM (SELECT *, unnest(range(1, len(s) + 1)) AS i FROM
+ (SELECT doc_id, lang, source, list_filter(list_transform(string_split_regex(text, '[.!?\n]+'), lambda x: trim(x, ' ' || chr(9))), lambda x: x <> '') AS s FROM documents WHERE text IS NOT NULL)))"""
 PAIRS = """pairs AS (SELECT conv_id, turn, text AS term, CASE WHEN next_role = 'assistant' THEN next_text END AS rationale FROM
  (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS next_role, lead(text) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS next_text FROM conversations) WHERE role = 'user')"""
 ERRORS = """errors AS (SELECT event_id, user_id, ts, event_type, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_type = 'error')"""
@@ -23,8 +24,12 @@ def cells(spark: SparkSession, d: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("text is not null")
-    return docs.select("doc_id", F.col("lang").alias("language"), F.col("source").alias("service"), F.regexp_extract("text", "^[ \\t\\n]*([^ \\t\\n]+)", 1).alias("term"), F.col("text").alias("rationale"))
+    """Every sentence of every text is a term, and the next one its rationale."""
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", F.col("lang").alias("language"), F.col("source").alias("service"), "text")
+    parts = F.filter(F.transform(F.split("text", "[.!?\\n]+"), lambda x: F.btrim(x, F.lit(" \t"))), lambda x: x != "")
+    rows = docs.select("doc_id", "language", "service", parts.alias("s"))
+    both = F.transform("s", lambda x, i: F.struct(x.alias("term"), F.get(F.col("s"), i + 1).alias("rationale")))
+    return rows.select("doc_id", "language", "service", F.posexplode(both).alias("pos", "x")).select("doc_id", "language", "service", "pos", "x.term", "x.rationale")
 
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:

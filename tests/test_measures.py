@@ -14,7 +14,7 @@ from polyagree.streaming import logs
 def test_curation(spark):
     cases = {
         None: (None, "unchanged"), "": ("", "unchanged"), "humanidades digitales": ("humanidades digitales", "unchanged"),
-        "not available": (None, "placeholder"), "Digital Humanities = Panagbalikas": ("Panagbalikas", "stripped"), "/Dkawng Thau/": ("Dkawng Thau", "stripped"),
+        "translation not available": (None, "placeholder"), "open seas = Velmora tikan": ("Velmora tikan", "stripped"), "/Oskar Thelu/": ("Oskar Thelu", "stripped"),
         "цифровые гуманитарные науки (tsifrovye)": ("цифровые гуманитарные науки", "stripped"), "цифровые науки / tsifrovye nauki": ("цифровые науки", "stripped"),
         "Humanities: цифровые гуманитарные науки": ("цифровые гуманитарные науки", "stripped"), "Digital Humanities цифровые гуманитарные": ("цифровые гуманитарные", "stripped"),
         "цифроdigitвыеhumanные": (None, "nulled"),
