@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from polyagree.functions.text import short_family
+
 
 def filled(x: Column) -> Column:
     """Null for a blank one."""
@@ -68,3 +70,20 @@ def assigned(registry: DataFrame, patches: DataFrame, key: str) -> DataFrame:
     new = patches.select(key, *(F.col(c).alias(f"__{c}") for c in columns), F.lit(True).alias("__in"))
     both = registry.withColumn("__old", F.lit(True)).join(new, key, "full_outer")
     return both.select(key, *(F.when(F.col("__old").isNull(), F.col(f"__{c}")).otherwise(F.coalesce(filled(F.col(c)), F.col(f"__{c}"), F.col(c))).alias(c) for c in columns))
+
+
+def queue(registry: DataFrame, policy: Mapping[str, str], many: int = 10, some: int = 3) -> DataFrame:
+    """(kind, family_name, family_glottolog, n_languages, suggestion, tier, rank) of what a reviewer should look at.
+
+    `pair`: two sources give names that differ in more than case and endings. `fallback`: there is no reconciled name. A family of
+    `policy` has its suggestion and tier from it; else the reconciled or first name is suggested, and the tier is by languages.
+    """
+    iso, other, named = (F.coalesce(F.trim(c), F.lit("")) for c in ("family_name", "family_glottolog", "family_name_reconciled"))
+    plain = lambda c: F.lower(short_family(c))
+    kind = F.when((iso != "") & (other != "") & (plain(iso) != plain(other)), "pair").when(named == "", "fallback")
+    rows = registry.select(kind.alias("kind"), iso.alias("family_name"), other.alias("family_glottolog"), F.nullif(named, F.lit("")).alias("named")).where("kind is not null")
+    out = rows.groupBy("kind", "family_name", "family_glottolog").agg(F.count("*").alias("n_languages"), F.min("named").alias("named"))
+    held = F.create_map(*(F.lit(x) for pair in policy.items() for x in pair))[F.col("family_name")] if policy else F.lit(None).cast("string")
+    tier = F.when(held.isNotNull(), "policy").when(F.col("n_languages") >= many, "high").when(F.col("n_languages") >= some, "medium").otherwise("low")
+    rank = F.when(tier == "high", 0).when(tier == "medium", 1).when(tier == "low", 2).otherwise(3)
+    return out.select("kind", "family_name", "family_glottolog", "n_languages", F.coalesce(held, "named", filled(F.col("family_name")), "family_glottolog").alias("suggestion"), tier.alias("tier"), rank.alias("rank"))

@@ -47,3 +47,17 @@ def cumulative_share(counts: DataFrame, label: str, n: str = "n") -> DataFrame:
 def quadrant(rows: DataFrame, a: Column, b: Column) -> DataFrame:
     """Counts of the four combinations of two conditions."""
     return rows.agg(F.count_if(a & b).alias("both"), F.count_if(a & ~b).alias("only_first"), F.count_if(~a & b).alias("only_second"), F.count_if(~a & ~b).alias("neither"))
+
+
+def built(sources: dict[str, DataFrame], key: str, values: list[str]) -> DataFrame:
+    """(key, values, sources, added_by): a registry from sources in order; each value is the first that is not blank, in one shuffle."""
+    from functools import reduce
+
+    frames = [d.select(key, *(F.nullif(F.trim(v), F.lit("")).alias(v) if v in d.columns else F.lit(None).cast("string").alias(v) for v in values), F.lit(i).alias("__at"), F.lit(n).alias("__name")) for i, (n, d) in enumerate(sources.items())]
+    rows = reduce(DataFrame.unionByName, frames)
+    order = F.struct("__at", "__name")
+    return rows.groupBy(key).agg(
+        *(F.min_by(v, F.when(F.col(v).isNotNull(), F.struct("__at", v))).alias(v) for v in values),
+        F.array_join(F.array_sort(F.collect_set(order)).getField("__name"), " + ").alias("sources"),
+        F.min(order).getField("__name").alias("added_by"),
+    )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from polyagree.functions import text as X
+
 
 def select_terms(classified: DataFrame, counts: DataFrame, key: list[str]) -> DataFrame:
     """Consensus: the best term; artefact: those above two cells, or else the best; others: all terms.
@@ -46,3 +48,38 @@ def split_conflicts(rows: DataFrame) -> DataFrame:
     single = F.array(F.struct(F.col("directionality").alias("d"), F.col("natural_language").alias("l")))
     exploded = rows.withColumn("x", F.explode(F.when(F.col("directionality_conflict"), parts).otherwise(single)))
     return exploded.select("search_term", F.col("x.d").alias("directionality"), F.col("x.l").alias("natural_language"))
+
+
+#: The stages of build() that take terms out, in order.
+STAGES = ["blank", "placeholder", "leak", "unsafe", "excluded", "uncorroborated"]
+
+
+def staged(terms: DataFrame, source: str, excluded: DataFrame, least: int = 2) -> DataFrame:
+    """`terms` (term, language, direction, valid) with `stage`: the first stage that takes the term out, or kept. One pass but for corroboration.
+
+    A term of another language than English may not hold the source term; `excluded` (term) are taken out by hand; a term in lower
+    case stands if `least` cells have it or one with a valid rationale.
+    """
+    low = terms.withColumn("__low", F.lower(X.stripped(F.col("term"))))
+    early = (
+        F.when(~X.present(F.col("term")), "blank").when(X.is_placeholder(F.col("term")), "placeholder")
+        .when((F.col("language") != "en") & X.leaks_source(F.col("term"), source), "leak").when(X.is_search_unsafe(F.col("term")), "unsafe")
+    )
+    low = low.withColumn("__stage", early).join(excluded.select(F.lower("term").alias("__low"), F.lit(True).alias("__out")).distinct(), "__low", "left")
+    low = low.withColumn("__stage", F.coalesce("__stage", F.when(F.col("__out"), "excluded")))
+    backed = low.where("__stage is null").groupBy("__low").agg(((F.count("*") >= least) | F.bool_or("valid")).alias("__backed"))
+    low = low.join(backed, "__low", "left")
+    return low.select(*terms.columns, F.coalesce("__stage", F.when(~F.col("__backed"), "uncorroborated"), F.lit("kept")).alias("stage"))
+
+
+def build(terms: DataFrame, source: str, excluded: DataFrame, least: int = 2) -> DataFrame:
+    """grouped() of the terms that all stages keep."""
+    return grouped(staged(terms, source, excluded, least).where("stage = 'kept'").withColumn("term", X.stripped(F.col("term"))))
+
+
+def resolve_conflicts(rows: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Rows of grouped() with conflicts decided: set-ltr or set-rtl gives a term one direction, split a row for each; others stay. decisions: search_term, decision."""
+    both = rows.join(decisions.select("search_term", F.col("decision").alias("__d")), "search_term", "left")
+    fixed = F.when(F.col("__d") == "set-ltr", "ltr").when(F.col("__d") == "set-rtl", "rtl")
+    one = both.where(F.coalesce(F.col("__d"), F.lit("")) != "split").select("search_term", F.coalesce(fixed, "directionality").alias("directionality"), "natural_language")
+    return one.unionByName(split_conflicts(both.where("__d = 'split'").drop("__d")))
