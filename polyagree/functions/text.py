@@ -109,7 +109,7 @@ def is_placeholder(x: Column) -> Column:
 
 
 def is_empty_rationale(x: Column) -> Column:
-    return ~present(x) | F.lower(F.rtrim(F.lit("."), stripped(x))).isin(*V.EMPTY_RATIONALES)
+    return ~present(x) | F.lower(F.rtrim(stripped(x), F.lit("."))).isin(*V.EMPTY_RATIONALES)
 
 
 def is_refusal(x: Column) -> Column:
@@ -205,11 +205,20 @@ def most_repeated(tokens: Column) -> Column:
     return F.aggregate(F.array_sort(tokens), start, step, lambda a: a["best"])
 
 
+def loop_facts(x: Column) -> Column:
+    """Struct of n (words) and loop (is_repetition_loop()). Words are split once, and put in order only where some word may come four times."""
+
+    def of(w: Column) -> Column:
+        n = F.size(w)
+        loops = F.when((n < 4) | (n - F.size(F.array_distinct(w)) < 3), False).otherwise(let(most_repeated(w), lambda top: (top >= 4) & (top >= 0.3 * n)))
+        return F.struct(n.alias("n"), loops.alias("loop"))
+
+    return let(words(F.lower(x)), of)
+
+
 def is_repetition_loop(x: Column) -> Column:
     """Four tokens or more, of which one comes four times or more and makes up 30 %."""
-    n = F.size(words(x))
-    top = most_repeated(words(F.lower(x)))
-    return (n >= 4) & (top >= 4) & (top >= 0.3 * n)
+    return loop_facts(x)["loop"]
 
 
 def is_extreme_length(x: Column, most: int = 100) -> Column:

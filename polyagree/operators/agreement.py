@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def plurality(cells: DataFrame, key: list[str], voter: str = "service", term: str = "term") -> DataFrame:
+def plurality(cells: DataFrame, key: list[str], voter: str = "service", term: str = "term", **carried: Column) -> DataFrame:
     """best_candidate, confidence, total_services, agreeing_services, unique_candidates for each key; ties go to the first voter, then to the least term.
 
-    Two levels: cells by key and term, combined before the shuffle, then terms by key.
+    Two levels: cells by key and term, combined before the shuffle, then terms by key. `carried`: aggregates over the cells of the
+    best candidate, by the names they get.
     """
-    counts = cells.where(F.col(term).isNotNull() & (F.col(term) != "")).groupBy(*key, term).agg(F.count("*").alias("n"), F.min(voter).alias("first_voter"))
+    counts = cells.where(F.col(term).isNotNull() & (F.col(term) != "")).groupBy(*key, term).agg(F.count("*").alias("n"), F.min(voter).alias("first_voter"), *(c.alias(name) for name, c in carried.items()))
     best = F.struct((-F.col("n")).alias("n"), "first_voter", term)
-    out = counts.groupBy(*key).agg(F.min_by(term, best).alias("best_candidate"), F.max("n").alias("agreeing_services"), F.sum("n").alias("total_services"), F.count("*").alias("unique_candidates"))
-    return out.withColumn("confidence", F.round(F.col("agreeing_services") / F.col("total_services"), 4))
+    out = counts.groupBy(*key).agg(F.min_by(F.struct(F.col(term).alias("best_candidate"), *carried), best).alias("best"), F.max("n").alias("agreeing_services"), F.sum("n").alias("total_services"), F.count("*").alias("unique_candidates"))
+    return out.select(*key, "best.*", "agreeing_services", "total_services", "unique_candidates", F.round(F.col("agreeing_services") / F.col("total_services"), 4).alias("confidence"))
+
+
+def distribution(cells: DataFrame, key: list[str], term: str = "term") -> DataFrame:
+    """(key, distribution): the terms of each key with their numbers, most first, as `term (n); term (n)`."""
+    counts = cells.where(F.col(term).isNotNull() & (F.col(term) != "")).groupBy(*key, term).agg(F.count("*").alias("n"))
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), term, F.format_string("%s (%d)", term, "n").alias("x"))))
+    return counts.groupBy(*key).agg(F.array_join(listed.getField("x"), "; ").alias("distribution"))
 
 
 def spread(rows: DataFrame, key: list[str], value: str, digits: int = 6) -> DataFrame:
@@ -35,10 +43,10 @@ def standard_residuals(counts: DataFrame, row: str, column: str, n: str = "n") -
     """Expected counts from the margins, and (observed - expected) / sqrt(expected). Sums by small windows of counts."""
     rows = counts.groupBy(row).agg(F.sum(n).alias("__r"))
     columns = counts.groupBy(column).agg(F.sum(n).alias("__c"))
-    total = counts.agg(F.sum(n)).first()[0] or 1
-    joined = counts.join(rows, row).join(columns, column)
-    expected = F.col("__r") * F.col("__c") / float(total)
-    return joined.withColumns({"expected": F.round(expected, 6), "residual": F.round((F.col(n) - expected) / F.sqrt(expected), 6)}).drop("__r", "__c")
+    total = counts.agg(F.sum(n).cast("double").alias("__t"))  # one row
+    joined = counts.join(rows, row).join(columns, column).crossJoin(F.broadcast(total))
+    expected = F.col("__r") * F.col("__c") / F.col("__t")
+    return joined.withColumns({"expected": F.round(expected, 6), "residual": F.round((F.col(n) - expected) / F.sqrt(expected), 6)}).drop("__r", "__c", "__t")
 
 
 def grid(rows: DataFrame, *columns: str) -> DataFrame:
@@ -48,3 +56,24 @@ def grid(rows: DataFrame, *columns: str) -> DataFrame:
     for d in dims[1:]:
         full = full.crossJoin(d)
     return full.join(rows.groupBy(*columns).agg(F.count("*").alias("n")), list(columns), "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def similarity_matrix(pairs: DataFrame, voters: DataFrame) -> DataFrame:
+    """pairwise() both ways round and with each voter beside itself: a, b, rate. voters: a."""
+    turned = pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "rate")
+    return pairs.select("a", "b", "rate").unionByName(turned).unionByName(voters.select("a", F.col("a").alias("b"), F.lit(1.0).alias("rate")))
+
+
+def mean_ranks(rows: DataFrame, column: str, name: str, parts: int = 256) -> DataFrame:
+    """(column, name): the mean rank of each value among all rows, without all values in one task.
+
+    Values are parted at about equal quantiles; sums of earlier parts, `parts` rows, are added to the running count within a part.
+    """
+    counts = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("__n"))
+    edges = counts.agg(F.percentile_approx(column, [i / parts for i in range(1, parts)], 10000).alias("__edges"))  # one row
+    counts = counts.crossJoin(F.broadcast(edges)).withColumn("__part", F.size(F.filter("__edges", lambda e: e < F.col(column)))).drop("__edges")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.groupBy("__part").agg(F.sum("__n").alias("__s")).select("__part", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__base"))
+    inside = Window.partitionBy("__part").orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumn("__upto", F.sum("__n").over(inside)).join(F.broadcast(base), "__part")
+    return ranked.select(column, (F.col("__base") + F.col("__upto") - (F.col("__n") - 1) / 2).alias(name))

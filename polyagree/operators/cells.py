@@ -11,7 +11,10 @@ from polyagree.functions.text import is_empty_rationale, present
 
 
 def keep_latest(rows: DataFrame, key: list[str], *order: Column) -> DataFrame:
-    """One row for each key, the last by `order`, which must not leave ties."""
+    """One row for each key, the last by `order`, which must not leave ties.
+
+    A row number held to 1 is a group limit to Spark, which drops all but the last of a key in each task before the shuffle.
+    """
     last = Window.partitionBy(*key).orderBy(*(o.desc_nulls_last() for o in order))
     return rows.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n")
 

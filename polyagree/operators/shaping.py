@@ -31,7 +31,7 @@ def parallel(rows: DataFrame, key: list[str], lists: Sequence[str]) -> DataFrame
 
 def delimited(rows: DataFrame, column: str, separator: str = "\\s*[,;]\\s*") -> DataFrame:
     """A row for each part of a delimited text that is not blank, parts without spaces at the ends."""
-    parts = F.filter(F.transform(F.split(column, separator), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(column, separator), lambda x: F.trim(x)), lambda x: x != "")
     return rows.withColumn(column, F.explode(parts))
 
 
@@ -56,7 +56,7 @@ def transposed(rows: DataFrame, label: str, columns: Sequence[str]) -> DataFrame
 
 def last_dict(text: Column, key: str) -> Column:
     """The last `{...}` without braces inside it in a text that has the key."""
-    return F.element_at(F.filter(F.regexp_extract_all(text, F.lit("\\{[^{}]*\\}"), 0), lambda x: F.contains(x, F.lit(f'"{key}"')) | F.contains(x, F.lit(f"'{key}'"))), -1)
+    return F.try_element_at(F.filter(F.regexp_extract_all(text, F.lit("\\{[^{}]*\\}"), 0), lambda x: F.contains(x, F.lit(f'"{key}"')) | F.contains(x, F.lit(f"'{key}'"))), F.lit(-1))
 
 
 def list_or_one(text: Column) -> Column:

@@ -34,10 +34,19 @@ def service_stability_summary(spark, d):
 
 
 def consensus_all_cells(spark, d):
+    who = {"services": F.size(F.collect_set("service")).cast("long"), "variants": F.size(F.collect_set("variant")).cast("long")}
+    return agreement.plurality(views.cells(spark, d), ["item"], **who)
+
+
+def term_distribution(spark, d):
+    return agreement.distribution(views.cells(spark, d), ["item"])
+
+
+def service_matrix(spark, d):
+    """Rates of agreement of all services with all, each with itself too."""
     rows = views.cells(spark, d)
-    best = agreement.plurality(rows, ["item"])
-    who = rows.groupBy("item", F.col("term").alias("best_candidate")).agg(F.count_distinct("service").alias("services"), F.count_distinct("variant").alias("variants"))
-    return best.join(who, ["item", "best_candidate"])
+    pairs = agreement.pairwise(rows, ["item", "variant"])
+    return agreement.similarity_matrix(pairs, rows.select(F.col("service").alias("a")).distinct())
 
 
 def pairwise_service_agreement(spark, d):
@@ -184,7 +193,7 @@ def judge_context(spark, d):
     return lists.select("item", F.array_join(F.transform("x", lambda e, i: F.concat((i + 1).cast("string"), F.lit(". "), e["line"])), "; ").alias("context"))
 
 
-QUERIES = {f.__name__: f for f in (agreement_within_variant, agreement_summary, stability_across_variants, service_stability_summary, consensus_all_cells, pairwise_service_agreement, variant_similarity, normalised_confidence, majority_outliers, fully_divergent, pairing_enforced, difference_categories, difference_tiers, disagreement_rules, keyword_ablation_flow, category_shares, term_selection, search_terms_grouped, direction_conflicts, conflict_split, corroborated_terms, manual_exclusions, judge_context)}
+QUERIES = {f.__name__: f for f in (agreement_within_variant, agreement_summary, stability_across_variants, service_stability_summary, consensus_all_cells, term_distribution, service_matrix, pairwise_service_agreement, variant_similarity, normalised_confidence, majority_outliers, fully_divergent, pairing_enforced, difference_categories, difference_tiers, disagreement_rules, keyword_ablation_flow, category_shares, term_selection, search_terms_grouped, direction_conflicts, conflict_split, corroborated_terms, manual_exclusions, judge_context)}
 
 PV = PLURALITY.format(key="item, variant", voter="service")
 PS = PLURALITY.format(key="item, service", voter="CASE WHEN variant = 'F' THEN 0 ELSE 1 END")
@@ -197,6 +206,8 @@ ORACLE_SQL = {
     "stability_across_variants": f"WITH {CELLS} {PS}",
     "service_stability_summary": f"WITH {CELLS}, p AS ({PS}) SELECT service, {SPREAD.format(v='confidence')} FROM p GROUP BY service",
     "consensus_all_cells": f"WITH {CELLS}, p AS ({PI}) SELECT p.*, (SELECT count(DISTINCT service) FROM cells c WHERE c.item = p.item AND c.term = p.best_candidate) AS services, (SELECT count(DISTINCT variant) FROM cells c WHERE c.item = p.item AND c.term = p.best_candidate) AS variants FROM p",
+    "term_distribution": f"WITH {CELLS}, c AS (SELECT item, term, count(*) AS n FROM cells GROUP BY 1, 2) SELECT item, string_agg(term || ' (' || n || ')', '; ' ORDER BY n DESC, term) AS distribution FROM c GROUP BY 1",
+    "service_matrix": f"WITH {CELLS} SELECT x.service AS a, y.service AS b, CASE WHEN x.service = y.service THEN 1.0 ELSE round(count(*) FILTER (x.term = y.term) / count(*), 6) END AS rate FROM cells x JOIN cells y ON x.item = y.item AND x.variant = y.variant GROUP BY x.service, y.service",
     "pairwise_service_agreement": f"WITH {CELLS} SELECT x.service AS a, y.service AS b, count(*) AS shared, count(*) FILTER (x.term = y.term) AS alike, round(count(*) FILTER (x.term = y.term) / count(*), 6) AS rate FROM cells x JOIN cells y ON x.item = y.item AND x.variant = y.variant AND x.service < y.service GROUP BY 1, 2",
     "variant_similarity": f"WITH {CELLS} SELECT x.variant AS a, y.variant AS b, count(*) AS shared, count(*) FILTER (x.term = y.term) AS alike, round(count(*) FILTER (x.term = y.term) / count(*), 6) AS rate FROM cells x JOIN cells y ON x.item = y.item AND x.service = y.service AND x.variant < y.variant GROUP BY 1, 2",
     "normalised_confidence": rf"WITH {TEXTS}, a AS (SELECT language, max(n) / sum(n) AS e FROM (SELECT language, term, count(*) AS n FROM texts WHERE term <> '' GROUP BY 1, 2) GROUP BY 1), b AS (SELECT language, max(n) / sum(n) AS l FROM (SELECT language, trim(lower(term)) AS t, count(*) AS n FROM texts GROUP BY 1, 2) WHERE t <> '' GROUP BY 1) SELECT language, round(e, 4) AS exact, round(l, 4) AS loose, round(round(l, 4) - round(e, 4), 4) AS gain FROM a JOIN b USING (language)",

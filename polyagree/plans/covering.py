@@ -95,9 +95,9 @@ RESULTS = "results AS (SELECT l_orderkey AS id, p_type AS search_term, p_brand A
 
 def value_add(spark, d):
     """Results that a language finds and the first language does not."""
-    rows = _results(spark, d).select("id", "language").distinct()
-    first = rows.agg(F.min("language")).first()[0]
-    return rows.join(rows.where(F.col("language") == first).select("id"), "id", "left_anti").groupBy("language").agg(F.count("*").alias("added"))
+    found = _results(spark, d).groupBy("id").agg(F.collect_set("language").alias("ls"))
+    first = found.agg(F.min(F.array_min("ls")).alias("first"))  # one row
+    return found.crossJoin(F.broadcast(first)).where(~F.array_contains("ls", F.col("first"))).select(F.explode("ls").alias("language")).groupBy("language").agg(F.count("*").alias("added"))
 
 
 def hit_rates(spark, d):
@@ -143,10 +143,7 @@ def correlations(spark, d):
     """Pearson, and Spearman by mean ranks; ranks from counts of values, so that no row is ranked alone."""
     rows = table(spark, d, "part").select(F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"))
     for c in ("x", "y"):
-        counts = rows.groupBy(c).agg(F.count("*").alias("__n"))
-        up = Window.orderBy(c).rowsBetween(Window.unboundedPreceding, 0)
-        ranks = counts.withColumn(f"r{c}", F.sum("__n").over(up) - (F.col("__n") - 1) / 2).drop("__n")
-        rows = rows.join(ranks, c)
+        rows = rows.join(agreement.mean_ranks(rows, c, f"r{c}"), c)
     return rows.agg(F.round(F.corr("x", "y"), 6).alias("pearson"), F.round(F.corr("rx", "ry"), 6).alias("spearman"))
 
 
@@ -185,7 +182,7 @@ def fill_merged(spark, d):
 def text_signals(spark, d):
     docs = table(spark, d, "documents").where("text is not null")
     t = F.col("text")
-    return docs.select("doc_id", F.size(X.words(F.col("text"))).cast("long").alias("n_words"), X.is_repetition_loop(t).alias("loop"), X.is_extreme_length(F.col("text")).alias("extreme"), X.is_short(t).alias("short"), X.has_escape(F.col("text")).alias("escape"), X.is_search_unsafe(F.col("text")).alias("unsafe"), X.leaks_source(t, "the thing").alias("leak"))
+    return docs.select("doc_id", X.loop_facts(t).alias("w"), X.is_extreme_length(t).alias("extreme"), X.is_short(t).alias("short"), X.has_escape(t).alias("escape"), X.is_search_unsafe(t).alias("unsafe"), X.leaks_source(t, "the thing").alias("leak")).select("doc_id", F.col("w.n").cast("long").alias("n_words"), "w.loop", "extreme", "short", "escape", "unsafe", "leak")
 
 
 def word_count_cv(spark, d):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,15 +17,73 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def read_csv(spark: SparkSession, path: str, schema: str | None = None, encoding: str = "UTF-8", sep: str = ",", keep_bad: bool = False) -> DataFrame:
     """All columns are strings unless a schema is given; empty strings stay, and so does the key 'nan'; bad lines are dropped or kept apart."""
     reader = spark.read.options(header=True, multiLine=True, escape='"', encoding=encoding, sep=sep, emptyValue="", nullValue="\x00", mode="PERMISSIVE" if keep_bad else "DROPMALFORMED")
-    return (reader.schema(schema) if schema else reader).csv(path)
+    return reader.schema(schema).csv(path) if schema else reader.csv(path).na.fill("")  # an empty cell without quotes is read as null
 
 
 def read_csv_any(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """UTF-8, or Latin-1 where a line is not UTF-8."""
-    broken = spark.read.text(path).where(F.col("value").contains("�")).limit(1).count()
+    """UTF-8, or Latin-1 where the bytes of a line are not UTF-8; lines that do not fit the columns are dropped."""
+    broken = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count()
     return read_csv(spark, path, schema, "ISO-8859-1" if broken else "UTF-8")
 
 
+def columns_of(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
+    """The names in the header of a CSV file; no row is read."""
+    return spark.read.options(header=True, sep=sep, enforceSchema=False).csv(path).limit(0).columns
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where))
+
+
+def preferred(spark: SparkSession, *paths: str) -> str:
+    """The first of the paths that there is, as a reviewed file before the one it was made from."""
+    for p in paths:
+        if exists(spark, p):
+            return p
+    raise FileNotFoundError(", ".join(paths))
+
+
+def read_grid(spark: SparkSession, folder: str, pattern: str, names: list[str], columns: list[str]) -> DataFrame:
+    """Rows of the CSV files of a folder whose names match, with what the pattern's groups hold as `names`; a file may lack columns, and there may be none."""
+    found = [f for f in _listed(spark, folder) if re.fullmatch(pattern, f.rsplit("/", 1)[-1])]
+    frames = []
+    for f in sorted(found):
+        rows = read_csv(spark, f)
+        parts = re.fullmatch(pattern, f.rsplit("/", 1)[-1]).groups()
+        frames.append(rows.select(*(F.lit(x).alias(n) for n, x in zip(names, parts)), *(F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in columns)))
+    return read_many(frames) if frames else spark.createDataFrame([], ", ".join(f"`{c}` string" for c in [*names, *columns]))
+
+
+def _listed(spark: SparkSession, folder: str) -> list[str]:
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return [x.getPath().toString() for x in where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where) if x.isFile()]
+
+
+def read_json_tree(spark: SparkSession, path: str, levels: int, at: tuple[str, ...] = ()) -> DataFrame:
+    """(key1 .. key<levels>, value) rows of nested JSON objects below the path `at`; what lies deeper stays as JSON text."""
+    kind: T.DataType = T.StringType()
+    for _ in range(levels):
+        kind = T.MapType(T.StringType(), kind)
+    for name in reversed(at):
+        kind = T.StructType([T.StructField(name, kind)])
+    rows = spark.read.text(path, wholetext=True).select(F.from_json("value", kind).alias("v"))
+    rows = rows.select(F.col(".".join(["v", *at])).alias("v"))
+    for k in range(1, levels + 1):
+        rows = rows.select(*(f"key{j}" for j in range(1, k)), F.explode("v").alias(f"key{k}", "v"))
+    return rows.withColumnRenamed("v", "value")
+
+
+def html_table(pages: DataFrame, junk: str | None = None) -> DataFrame:
+    """page_id, row and cells (array of texts) of the first table of each page, tags taken out; rows that match `junk`, and empty ones, are dropped."""
+    first = F.regexp_extract("html", "(?is)<table[^>]*>(.*?)</table>", 1)
+    rows = pages.select("page_id", F.posexplode(F.regexp_extract_all(first, F.lit("(?is)<tr[^>]*>(.*?)</tr>"), 1)).alias("row", "raw"))
+    plain = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "(?s)<[^>]*>", ""), "\\s+", " "))
+    cells = rows.select("page_id", "row", F.transform(F.regexp_extract_all("raw", F.lit("(?is)<t[dh][^>]*>(.*?)</t[dh]>"), 1), plain).alias("cells"))
+    cells = cells.where(F.array_join("cells", "") != "")
+    return cells if junk is None else cells.where(~F.array_join("cells", " ").rlike(junk))
+
+
 def read_variant(spark: SparkSession, folder: str, variant: str) -> DataFrame:
     """CSV files whose names hold the variant, with the file's name as a column."""
     rows = spark.read.options(header=True, pathGlobFilter=f"*{variant}*.csv").csv(folder)
@@ -46,8 +105,10 @@ def read_json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_records(spark: SparkSession, path: str, fields: list[str], separator: str = "%%\n") -> DataFrame:
     """Text of records between separators, with lines `Field: value`."""
-    rows = spark.read.text(path, lineSep=separator)
-    return rows.select(*(F.nullif(F.regexp_extract("value", f"(?m)^{f}: (.*)$", 1), F.lit("")).alias(f.lower().replace("-", "_")) for f in fields)).where(F.coalesce(*(F.col(f.lower().replace("-", "_")) for f in fields)).isNotNull())
+    names = {f: f.lower().replace("-", "_") for f in fields}
+    rows = spark.read.text(path, lineSep=separator).withColumn("value", F.regexp_replace("value", "\n[ \t]+", " "))  # a line that goes on is indented
+    found = rows.select(*(F.nullif(F.regexp_extract("value", f"(?m)^{f}: (.*)$", 1), F.lit("")).alias(n) for f, n in names.items()))
+    return found.where(F.coalesce(*names.values()).isNotNull())
 
 
 def html_items(pages: DataFrame, tag: str = "li") -> DataFrame:
@@ -71,6 +132,25 @@ def write_csv(df: DataFrame, path: str, by: list[str] | None = None, quote_all:
     (writer.partitionBy(*by) if by else writer).csv(path)
 
 
+def suffixed(name: str, **off: bool) -> str:
+    """A name of an output that tells which parts were switched off, so that a partial run never takes the place of a whole one."""
+    return name + "".join(f"_no_{k}" for k, v in sorted(off.items()) if v)
+
+
+def write_with_backup(df: DataFrame, path: str, stamp: str, dry_run: bool = False) -> str | None:
+    """Overwrite a table after its last state was written beside it, named by `stamp`; returns where. A dry run writes nothing."""
+    spark = df.sparkSession
+    kept = f"{path}.backup-{stamp}" if exists(spark, path) else None
+    if dry_run:
+        return kept
+    if kept:
+        spark.read.parquet(path).write.mode("overwrite").parquet(kept)
+    staged = f"{path}.new-{stamp}"  # the new state may be read from the old one
+    df.write.mode("overwrite").parquet(staged)
+    spark.read.parquet(staged).write.mode("overwrite").parquet(path)
+    return kept
+
+
 def append_evolving(df: DataFrame, path: str) -> None:
     """Append rows; columns may be new or missing, reads merge them."""
     df.write.mode("append").parquet(path)
