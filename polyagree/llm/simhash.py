@@ -3,11 +3,12 @@
 A fingerprint has 64 bits, each the majority of that bit in the XXH64 hashes of a text's word shingles. Two fingerprints
 link at `distance` or fewer differing bits. Cut into `distance // 2 + 1` segments, two linked ones differ in at most one
 bit of some segment; so each segment is indexed once for each of its bits, that bit taken out, and linked fingerprints
-share a key. Keys are equality-joined and every candidate is verified.
+share a key. Keys are equality-joined and every candidate is verified. With many fingerprints keys take two or three of more
+segments, with at most one differing bit in them together, so that buckets stay small.
 
 Groups of copies: equal fingerprints are one row from the start. A first pass links each fingerprint only to the least of
 its key's bucket; buckets whose members are then one component need no further look, and in the others only members of
-different components are compared, the component of the bucket's least label on one side. So a dense group of near copies
+different components are compared, one of each two of them on the left side. So a dense group of near copies
 costs about its size, not its square, and no link between components is lost.
 
 `keep_one` deduplicates by similarity of texts rather than by distance of one fingerprint. Texts whose five-word shingles are
@@ -22,6 +23,8 @@ empty table gives an empty result; other columns are not read, and keep_one() re
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,28 +66,43 @@ def fingerprints(text, shingle: int) -> F.Column:
     return of(text)
 
 
-def segments(distance: int) -> list[tuple[int, int]]:
-    """(lowest bit, width) of the segments; two fingerprints within `distance` differ in at most one bit of one of them."""
-    n = distance // 2 + 1
+def segments(distance: int, chosen: int = 1) -> list[tuple[int, int]]:
+    """(lowest bit, width) of the segments; of two fingerprints within `distance`, some `chosen` of them differ in at most one bit together."""
+    n = distance * chosen // 2 + 1
     edges = [BITS * i // n for i in range(n + 1)]
     return list(zip(edges, (b - a for a, b in zip(edges, edges[1:]))))
 
 
-def variant_keys(column: str, distance: int, first: int = 0, shift: int = 32) -> list:
-    """A key for each segment and bit of it, of the segment without that bit; keys are numbered from `first` above `shift` bits."""
-    keys, number = [], first
-    for low, width in segments(distance):
-        part = F.shiftrightunsigned(column, low).bitwiseAND((1 << width) - 1)
-        for bit in range(width):
-            short = F.shiftrightunsigned(part, bit + 1) if bit + 1 < width else F.lit(0).cast("long")
-            keys.append(F.lit(number << shift) + F.shiftleft(short, bit) + part.bitwiseAND((1 << bit) - 1))
-            number += 1
-    return keys
+def chosen_for(n: int) -> int:
+    """How many segments a key has: one up to 2^26 fingerprints, so that a key's bucket has 2^6; more beyond, as they make rarer keys but more of them."""
+    return 1 if n <= 1 << 26 else 2 if n <= 1 << 30 else 3
+
 
+def _without(part, bit):
+    """`part` without one bit, a number or a column."""
+    upper = F.call_function("shiftrightunsigned", part, F.lit(bit) + 1) if not isinstance(bit, int) else F.shiftrightunsigned(part, bit + 1)
+    lower = part.bitwiseAND((1 << bit) - 1) if isinstance(bit, int) else part.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bit) - 1)
+    return (F.call_function("shiftleft", upper, bit) if not isinstance(bit, int) else F.shiftleft(upper, bit)) + lower
 
-def variants(prints: DataFrame, distance: int) -> DataFrame:
-    """All columns and `key`: a row for each key of `fp`."""
-    return prints.withColumn("key", F.explode(F.array(*variant_keys("fp", distance))))
+
+def variants(prints: DataFrame, distance: int, chosen: int = 1) -> DataFrame:
+    """All columns and `key`: a row for each choice of segments and bit of them, of these segments of `fp` without that bit.
+
+    Keys are numbered above 32 bits, by choice and bit.
+    """
+    lists, first = [], 0
+    for some in combinations(segments(distance, chosen), chosen):
+        part, size = F.lit(0).cast("long"), 0
+        for low, width in some:
+            bits = F.shiftrightunsigned("fp", low).bitwiseAND((1 << width) - 1)
+            part, size = part + F.shiftleft(bits, size), size + width
+        if chosen == 1:
+            lists.append(F.array(*(F.lit(first + k << 32) + _without(part, k) for k in range(size))))
+        else:  # as many expressions would be too much code
+            number = lambda k, first=first: F.call_function("shiftleft", (F.lit(first) + k).cast("long"), F.lit(32))
+            lists.append(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k, part=part: number(k) + _without(part, k)))
+        first += size
+    return prints.withColumn("key", F.explode(F.concat(*lists)))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -110,7 +128,7 @@ def near(a: str, b: str, distance: int) -> F.Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
 
 
-def classes(prints: DataFrame, distance: int) -> DataFrame:
+def classes(prints: DataFrame, distance: int, chosen: int = 1) -> DataFrame:
     """(fp, label) of distinct fingerprints `prints` (fp): label is the least fingerprint reachable.
 
     Each of the two passes shuffles the index once. What a bucket's members have in common is found beside them by a
@@ -118,12 +136,12 @@ def classes(prints: DataFrame, distance: int) -> DataFrame:
     """
     bucket = Window.partitionBy("key")
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spokes = variants(prints.repartition(parts, "fp"), distance).withColumn("hub", F.min("fp").over(bucket))
+    spokes = variants(prints.repartition(parts, "fp"), distance, chosen).withColumn("hub", F.min("fp").over(bucket))
     spokes = spokes.where((F.col("fp") != F.col("hub")) & near("fp", "hub", distance))
     first = components(spokes.select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct())
     named = prints.join(first, prints.fp == first.node, "left").select("fp", F.coalesce("label", "fp").alias("label"))
     named = shared.staged(named, "named")
-    members = variants(named.repartition(parts, "fp"), distance)
+    members = variants(named.repartition(parts, "fp"), distance, chosen)
     members = members.withColumns({"lo": F.min("label").over(bucket), "hi": F.max("label").over(bucket)}).where("lo < hi").drop("hi")
     others = members.where("label <> lo").select("key", F.col("fp").alias("fp2"), F.col("label").alias("label2"))
     one_side = (F.col("label") == F.col("lo")) | (F.col("label") < F.col("label2"))
@@ -132,12 +150,15 @@ def classes(prints: DataFrame, distance: int) -> DataFrame:
     return named.join(second, named.label == second.node, "left").select("fp", F.coalesce(second.label, named.label).alias("label"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = 4) -> DataFrame:
-    """doc_id, fp (signed long) and component_id, the least doc_id reachable over links of fingerprints, for each row."""
+def near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = 4, chosen: int | None = None) -> DataFrame:
+    """doc_id, fp (signed long) and component_id, the least doc_id reachable over links of fingerprints, for each row.
+
+    `chosen`: segments in a key, by the number of rows if not given; the links are the same.
+    """
     shared.prepare(docs.sparkSession)
     marked = shared.staged(docs.select(F.col("doc_id").cast("long"), fingerprints(shared.text_bytes(), shingle).alias("fp")), "fingerprints")
     prints = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    named = classes(prints.select("fp"), distance)
+    named = classes(prints.select("fp"), distance, chosen_for(marked.count()) if chosen is None else chosen)
     least = prints.join(named, "fp")
     smallest = least.groupBy("label").agg(F.min("least").alias("component_id"))
     table = shared.staged(least.join(smallest, "label").select("fp", "component_id"), "classes")
