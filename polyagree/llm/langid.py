@@ -3,7 +3,8 @@
 Subwords are the runs of SIZES bytes of a text's words, a white space on either side included. Each hashes to a row of an
 embedding table; a text is the mean of its subwords' rows, and a linear softmax gives languages. Training runs on the
 driver over a bounded sample of labelled rows, whose subwords executors have already counted. A temperature and a floor on
-the confidence are fitted on a part of the sample that training has not seen. As the model is linear in the mean, scoring
+the confidence are fitted on a part of the sample that training has not seen. As a softmax is sure of some language whatever the
+text, a text is also rejected whose subwords are much rarer in the sample, on average, than those of any text learnt. As the model is linear in the mean, scoring
 multiplies table and softmax once and adds up a few numbers for each subword; whole texts are read, in blocks.
 
 Cases: null text and text without a letter give `und` with score 0; texts with subwords of no learnt language have a score
@@ -25,6 +26,8 @@ SIZES, ROWS, WIDTH = (2, 3, 4), 1 << 14, 16
 #: Labelled rows that training sees about, least hashes of their ids, and the part of them kept for calibration.
 SAMPLE, HELD = 3000, 0.2
 EPOCHS, RATE, BATCH = 12, 2.0, 16
+#: How far below the least usual of the learnt texts, in parts of the way from there to the median, a text may be.
+SLACK = 0.4
 UNKNOWN = "und"
 BLOCK = 1 << 19
 
@@ -69,11 +72,17 @@ class Model:
     bias: np.ndarray
     temperature: float
     floor: float
+    usual: np.ndarray | None = None  # log of each row's share of the subwords learnt from
+    least: float = -np.inf  # the mean of `usual` over a text's subwords below which the text is of none of the languages
 
     def scores(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Calibrated probabilities, one row for each text."""
+        return self.judged(raw, offsets)[0]
+
+    def judged(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Calibrated probabilities, one row for each text, and the mean of `usual` over its subwords."""
         n, k = len(offsets) - 1, len(self.languages)
-        sums, counts = np.zeros((n, k)), np.zeros(n)
+        sums, counts, known = np.zeros((n, k)), np.zeros(n), np.zeros(n)
         for first, piece, at, upto in blocks(raw, offsets):
             for rows, text in subwords(piece, at, upto):
                 if len(rows):
@@ -82,9 +91,11 @@ class Model:
                     counts[to] += np.diff(np.append(starts, len(text)))
                     for c in range(k):
                         sums[to, c] += np.add.reduceat(self.columns[c][rows], starts)
+                    if self.usual is not None:
+                        known[to] += np.add.reduceat(self.usual[rows], starts)
         z = (sums / np.maximum(counts, 1)[:, None] + self.bias) / self.temperature
         e = np.exp(z - z.max(axis=1, keepdims=True))
-        return e / e.sum(axis=1, keepdims=True)
+        return e / e.sum(axis=1, keepdims=True), known / np.maximum(counts, 1)
 
     @property
     def columns(self) -> list[np.ndarray]:
@@ -156,7 +167,14 @@ def fit(examples: list, seed: int = 5) -> Model:
     p /= p.sum(axis=1, keepdims=True)
     right = p.max(axis=1)[p.argmax(axis=1) == truth]
     floor = min(0.5, float(np.quantile(right, 0.002))) if len(right) else 0.5
-    return Model(languages, table, bias, float(temperature), floor)
+    counts = np.zeros(ROWS)
+    for r, c, _ in data:
+        counts[r] += c
+    usual = np.log((counts + 1e-3) / (counts.sum() + 1)).astype(np.float32)
+    found = np.array([c @ usual[r] for r, c, _ in data])
+    spread = float(np.median(found) - found.min()) if len(found) else 0.0
+    least = float(found.min()) - SLACK * spread if len(found) else -np.inf
+    return Model(languages, table, bias, float(temperature), floor, usual, least)
 
 
 def train(docs: DataFrame, most: int = SAMPLE) -> Model:
@@ -173,19 +191,19 @@ def _has_letter(text: bytes) -> bool:
 
 
 def predicted(model: Model, text: Column) -> Column:
-    """Struct of lang_pred and score of a column of texts as bytes (no nulls)."""
+    """Struct of lang_pred, score and usual (the mean of model.usual) of a column of texts as bytes (no nulls)."""
     # the model goes with the function to each task: ROWS x languages numbers
 
-    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    @F.arrow_udf("struct<lang_pred:string,score:double,usual:double>")
     def of(texts):
         import pyarrow as pa
 
         raw, at = shared.buffer_of(texts)
-        p = model.scores(raw, at)
+        p, usual = model.judged(raw, at)
         letters = np.array([_has_letter(raw[at[i] : at[i + 1]].tobytes()) for i in range(len(texts))], bool)
         names = np.array(model.languages, object)[p.argmax(axis=1)] if len(p) else np.zeros(0, object)
         names = [x if y else UNKNOWN for x, y in zip(names, letters)]
-        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.where(letters & (np.array(names, object) != UNKNOWN), p.max(axis=1) if len(p) else 0.0, 0.0).astype(np.float64))], ["lang_pred", "score"])
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.where(letters & (np.array(names, object) != UNKNOWN), p.max(axis=1) if len(p) else 0.0, 0.0).astype(np.float64)), pa.array(usual)], ["lang_pred", "score", "usual"])
 
     return of(text)
 
@@ -197,7 +215,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of `docs` whose language is known with the calibrated confidence; columns stay."""
+    """The rows of `docs` whose language is known with the calibrated confidence, and whose subwords are as usual as learnt texts'; columns stay."""
     shared.prepare(docs.sparkSession)
     marked = docs.select(F.struct("*").alias("document"), predicted(model, shared.text_bytes()).alias("p"))
-    return marked.where((F.col("p.lang_pred") != UNKNOWN) & (F.col("p.score") >= model.floor)).select("document.*")
+    return marked.where((F.col("p.lang_pred") != UNKNOWN) & (F.col("p.score") >= model.floor) & (F.col("p.usual") >= model.least)).select("document.*")
