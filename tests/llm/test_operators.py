@@ -7,6 +7,7 @@ import math
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -215,6 +216,7 @@ def test_simhash(spark, docs, empty):
     rows = [*ROWS, *((1000 + i, " ".join(["x" if j == i else w for j, w in enumerate(near[0].split())]), "en", None, 1, 1, None, 1, 1, 1) for i in range(40))]
     got = simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3), 4, 4).collect()
     assert by_row(got, "doc_id", "fp", "component_id") == brute_components(rows, 4, 4)
+    assert by_row(simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA), 4, 4, chosen=2).collect(), "doc_id", "component_id") == by_row(got, "doc_id", "component_id")
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns and kept.count() == kept.select("doc_id").distinct().count()
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
@@ -308,7 +310,8 @@ def test_hash_sample_is_bounded_and_reruns_agree(spark):
     assert len({tuple(sorted(r.doc_id for r in shared.hash_sample(hot.repartition(n), 100, 6).collect())) for n in (2, 5)}) == 1
 
 
-def test_linked_fingerprints_share_a_variant(spark):
+@pytest.mark.parametrize("chosen", [1, 2, 3])
+def test_linked_fingerprints_share_a_variant(spark, chosen):
     rnd, rows = random.Random(5), []
     for i in range(300):
         a = rnd.getrandbits(64)
@@ -316,7 +319,7 @@ def test_linked_fingerprints_share_a_variant(spark):
         for bit in rnd.sample(range(64), rnd.randint(1, 4)):
             b ^= 1 << bit
         rows += [(i, x - (1 << 64) if x >> 63 else x) for x in (a, b)]
-    keys = simhash.variants(spark.createDataFrame(rows, "i long, fp long"), 4)
+    keys = simhash.variants(spark.createDataFrame(rows, "i long, fp long").repartition(8), 4, chosen)
     assert keys.groupBy("i", "key").count().where("count > 1").select("i").distinct().count() == 300
 
 
@@ -420,6 +423,42 @@ def test_langid(docs, empty):
     assert langid.accepted(docs, model).columns == docs.columns
 
 
+def brute_subwords(text):
+    """Each run of two to four bytes of a text, with a white space at its ends alone, and not two of them."""
+    raw = bytes(32 if b in shared.SPACES else b + 32 if 65 <= b <= 90 else b for b in text.encode())
+    for size in langid.SIZES:
+        for i in range(len(raw) - size + 1):
+            part = raw[i : i + size]
+            if 32 not in part[1:-1] and part != b"  ":
+                code = int.from_bytes(part, "little")
+                yield ((code * 2654435761 + (size * 0x9E3779B1 & 0xFFFFFFFF)) & 0xFFFFFFFF) >> (33 - langid.ROWS.bit_length())
+
+
+def test_langid_equals_a_plain_mean(docs):
+    """Language and score of each text from a mean over its subwords, one at a time."""
+    model = langid.train(docs)
+    got = collections.Counter((r.doc_id, r.lang_pred, round(r.score, 4)) for r in langid.identify(docs, model).collect())
+    want = collections.Counter()
+    for r in ROWS:
+        text, found = r[1] or "", list(brute_subwords(r[1] or ""))
+        z = (model.table[found].mean(axis=0) if found else 0) + model.bias
+        p = np.exp((z - z.max()) / model.temperature)
+        p /= p.sum()
+        letters = any(c.isalpha() for c in text)
+        want[(r[0], model.languages[int(p.argmax())] if letters else "und", round(float(p.max()), 4) if letters else 0.0)] += 1
+    assert got == want
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="needs the driver's tables")
+def test_langid_rejects_what_it_has_not_learnt(spark):
+    known = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.train(known)
+    rows = ["Это совсем другой язык, которого здесь нет", "这是另一种语言", "Αυτή είναι μια άλλη γλώσσα", "zzxq qqzx vvkk", "12 34 56", "", None]
+    odd = spark.createDataFrame([(1000 + i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+    assert langid.accepted(odd, model).count() == 0
+    assert langid.accepted(known, model).count() >= 0.97 * known.where("text is not null").count()
+
+
 def test_langid_reads_whole_texts():
     langid_block, raw = langid.BLOCK, np.frombuffer(b"abc def ghi " * 500, np.uint8)
     model = langid.Model(["a", "b"], np.random.default_rng(0).normal(size=(langid.ROWS, 2)), np.zeros(2), 1.0, 0.0)
@@ -536,7 +575,16 @@ def test_media(docs, empty):
         text = {x[0]: x[1] or "" for x in ROWS}[r.doc_id].encode()
         payload = text + b" " * (-len(text) % 192 if text else 192)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
-        assert np.load(io.BytesIO(r.tile)).shape == media.TILE
+        stored = b"P6\n64 %d\n255\n" % (len(payload) // 192) + payload
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        tile = np.load(io.BytesIO(r.tile))
+        image = np.frombuffer(payload, np.uint8).reshape(-1, 64, 3).mean(axis=2)
+        fine = np.repeat(np.repeat(image, media.TILE[0], axis=0), media.TILE[1], axis=1) if len(image) < 400 else None
+        if fine is not None:  # each cell of the tile is the mean of as many cells of the enlarged image
+            mean = fine.reshape(media.TILE[0], len(image), media.TILE[1], 64).mean(axis=(1, 3))
+            assert np.abs(tile - mean).max() <= 0.51
+            bits = [int(a < b) for row in mean.round(6) for a, b in zip(row, row[1:])]
+            assert sum(x != y for x, y in zip(bits, map(int, f"{int(r.feature, 16):064b}"))) <= 2  # ties to rounding
     assert len(got) == len(ROWS) and media.describe(media.store(empty)).count() == 0
 
 
@@ -633,6 +681,19 @@ def test_quality_fm(spark, docs, empty):
     assert quality_fm.score(empty, quality_fm.train(empty, labels)).count() == 0
 
 
+def test_quality_scores_equal_all_pairs(spark, docs):
+    """The score of a text from its features and each pair of them; features of a text do not depend on its batch."""
+    labels = spark.createDataFrame([(r[0], r[0] % 2) for r in ROWS[:90]], "doc_id long, quality int")
+    model = quality_fm.train(docs, labels)
+    got = {r.doc_id: r.score for r in quality_fm.score(docs, model).collect()}
+    for r in [*ROWS[:10], *ROWS[90:99]]:
+        raw = np.frombuffer((r[1] or "").encode(), np.uint8)
+        cols, x = next(((c, v) for _, _, (_, c, v) in quality_fm.features(raw, np.array([0, len(raw)]))))
+        z = model.w0 + model.w[cols] @ x
+        z += sum(float(model.v[cols[i]] @ model.v[cols[j]]) * x[i] * x[j] for i in range(len(cols)) for j in range(i))
+        assert got[r[0]] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
+
+
 def test_pairs_by_the_sum_of_squares():
     rng = np.random.default_rng(0)
     model = quality_fm.Model(0.3, rng.normal(size=quality_fm.FEATURES), rng.normal(size=(quality_fm.FEATURES, 3)))
