@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -129,8 +131,13 @@ def is_aware(x: Column) -> Column:
 
 
 def keywords(x: Column, family: str) -> Column:
-    """The keywords of a family of V.SIGNALS that a rationale holds, in their order."""
-    return F.array_compact(F.array(*(F.when(says(x, k), F.lit(k)) for k in V.SIGNALS[family])))
+    """The keywords of a family of V.SIGNALS that a rationale holds, in their order. Those that are no patterns are looked up as they stand."""
+
+    def of(low: Column) -> Column:
+        held = lambda k: F.coalesce(F.contains(low, F.lit(k)), F.lit(False)) if re.fullmatch("[a-z' -]+", k) else says(low, k)
+        return F.array_compact(F.array(*(F.when(held(k), F.lit(k)) for k in V.SIGNALS[family])))
+
+    return let(F.lower(x), of)
 
 
 def comparable(x: Column, marks: str = V.EDGE_MARKS) -> Column:

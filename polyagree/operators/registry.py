@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 def roots(edges: DataFrame, depth: int = 32) -> DataFrame:
     """(code, root, depth) of a tree (code, parent): the ancestor without a parent; a cycle or a missing parent ends the walk.
 
-    Pointers double each round, so a depth of 32 takes five joins, each with the rows that are a root of some row and no others.
+    Pointers double each round, so a depth of 32 takes five joins. After the first, all rows share a few roots; the side that is
+    looked up has one row a code, so Spark can split the hot keys of the other.
     """
     up = edges.select("code", F.coalesce("parent", "code").alias("root"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth"))
     for _ in range(max(1, (depth - 1).bit_length())):
-        used = up.select(F.col("root").alias("code")).distinct()
-        next_ = up.join(used, "code", "left_semi").select(F.col("code").alias("root"), F.col("root").alias("__next"), F.col("depth").alias("__more"))
+        next_ = up.select(F.col("code").alias("root"), F.col("root").alias("__next"), F.col("depth").alias("__more"))
         up = up.join(next_, "root", "left").select("code", F.coalesce("__next", "root").alias("root"), (F.col("depth") + F.coalesce("__more", F.lit(0))).alias("depth"))
     return up
 
