@@ -402,3 +402,18 @@ def parsed_reply(x: Column) -> Column:
 
 def first_present(*columns: Column) -> Column:
     return F.coalesce(*(F.when(present(c), F.trim(c)) for c in columns), F.lit("Other"))
+
+
+def lenient_time(x: Column) -> Column:
+    """A time written as text; null where it is none."""
+    return F.try_to_timestamp(x)
+
+
+def is_suspicious(term: Column, languages: Column) -> Column:
+    """A search term in ASCII alone that only one language gives."""
+    return F.coalesce(term.rlike("^[\\x00-\\x7F]+$") & (languages == 1), F.lit(False))
+
+
+def is_short_search(term: Column, least: int = 4) -> Column:
+    """A search term of fewer code points than are worth a search; an empty one is none."""
+    return F.coalesce(F.char_length(term).between(1, least - 1), F.lit(False))

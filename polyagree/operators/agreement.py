@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,11 +33,11 @@ def spread(rows: DataFrame, key: list[str], value: str, digits: int = 6) -> Data
     return rows.groupBy(*key).agg(F.count(value).alias("n"), F.round(F.avg(value), digits).alias("mean"), F.round(F.percentile(value, F.lit(0.5)), digits).alias("median"), F.round(d, digits).alias("std"), F.round(F.when(F.avg(value) != 0, d / F.avg(value)), digits).alias("cv"))
 
 
-def pairwise(cells: DataFrame, item: list[str], voter: str = "service", term: str = "term") -> DataFrame:
-    """For each pair of voters: items both name, items they name alike, and the rate. Joined on the item; voters are few."""
+def pairwise(cells: DataFrame, item: list[str], voter: str = "service", term: str = "term", by: Sequence[str] = ()) -> DataFrame:
+    """For each pair of voters: items both name, items they name alike, and the rate. Joined on the item; voters are few. `by`: columns of the item to count by."""
     a = cells.where(F.col(term).isNotNull()).select(*item, F.col(voter).alias("a"), F.col(term).alias("ta"))
     b = a.withColumnsRenamed({"a": "b", "ta": "tb"})
-    both = a.join(b, item).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"), F.count_if(F.col("ta") == F.col("tb")).alias("alike"))
+    both = a.join(b, item).where("a < b").groupBy(*by, "a", "b").agg(F.count("*").alias("shared"), F.count_if(F.col("ta") == F.col("tb")).alias("alike"))
     return both.withColumn("rate", F.round(F.col("alike") / F.col("shared"), 6))
 
 
@@ -64,16 +66,18 @@ def similarity_matrix(pairs: DataFrame, voters: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "rate").unionByName(turned).unionByName(voters.select("a", F.col("a").alias("b"), F.lit(1.0).alias("rate")))
 
 
-def mean_ranks(rows: DataFrame, column: str, name: str, parts: int = 256) -> DataFrame:
-    """(column, name): the mean rank of each value among all rows, without all values in one task.
+def mean_ranks(rows: DataFrame, column: str, name: str, parts: int = 256, by: Sequence[str] = ()) -> DataFrame:
+    """(by, column, name): the mean rank of each value among all rows, or those of its group, without all values of one in one task. Groups are few.
 
     Values are parted at about equal quantiles; sums of earlier parts, `parts` rows, are added to the running count within a part.
     """
-    counts = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("__n"))
-    edges = counts.agg(F.percentile_approx(column, [i / parts for i in range(1, parts)], 10000).alias("__edges"))  # one row
-    counts = counts.crossJoin(F.broadcast(edges)).withColumn("__part", F.size(F.filter("__edges", lambda e: e < F.col(column)))).drop("__edges")
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.groupBy("__part").agg(F.sum("__n").alias("__s")).select("__part", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__base"))
-    inside = Window.partitionBy("__part").orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("__upto", F.sum("__n").over(inside)).join(F.broadcast(base), "__part")
-    return ranked.select(column, (F.col("__base") + F.col("__upto") - (F.col("__n") - 1) / 2).alias(name))
+    counts = rows.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("__n"))
+    quantiles = F.percentile_approx(column, [i / parts for i in range(1, parts)], 10000).alias("__edges")
+    edges = F.broadcast(counts.groupBy(*by).agg(quantiles))  # one row, or one a group
+    counts = counts.join(edges, [*by]) if by else counts.crossJoin(edges)
+    counts = counts.withColumn("__part", F.size(F.filter("__edges", lambda e: e < F.col(column)))).drop("__edges")
+    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.groupBy(*by, "__part").agg(F.sum("__n").alias("__s")).select(*by, "__part", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__base"))
+    inside = Window.partitionBy(*by, "__part").orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumn("__upto", F.sum("__n").over(inside)).join(F.broadcast(base), [*by, "__part"])
+    return ranked.select(*by, column, (F.col("__base") + F.col("__upto") - (F.col("__n") - 1) / 2).alias(name))

@@ -1,7 +1,7 @@
 """Classifying rationales by their words: weighted one- and two-word terms, multinomial regression, folds, masking.
 
 Counting, document frequencies and fitting are Spark ML's, distributed over rows; the vocabulary and the coefficients, at most
-`TERMS` of each class, are on the driver. Folds are by a hash of the id, so that no class is ordered in one task and reruns agree.
+`TERMS` of each class, are on the driver. Folds are dealt in turn within each class, in the order of a hash of the id, without a class in one task.
 """
 
 from __future__ import annotations
@@ -9,13 +9,16 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, StopWordsRemover
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from polyagree.operators import ordering
+
 TERMS = 15_000
 FOLDS = 5
 
@@ -52,14 +55,18 @@ class Weights:
     def transform(self, rows: DataFrame) -> DataFrame:
         idf = self.idf
 
-        @F.udf(VectorUDT())  # Spark has no logarithm of sparse counts
-        def weighted(v):
+        def of(vectors):
             import numpy as np
 
-            w = (1 + np.log(v.values)) * idf[v.indices]
-            return SparseVector(v.size, v.indices, w / (np.sqrt((w * w).sum()) or 1.0))
+            values = []
+            for places, counts in zip(vectors["indices"], vectors["values"]):
+                w = (1 + np.log(counts)) * idf[places]
+                values.append(w / (np.sqrt((w * w).sum()) or 1.0))
+            return vectors.assign(type=0, values=values)
 
-        return self.counts.transform(rows).withColumn("features", weighted("__counts")).drop("__counts")
+        of.__annotations__ = {"vectors": pd.DataFrame, "return": pd.DataFrame}
+        weighted = F.pandas_udf(of, VectorUDT())  # Spark has no logarithm of sparse counts
+        return self.counts.transform(rows).withColumn("features", weighted(F.unwrap_udt("__counts"))).drop("__counts")
 
 
 def fit(rows: DataFrame, label: str, c: float = 1.0, rounds: int = 60) -> LogisticRegressionModel:
@@ -68,21 +75,44 @@ def fit(rows: DataFrame, label: str, c: float = 1.0, rounds: int = 60) -> Logist
     return LogisticRegression(family="multinomial", labelCol=label, regParam=strength, standardization=False, maxIter=rounds).fit(rows)
 
 
+def _numbered(rows: DataFrame, key: str, text: str, label: str, classes: Sequence[str]) -> DataFrame:
+    """(key, label, __class, terms) of the rows whose label is among `classes`."""
+    names = F.array(*(F.lit(c) for c in classes))
+    number = (F.array_position(names, F.col(label).cast("string")) - 1).cast("double")
+    rows = rows.select(key, F.col(label).cast("string").alias("label"), number.alias("__class"), F.col(text).alias("__source")).where(F.col("__class") >= 0)
+    return terms(rows, "__source").drop("__source")
+
+
+def _fitted(seen: DataFrame, min_df: float) -> tuple[Weights, LogisticRegressionModel]:
+    weights = Weights(seen, min_df)
+    ready = weights.transform(seen).persist()
+    model = fit(ready, "__class")
+    ready.unpersist()
+    return weights, model
+
+
 def out_of_fold(rows: DataFrame, key: str, text: str, label: str, classes: Sequence[str], min_df: float = 5) -> DataFrame:
     """(key, label, predicted) of each row whose label is among `classes`, predicted by a model that has not seen its fold."""
     names = F.array(*(F.lit(c) for c in classes))
-    number = (F.array_position(names, F.col(label).cast("string")) - 1).cast("double")
-    rows = terms(rows.select(key, F.col(label).cast("string").alias("label"), number.alias("__class"), F.col(text).alias("__source")).where(F.col("__class") >= 0), "__source").drop("__source")
-    rows = rows.withColumn("__fold", F.pmod(F.xxhash64(F.lit(17), key), F.lit(FOLDS))).persist()
+    rows = ordering.folds(_numbered(rows, key, text, label, classes), key, "label", FOLDS, seed=17, name="__fold").persist()
     parts = []
     for k in range(FOLDS):
         seen, unseen = rows.where(F.col("__fold") != k), rows.where(F.col("__fold") == k)
-        weights = Weights(seen, min_df)
-        model = fit(weights.transform(seen).persist(), "__class")
+        weights, model = _fitted(seen, min_df)
         parts.append(model.transform(weights.transform(unseen)).select(key, "label", names[F.col("prediction").cast("int")].alias("predicted")))
     return reduce(DataFrame.unionByName, parts)
 
 
+def stable_terms(rows: DataFrame, key: str, text: str, label: str, classes: Sequence[str], seeds: int = 5, least: int = 4, n: int = 20, min_df: float = 5) -> DataFrame:
+    """(class, term, seeds): terms that are among a class's `n` greatest coefficients in `least` of `seeds` fits or more; each fit leaves out a fold dealt by its seed."""
+    whole = _numbered(rows, key, text, label, classes)
+    found = []
+    for seed in range(seeds):
+        weights, model = _fitted(ordering.folds(whole, key, "label", FOLDS, seed, "__fold").where("__fold > 0"), min_df)
+        found.append(top_terms(model, weights, classes, rows.sparkSession, n).where("coefficient > 0"))
+    return reduce(DataFrame.unionByName, found).groupBy("class", "term").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= least)
+
+
 def confusion(predictions: DataFrame) -> DataFrame:
     """(label, predicted, n, percent of the label)."""
     counts = predictions.groupBy("label", "predicted").agg(F.count("*").alias("n"))

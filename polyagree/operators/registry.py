@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from polyagree.functions.text import canonical_tag, present
+
 
 def roots(edges: DataFrame, depth: int = 32) -> DataFrame:
     """(code, root, depth) of a tree (code, parent): the ancestor without a parent; a cycle or a missing parent ends the walk.
@@ -62,3 +66,45 @@ def built(sources: dict[str, DataFrame], key: str, values: list[str]) -> DataFra
         F.array_join(F.array_sort(F.collect_set(order)).getField("__name"), " + ").alias("sources"),
         F.min(order).getField("__name").alias("added_by"),
     )
+
+
+def valid_key(x: Column, excluded: Sequence[str] = ()) -> Column:
+    """What speaks against a code, the first that holds: blank, excluded, space, form; `valid` if nothing does."""
+    form = x.rlike("^[A-Za-z][A-Za-z0-9_-]{1,14}$")
+    return F.when(~present(x), "blank").when(x.isin(*excluded), "excluded").when(F.contains(x, F.lit(" ")), "space").when(~form, "form").otherwise("valid")
+
+
+def split_alternative(x: Column, mark: str = "-alt-") -> Column:
+    """Struct of base, alternative (null if there is none) and primary: whether it is the main entry, which all but `secondary` ones are."""
+    parts = F.split(x, mark, 2)
+    other = F.get(parts, 1)
+    return F.struct(F.get(parts, 0).alias("base"), other.alias("alternative"), (F.coalesce(other, F.lit("")) != "secondary").alias("primary"))
+
+
+def preferred_tag(code: Column, short: Column, long: Column, fallbacks: Mapping[str, str]) -> Column:
+    """Struct of tag and source: a fallback by the code, else the short code, the long one, or the code itself; each in its usual form."""
+    given = F.create_map(*(F.lit(x) for kv in fallbacks.items() for x in kv))[code] if fallbacks else F.lit(None).cast("string")
+    of = lambda tag, source: F.struct(tag.alias("tag"), F.lit(source).alias("source"))
+    return (
+        F.when(given.isNotNull(), of(given, "fallback")).when(present(short), of(canonical_tag(short), "short"))
+        .when(present(long), of(canonical_tag(long), "long")).otherwise(of(canonical_tag(code), "code"))
+    )
+
+
+def code_cell(x: Column) -> Column:
+    """Struct of part (B or T) and code of a cell such as `ger (B)`, null if it is none."""
+    pattern = "^\\s*([a-z]{3})\\s*\\(([BT])\\)\\s*$"
+    return F.when(x.rlike(pattern), F.struct(F.regexp_extract(x, pattern, 2).alias("part"), F.regexp_extract(x, pattern, 1).alias("code")))
+
+
+def named(rows: DataFrame, ref: str, code: str, name: str, eligible: Column) -> DataFrame:
+    """`rows` with <ref>_name: the name of the row that `ref` points to, if that row is eligible; of several the least. A join of the table with itself on the code."""
+    names = rows.where(eligible).groupBy(F.col(code).alias(ref)).agg(F.min(name).alias(f"{ref}_name"))
+    return rows.join(names, ref, "left")
+
+
+def summarised(rows: DataFrame, key: list[str], order: Sequence[str], firsts: Sequence[str], lists: Sequence[str], separator: str = "|") -> DataFrame:
+    """One row a key: n, attributes of its first row by `order`, and lists of values in that order, repeats included. A key's rows are few."""
+    sorted_ = F.array_sort(F.collect_list(F.struct(*dict.fromkeys([*order, *firsts, *lists]))))
+    out = rows.groupBy(*key).agg(sorted_.alias("__x"))
+    return out.select(*key, F.size("__x").alias("n"), *(F.col("__x")[0][c].alias(c) for c in firsts), *(F.array_join(F.col("__x").getField(c).cast("array<string>"), separator).alias(f"all_{c}") for c in lists))

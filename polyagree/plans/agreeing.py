@@ -122,7 +122,7 @@ def category_shares(spark, d):
 
 
 KEYWORDS = ", ".join("'" + k.replace("'", "''") + "'" for k in V.SIGNALS["absence"])
-FEATURES = rf"""{TEXTS}, f1 AS (SELECT doc_id // 12 AS "group", pos, language, service, trim(lower(term)) AS raw,
+STEPS = rf"""f1 AS (SELECT doc_id // 12 AS "group", pos, language, service, trim(lower(term)) AS raw,
  trim(regexp_replace(regexp_replace(strip_accents(lower(term)), '[^\p{{L}}\p{{N}}\p{{M}}_\s]', '', 'g'), '\s+', ' ', 'g')) AS norm, CASE WHEN regexp_matches(term, '\p{{L}}') THEN 'Latin' ELSE 'Unknown' END AS script,
  CASE WHEN language = 'en' AND rationale IS NOT NULL AND lower(trim(rationale)) NOT IN ('', 'nan', 'none', 'null') THEN len(list_filter([{KEYWORDS}], lambda k: regexp_matches(rationale, '(?i)' || k))) ELSE 0 END AS absence
  FROM texts WHERE lower(trim(term)) NOT IN ('', 'nan', 'none', 'null')),
@@ -138,6 +138,7 @@ kinds AS (SELECT "group", pos, language, n, n_raw, n_norm, max_distance, thresho
  WHEN 'anchored' THEN 'PRODUCTIVE_DISAGREEMENT' WHEN 'default' THEN 'TRANSMOGRIFICATION' ELSE 'STRUCTURAL_ABSENCE' END AS category, CASE rule WHEN 'all_agree' THEN 'all services gave one term'
  WHEN 'script_only' THEN 'one term in ' || n_raw || ' spellings of several scripts' WHEN 'normalization' THEN n_norm || ' normalised terms, at most ' || max_distance || ' edits apart' WHEN 'anchored' THEN 'anchored, ' || n_raw || ' terms'
  WHEN 'loanword' THEN 'borrowed: ' || borrowed WHEN 'sparse' THEN n || ' services, and they say so' WHEN 'convergent' THEN n_raw || ' terms, and they say so' ELSE n_raw || ' terms without an anchor' END AS evidence FROM rules)"""
+FEATURES = f"{TEXTS}, {STEPS}"
 
 
 def term_selection(spark, d):

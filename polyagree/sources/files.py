@@ -55,6 +55,35 @@ def read_grid(spark: SparkSession, folder: str, pattern: str, names: list[str],
     return read_many(frames) if frames else spark.createDataFrame([], ", ".join(f"`{c}` string" for c in [*names, *columns]))
 
 
+def read_glob(spark: SparkSession, pattern: str, columns: list[str]) -> DataFrame:
+    """Rows of all CSV files that a glob finds, each by the names in its own header, with the given columns; none found is an empty table."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where) or []
+    frames = [read_csv(spark, f) for f in sorted(x.getPath().toString() for x in found if x.isFile())]
+    rows = [r.select(*(F.col(c) if c in r.columns else F.lit(None).cast("string").alias(c) for c in columns)) for r in frames]
+    return read_many(rows) if rows else spark.createDataFrame([], ", ".join(f"`{c}` string" for c in columns))
+
+
+def read_archive(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
+    """(archive, member, content) of the files in tar archives, packed or not, whose names end so; an archive is read by one task, member by member."""
+
+    def members(batches):
+        import io
+        import tarfile
+
+        import pyarrow as pa
+
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                with tarfile.open(fileobj=io.BytesIO(data.as_buffer())) as archive:
+                    for m in archive:
+                        if m.isfile() and m.name.endswith(suffix):
+                            yield pa.RecordBatch.from_pydict({"archive": [name], "member": [m.name], "content": [archive.extractfile(m).read()]})
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(members, "archive string, member string, content binary")
+
+
 def _listed(spark: SparkSession, folder: str) -> list[str]:
     where = spark._jvm.org.apache.hadoop.fs.Path(folder)
     return [x.getPath().toString() for x in where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where) if x.isFile()]
