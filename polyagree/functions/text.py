@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -69,11 +70,20 @@ def normal(x: Column, form: str = "NFKD", casefold: bool = False) -> Column:
 
         import pyarrow as pa
 
+        class Marks(dict):
+            """For str.translate: a mark goes, any other character stays; each is looked up once."""
+
+            def __missing__(self, c):
+                self[c] = None if unicodedata.combining(chr(c)) else c
+                return self[c]
+
+        marks = Marks()
+
         def one(t):
             if t is None:
                 return ""
             t = unicodedata.normalize(form, t.casefold() if casefold else t.lower())
-            return "".join(c for c in t if not unicodedata.combining(c)) if form == "NFKD" else t
+            return t.translate(marks) if form == "NFKD" and not t.isascii() else t
 
         return pa.array([one(t) for t in texts.to_pylist()], pa.string())
 
@@ -81,9 +91,10 @@ def normal(x: Column, form: str = "NFKD", casefold: bool = False) -> Column:
 
 
 def folded(x: Column) -> Column:
-    """Lower case, no marks of letters, nothing but words and single spaces. Text that is ASCII does not leave the JVM."""
-    plain = F.when(x.rlike("[^\\x00-\\x7F]"), normal(x)).otherwise(F.lower(F.coalesce(x, F.lit(""))))
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, "(?U)[^\\w\\s]", ""), "(?U)\\s+", " "))
+    """Lower case, no marks of letters, nothing but words and single spaces. Text that is ASCII does not leave the JVM: Python gets null for it, as it is called for every row."""
+    other = x.rlike("[^\\x00-\\x7F]")
+    words_only = lambda t, flags: F.trim(F.regexp_replace(F.regexp_replace(t, flags + "[^\\w\\s]", ""), flags + "\\s+", " "))
+    return F.when(other, words_only(normal(F.when(other, x)), "(?U)")).otherwise(words_only(F.lower(F.coalesce(x, F.lit(""))), ""))
 
 
 def unescaped(x: Column) -> Column:
@@ -131,10 +142,16 @@ def is_aware(x: Column) -> Column:
 
 
 def keywords(x: Column, family: str) -> Column:
-    """The keywords of a family of V.SIGNALS that a rationale holds, in their order. Those that are no patterns are looked up as they stand."""
+    """The keywords of a family of V.SIGNALS that a rationale holds, in their order. What a keyword says word for word is looked up first, and a pattern tried only where all of it stands."""
 
     def of(low: Column) -> Column:
-        held = lambda k: F.coalesce(F.contains(low, F.lit(k)), F.lit(False)) if re.fullmatch("[a-z' -]+", k) else says(low, k)
+        def held(k: str) -> Column:
+            parts = [p for p in re.split(r"\\b|\.\*", k) if p]
+            if not all(re.fullmatch("[a-z' -]+", p) for p in parts):
+                return says(low, k)
+            each = reduce(lambda a, b: a & b, (F.coalesce(F.contains(low, F.lit(p)), F.lit(False)) for p in parts))
+            return each if parts == [k] else each & says(low, k)
+
         return F.array_compact(F.array(*(F.when(held(k), F.lit(k)) for k in V.SIGNALS[family])))
 
     return let(F.lower(x), of)
@@ -305,8 +322,10 @@ def _main(entries: Column) -> Column:
 
 
 def dominant_script(x: Column, merged: bool = False) -> Column:
-    """The script of most letters, of equals the one seen first; Unknown without a letter."""
-    return F.coalesce(_main(script_entries(x, merged)), F.lit("Unknown"))
+    """The script of most letters, of equals the one seen first; Unknown without a letter. Text of ASCII and Latin letters alone is not counted."""
+    latin = "\\u00C0-\\u00D6\\u00D8-\\u00F6\\u00F8-\\u024F"
+    simple = F.when(x.rlike(f"[A-Za-z{latin}]"), "Latin").otherwise("Unknown")
+    return F.when(x.rlike(f"[^\\x00-\\x7F{latin}]"), F.coalesce(_main(script_entries(x, merged)), F.lit("Unknown"))).otherwise(simple)
 
 
 def script_mix(x: Column) -> Column:

@@ -31,6 +31,25 @@ class RuleChain:
         return rows.withColumns({"category": self._case(lambda r: F.lit(r[1])), "rule": self._case(lambda r: F.lit(r[0])), "evidence": self._case(lambda r: r[3])})
 
 
+def greatest_distance(terms: Column) -> Column:
+    """The most edits between any two of the terms, 0 for fewer than two.
+
+    No pair is further apart than its longer term is long: terms go longest first, each against the shorter ones, the shortest
+    first, and what is no longer than the greatest distance so far is not compared.
+    """
+    sized = F.array_sort(F.transform(terms, lambda x: F.struct((-F.char_length(x)).alias("n"), x.alias("x"))))
+
+    def of(ordered: Column) -> Column:
+        def against(best: Column, i: Column) -> Column:
+            a = F.get(ordered, i)
+            shorter = F.reverse(F.slice(ordered, i + 2, F.size(ordered)))
+            return F.when(-a["n"] > best, F.aggregate(shorter, best, lambda m, b: F.when(-a["n"] > m, F.greatest(m, F.levenshtein(a["x"], b["x"]))).otherwise(m))).otherwise(best)
+
+        return F.when(F.size(ordered) < 2, 0).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(ordered) - 2), F.lit(0), against))
+
+    return F.coalesce(X.let(sized, of), F.lit(0))
+
+
 def features(cells: DataFrame, key: list[str], source_tokens: Sequence[str], anchor: str, normalised=X.folded, english: Column | None = None) -> DataFrame:
     """What the rules ask of each key: n, n_raw, n_norm, max_distance, threshold, borrowed, anchored, scripts, script_disagreement, absence, construction, debate, english.
 
@@ -51,13 +70,11 @@ def features(cells: DataFrame, key: list[str], source_tokens: Sequence[str], anc
         F.bool_and("__english").alias("english"),
         *(F.sum(k).alias(k) for k in V.SIGNALS),
     )
-    later = lambda a, i: F.array_max(F.transform(F.slice("norms", i + 2, F.size("norms")), lambda b: F.levenshtein(a, b)))
-    longest = F.array_max(F.transform("norms", later))
     mean = F.aggregate("norms", F.lit(0), lambda a, x: a + F.char_length(x)) / F.greatest(F.size("norms"), F.lit(1))
     tokens = F.flatten(F.transform("norms", lambda x: F.split(x, " ")))
     borrowed = F.array_sort(F.array_intersect(tokens, F.array(*(F.lit(t) for t in source_tokens))))
     return out.withColumns({
-        "n_norm": F.size("norms"), "max_distance": F.coalesce(longest, F.lit(0)), "threshold": F.floor(F.greatest(F.lit(2.0), 0.15 * mean)).cast("int"),
+        "n_norm": F.size("norms"), "max_distance": greatest_distance(F.col("norms")), "threshold": F.floor(F.greatest(F.lit(2.0), 0.15 * mean)).cast("int"),
         "borrowed": F.array_join(borrowed, ","), "script_disagreement": F.size("scripts") > 1,
     }).drop("norms")
 

@@ -88,3 +88,36 @@ def test_genre(spark):
     assert all(r.term.split()[0] in kinds[r["class"]] for r in best)
     masked = spark.createDataFrame([("The C++ (Loan) word loaned, LOAN  word",)], "t string").select(genre.masked(F.col("t"), ["loan", "loan word"])).first()[0]
     assert masked == "The C++ ( ) word loaned,"
+
+
+def test_the_greatest_distance_is_that_of_all_pairs(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from polyagree.operators.disagreement import greatest_distance
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            above, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (x != y)))
+        return row[-1]
+
+    rng = random.Random(4)
+    lists = [["".join(rng.choice("abя漢") for _ in range(rng.randrange(0, 12))) for _ in range(rng.randrange(0, 9))] for _ in range(200)] + [None]
+    out = spark.createDataFrame(list(enumerate(lists)), "id int, x array<string>").select("id", greatest_distance(F.col("x")).alias("d")).collect()
+    want = {i: max((edits(a, b) for a in x for b in x), default=0) if x else 0 for i, x in enumerate(lists)}
+    assert {r["id"]: r["d"] for r in out} == want
+
+
+def test_the_script_of_plain_text_is_that_of_its_letters(spark):
+    from pyspark.sql import functions as F
+
+    from polyagree.functions import text as X
+
+    rows = spark.createDataFrame([(x,) for x in ("plan", "élan ÿ", "12 ×÷!", "", None, "abc где", "aбв", "漢字", "a ", "ǅ2²")], "x string")
+    assert [r[0] for r in rows.select(X.dominant_script(F.col("x"))).collect()] == ["Latin", "Latin", "Unknown", "Unknown", "Unknown", "Latin", "Cyrillic", "CJK", "Latin", "Latin"]
+    slow = F.coalesce(X._main(X.script_entries(F.col("x"))), F.lit("Unknown"))
+    assert rows.where(X.dominant_script(F.col("x")) != slow).count() == 0
