@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from polyagree.functions import fixed as V
 from polyagree.functions import text as X
 from polyagree.operators import agreement, cells, registry
 from polyagree.sources import files
@@ -254,6 +255,8 @@ QUERIES = {f.__name__: f for f in (keep_latest, coverage_by_family, coverage_dep
 
 WORDS = r"regexp_extract_all({t}, '[^\x20\x09-\x0D]+')"
 
+PLACEHOLDERS = V.PLACEHOLDER_TERMS.replace("'", "''")
+
 ORACLE_SQL = {
     "keep_latest": f"WITH {CELLS} SELECT * FROM cells",
     "coverage_by_family": "SELECT n_name AS family, count(*) AS languages, count(*) FILTER (c_custkey IN (SELECT o_custkey FROM orders)) AS covered, round(count(*) FILTER (c_custkey IN (SELECT o_custkey FROM orders)) / count(*), 6) AS rate FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1",
@@ -263,6 +266,10 @@ ORACLE_SQL = {
     "source_overlap": f"WITH {CELLS}, s AS (SELECT item, array_to_string(list_sort(list(DISTINCT CAST(service AS VARCHAR))), ' + ') AS combination FROM cells GROUP BY 1) SELECT combination, count(*) AS n FROM s GROUP BY 1",
     "support_quadrant": "SELECT count(*) FILTER (a AND b) AS \"both\", count(*) FILTER (a AND NOT b) AS only_first, count(*) FILTER (NOT a AND b) AS only_second, count(*) FILTER (NOT a AND NOT b) AS neither FROM (SELECT o_totalprice > 250000 AS a, o_orderstatus = 'F' AS b FROM orders)",
     "delivery_funnel": "SELECT l_linenumber AS service, count(*) AS nominal, count(*) FILTER (l_returnflag <> 'R') AS quality, count(*) FILTER (l_returnflag <> 'R' AND l_linestatus = 'O') AS search_ready FROM lineitem GROUP BY 1",
+    "signal_table": rf"""WITH t AS (SELECT source, text, {WORDS.format(t='lower(text)')} AS l FROM documents WHERE text IS NOT NULL), m AS (SELECT *, coalesce(list_max(map_values(list_histogram(l))), 0) AS top FROM t),
+ g AS (SELECT source, unnest([CASE WHEN length(trim(text, ' ')) > 4000 THEN 'extreme' END, CASE WHEN len(l) >= 4 AND top >= 4 AND top >= 0.3 * len(l) THEN 'loop' END, CASE WHEN regexp_matches(text, '(?i){PLACEHOLDERS}') THEN 'placeholder' END,
+ CASE WHEN length(trim(text, ' ')) BETWEEN 1 AND 3 THEN 'short' END, CASE WHEN regexp_matches(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]') THEN 'unsafe' END]) AS signal FROM m)
+ SELECT source, string_agg(DISTINCT signal, ';' ORDER BY signal) AS signals, count(*) AS n_flags FROM g WHERE signal IS NOT NULL GROUP BY 1""",
     "signal_pivot": "SELECT lang, count(*) FILTER (quality = 0) AS low, count(*) FILTER (quality = 1) AS high FROM labels JOIN documents USING (doc_id) GROUP BY 1",
     "cooccurrence": "WITH k AS (SELECT DISTINCT user_id, event_type FROM events) SELECT a.event_type, b.event_type AS other, count(*) AS users FROM k a JOIN k b ON a.user_id = b.user_id AND a.event_type < b.event_type GROUP BY 1, 2",
     "miss_rate": "SELECT count(*) FILTER (toxic = 1) AS flagged, count(*) FILTER (toxic = 1 AND quality = 1) AS missed, round(count(*) FILTER (toxic = 1 AND quality = 1) / count(*) FILTER (toxic = 1), 6) AS rate FROM labels",
