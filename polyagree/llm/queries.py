@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, lm, media, mixing, packing, quality_fm, quality_rules, shared, simhash, token_store
+from . import hard_negatives, langid, licenses, lm, media, mixing, packing, quality_fm, quality_rules, shared, simhash, token_store
 
 
 def tokenizer_path() -> str:
@@ -71,7 +71,13 @@ def op10_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality_fm.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_simhash, op3_quality_rules, op4_mixing, op5_langid, op6_lm, op7_media, op8_licenses, op9_packing, op10_quality_fm)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared.prepare(spark)
+    rows = hard_negatives.usable(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "label", "embedding")
+    return hard_negatives.mine(hard_negatives.relabelled(rows, every=7, labels=10))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_simhash, op3_quality_rules, op4_mixing, op5_langid, op6_lm, op7_media, op8_licenses, op9_packing, op10_quality_fm, op11_hard_negatives)}
 
 ORACLE_SQL = {
     "op3_quality_rules": r"""
