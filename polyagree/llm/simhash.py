@@ -241,22 +241,22 @@ def likely(g0, g1, n, h0, h1, m) -> F.Column:
     return (F.least(n, m) * ALIKE[1] >= F.greatest(n, m) * ALIKE[0]) & (differing(g0, g1, h0, h1) <= ALIKE_BITS)
 
 
-def _pairs_of(lefts, rights):
-    """Both sets of each row as sorted 32-bit integers."""
+def _pairs_of(lefts, rights, kind: str):
+    """Both sets of each row as sorted integers of a kind."""
     (a, at), (b, bt) = shared.buffer_of(lefts), shared.buffer_of(rights)
     for i in range(len(lefts)):
-        yield np.frombuffer(a[at[i] : at[i + 1]].tobytes(), "<u4"), np.frombuffer(b[bt[i] : bt[i + 1]].tobytes(), "<u4")
+        yield np.frombuffer(a[at[i] : at[i + 1]].tobytes(), kind), np.frombuffer(b[bt[i] : bt[i + 1]].tobytes(), kind)
 
 
-def sets_alike(left, right) -> F.Column:
+def sets_alike(left, right, alike: tuple[int, int] = ALIKE, kind: str = "<u4") -> F.Column:
     @F.arrow_udf("boolean")
     def of(lefts, rights):
         import pyarrow as pa
 
         out = []
-        for x, y in _pairs_of(lefts, rights):
+        for x, y in _pairs_of(lefts, rights, kind):
             both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(both * ALIKE[1] >= (len(x) + len(y) - both) * ALIKE[0])
+            out.append(both * alike[1] >= (len(x) + len(y) - both) * alike[0])
         return pa.array(out, pa.bool_())
 
     return of(left, right)
@@ -265,29 +265,30 @@ def sets_alike(left, right) -> F.Column:
 _WORDS = [f"w{k}" for k in range(MAP // 64)]
 
 
-def differences(left, right) -> F.Column:
+def differences(left, right, alike: tuple[int, int] = ALIKE, kind: str = "<u4") -> F.Column:
     """Of two sets: whether they are alike, in how many members they differ, a map of these by hash, and how many share a bit of it."""
 
     @F.arrow_udf(f"struct<alike:boolean,diff:int,extra:int,{','.join(f'{w}:long' for w in _WORDS)}>")
     def of(lefts, rights):
         import pyarrow as pa
 
-        alike, diff, maps = [], [], np.zeros((len(lefts), MAP), bool)
-        for i, (x, y) in enumerate(_pairs_of(lefts, rights)):
+        are, diff, maps = [], [], np.zeros((len(lefts), MAP), bool)
+        for i, (x, y) in enumerate(_pairs_of(lefts, rights, kind)):
             other = np.setxor1d(x, y, assume_unique=True)
             both = (len(x) + len(y) - len(other)) // 2
-            alike.append(both * ALIKE[1] >= (len(x) + len(y) - both) * ALIKE[0])
+            are.append(both * alike[1] >= (len(x) + len(y) - both) * alike[0])
             diff.append(len(other))
+            other = other if kind == "<u4" else (other >> np.uint64(32)).astype(np.uint32)
             maps[i, (other * np.uint32(2654435761)) >> np.uint32(33 - MAP.bit_length())] = True
         words = np.packbits(maps, axis=1, bitorder="little").view("<i8").reshape(len(lefts), len(_WORDS))
         extra = np.array(diff, np.int32) - maps.sum(axis=1, dtype=np.int32)
-        columns = [pa.array(alike, pa.bool_()), pa.array(diff, pa.int32()), pa.array(extra, pa.int32()), *(pa.array(np.ascontiguousarray(words[:, k])) for k in range(len(_WORDS)))]
+        columns = [pa.array(are, pa.bool_()), pa.array(diff, pa.int32()), pa.array(extra, pa.int32()), *(pa.array(np.ascontiguousarray(words[:, k])) for k in range(len(_WORDS)))]
         return pa.StructArray.from_arrays(columns, ["alike", "diff", "extra", *_WORDS])
 
     return of(left, right)
 
 
-def may_be_alike(a: str, b: str) -> F.Column:
+def may_be_alike(a: str, b: str, alike: tuple[int, int] = ALIKE) -> F.Column:
     """False where two texts of one hub can't be alike: they differ in what both differ from the hub but for what these have in common.
 
     That is at most the bits which both maps have, and the members of one that share a bit. Texts of different hubs may be alike.
@@ -296,7 +297,7 @@ def may_be_alike(a: str, b: str) -> F.Column:
     for w in _WORDS:
         common = common + F.bit_count(F.col(f"{a}.{w}").bitwiseAND(F.col(f"{b}.{w}")))
     least = F.col(f"{a}.diff") + F.col(f"{b}.diff") - 2 * common
-    low, high = ALIKE  # of n members in both together, alike sets differ in (high - low) / (high + low) n or fewer
+    low, high = alike  # of n members in both together, alike sets differ in (high - low) / (high + low) n or fewer
     return (F.col(f"{a}.hub") != F.col(f"{b}.hub")) | (least * (high + low) <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * (high - low))
 
 
