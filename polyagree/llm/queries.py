@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hard_negatives, langid, licenses, lm, media, minhash, mixing, packing, quality_fm, quality_rules, shared, simhash, token_store
+from . import alignment, hard_negatives, langid, licenses, lm, media, minhash, mixing, packing, quality_fm, quality_rules, shared, simhash, token_store
 
 
 def tokenizer_path() -> str:
@@ -77,11 +77,17 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(hard_negatives.relabelled(rows, every=7, labels=10))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align(shared.documents(spark, sf_dir), tokenizer_path(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(shared.documents(spark, sf_dir), shingle=5)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_simhash, op3_quality_rules, op4_mixing, op5_langid, op6_lm, op7_media, op8_licenses, op9_packing, op10_quality_fm, op11_hard_negatives, op13_minhash)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_simhash, op3_quality_rules, op4_mixing, op5_langid, op6_lm, op7_media, op8_licenses, op9_packing, op10_quality_fm, op11_hard_negatives, op12_alignment, op13_minhash)}
 
 ORACLE_SQL = {
     "op3_quality_rules": r"""
