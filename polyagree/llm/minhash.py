@@ -15,8 +15,8 @@ node near it; a second compares members of a key that are in different component
 be alike by what each differs from the hub. So a group of near copies costs about its size in rows made, and no link between components is lost.
 
 Cases: null text and a text without words have an empty set and are linked with nothing, not even each other; fewer words than a shingle give
-one shingle; repeated rows stay rows and are linked; a null doc_id has no part in naming components, and a component of such rows
-alone is null (kept then: one row of it has no name to compare, so none is); an empty table gives an empty result; other columns are not read.
+one shingle; repeated rows stay rows and are linked; a null doc_id has no part in naming components, the component of such rows alone
+is null, and a row with a null doc_id is not kept; very long texts are cut into shingles whole; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -187,10 +187,10 @@ def index_of(prints: DataFrame) -> DataFrame:
 
 
 def sets_of(rows: DataFrame, index: DataFrame, prints: DataFrame, shingle: int) -> DataFrame:
-    """(node, members) of the nodes of `index`, from one text of each: only these are cut again."""
+    """(node, members) of the nodes of `index`, from one text of each: only these are cut again. The join is alike at every size."""
     some = shared.staged(prints.join(index.select("node").distinct(), "node", "left_semi").select("node", F.col("one.doc_id").alias("id"), F.col("one.hash").alias("text_hash")), "wanted")
     texts = rows.select(F.col("doc_id").alias("row_id"), F.xxhash64("text").alias("row_hash"), "text")
-    texts = texts.join(some, (F.col("row_hash") == F.col("text_hash")) & F.col("row_id").eqNullSafe(F.col("id")))
+    texts = texts.join(some.hint("merge"), (F.col("row_hash") == F.col("text_hash")) & F.col("row_id").eqNullSafe(F.col("id")))
     return shared.staged(texts.select("node", members(F.col("text"), shingle).alias("members")).dropDuplicates(["node"]), "sets")
 
 
