@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from polyagree.functions import fixed as V
 
-EDGE_SPACE = "(?U)^\\s+|\\s+$"
 #: Where scripts are compared, Han and the Japanese ones are one.
 MERGED = {"CJK": ["CJK", "Japanese"], **{k: [k] for k in V.SCRIPTS if k not in ("CJK", "Japanese")}}
 
@@ -32,11 +31,12 @@ def says(x: Column, patterns) -> Column:
 
 def present(x: Column) -> Column:
     """Neither null nor blank nor a missing value written out."""
-    return x.isNotNull() & ~F.lower(F.trim(x)).isin("", "nan", "none", "null")
+    return x.isNotNull() & ~F.lower(stripped(x)).isin("", "nan", "none", "null")
 
 
 def stripped(x: Column) -> Column:
-    return F.regexp_replace(x, EDGE_SPACE, "")
+    """Without white space of any kind at the edges."""
+    return F.btrim(x, F.lit(V.WHITE))
 
 
 def difference(a: Column, b: Column, rtl: Column | None = None) -> Column:
@@ -164,11 +164,11 @@ def comparable(x: Column, marks: str = V.EDGE_MARKS) -> Column:
 
 
 def is_language_name(x: Column, name: Column) -> Column:
-    """The term is the language's name, or holds it as whole words, or is whole words of it."""
+    """The term is the language's name, or holds it as whole words."""
     plain = lambda c: F.trim(F.regexp_replace(F.lower(c), "(?U)[^\\w]+", " "))
     padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
     t, n = plain(x), plain(name)
-    return F.coalesce((t != "") & (n != "") & (F.contains(padded(t), padded(n)) | F.contains(padded(n), padded(t))), F.lit(False))
+    return F.coalesce((t != "") & (n != "") & F.contains(padded(t), padded(n)), F.lit(False))
 
 
 def has_foreign_rationale(x: Column, least: int = 20) -> Column:
@@ -246,11 +246,11 @@ def is_repetition_loop(x: Column) -> Column:
 
 
 def is_extreme_length(x: Column, most: int = 100) -> Column:
-    return F.coalesce(F.char_length(F.trim(x)) > most, F.lit(False))
+    return F.coalesce(F.char_length(stripped(x)) > most, F.lit(False))
 
 
 def is_short(x: Column) -> Column:
-    return F.coalesce(F.char_length(F.trim(x)).between(1, 3), F.lit(False))
+    return F.coalesce(F.char_length(stripped(x)).between(1, 3), F.lit(False))
 
 
 def has_escape(x: Column) -> Column:
@@ -363,7 +363,7 @@ def is_mixed_at_all(x: Column, share: float = V.MIXED_SHARE) -> Column:
 
 def is_repeated_output(x: Column) -> Column:
     """An error message that wraps a term which goes on in a circle: few different characters, or a short piece five times or more."""
-    term = F.regexp_replace(F.regexp_extract(x, '(?s)"translated_term"\\s*:\\s*"(.{15,})', 1), '["} \\n\\r\\t]+$', "")
+    term = F.regexp_replace(F.regexp_extract(x, V.REPEATED_TERM, 1), '["} \\n\\r\\t]+$', "")
 
     def of(t: Column) -> Column:
         size = F.char_length(t)
@@ -376,12 +376,21 @@ def is_repeated_output(x: Column) -> Column:
     return F.coalesce(let(term, of), F.lit(False))
 
 
+def message(x: Column) -> Column:
+    """An error message without the mark of a reply that was not parsed."""
+    return stripped(F.replace(x, F.lit(V.PARSE_PREFIX), F.lit("")))
+
+
+def is_blank(x: Column) -> Column:
+    return F.coalesce(stripped(x) == "", F.lit(True))
+
+
 def error_kind(x: Column) -> Column:
     """The kind of an error message: unknown if blank, a term in a circle, a reply that was not parsed, or by the first keyword found."""
-    text = F.lower(stripped(x))
-    out = F.when(~present(x), "unknown").when(is_repeated_output(x), "repetition_loop").when(F.startswith(text, F.lit("{")) | F.contains(text, F.lit('"translated_term"')), "parse_format")
+    text = message(x)
+    out = F.when(is_blank(x), "unknown").when(is_repeated_output(x), "repetition_loop").when(F.startswith(text, F.lit("{")) | F.contains(text, F.lit('"translated_term"')), "parse_format")
     for kind, keys in V.ERROR_KINDS.items():
-        out = out.when(says(x, [f"\\Q{k}\\E" for k in keys]), kind)
+        out = out.when(says(text, [f"\\Q{k}\\E" for k in keys]), kind)
     return out.otherwise("other")
 
 
@@ -397,30 +406,49 @@ def error_status(x: Column) -> Column:
 
 def signature(x: Column, source: str = "the source term", most: int = 180) -> Column:
     """An error message without what changes from one to the next: fences, terms, rationales, languages, numbers, long runs."""
-    steps = (
-        ("(?i)```json|```", ""), ('(?s)"translated_term"\\s*:\\s*"[^"]*"', '"translated_term": "<term>"'),
-        ('(?s)"translation_rationale"\\s*:\\s*"[^"]*"', '"translation_rationale": "<rationale>"'), (f"\\Q{source}\\E\\s*→\\s*[^.\\n]+", f"{source} → <language>"),
-        ("\\b[0-9]{3,}\\b", "<num>"), ("(.)\\1{5,}", "$1<repeat>"), ("(?U)\\s+", " "),
-    )
-    text = x
-    for pattern, by in steps:
-        text = F.regexp_replace(text, pattern, by)
-    return F.when(present(x), F.substring(F.trim(text), 1, most)).otherwise("<empty>")
+    text = message(x)
+    for pattern, by in V.SIGNATURE_STEPS:
+        text = F.regexp_replace(text, pattern.replace("%s", source), by.replace("%s", source))
+    return F.when(is_blank(x), "<empty>").otherwise(F.substring(F.trim(text), 1, most))
 
 
 def parsed_reply(x: Column) -> Column:
-    """Struct of term, rationale and status of a model's answer: fenced or bare JSON, or fields among prose."""
-    bare = F.regexp_replace(F.trim(x), "(?s)^```[a-z]*\\s*|\\s*```$", "")
-    json = F.from_json(F.regexp_replace(bare, "\\n", " "), "struct<term:string,translation:string,translated_term:string,rationale:string,explanation:string>")
-    field = lambda names: F.nullif(F.regexp_extract(bare, f"(?s)[\"'](?:{names})[\"']\\s*:\\s*[\"'](.*?)[\"']\\s*[,}}]", 1), F.lit(""))
-    term = F.nullif(F.trim(F.coalesce(json["term"], json["translation"], json["translated_term"], field("term|translation|translated_term"))), F.lit(""))
-    why = F.coalesce(json["rationale"], json["explanation"], field("rationale|explanation"), F.lit("No rationale provided"))
-    status = F.when(~present(x), "empty").when(term.isNull() | F.lower(term).isin("null", "none"), "refused").when(F.char_length(term) > 300, "too_long").otherwise("parsed")
-    return F.struct(F.when(status == "parsed", term).alias("term"), why.alias("rationale"), status.alias("status"))
+    """Struct of term, rationale and status of a model's answer.
+
+    An object in JSON, fenced or bare, whose strings may have line ends and tabs in them; else, in a short answer, its first object with
+    single quotes; else the term's field wherever it stands, as in an answer that was cut off, and the rationale's. The proper key of a
+    field goes before its near misses. status: empty, parsed, refused (no term in an object, or an empty one), saved (a field of what is
+    no object), too_long (saved, and longer than a term is), unparsed. The term is as it was given, and null unless parsed or saved.
+    """
+    bare = F.regexp_replace(stripped(F.regexp_replace(stripped(x), "(?i)^```(?:json)?\\s*", "")), "```\\s*$", "")
+    first = F.regexp_extract(x, "(?s)\\{[^{}]*\\}", 0)
+    read = lambda text, quotes: F.from_json(text, "map<string,string>", {"allowUnquotedControlChars": "true", "allowSingleQuotes": quotes, "allowBackslashEscapingAnyCharacter": quotes})
+    made = F.coalesce(F.when(F.startswith(bare, F.lit("{")) & bare.rlike("\\}\\s*$"), read(bare, "false")), F.when((F.char_length(x) < V.SHORT_REPLY) & (first != ""), read(first, "true")))
+    string = '"([^"\\\\]*+(?:\\\\.[^"\\\\]*+)*+)"'
+    found = lambda keys: F.regexp_extract(x, f"(?s)['\"](?:{'|'.join(keys)})['\"]\\s*:\\s*{string}", 1)
+
+    def key_of(map_: Column, keys: list[str]) -> Column:
+        out = F.lit(None).cast("string")
+        for k in reversed(keys):
+            out = F.when(F.map_contains_key(map_, k), map_[k]).otherwise(out)
+        return out
+
+    def of(m: Column) -> Column:
+        saved = F.replace(F.replace(found(V.TERM_KEYS), F.lit("\\'"), F.lit("'")), F.lit('\\"'), F.lit('"'))
+        there = x.rlike(f"(?s)['\"](?:{'|'.join(V.TERM_KEYS)})['\"]\\s*:\\s*{string}")
+        term = F.when(m.isNotNull(), key_of(m, V.TERM_KEYS)).when(there, saved)
+        why = F.when(m.isNotNull(), key_of(m, V.RATIONALE_KEYS)).otherwise(F.nullif(F.replace(found(V.RATIONALE_KEYS[:1]), F.lit('\\"'), F.lit('"')), F.lit("")))
+        status = (
+            F.when(is_blank(x), "empty").when(m.isNull() & ~there, "unparsed").when(term.isNull() | (term == ""), "refused")
+            .when(m.isNotNull(), "parsed").when(F.char_length(term) > V.LONG_TERM, "too_long").otherwise("saved")
+        )
+        return F.struct(F.when(status.isin("parsed", "saved"), term).alias("term"), F.coalesce(why, F.lit(V.NO_RATIONALE)).alias("rationale"), status.alias("status"))
+
+    return let(made, of)
 
 
 def first_present(*columns: Column) -> Column:
-    return F.coalesce(*(F.when(present(c), F.trim(c)) for c in columns), F.lit("Other"))
+    return F.coalesce(*(F.when(present(c), stripped(c)) for c in columns), F.lit("Other"))
 
 
 def lenient_time(x: Column) -> Column:

@@ -8,19 +8,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from polyagree.functions.text import canonical_tag, present
+from polyagree.sources.files import stored
 
 
-def roots(edges: DataFrame, depth: int = 32) -> DataFrame:
-    """(code, root, depth) of a tree (code, parent): the ancestor without a parent; a cycle or a missing parent ends the walk.
+def roots(edges: DataFrame) -> DataFrame:
+    """(code, root, depth) of (code, parent): the ancestor without a parent and the steps to it, for each different code.
 
-    Pointers double each round, so a depth of 32 takes five joins. After the first, all rows share a few roots; the side that is
-    looked up has one row a code, so Spark can split the hot keys of the other.
+    A code whose way up ends at a parent that has no row, or goes round, is its own root, and its depth is null. Of several parents of a
+    code the least counts; rows without a code are left out.
+
+    Pointers double in each round, so a chain of a thousand takes ten. Only codes that have not arrived are looked up, and a round in
+    which none arrives shows that all of them go round: any that did arrive later would have an ancestor that arrives now. Each round is
+    written to the shared folder. All rows come to share a few roots; the side that is looked up has one row a code, so Spark can split the
+    hot keys of the other.
     """
-    up = edges.select("code", F.coalesce("parent", "code").alias("root"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth"))
-    for _ in range(max(1, (depth - 1).bit_length())):
-        next_ = up.select(F.col("code").alias("root"), F.col("root").alias("__next"), F.col("depth").alias("__more"))
-        up = up.join(next_, "root", "left").select("code", F.coalesce("__next", "root").alias("root"), (F.col("depth") + F.coalesce("__more", F.lit(0))).alias("depth"))
-    return up
+    up = edges.where("code is not null").groupBy("code").agg(F.min("parent").alias("parent"))
+    state = F.when(F.col("parent").isNull(), "root").otherwise("open")
+    up = stored(up.select("code", F.coalesce("parent", "code").alias("at"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("steps"), state.alias("state")), "roots")
+    left = up.where("state = 'open'").count()
+    while left:
+        next_ = up.select(F.col("code").alias("at"), F.col("at").alias("next"), F.col("steps").alias("more"), F.col("state").alias("then"))
+        moved = up.where("state = 'open'").join(next_, "at", "left").select("code", F.coalesce("next", "at").alias("at"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.coalesce("then", F.lit("lost")).alias("state"))
+        up = stored(up.where("state <> 'open'").unionByName(moved), "roots")
+        left, before = up.where("state = 'open'").count(), left
+        if left == before:
+            break
+    arrived = F.col("state") == "root"
+    return up.select("code", F.when(arrived, F.col("at")).otherwise(F.col("code")).alias("root"), F.when(arrived, F.col("steps")).alias("depth"))
 
 
 def first_supported(items: DataFrame, key: str, candidates: Column, codes: DataFrame) -> DataFrame:

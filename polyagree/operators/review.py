@@ -97,7 +97,7 @@ def presence(cells: DataFrame, item: list[str], source: str, term: str = "term")
 
 def alignment(cells: DataFrame, item: list[str], service: str, anchor, term: str = "term") -> DataFrame:
     """(service, compared, aligned, rate): how often each service gives the anchor's term, both made comparable."""
-    rows = cells.withColumn("norm", X.comparable(F.col(term))).where("norm <> ''").select(*item, service, "norm").distinct()
+    rows = cells.withColumn("norm", X.comparable(F.col(term), V.ALIGNMENT_MARKS)).where("norm <> ''").select(*item, service, "norm").distinct()
     held = rows.where(F.col(service) == anchor).groupBy(*item).agg(F.collect_set("norm").alias("held"))
     both = rows.where(F.col(service) != anchor).join(held, item)
     hit = F.array_contains("held", F.col("norm"))

@@ -9,7 +9,7 @@ from polyagree.functions import text as X
 from polyagree.operators import agreement, cells, disagreement, search_terms
 
 from . import views
-from .views import CELLS, PAIRS, TEXTS
+from .views import CELLS, PAIRS, SP, TEXTS
 
 PLURALITY = """SELECT {key}, first(term ORDER BY n DESC, first_voter, term) AS best_candidate, max(n) AS agreeing_services, CAST(sum(n) AS BIGINT) AS total_services, count(*) AS unique_candidates,
  round(max(n) / sum(n), 4) AS confidence FROM (SELECT {key}, term, count(*) AS n, min({voter}) AS first_voter FROM cells GROUP BY {key}, term) GROUP BY {key}"""
@@ -122,10 +122,10 @@ def category_shares(spark, d):
 
 
 KEYWORDS = ", ".join("'" + k.replace("'", "''") + "'" for k in V.SIGNALS["absence"])
-STEPS = rf"""f1 AS (SELECT doc_id // 12 AS "group", pos, language, service, trim(lower(term)) AS raw,
+STEPS = rf"""f1 AS (SELECT doc_id // 12 AS "group", pos, language, service, trim(lower(term), {SP}) AS raw,
  trim(regexp_replace(regexp_replace(strip_accents(lower(term)), '[^\p{{L}}\p{{N}}\p{{M}}_\s]', '', 'g'), '\s+', ' ', 'g')) AS norm, CASE WHEN regexp_matches(term, '\p{{L}}') THEN 'Latin' ELSE 'Unknown' END AS script,
- CASE WHEN language = 'en' AND rationale IS NOT NULL AND lower(trim(rationale)) NOT IN ('', 'nan', 'none', 'null') THEN len(list_filter([{KEYWORDS}], lambda k: regexp_matches(rationale, '(?i)' || k))) ELSE 0 END AS absence
- FROM texts WHERE lower(trim(term)) NOT IN ('', 'nan', 'none', 'null')),
+ CASE WHEN language = 'en' AND rationale IS NOT NULL AND lower(trim(rationale, {SP})) NOT IN ('', 'nan', 'none', 'null') THEN len(list_filter([{KEYWORDS}], lambda k: regexp_matches(rationale, '(?i)' || k))) ELSE 0 END AS absence
+ FROM texts WHERE lower(trim(term, {SP})) NOT IN ('', 'nan', 'none', 'null')),
 f2 AS (SELECT "group", pos, language, count(*) AS n, count(DISTINCT raw) AS n_raw, list_filter(list(DISTINCT norm), lambda x: x <> '') AS norms, coalesce(bool_or(service = 'src1'), false) AS anchored, CAST(sum(absence) AS BIGINT) AS absence,
  count(DISTINCT CASE WHEN script <> 'Unknown' THEN script END) > 1 AS script_disagreement FROM f1 GROUP BY 1, 2, 3),
 f3 AS (SELECT *, CAST(len(norms) AS INTEGER) AS n_norm, list_transform(norms, lambda x: replace(x, 'ß', '~')) AS plain,
@@ -214,7 +214,7 @@ ORACLE_SQL = {
     "normalised_confidence": rf"WITH {TEXTS}, a AS (SELECT language, max(n) / sum(n) AS e FROM (SELECT language, term, count(*) AS n FROM texts WHERE term <> '' GROUP BY 1, 2) GROUP BY 1), b AS (SELECT language, max(n) / sum(n) AS l FROM (SELECT language, trim(lower(term)) AS t, count(*) AS n FROM texts GROUP BY 1, 2) WHERE t <> '' GROUP BY 1) SELECT language, round(e, 4) AS exact, round(l, 4) AS loose, round(round(l, 4) - round(e, 4), 4) AS gain FROM a JOIN b USING (language)",
     "majority_outliers": f"WITH {CELLS}, p AS ({PV}) SELECT c.item, c.variant, c.service, c.term, p.best_candidate FROM cells c JOIN p ON c.item = p.item AND c.variant = p.variant WHERE agreeing_services * 2 > total_services AND c.term <> p.best_candidate",
     "fully_divergent": f"WITH {TEXTS}, c AS (SELECT doc_id // 12 AS item, pos, term, count(*) AS n FROM texts WHERE term <> '' GROUP BY 1, 2, 3) SELECT item, pos, CAST(sum(n) AS BIGINT) AS total_services, max(n) AS agreeing_services FROM c GROUP BY 1, 2 HAVING sum(n) >= 4 AND max(n) <= 0.25 * sum(n)",
-    "pairing_enforced": f"WITH {PAIRS} SELECT conv_id, turn, coalesce(ok, false) AS has_term, CASE WHEN ok THEN length(rationale) END AS rationale_chars FROM (SELECT *, lower(trim(term)) NOT IN ('', 'nan', 'none', 'null') AND lower(trim(rationale)) NOT IN ('', 'nan', 'none', 'null') AND lower(rtrim(trim(rationale), '.')) NOT IN ('no rationale provided', 'no rationale', 'n/a', 'none', 'not applicable', 'no explanation provided', 'no reason provided') AS ok FROM pairs)",
+    "pairing_enforced": f"WITH {PAIRS} SELECT conv_id, turn, coalesce(ok, false) AS has_term, CASE WHEN ok THEN length(rationale) END AS rationale_chars FROM (SELECT *, lower(trim(term, {SP})) NOT IN ('', 'nan', 'none', 'null') AND lower(trim(rationale, {SP})) NOT IN ('', 'nan', 'none', 'null') AND lower(rtrim(trim(rationale, {SP}), '.')) NOT IN ('no rationale provided', 'no rationale', 'n/a', 'none', 'not applicable', 'no explanation provided', 'no reason provided') AS ok FROM pairs)",
     "difference_categories": f"WITH {TEXTS}, o AS (SELECT DISTINCT language, service, term FROM texts) SELECT x.language, x.service, {DIFF.format(a='x.term', b='y.term')} AS kind, count(*) AS n FROM o x JOIN o y ON x.language IS NOT DISTINCT FROM y.language AND x.service IS NOT DISTINCT FROM y.service AND x.term < y.term GROUP BY 1, 2, 3",
     "difference_tiers": rf"WITH {TEXTS}, k AS (SELECT language, lower(regexp_replace(term, '[.,]', '', 'g')) AS k, list_sort(list(DISTINCT term)) AS ts FROM texts GROUP BY 1, 2) SELECT language, CASE WHEN len(ts) = 1 THEN 'all_identical' WHEN len(list_filter(ts, lambda t: lower(t) <> lower(ts[1]))) > 0 THEN 'has_content' ELSE 'trivial_only' END AS tier, count(*) AS n FROM k GROUP BY 1, 2",
     "disagreement_rules": f"WITH {FEATURES} SELECT * FROM kinds",

@@ -15,7 +15,7 @@ from polyagree.sources.files import table
 from . import agreeing, reviewing, views
 from .curating import SIMILAR
 from .reviewing import FOUND, PRESENT, SENTENCES
-from .views import CELLS, PAIRS
+from .views import CELLS, PAIRS, SP
 
 SOURCES, LANGUAGES, TYPES = ["src0", "src1", "src2", "src3"], ["en", "de"], ["view", "click", "cart", "purchase"]
 
@@ -193,7 +193,7 @@ QUERIES = {
 }
 
 _IN = lambda names: ", ".join(f"'{x}'" for x in names)
-_EMPTY = f"(rationale IS NULL OR lower(trim(rationale)) IN ('', 'nan', 'null', {_IN(V.EMPTY_RATIONALES)}))"
+_EMPTY = f"(rationale IS NULL OR lower(trim(rationale, {SP})) IN ('', 'nan', 'null', {_IN(V.EMPTY_RATIONALES)}))"
 _PAIR = "SELECT x.service AS a, y.service AS b, {more} round(count(*) FILTER (x.term = y.term) / count(*), 6) AS rate FROM {t} x JOIN {t} y ON x.item = y.item AND x.variant = y.variant AND x.service < y.service"
 _DROPS = f"""drops AS (SELECT DISTINCT item, lower(service) AS service FROM (SELECT item, service, unnest(f) AS signal FROM g) WHERE signal IN ({_IN(V.EXCLUDING_FLAGS)}) AND service IS NOT NULL
  UNION SELECT item, lower(service) FROM d WHERE doc_id % 100 = 0 AND service IS NOT NULL)"""
@@ -216,7 +216,7 @@ ORACLE_SQL = {
  SELECT "group" AS item, kinds.n, n_raw, n_norm, max_distance, threshold, borrowed, anchored, script_disagreement, absence, category, rule, evidence, coalesce(alike.n, 0) AS n_rationales, similarity FROM kinds LEFT JOIN alike ON "group" = conv_id""",
     "anchored_stability": f"""WITH {CELLS}, s AS ({agreeing.PLURALITY.format(key="item, service", voter="CASE variant WHEN 'F' THEN 0 ELSE 1 END")}), m AS (SELECT item, avg(confidence) AS v FROM s WHERE service <> 1 GROUP BY 1), a AS (SELECT DISTINCT item, true AS anchored FROM s WHERE service = 1)
  SELECT coalesce(anchored, false) AS anchored, {agreeing.SPREAD.format(v="v")} FROM m LEFT JOIN a USING (item) GROUP BY 1""",
-    "source_retention": rf"""WITH {SENTENCES}, s AS (SELECT service, trim(lower(term)) AS low FROM t WHERE {PRESENT}) SELECT service, count(*) AS n, round(count(*) FILTER (low = 'of the') / count(*), 6) AS exact,
+    "source_retention": rf"""WITH {SENTENCES}, s AS (SELECT service, trim(lower(term), {SP}) AS low FROM t WHERE {PRESENT}) SELECT service, count(*) AS n, round(count(*) FILTER (low = 'of the') / count(*), 6) AS exact,
  round(count(*) FILTER (low <> 'of the' AND (contains(low, 'of') OR contains(low, 'the'))) / count(*), 6) AS inside, round(count(*) FILTER (low <> 'of the' AND list_has_any(regexp_extract_all(low, '[^\x20\x09-\x0D]+'), ['of', 'the'])) / count(*), 6) AS by_word FROM s GROUP BY 1""",
     "pairing_impact": f"WITH {PAIRS}, e AS (SELECT turn, conv_id, bool_or({PRESENT}) AS b, bool_or({PRESENT} AND NOT {_EMPTY}) AS a FROM pairs GROUP BY 1, 2) SELECT turn, count(*) FILTER (b) AS covered, count(*) FILTER (a) AS still, count(*) FILTER (b AND NOT a) AS lost FROM e GROUP BY 1",
     "variant_synthesis": f"""WITH {CELLS}, v AS (SELECT variant, service, count(DISTINCT item) AS items, count(*) AS cells FROM cells GROUP BY 1, 2), w AS (SELECT variant, CAST(sum(cells) AS BIGINT) AS cells, round(avg(items), 6) AS mean_coverage, min(items) AS least_coverage, max(items) AS most_coverage FROM v GROUP BY 1),

@@ -13,7 +13,7 @@ from polyagree.sources.files import table
 from polyagree.streaming import logs
 
 from . import views
-from .views import CELLS, ERRORS, TEXTS
+from .views import CELLS, ERRORS, SP, TEXTS
 
 
 def keep_latest(spark, d):
@@ -149,10 +149,15 @@ def correlations(spark, d):
 
 
 def hierarchy_root(spark, d):
-    region = table(spark, d, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("code"), F.lit(None).cast("string").alias("parent"))
-    nation = table(spark, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")))
-    supplier = table(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")))
-    return registry.roots(region.union(nation).union(supplier))
+    """Regions, nations and suppliers; customers in chains of 300; of each ten parts three that go round, six below them, and one whose parent has no row."""
+    code = lambda letter, key: F.concat(F.lit(letter), key.cast("string"))
+    region = table(spark, d, "region").select(code("r", F.col("r_regionkey")).alias("code"), F.lit(None).cast("string").alias("parent"))
+    nation = table(spark, d, "nation").select(code("n", F.col("n_nationkey")), code("r", F.col("n_regionkey")))
+    supplier = table(spark, d, "supplier").select(code("s", F.col("s_suppkey")), code("n", F.col("s_nationkey")))
+    c, p = F.col("c_custkey"), F.col("p_partkey")
+    customer = table(spark, d, "customer").select(code("c", c), F.when(c % 300 != 1, code("c", c - 1)))
+    part = table(spark, d, "part").select(code("p", p), F.when(p % 10 < 3, code("p", p - p % 10 + (p % 10 + 1) % 3)).when(p % 10 < 9, code("p", p - 1)).otherwise(code("gone", p)))
+    return registry.roots(region.union(nation).union(supplier).union(customer).union(part))
 
 
 def snapshot_merge(spark, d):
@@ -192,8 +197,8 @@ def word_count_cv(spark, d):
 
 
 def error_taxonomy(spark, d):
-    text = F.concat(F.lit("status "), F.when(F.col("k") % 4 == 0, "timed out").when(F.col("k") % 4 == 1, "token limit").otherwise("odd"))
-    text = F.when(F.col("k") % 4 == 2, F.lit('```json {"translated_term": "x"}')).otherwise(text)
+    k = F.col("k") % 6
+    text = F.when(k == 0, "status timed out").when(k == 1, "status token limit").when(k == 2, '```json {"translated_term": "x"}').when(k == 3, V.PARSE_PREFIX + '{"term": "x"}').when(k == 4, V.PARSE_PREFIX + "I'm sorry, but no").otherwise("status odd")
     return views.errors(spark, d).groupBy(X.error_kind(text).alias("kind")).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
 
 
@@ -247,8 +252,16 @@ def message_signatures(spark, d):
 
 
 def parsed_replies(spark, d):
-    reply = F.concat(F.lit('```json\n{"term": "'), F.regexp_replace("text", '["\\\\\\\\]', ""), F.lit('", "rationale": "why"}\n```'))
-    return table(spark, d, "conversations").select("conv_id", "turn", X.parsed_reply(reply).alias("r")).select("conv_id", "turn", "r.term", "r.status")
+    """Turns as a model's answers in eight forms: fenced, with near misses of keys, in single quotes, cut off, among prose, refused, no object at all, without a rationale."""
+    t = F.regexp_replace("text", "[\"\\\\'{}]", "")
+    forms = ['```json\n{"translated_term": "%s", "translation_rationale": "so"}\n```', '{"translated_text": "%s", "reason": "so"}', "{'translation': '%s', 'explanation': 'so'}", '{"translated_term": "%s", "translation_rationale": "so',
+             'Here it is: {"translated_term": "%s"} as you wished.', '{"translated_term": null, "translation_rationale": "%s"}', "%s", '{"term": "%s"}']
+    form = F.expr("(conv_id * 3 + turn) % 8")
+    reply = F.lit(None).cast("string")
+    for i, x in enumerate(forms):
+        before, after = x.split("%s")
+        reply = F.when(form == i, F.concat(F.lit(before), t, F.lit(after))).otherwise(reply)
+    return table(spark, d, "conversations").select("conv_id", "turn", X.parsed_reply(reply).alias("r")).select("conv_id", "turn", "r.*")
 
 
 QUERIES = {f.__name__: f for f in (keep_latest, coverage_by_family, coverage_depth, outcome_matrix, error_residuals, source_overlap, support_quadrant, delivery_funnel, signal_table, signal_pivot, cooccurrence, miss_rate, value_add, hit_rates, reach, unique_contribution, sequential_novelty, cumulative_share, top_per_group, percent_within_group, describe_values, correlations, hierarchy_root, snapshot_merge, candidate_lookup, registry_union, fill_merged, text_signals, word_count_cv, error_taxonomy, error_compaction, mark_errored, circuit_breaks, event_windows, benchmark_retention, page_items, page_entities, folded_terms, script_profile, message_signatures, parsed_replies)}
@@ -267,8 +280,8 @@ ORACLE_SQL = {
     "support_quadrant": "SELECT count(*) FILTER (a AND b) AS \"both\", count(*) FILTER (a AND NOT b) AS only_first, count(*) FILTER (NOT a AND b) AS only_second, count(*) FILTER (NOT a AND NOT b) AS neither FROM (SELECT o_totalprice > 250000 AS a, o_orderstatus = 'F' AS b FROM orders)",
     "delivery_funnel": "SELECT l_linenumber AS service, count(*) AS nominal, count(*) FILTER (l_returnflag <> 'R') AS quality, count(*) FILTER (l_returnflag <> 'R' AND l_linestatus = 'O') AS search_ready FROM lineitem GROUP BY 1",
     "signal_table": rf"""WITH t AS (SELECT source, text, {WORDS.format(t='lower(text)')} AS l FROM documents WHERE text IS NOT NULL), m AS (SELECT *, coalesce(list_max(map_values(list_histogram(l))), 0) AS top FROM t),
- g AS (SELECT source, unnest([CASE WHEN length(trim(text, ' ')) > 4000 THEN 'extreme' END, CASE WHEN len(l) >= 4 AND top >= 4 AND top >= 0.3 * len(l) THEN 'loop' END, CASE WHEN regexp_matches(text, '(?i){PLACEHOLDERS}') THEN 'placeholder' END,
- CASE WHEN length(trim(text, ' ')) BETWEEN 1 AND 3 THEN 'short' END, CASE WHEN regexp_matches(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]') THEN 'unsafe' END]) AS signal FROM m)
+ g AS (SELECT source, unnest([CASE WHEN length(trim(text, {SP})) > 4000 THEN 'extreme' END, CASE WHEN len(l) >= 4 AND top >= 4 AND top >= 0.3 * len(l) THEN 'loop' END, CASE WHEN regexp_matches(text, '(?i){PLACEHOLDERS}') THEN 'placeholder' END,
+ CASE WHEN length(trim(text, {SP})) BETWEEN 1 AND 3 THEN 'short' END, CASE WHEN regexp_matches(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]') THEN 'unsafe' END]) AS signal FROM m)
  SELECT source, string_agg(DISTINCT signal, ';' ORDER BY signal) AS signals, count(*) AS n_flags FROM g WHERE signal IS NOT NULL GROUP BY 1""",
     "signal_pivot": "SELECT lang, count(*) FILTER (quality = 0) AS low, count(*) FILTER (quality = 1) AS high FROM labels JOIN documents USING (doc_id) GROUP BY 1",
     "cooccurrence": "WITH k AS (SELECT DISTINCT user_id, event_type FROM events) SELECT a.event_type, b.event_type AS other, count(*) AS users FROM k a JOIN k b ON a.user_id = b.user_id AND a.event_type < b.event_type GROUP BY 1, 2",
@@ -283,23 +296,27 @@ ORACLE_SQL = {
     "percent_within_group": "WITH c AS (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2) SELECT *, round(100 * n / sum(n) OVER (PARTITION BY o_orderstatus), 6) AS percent FROM c",
     "describe_values": "SELECT event_type, count(value) AS count, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, min(value) AS min, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.5), 6) AS q2, round(quantile_cont(value, 0.75), 6) AS q3, max(value) AS max FROM events GROUP BY 1",
     "correlations": "WITH r AS (SELECT CAST(p_size AS DOUBLE) AS x, p_retailprice AS y, rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2.0 AS rx, rank() OVER (ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_retailprice) - 1) / 2.0 AS ry FROM part) SELECT round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman FROM r",
-    "hierarchy_root": "WITH RECURSIVE e AS (SELECT 'r' || r_regionkey AS code, NULL AS parent FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier), t AS (SELECT code, code AS root, 0 AS depth FROM e WHERE parent IS NULL UNION ALL SELECT e.code, t.root, t.depth + 1 FROM e JOIN t ON e.parent = t.code) SELECT * FROM t",
+    "hierarchy_root": """WITH RECURSIVE e AS (SELECT 'r' || r_regionkey AS code, NULL AS parent FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier
+ UNION ALL SELECT 'c' || c_custkey, CASE WHEN c_custkey % 300 <> 1 THEN 'c' || (c_custkey - 1) END FROM customer
+ UNION ALL SELECT 'p' || p_partkey, CASE WHEN p_partkey % 10 < 3 THEN 'p' || (p_partkey - p_partkey % 10 + (p_partkey % 10 + 1) % 3) WHEN p_partkey % 10 < 9 THEN 'p' || (p_partkey - 1) ELSE 'gone' || p_partkey END FROM part),
+ t AS (SELECT code, code AS root, CAST(0 AS BIGINT) AS depth FROM e WHERE parent IS NULL UNION ALL SELECT e.code, t.root, t.depth + 1 FROM e JOIN t ON e.parent = t.code) SELECT e.code, coalesce(t.root, e.code) AS root, t.depth FROM e LEFT JOIN t ON e.code = t.code""",
     "snapshot_merge": "SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN '2024-01-01' ELSE '2024-06-01' END AS first_seen, CASE WHEN c_custkey % 2 = 0 THEN '2024-06-01' ELSE '2024-01-01' END AS last_seen, CASE WHEN c_custkey % 3 = 0 THEN 'added' WHEN c_custkey % 2 <> 0 THEN 'gone' ELSE 'kept' END AS status FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 2 = 0",
     "candidate_lookup": "WITH k AS (SELECT 'k' || n_nationkey AS code FROM nation) SELECT c_custkey, CASE WHEN 'k' || (c_custkey % 97) IN (SELECT code FROM k) THEN 'k' || (c_custkey % 97) WHEN 'k' || (c_custkey % 31) IN (SELECT code FROM k) THEN 'k' || (c_custkey % 31) ELSE 'k' || (c_custkey % 7) END AS code FROM customer",
     "registry_union": "WITH u AS (SELECT c_nationkey AS code, 'customer' AS source FROM customer UNION SELECT s_nationkey, 'supplier' FROM supplier UNION SELECT n_nationkey, 'nation' FROM nation), s AS (SELECT code, string_agg(source, ' + ' ORDER BY source) AS combination FROM u GROUP BY 1) SELECT combination, count(*) AS n FROM s GROUP BY 1",
     "fill_merged": "WITH r AS (SELECT l_orderkey, l_linenumber, nullif(min(l_returnflag), 'N') AS term FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2) SELECT l_orderkey, arg_min(term, l_linenumber) FILTER (term IS NOT NULL) AS term FROM r GROUP BY 1",
     "text_signals": rf"""WITH t AS (SELECT doc_id, text, {WORDS.format(t='lower(text)')} AS l FROM documents WHERE text IS NOT NULL), m AS (SELECT *, coalesce(list_max(map_values(list_histogram(l))), 0) AS top FROM t)
- SELECT doc_id, CAST(len(l) AS BIGINT) AS n_words, len(l) >= 4 AND top >= 4 AND top >= 0.3 * len(l) AS "loop", length(trim(text, ' ')) > 100 AS extreme, coalesce(length(trim(text, ' ')) BETWEEN 1 AND 3, false) AS short, regexp_matches(text, '\\u[0-9a-fA-F]{{4}}') AS escape, regexp_matches(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]') AS unsafe, contains(lower(text), 'the thing') OR regexp_matches(text, '\bTT\b') AS leak FROM m""",
+ SELECT doc_id, CAST(len(l) AS BIGINT) AS n_words, len(l) >= 4 AND top >= 4 AND top >= 0.3 * len(l) AS "loop", length(trim(text, {SP})) > 100 AS extreme, coalesce(length(trim(text, {SP})) BETWEEN 1 AND 3, false) AS short, regexp_matches(text, '\\u[0-9a-fA-F]{{4}}') AS escape, regexp_matches(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]') AS unsafe, contains(lower(text), 'the thing') OR regexp_matches(text, '\bTT\b') AS leak FROM m""",
     "word_count_cv": rf"WITH w AS (SELECT lang, source, len({WORDS.format(t='text')}) AS w FROM documents WHERE text IS NOT NULL) SELECT lang, source, count(w) AS n, round(avg(w), 6) AS mean, round(median(w), 6) AS median, round(stddev_samp(w), 6) AS std, round(stddev_samp(w) / avg(w), 6) AS cv FROM w GROUP BY 1, 2",
-    "error_taxonomy": f"WITH {ERRORS} SELECT CASE k % 4 WHEN 0 THEN 'api_error' WHEN 1 THEN 'max_tokens' WHEN 2 THEN 'parse_format' ELSE 'other' END AS kind, count(*) AS n, count(DISTINCT user_id) AS users FROM errors GROUP BY 1",
+    "error_taxonomy": f"WITH {ERRORS} SELECT CASE k % 6 WHEN 0 THEN 'api_error' WHEN 1 THEN 'max_tokens' WHEN 2 THEN 'parse_format' WHEN 3 THEN 'parse_format' WHEN 4 THEN 'generic_refusal' ELSE 'other' END AS kind, count(*) AS n, count(DISTINCT user_id) AS users FROM errors GROUP BY 1",
     "error_compaction": f"WITH {ERRORS}, l AS (SELECT *, k % 4 = 0 AS transient, row_number() OVER (PARTITION BY user_id, k % 4 = 0 ORDER BY ts DESC, event_id DESC) AS rn FROM errors), m AS (SELECT *, bool_or(NOT transient) OVER (PARTITION BY user_id) AS lasting FROM l WHERE rn = 1) SELECT user_id, event_id, transient FROM m WHERE NOT transient OR NOT lasting",
     "mark_errored": f"WITH {ERRORS} SELECT event_id, user_id, user_id IN (SELECT user_id FROM errors WHERE k % 4 <> 0) AS excluded FROM events WHERE event_type = 'purchase'",
     "circuit_breaks": "WITH r AS (SELECT user_id, event_type = 'error' AS failed, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM events), x AS (SELECT user_id, run, count(*) AS length FROM r WHERE failed GROUP BY 1, 2 HAVING count(*) >= 3) SELECT user_id, count(*) AS breaks, max(length) AS longest FROM x GROUP BY 1",
     "folded_terms": rf"WITH {TEXTS} SELECT doc_id, pos, trim(regexp_replace(regexp_replace(strip_accents(lower(term)), '[^\p{{L}}\p{{N}}\p{{M}}_\s]', '', 'g'), '\s+', ' ', 'g')) AS folded FROM texts",
     "script_profile": r"WITH t AS (SELECT doc_id, regexp_matches(text, '\p{L}') AS l FROM documents WHERE text IS NOT NULL) SELECT doc_id, CASE WHEN l THEN 'Latin' ELSE 'Unknown' END AS script, false AS mixed FROM t",
     "page_items": r"WITH r AS (SELECT page_id, regexp_extract_all(html, '(?is)<li[^>]*>(.*?)</li>', 1) AS x FROM pages), u AS (SELECT page_id, x, unnest(range(0, len(x))) AS pos FROM r) SELECT page_id, CAST(pos AS INTEGER) AS pos, trim(regexp_replace(x[pos + 1], '<[^>]*>', '', 'gs')) AS text FROM u",
-    "parsed_replies": r"""WITH t AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(text, '["\\]', '', 'g'), '\n', ' ', 'g')) AS t FROM conversations), s AS (SELECT *, CASE WHEN t IS NULL THEN 'empty' WHEN t = '' OR lower(t) IN ('null', 'none') THEN 'refused' WHEN length(t) > 300 THEN 'too_long' ELSE 'parsed' END AS status FROM t)
- SELECT conv_id, turn, CASE WHEN status = 'parsed' THEN t END AS term, status FROM s""",
+    "parsed_replies": r"""WITH t AS (SELECT conv_id, turn, (conv_id * 3 + turn) % 8 AS k, regexp_replace(text, '["\\''{}]', '', 'g') AS t FROM conversations),
+ s AS (SELECT *, CASE WHEN t IS NULL OR k = 6 AND trim(t, WHITE) = '' THEN 'empty' WHEN k = 5 THEN 'refused' WHEN k = 6 OR k = 2 AND length(t) + 41 >= 500 THEN 'unparsed' WHEN t = '' THEN 'refused' WHEN (k = 3 OR k = 4 AND length(t) + 51 >= 500) THEN CASE WHEN length(t) > 300 THEN 'too_long' ELSE 'saved' END ELSE 'parsed' END AS status FROM t)
+ SELECT conv_id, turn, CASE WHEN status IN ('parsed', 'saved') THEN t END AS term, CASE WHEN t IS NULL THEN 'No rationale provided' WHEN k = 5 THEN t WHEN k IN (0, 1) OR k = 2 AND status <> 'unparsed' THEN 'so' ELSE 'No rationale provided' END AS rationale, status FROM s""".replace("WHITE", SP),
     "event_windows": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "benchmark_retention": rf"WITH r AS (SELECT DISTINCT item_id, unnest({WORDS.format(t='lower(text)')}) AS word FROM benchmark), n AS (SELECT word, count(*) AS items FROM r GROUP BY 1) SELECT item_id, count(*) AS words, count(*) FILTER (items > 1) AS shared FROM r JOIN n USING (word) GROUP BY 1",
 }

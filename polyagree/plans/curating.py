@@ -9,6 +9,7 @@ from polyagree.operators import families, genre, similarity
 from polyagree.sources.files import table
 
 from . import views
+from .views import SP
 
 
 def curation_actions(spark, d):
@@ -51,7 +52,7 @@ QUERIES = {f.__name__: f for f in (curation_actions, rationale_similarity, famil
 
 REGISTRY = "registry AS (SELECT CAST(c_custkey AS VARCHAR) AS code, c_name AS name, c_mktsegment AS glottolog, n_nationkey, n_name AS raw, CASE WHEN n_nationkey = 0 THEN '' ELSE r_name END AS family FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
 
-SIMILAR = r"""k AS (SELECT *, row_number() OVER () AS r FROM (SELECT DISTINCT conv_id, turn, role, text FROM ROWS WHERE text IS NOT NULL AND lower(trim(text)) NOT IN ('', 'nan', 'none', 'null'))),
+SIMILAR = r"""k AS (SELECT *, row_number() OVER () AS r FROM (SELECT DISTINCT conv_id, turn, role, text FROM ROWS WHERE text IS NOT NULL AND lower(trim(text, WHITE)) NOT IN ('', 'nan', 'none', 'null'))),
  w AS (SELECT conv_id, r, ' ' || unnest(regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+')) || ' ' AS w FROM k), g AS (SELECT conv_id, r, substr(w, CAST(i AS BIGINT), CAST(z AS BIGINT)) AS gram FROM (SELECT conv_id, r, w, z, unnest(range(1, length(w) - z + 2)) AS i FROM w CROSS JOIN (VALUES (3), (4), (5)) AS s(z) WHERE z <= length(w))),
  tf AS (SELECT conv_id, r, gram, count(*) AS tf FROM g GROUP BY ALL), n AS (SELECT conv_id, count(DISTINCT r) AS n FROM w GROUP BY 1), d AS (SELECT conv_id, gram, count(*) AS df FROM tf GROUP BY ALL),
  x AS (SELECT conv_id, r, gram, tf * (ln((n + 1) / (df + 1)) + 1) AS w FROM tf JOIN d USING (conv_id, gram) JOIN n USING (conv_id)), u AS (SELECT conv_id, r, gram, w / sqrt(sum(w * w) OVER (PARTITION BY conv_id, r)) AS v FROM x),
@@ -59,7 +60,7 @@ SIMILAR = r"""k AS (SELECT *, row_number() OVER () AS r FROM (SELECT DISTINCT co
  alike AS (SELECT conv_id, n, CASE WHEN n > 1 THEN round(coalesce(s, 0) / (n * (n - 1) / 2), 4) END AS similarity FROM n LEFT JOIN p USING (conv_id))"""
 
 ORACLE_SQL = {
-    "rationale_similarity": "WITH " + SIMILAR.replace("ROWS", "conversations") + " SELECT * FROM alike",
+    "rationale_similarity": "WITH " + SIMILAR.replace("WHITE", SP).replace("ROWS", "conversations") + " SELECT * FROM alike",
     "family_mapping": f"""WITH {REGISTRY}, c AS (SELECT family, raw, count(*) AS n FROM registry GROUP BY 1, 2), m AS (SELECT family, CAST(sum(n) AS BIGINT) AS n_languages, string_agg(raw || ': ' || n, '; ' ORDER BY n DESC, raw) AS raw_family_names FROM c GROUP BY 1),
  s AS (SELECT family, string_agg(code || ' (' || name || ')', '; ' ORDER BY name, code) AS sample_languages FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY name, code) AS k FROM registry) WHERE k <= 8 GROUP BY 1)
  SELECT family, n_languages, sample_languages, raw_family_names, CASE WHEN family = '' THEN 'Unassigned' WHEN family IN ('ASIA', 'EUROPE') THEN 'EURASIA' WHEN family = 'AMERICA' THEN 'Exclude from family aggregation' ELSE family END AS label,

@@ -11,7 +11,7 @@ from polyagree.sources.files import table
 
 from . import views
 from .curating import _registry
-from .views import CELLS, TEXTS
+from .views import CELLS, SP, TEXTS
 
 SIGNALS = ("has_repetition_loop", "has_placeholder_term", "has_unicode_escape", "has_extreme_term_length", "has_short_translation", "has_unsafe_characters", "has_refusal_rationale", "has_transliteration_rationale", "has_placeholder_rationale")
 PATTERNS = {"questions": [r"\bwhat\b", r"\bhow\b", r"\?\s*$"], "requests": [r"\bplease\b", r"\bcan\s+you\b"], "articles": [r"\bthe\b"]}
@@ -181,16 +181,17 @@ SENTENCES = f"{TEXTS}, t AS (SELECT *, doc_id // 12 AS item FROM texts)"
 FOUND = rf"""d AS (SELECT doc_id, doc_id // 12 AS item, source AS service, text, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE text IS NOT NULL),
 m AS (SELECT *, coalesce(list_max(map_values(list_histogram(w))), 0) AS top FROM d),
 g AS (SELECT item, service, [CASE WHEN len(w) >= 4 AND top >= 4 AND top >= 0.3 * len(w) THEN 'has_repetition_loop' END, CASE WHEN regexp_matches(text, {_sql(V.PLACEHOLDER_TERMS)}) THEN 'has_placeholder_term' END, CASE WHEN regexp_matches(text, '\\u[0-9a-fA-F]{{4}}') THEN 'has_unicode_escape' END,
- CASE WHEN length(trim(text, ' ')) > 4000 THEN 'has_extreme_term_length' END, CASE WHEN length(trim(text, ' ')) BETWEEN 1 AND 3 THEN 'has_short_translation' END, CASE WHEN regexp_matches(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]') THEN 'has_unsafe_characters' END,
+ CASE WHEN length(trim(text, {SP})) > 4000 THEN 'has_extreme_term_length' END, CASE WHEN length(trim(text, {SP})) BETWEEN 1 AND 3 THEN 'has_short_translation' END, CASE WHEN regexp_matches(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]') THEN 'has_unsafe_characters' END,
  CASE WHEN regexp_matches(text, {_sql(V.REFUSAL)}) THEN 'has_refusal_rationale' END, CASE WHEN regexp_matches(text, {_sql(V.TRANSLITERATION)}) THEN 'has_transliteration_rationale' END, CASE WHEN regexp_matches(text, {_sql(V.PLACEHOLDER_RATIONALE)}) THEN 'has_placeholder_rationale' END] AS f FROM m),
 found AS (SELECT item, signal, coalesce(string_agg(DISTINCT service, ', ' ORDER BY service), '') AS services, count(DISTINCT service) AS n_services FROM (SELECT item, service, unnest(f) AS signal FROM g) WHERE signal IS NOT NULL GROUP BY 1, 2)"""
 IN_EXCLUDING, IN_COMPLICATING = (", ".join(f"'{x}'" for x in names) for names in (V.EXCLUDING_FLAGS, V.COMPLICATING_FLAGS))
 NORM = "trim(regexp_replace(replace(lower(term), 'ß', 'ss'), '\\s+', ' ', 'g'), '" + V.EDGE_MARKS.replace("'", "''") + "')"
-PRESENT = "term IS NOT NULL AND lower(trim(term)) NOT IN ('', 'nan', 'none', 'null')"
+ALIGNED = NORM.replace("{}'", "{}/`'")
+PRESENT = f"term IS NOT NULL AND lower(trim(term, {SP})) NOT IN ('', 'nan', 'none', 'null')"
 DETAIL = f"""n AS (SELECT item, pos, service, CASE WHEN {PRESENT} THEN {NORM} ELSE '' END AS norm FROM t),
 detail AS (SELECT item, pos, coalesce(string_agg(DISTINCT service, '; ' ORDER BY service) FILTER (norm <> ''), '') AS sources, count(*) FILTER (norm <> '') AS n_present, count(DISTINCT norm) FILTER (norm <> '') AS n_distinct FROM n GROUP BY 1, 2),
 labels AS (SELECT *, CASE WHEN n_present = 0 THEN 'no outputs' WHEN n_present = 1 THEN 'one output only' WHEN n_distinct = 1 THEN 'all available outputs agree' ELSE 'outputs diverge' END AS label FROM detail)"""
-STAGED = f"""t AS (SELECT *, trim(lower(term)) AS low, CASE WHEN doc_id % 11 = 0 THEN 'rtl' ELSE 'ltr' END AS direction, doc_id % 5 = 0 AS valid FROM texts), x AS (SELECT DISTINCT lower(term) AS low FROM texts WHERE doc_id % 97 = 0),
+STAGED = f"""t AS (SELECT *, trim(lower(term), {SP}) AS low, CASE WHEN doc_id % 11 = 0 THEN 'rtl' ELSE 'ltr' END AS direction, doc_id % 5 = 0 AS valid FROM texts), x AS (SELECT DISTINCT lower(term) AS low FROM texts WHERE doc_id % 97 = 0),
 e AS (SELECT *, CASE WHEN NOT ({PRESENT}) THEN 'blank' WHEN regexp_matches(term, {_sql(V.PLACEHOLDER_TERMS)}) THEN 'placeholder' WHEN language <> 'en' AND (contains(lower(term), 'the thing') OR regexp_matches(term, '\\bTT\\b')) THEN 'leak'
  WHEN regexp_matches(term, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]') THEN 'unsafe' WHEN low IN (SELECT low FROM x) THEN 'excluded' END AS early FROM t),
 b AS (SELECT low, count(*) >= 2 OR bool_or(valid) AS backed FROM e WHERE early IS NULL GROUP BY 1), s AS (SELECT e.*, coalesce(early, CASE WHEN NOT backed THEN 'uncorroborated' END, 'kept') AS stage FROM e LEFT JOIN b USING (low))"""
@@ -211,7 +212,7 @@ ORACLE_SQL = {
     "convergence_shares": f"WITH {SENTENCES}, {DETAIL} SELECT label, count(*) AS n, round(count(*) / (SELECT count(*) FROM labels), 6) AS share FROM labels GROUP BY 1",
     "convergence_by_sources": f"WITH {SENTENCES}, {DETAIL} SELECT n_present, count(*) AS items, count(*) FILTER (n_present > 1 AND n_distinct = 1) AS agree, round(count(*) FILTER (n_present > 1 AND n_distinct = 1) / count(*), 6) AS rate FROM labels GROUP BY 1",
     "source_presence": f"WITH {SENTENCES}, p AS (SELECT service, count(DISTINCT (item, pos)) FILTER ({PRESENT}) AS present FROM t GROUP BY 1), i AS (SELECT count(DISTINCT (item, pos)) AS items FROM t) SELECT service, present, items, round(present / items, 6) AS rate FROM p, i",
-    "anchor_alignment": f"WITH {SENTENCES}, n AS (SELECT DISTINCT item, pos, service, {NORM} AS norm FROM t WHERE {PRESENT}), a AS (SELECT * FROM n WHERE service = 'src1' AND norm <> ''), b AS (SELECT n.*, EXISTS (SELECT 1 FROM a WHERE a.item = n.item AND a.pos = n.pos AND a.norm = n.norm) AS hit FROM n WHERE service <> 'src1' AND norm <> '' AND EXISTS (SELECT 1 FROM a WHERE a.item = n.item AND a.pos = n.pos)) SELECT service, count(*) AS compared, count(*) FILTER (hit) AS aligned, round(count(*) FILTER (hit) / count(*), 6) AS rate FROM b GROUP BY 1",
+    "anchor_alignment": f"WITH {SENTENCES}, n AS (SELECT DISTINCT item, pos, service, {ALIGNED} AS norm FROM t WHERE {PRESENT}), a AS (SELECT * FROM n WHERE service = 'src1' AND norm <> ''), b AS (SELECT n.*, EXISTS (SELECT 1 FROM a WHERE a.item = n.item AND a.pos = n.pos AND a.norm = n.norm) AS hit FROM n WHERE service <> 'src1' AND norm <> '' AND EXISTS (SELECT 1 FROM a WHERE a.item = n.item AND a.pos = n.pos)) SELECT service, count(*) AS compared, count(*) FILTER (hit) AS aligned, round(count(*) FILTER (hit) / count(*), 6) AS rate FROM b GROUP BY 1",
     "service_profiles": rf"WITH {SENTENCES}, w AS (SELECT service, {PRESENT} AS has, regexp_extract_all(term, '[^\x20\x09-\x0D]+') AS ws, trim(lower(term)) AS a, trim(lower(rationale)) AS b FROM t) SELECT service, count(*) AS n, count(*) FILTER (has) AS covered, round(avg(len(ws)) FILTER (has), 6) AS mean_words, round(count(*) FILTER (has AND a = b) / nullif(count(*) FILTER (has), 0), 6) AS echo_rate, round(count(*) FILTER (has AND list_has_any(regexp_extract_all(a, '[^\x20\x09-\x0D]+'), regexp_extract_all(coalesce(b, ''), '[^\x20\x09-\x0D]+'))) / nullif(count(*) FILTER (has), 0), 6) AS overlap_rate FROM w GROUP BY 1",
     "script_outliers": rf"WITH {SENTENCES} SELECT item, pos, doc_id, 'Latin' AS script, 'Latin' AS majority, false AS outlier FROM t WHERE {PRESENT} AND regexp_matches(term, '\p{{L}}')",
     "pattern_rates": "SELECT role, count(*) AS n, " + ", ".join(f"round(count(*) FILTER ({' OR '.join(f'regexp_matches(text, {_sql(p)})' for p in ps)}) / count(*), 6) AS {f}" for f, ps in PATTERNS.items()) + " FROM conversations GROUP BY 1",

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from polyagree.functions import fixed as V
 from polyagree.operators.cells import keep_latest
 from polyagree.sources.files import table
 
+#: The white space that strip() takes off, as SQL.
+SP = "'" + V.WHITE + "'"
 CELLS = """cells AS (SELECT l_orderkey AS item, l_linenumber AS service, l_linestatus AS variant, l_returnflag AS term, l_shipdate AS ts FROM
  (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_linestatus ORDER BY l_shipdate DESC, l_extendedprice DESC, l_partkey DESC, l_returnflag DESC) AS rn FROM lineitem) WHERE rn = 1)"""
 TEXTS = r"""texts AS (SELECT doc_id, lang AS language, source AS service, CAST(i - 1 AS INTEGER) AS pos, s[i] AS term, s[i + 1] AS rationale FROM (SELECT *, unnest(range(1, len(s) + 1)) AS i FROM

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +16,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` to the folder in spark.checkpoint.dir, which all executors share, and read it again: cuts the lineage and survives lost executors. A temporary folder in local mode alone."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext._jsc.sc().isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="polyagree-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def read_csv(spark: SparkSession, path: str, schema: str | None = None, encoding: str = "UTF-8", sep: str = ",", keep_bad: bool = False) -> DataFrame:
     """All columns are strings unless a schema is given; empty strings stay, and so does the key 'nan'; bad lines are dropped or kept apart."""
     reader = spark.read.options(header=True, multiLine=True, escape='"', encoding=encoding, sep=sep, emptyValue="", nullValue="\x00", mode="PERMISSIVE" if keep_bad else "DROPMALFORMED")

@@ -33,7 +33,7 @@ def test_text_functions(spark):
     check(spark, X.is_mixed, {"цифровые абвгд": False, "цифровые digital": True, "漢字かなカナ": False, "слово ab": False, "": False})
     check(spark, X.is_mixed_at_all, {"слово ab": True, "слово": False, "": False})
     check(spark, X.has_foreign_rationale, {"это слово означает очень многое для всех": True, "word": False, "это слово": False, None: False})
-    check(spark, lambda t: X.is_language_name(t, F.lit("Old Norse")), {"old norse": True, "in Old-Norse here": True, "norse": True, "norseman": False, None: False, "": False})
+    check(spark, lambda t: X.is_language_name(t, F.lit("Old Norse")), {"old norse": True, "in Old-Norse here": True, "norse": False, "norseman": False, None: False, "": False})
     check(spark, lambda t: X.leaks_source(t, "C++ (x) thing"), {"the c++ (x) THING": True, "C(T here": True, "plain": False, None: False})
     check(spark, X.short_family, {"Bantu languages": "Bantu", "Romance": "Romance", "Uralic Family": "Uralic"})
     check(spark, X.canonical_tag, {"SR_latn_rs": "sr-Latn-RS", "en": "en", "zh-hant": "zh-Hant"})
@@ -58,6 +58,85 @@ def test_error_kinds_and_signatures(spark):
     check(spark, lambda t: X.signature(t, "open seas"), {"code 1234 at 99": "code <num> at 99", "aaaaaaaaab": "a<repeat>b", "open seas → Welsh. x": "open seas → <language>. x", None: "<empty>", '```json {"translated_term": "abc"}': '{"translated_term": "<term>"}'})
 
 
+def test_white_space_of_any_kind_is_blank(spark):
+    check(spark, X.present, {"\t": False, "\n \r": False, "\u00a0": False, "\u3000": False, "nan\n": False, "\u2003None\x1f": False, "x": True, " x\u00a0": True, "": False})
+    check(spark, X.is_short, {"\u00a0\u00a0\u00a0\u00a0": False, "\u3000ab\n": True, "abcd": False})
+    check(spark, lambda t: X.is_extreme_length(t, 3), {"abc\u00a0\n": False, "abcd": True})
+    check(spark, X.is_blank, {None: True, "\u00a0": True, "nan": False})
+    check(spark, lambda t: X.first_present(t, F.lit(" y\u3000")), {"\u00a0": "y", "x ": "x"})
+
+
+def test_messages_go_without_the_mark_of_the_parser(spark):
+    mark = "Could not parse translation response: "
+    check(spark, X.error_kind, {mark + '{"term": "x"}': "parse_format", mark + "  {'a'": "parse_format", mark + "I'm sorry, but no": "generic_refusal", mark + "boom": "other", "nan": "other", mark: "other", mark + '{"translated_term": "' + "lalo" * 20 + '"}': "repetition_loop", "\u00a0": "unknown"})
+    check(spark, X.signature, {mark + '```json {"translated_term": "abc"}': '{"translated_term": "<term>"}', mark + "code 123": "code <num>", "\u3000": "<empty>"})
+
+
+def test_language_names_of_two_words(spark):
+    check(spark, lambda t: X.is_language_name(t, F.lit("Western Hindi")), {"Hindi": False, "western hindi": True, "the Western-Hindi word": True, "westernhindi": False})
+
+
+NONE = "No rationale provided"
+REPLIES = {
+    '{"translated_term": "eau", "translation_rationale": "x"}': ("eau", "x", "parsed"),
+    '```json\n{"translated_term": "eau", "translation_rationale": "x"}\n```': ("eau", "x", "parsed"),
+    '```JSON {"translated_term": "eau"}```  ': ("eau", NONE, "parsed"),
+    '```\n{"translated_term": "eau"}\n```': ("eau", NONE, "parsed"),
+    '{"translated_target": "eau", "reason": "x"}': ("eau", "x", "parsed"),
+    '{"translated_text": "eau", "translation_reason": "x"}': ("eau", "x", "parsed"),
+    '{"translated_word": "eau", "translation_explanation": "x"}': ("eau", "x", "parsed"),
+    '{"translation": "eau", "explanation": "x"}': ("eau", "x", "parsed"),
+    '{"term": "eau", "rationale": "x"}': ("eau", "x", "parsed"),
+    '{"term": "no", "translated_term": "eau", "rationale": "no", "translation_rationale": "x"}': ("eau", "x", "parsed"),
+    '{"term": "no", "translated_term": null, "translation_rationale": "x"}': (None, "x", "refused"),
+    '{"translated_term": "", "translation_rationale": "x"}': (None, "x", "refused"),
+    '{"translation_rationale": "x"}': (None, "x", "refused"),
+    '{"translated_term": " eau ", "translation_rationale": "it\'s"}': (" eau ", "it's", "parsed"),
+    '{"translated_term": "l\\"eau", "translation_rationale": "a\\nb \\u00e9"}': ('l"eau', "a\nb é", "parsed"),
+    '{"translated_term": "eau", "translation_rationale": "line one\nline two\tend"}': ("eau", "line one\nline two\tend", "parsed"),
+    "{'translated_term': 'eau', 'translation_rationale': 'x'}": ("eau", "x", "parsed"),
+    "{'translated_term': \"l'eau\", 'reason': 'x'}": ("l'eau", "x", "parsed"),
+    "{'translated_term': 'l\\'eau'}": ("l'eau", NONE, "parsed"),
+    "Sure: {'term': 'eau'} and more": ("eau", NONE, "parsed"),
+    'Sure: {"term": "eau"} and more': ("eau", NONE, "parsed"),
+    '{"translated_term": "eau", "translation_rationale": "x": bad}': ("eau", "x", "saved"),
+    '{"translated_term": "eau", "translation_rationale": "goes on and': ("eau", NONE, "saved"),
+    '{"translated_term": "l\\"eau", "translation_rat': ('l"eau', NONE, "saved"),
+    'It is "translated_term": "eau", "translation_rationale": "x", as said': ("eau", "x", "saved"),
+    '{"translated_term": "' + "a" * 301 + '", "translation_rationale": "cut': (None, NONE, "too_long"),
+    '{"translated_term": "' + "a" * 301 + '"}': ("a" * 301, NONE, "parsed"),
+    '{"translated_term": "", "translation_rationale": "cut': (None, NONE, "refused"),
+    '{"translated_term": "cut of': (None, NONE, "unparsed"),
+    "{'translated_term': None}": (None, NONE, "unparsed"),
+    "I cannot do that": (None, NONE, "unparsed"),
+    "\u00a0\n": (None, NONE, "empty"),
+    "{'translated_term': 'eau', 'reason': '" + "long " * 120 + "'}": (None, NONE, "unparsed"),
+    None: (None, NONE, "empty"),
+}
+
+
+def test_replies_are_read_or_saved(spark):
+    got = each(spark, X.parsed_reply, REPLIES)
+    assert {t: tuple(r) for t, r in zip(REPLIES, got)} == REPLIES
+
+
+def test_roots_of_long_chains_cycles_and_lacking_parents(spark):
+    edges = [(f"n{i}", f"n{i - 1}" if i else None) for i in range(1000)] + [("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("lost", "nowhere"), ("below", "lost"), ("isolate", None), ("n3", None), ("me", "me"), (None, "n0")]
+    got = {r.code: (r.root, r.depth) for r in registry.roots(spark.createDataFrame(edges, "code string, parent string")).collect()}
+    want, parent = {}, {}
+    for code, up in edges:
+        if code:
+            parent[code] = min(filter(None, (up, parent.get(code))), default=None)
+    for code in parent:
+        seen, at = [], code
+        while at in parent and at not in seen and parent[at]:
+            seen.append(at)
+            at = parent[at]
+        want[code] = (at, len(seen)) if at in parent and at not in seen else (code, None)
+    assert got == want and got["n999"] == ("n0", 999) and got["d"] == ("d", None) and got["isolate"] == ("isolate", 0)
+    assert registry.roots(spark.createDataFrame([], "code string, parent string")).count() == 0
+
+
 TERMS = {
     1: [("a", "одно слово", "r"), ("b", "Одно слово", "r")],
     2: [("a", "море", "r"), ("b", "океан", "r")],
