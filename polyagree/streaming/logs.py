@@ -1,4 +1,4 @@
-"""Append-only logs as streams: keep-latest upserts, suppression of transient errors, and a circuit breaker."""
+"""Append-only logs as streams: windows, what is pending, and runs of failures."""
 
 from __future__ import annotations
 
@@ -6,20 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def upsert_latest(stream: DataFrame, key: list[str], order: str, target: str, checkpoint: str):
-    """Keep the latest row of each key in `target`: each batch writes a new version from the last one and its rows."""
-    from polyagree.operators.cells import keep_latest
-
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch
-        if number:
-            rows = rows.unionByName(spark.read.parquet(f"{target}/version={number - 1}"))
-        keep_latest(rows, key, F.col(order), F.xxhash64(*[c for c in rows.columns])).write.mode("overwrite").parquet(f"{target}/version={number}")
-
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def windowed_counts(stream: DataFrame, time: str, late: str, width: str, *keys: str) -> DataFrame:
     return stream.withWatermark(time, late).groupBy(F.window(time, width), *keys).agg(F.count("*").alias("n"))
 

@@ -51,16 +51,6 @@ def test_assignments_fill_blanks_and_add_rows(spark):
     assert sorted(map(tuple, families.assigned(old, new, "code").collect())) == [("aa", "X", "m"), ("bb", "Z", "n"), ("cc", "W", None)]
 
 
-def test_stream_keeps_the_latest(spark, tmp_path):
-    schema, target = "k string, at timestamp, v int", str(tmp_path / "target")
-    for number, batch in enumerate([[("a", 1, 1), ("b", 5, 2), ("a", 3, 3)], [("a", 2, 4), ("b", 6, 5), ("c", 1, 6)]]):
-        rows = spark.createDataFrame([(k, datetime(2024, 1, day), v) for k, day, v in batch], schema)
-        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
-        query = logs.upsert_latest(logs.read_log(spark, str(tmp_path / "log"), schema), ["k"], "at", target, str(tmp_path / "checkpoint"))
-        assert query.awaitTermination(120)
-    assert {r.k: r.v for r in spark.read.parquet(f"{target}/version={number}").collect()} == {"a": 3, "b": 5, "c": 6}
-
-
 def test_stream_windows_drop_what_is_late(spark, tmp_path):
     schema = "k string, at timestamp"
     for batch in ([("a", 1), ("a", 1), ("b", 1)], [("a", 9)], [("a", 1), ("a", 9)]):
