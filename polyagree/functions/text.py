@@ -40,13 +40,14 @@ def stripped(x: Column) -> Column:
 
 
 def difference(a: Column, b: Column, rtl: Column | None = None) -> Column:
-    """Why two texts differ: identical, capitalization, whitespace, capitalization_and_whitespace or content."""
-    case = F.lit(True) if rtl is None else ~rtl
+    """Why two texts differ: identical, capitalization, whitespace, both or content. Scripts written right to left have no case: what is alike but for case and edges is whitespace there."""
+    ltr = F.lit(True) if rtl is None else ~rtl
+    alike = F.lower(stripped(a)) == F.lower(stripped(b))
     return (
         F.when(a == b, "identical")
-        .when(case & (F.lower(a) == F.lower(b)), "capitalization")
-        .when(stripped(a) == stripped(b), "whitespace")
-        .when(case & (F.lower(stripped(a)) == F.lower(stripped(b))), "capitalization_and_whitespace")
+        .when(ltr & (F.lower(a) == F.lower(b)), "capitalization")
+        .when(alike & ((stripped(a) == stripped(b)) | ~ltr), "whitespace")
+        .when(alike, "both")
         .otherwise("content")
     )
 

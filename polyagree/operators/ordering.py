@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from polyagree.sources.files import stored
+
 
 def by_group_rate(counts: DataFrame, group: str, label: str, of: str, n: str = "n") -> DataFrame:
     """`counts` (group, label, n) with rate, the group's share of the label `of`, and place, groups of greatest rate first and then by name. Groups are few."""
@@ -28,6 +30,25 @@ def sampled(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     return rows.withColumn("__d", digest).orderBy("__d", key).limit(n).drop("__d")
 
 
+def ranked(rows: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
+    """`rows` with their place from 1 in a total order, without all rows in one task.
+
+    Rows are parted by ranges of the order, sorted within, and written with their place there; the sizes of earlier ranges, one row a range, are added.
+    End the order with what tells rows apart: ties take any place, and only such an order can part the rows of a hot value.
+    """
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    placed = stored(placed, "ranges").withColumn("__part", F.shiftright("__id", 33))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return placed.join(F.broadcast(sizes), "__part").withColumn(name, F.col("__before") + inside).drop("__id", "__part", "__before")
+
+
+def custom(column: Column, values: Sequence[str], otherwise: int = 9) -> Column:
+    """The place of a value in a list of one's own, from 0; what is not in it comes at `otherwise`."""
+    return F.coalesce(F.nullif(F.array_position(F.array(*(F.lit(v) for v in values)), column).cast("int"), F.lit(0)) - 1, F.lit(otherwise))
+
+
 def folds(rows: DataFrame, key: str, label: str, n: int, seed: int = 0, name: str = "fold", parts: int = 256) -> DataFrame:
     """`rows` with a fold from 0 to n - 1, dealt in turn within each label, so that a label's rows differ by one at most between folds.
 

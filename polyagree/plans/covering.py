@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from polyagree.functions import fixed as V
 from polyagree.functions import text as X
-from polyagree.operators import agreement, cells, registry
+from polyagree.operators import agreement, cells, quantiles, registry
 from polyagree.sources import files
 from polyagree.sources.files import table
 from polyagree.streaming import logs
@@ -136,8 +136,10 @@ def percent_within_group(spark, d):
 
 
 def describe_values(spark, d):
-    p = lambda q, name: F.round(F.percentile("value", F.lit(q)), 6).alias(name)
-    return table(spark, d, "events").groupBy("event_type").agg(F.count("value").alias("count"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("std"), F.min("value").alias("min"), p(0.25, "q1"), p(0.5, "q2"), p(0.75, "q3"), F.max("value").alias("max"))
+    rows = table(spark, d, "events")
+    facts = rows.groupBy(F.col("event_type").alias("kind")).agg(F.count("value").alias("count"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    q = quantiles.quantiles(rows, ["event_type"], "value", {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+    return facts.join(q, F.col("kind").eqNullSafe(F.col("event_type")), "left").select(F.col("kind").alias("event_type"), "count", "mean", "std", "min", *(F.round(c, 6).alias(c) for c in ("q1", "q2", "q3")), "max")
 
 
 def correlations(spark, d):
