@@ -224,7 +224,7 @@ def _chunk(chunk: int, texts: np.ndarray, a: np.ndarray, b: np.ndarray, often: n
     return _record(rows, len(rows["kind"]))
 
 
-def _aligned(path_a: str, path_b: str):
+def _aligned(path_a: str, path_b: str, most_links: int, most_texts: int):
     def of(batches):
         from pyspark import TaskContext
 
@@ -237,7 +237,7 @@ def _aligned(path_a: str, path_b: str):
 
         for batch in batches:
             raw, at = shared.buffer_of(batch.column(1))
-            for first, last in ((i, min(i + TEXTS, end)) for begin, end in shared.row_blocks(at, BLOCK) for i in range(begin, end, TEXTS)):
+            for first, last in ((i, min(i + most_texts, end)) for begin, end in shared.row_blocks(at, BLOCK) for i in range(begin, end, most_texts)):
                 sizes = np.diff(at[first : last + 1])
                 full = np.flatnonzero(sizes > 0)
                 part = np.insert(raw[at[first] : at[last]], at[first : last + 1][full] - at[first], np.uint8(32))
@@ -247,14 +247,14 @@ def _aligned(path_a: str, path_b: str):
                     an, bn, groups, n_links, hashes[full], keys, often = aligner.block(part, np.append(0, np.cumsum(sizes[full] + 1)))
                     for c, x in zip(numbers, (an, bn, groups, n_links)):
                         numbers[c][full] = x
-                    if row + last - first > TEXTS or n and n + len(keys) > LINKS:
+                    if row + last - first > most_texts or n and n + len(keys) > most_links:
                         if kept:
                             yield links()
                         chunk, row, kept, n = chunk + 1, 0, [], 0
                     texts = row + full[(keys >> np.uint64(44)).astype(np.int64)]
                     kept.append((texts, (keys >> np.uint64(22) & _MASK).astype(np.int64), (keys & _MASK).astype(np.int64), often))
                     n += len(keys)
-                elif row + last - first > TEXTS:
+                elif row + last - first > most_texts:
                     if kept:
                         yield links()
                     chunk, row, kept, n = chunk + 1, 0, [], 0
@@ -267,11 +267,11 @@ def _aligned(path_a: str, path_b: str):
     return of
 
 
-def encode_all(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """Rows of three kinds, stored: of each text (2), and of each chunk and stripe the links (1) and their counts (0)."""
+def encode_all(docs: DataFrame, path_a: str, path_b: str, chunk: tuple[int, int] = (LINKS, TEXTS)) -> DataFrame:
+    """Rows of three kinds, stored: of each text (2), and of each chunk (so many links and texts at most, or one text) and stripe the links (1) and their counts (0)."""
     shared.prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), shared.text_bytes().alias("text"))
-    return shared.staged(rows.mapInArrow(_aligned(path_a, path_b), ROW), "aligned")
+    return shared.staged(rows.mapInArrow(_aligned(path_a, path_b, *chunk), ROW), "aligned")
 
 
 def _scored(size_a: int, size_b: int):
@@ -339,10 +339,10 @@ def sizes_of(path_a: str, path_b: str) -> tuple[int, int]:
     return Tokenizer.from_file(path_a).get_vocab_size(), SentencePieceProcessor(model_file=path_b).get_piece_size()
 
 
-def striped(found: DataFrame) -> DataFrame:
+def striped(found: DataFrame, each: int = EACH) -> DataFrame:
     """Links and counts of encode_all(), those of one stripe and part together, counts first. A stripe of many links has several parts, each with all counts."""
     chunks = found.where("kind < 2").select("kind", "stripe", "chunk", "n", "payload")
-    parts = chunks.where("kind = 1").groupBy("stripe").agg(F.ceil(F.sum("n") / EACH).cast("int").alias("parts"))  # STRIPES rows at most
+    parts = chunks.where("kind = 1").groupBy("stripe").agg(F.ceil(F.sum("n") / each).cast("int").alias("parts"))  # STRIPES rows at most
     chunks = chunks.join(F.broadcast(parts), "stripe")
     every = F.sequence(F.lit(0), F.col("parts") - 1)
     dealt = F.when(F.col("kind") == 0, every).otherwise(F.array(F.pmod(F.xxhash64("chunk"), "parts").cast("int")))
@@ -350,10 +350,10 @@ def striped(found: DataFrame) -> DataFrame:
     return chunks.repartition("stripe", "part").sortWithinPartitions("stripe", "part", "kind")
 
 
-def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
+def align(docs: DataFrame, path_a: str, path_b: str, chunk: tuple[int, int] = (LINKS, TEXTS), each: int = EACH) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 for each row."""
-    found = encode_all(docs, path_a, path_b)
-    sums = striped(found).mapInArrow(_scored(*sizes_of(path_a, path_b)), "chunk long, payload binary")
+    found = encode_all(docs, path_a, path_b, chunk)
+    sums = striped(found, each).mapInArrow(_scored(*sizes_of(path_a, path_b)), "chunk long, payload binary")
     sums = sums.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_summed, "chunk long, row long, n_best long, count_sum long")
     rows = found.where("kind = 2").join(shared.staged(sums, "scores"), ["chunk", "row"], "left")
     return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_best", "count_sum")), "groups_sha256")

@@ -99,7 +99,7 @@ def encode(x: np.ndarray, books: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes, residuals
 
 
-def _blocks(books: np.ndarray, dim: int, groups: int):
+def _blocks(books: np.ndarray, dim: int, groups: int, size: int):
     def of(batches):
         import pyarrow as pa
 
@@ -107,10 +107,10 @@ def _blocks(books: np.ndarray, dim: int, groups: int):
         for b in batches:
             kept.append((b.column(0).to_numpy(), b.column(1).to_numpy(), scaled(b.column(2), dim)))
             n += b.num_rows
-            while n >= ROWS:
+            while n >= size:
                 ids, labels, x = (np.concatenate(c) for c in zip(*kept))
-                yield block(ids[:ROWS], labels[:ROWS], x[:ROWS])
-                kept, n = [(ids[ROWS:], labels[ROWS:], x[ROWS:])], n - ROWS
+                yield block(ids[:size], labels[:size], x[:size])
+                kept, n = [(ids[size:], labels[size:], x[size:])], n - size
         if n:
             yield block(*(np.concatenate(c) for c in zip(*kept)))
 
@@ -141,8 +141,8 @@ class Index:
         self.blocks, self.books, self.dim, self.groups = blocks, books, dim, groups
 
 
-def index(rows: DataFrame) -> Index:
-    """Code all `rows` (vec_id, label, vector) and store them in blocks."""
+def index(rows: DataFrame, size: int = ROWS) -> Index:
+    """Code all `rows` (vec_id, label, vector) and store them in blocks of `size` rows."""
     spark = rows.sparkSession
     rows = shared.staged(rows, "vectors")
     n, dim = rows.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
@@ -152,9 +152,9 @@ def index(rows: DataFrame) -> Index:
     for i, (_, v) in enumerate(sorted(sample)):
         found[i, : len(v)] = np.floor(np.array(v, np.float64) * SCALE)
     books = fit(found)
-    many = -(-n // ROWS)
+    many = -(-n // size)
     groups = max(1, min(many, max(int(spark.conf.get("spark.sql.shuffle.partitions")), many // TOGETHER)))
-    made = rows.mapInArrow(_blocks(books, dim, groups), BLOCK)
+    made = rows.mapInArrow(_blocks(books, dim, groups, size), BLOCK)
     return Index(shared.staged(made, "blocks"), books, dim, groups)
 
 
@@ -347,7 +347,7 @@ def _picked(every: int, dim: int):
     return of
 
 
-def _anchor_blocks(dim: int):
+def _anchor_blocks(dim: int, size: int):
     """Blocks of rows anchor_id, label, vector, positives (list of id, score)."""
 
     def of(batches):
@@ -355,8 +355,8 @@ def _anchor_blocks(dim: int):
 
         names = ["a_block", "a_ids", "a_labels", "a_vectors", "a_positives"]
         for b in batches:
-            for first in range(0, b.num_rows, ANCHORS):
-                some = b.slice(first, ANCHORS)
+            for first in range(0, b.num_rows, size):
+                some = b.slice(first, size)
                 ids, labels = some.column(0).to_numpy(), some.column(1).to_numpy()
                 x = np.frombuffer(b"".join(v.as_py() for v in some.column(2)), "<i4").reshape(len(ids), dim)
                 positives = [(k, p["positive_id"], p["positive_score"]) for k, list_ in enumerate(some.column(3)) for p in (list_.as_py() or ())]
@@ -367,12 +367,12 @@ def _anchor_blocks(dim: int):
     return of
 
 
-def against(anchors: DataFrame, found: Index) -> DataFrame:
+def against(anchors: DataFrame, found: Index, size: int = ANCHORS) -> DataFrame:
     """Each block of anchors beside each block of rows; those of one block of anchors follow each other.
 
     Blocks of anchors go to all groups of blocks of rows, and a key holds TOGETHER of these or so.
     """
-    made = anchors.mapInArrow(_anchor_blocks(found.dim), "a_block long, a_ids binary, a_labels binary, a_vectors binary, a_positives binary")
+    made = anchors.mapInArrow(_anchor_blocks(found.dim, size), "a_block long, a_ids binary, a_labels binary, a_vectors binary, a_positives binary")
     each = shared.staged(made, "anchor-blocks").withColumn("of", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(found.groups - 1).cast("long"))))
     return each.hint("merge").join(found.blocks, "of")
 
@@ -383,26 +383,26 @@ def ranked(rows: DataFrame, by: list[str], score: str, tie: str, most: int) -> D
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
-def positives(found: Index, every: int, most: int) -> DataFrame:
+def positives(found: Index, every: int, most: int, size: int = ANCHORS) -> DataFrame:
     """anchor_id, label, vector, and a list of the best `most` rows of its label, best first."""
     anchors = shared.staged(found.blocks.select(*[c.split()[0] for c in BLOCK.split(", ")][1:]).mapInArrow(_picked(every, found.dim), "anchor_id long, label long, vector binary"), "anchors")
     none = F.lit(None).cast("array<struct<positive_id:long,positive_score:long>>").alias("positives")
-    pairs = against(anchors.select("anchor_id", "label", "vector", none), found).mapInArrow(_positives(found.books, found.dim, most), "anchor_id long, positive_id long, positive_score long")
+    pairs = against(anchors.select("anchor_id", "label", "vector", none), found, size).mapInArrow(_positives(found.books, found.dim, most), "anchor_id long, positive_id long, positive_score long")
     pairs = shared.staged(ranked(pairs, ["anchor_id"], "positive_score", "positive_id", most), "positives")
     lists = pairs.groupBy("anchor_id").agg(F.sort_array(F.collect_list(F.struct("rank", "positive_id", "positive_score"))).alias("p"))
     return anchors.join(lists, "anchor_id").select("anchor_id", "label", "vector", F.transform("p", lambda x: F.struct(x["positive_id"].alias("positive_id"), x["positive_score"].alias("positive_score"))).alias("positives"))
 
 
-def mine(rows: DataFrame, every: int = 50, most_positives: int = 5, most_negatives: int = 3, share: tuple[int, int, int] = (50, 95, 100)) -> DataFrame:
+def mine(rows: DataFrame, every: int = 50, most_positives: int = 5, most_negatives: int = 3, share: tuple[int, int, int] = (50, 95, 100), sizes: tuple[int, int] = (ROWS, ANCHORS)) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score, of `rows` (vec_id, label, vector; see usable()).
 
     Anchors are rows whose id is divisible by `every`. share: a negative's score is at least the first and at most the second
-    part of the third of the positive's score.
+    part of the third of the positive's score. sizes: rows and anchors of a block.
     """
     shared.prepare(rows.sparkSession)
-    found = index(rows)
-    wanted = positives(found, every, most_positives)
+    found = index(rows, sizes[0])
+    wanted = positives(found, every, most_positives, sizes[1])
     schema = "anchor_id long, positive_id long, positive_score long, negative_id long, negative_score long"
-    pairs = against(wanted, found).mapInArrow(_negatives(found.books, found.dim, most_negatives, share), schema)
+    pairs = against(wanted, found, sizes[1]).mapInArrow(_negatives(found.books, found.dim, most_negatives, share), schema)
     best = ranked(pairs, ["anchor_id", "positive_id"], "negative_score", "negative_id", most_negatives)
     return best.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
