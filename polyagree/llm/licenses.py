@@ -10,7 +10,8 @@ short notice must stand word for word. Of hits of which one lies within another,
 Base phrases are found as they stand, whatever the templates say.
 
 Words are runs of digits, letters and all characters beyond ASCII, with A-Z in lower case. Cases: null text counts as empty;
-repeated rows and repeated doc_ids get the same result as if alone; an empty table gives an empty result; other columns
+repeated rows and repeated doc_ids get the same result as if alone; of hits with equal spans the one of fewer edits counts, then of the
+lesser label; a very long text is one row until its words are parted; an empty table gives an empty result; other columns
 are not read.
 """
 
@@ -54,9 +55,23 @@ TEMPLATES = {
     "unlicense": ["this is free and unencumbered software released into the public domain"],
     "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
     "mpl-2.0": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
+    "lgpl-notice": ["this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"],
+    "agpl-notice": ["this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation"],
+    "epl-2.0": ["this program and the accompanying materials are made available under the terms of the eclipse public license 2 0"],
+    "cc0": ["the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law"],
+    "bsl-1.0": ["permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license to use reproduce display distribute execute and transmit the software"],
+    "artistic": ["the intent of this document is to state the conditions under which a package may be copied such that the copyright holder maintains some semblance of artistic control over the development of the package"],
     "all-rights-reserved": ["no part of this publication may be reproduced distributed or transmitted in any form or by any means"],
 }
 
+# Identifiers of licences in the order of the alphabet; a line that names one gives it as its label.
+SPDX = [
+    "AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-SA-4.0",
+    "CC0-1.0", "EPL-2.0", "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1", "LGPL-2.1-only",
+    "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MPL-2.0", "Unlicense", "Zlib",
+]
+TEMPLATES |= {f"spdx:{x.lower()}": ["spdx license identifier " + x.lower().replace("-", " ").replace(".", " ")] for x in SPDX}
+
 
 def words_of(text: Column) -> Column:
     """lower() also turns other letters, which stay beyond ASCII and so match no template; the two that do not are spelt out."""
