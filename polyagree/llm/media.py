@@ -2,6 +2,9 @@
 
 Any bytes can be kept losslessly as 8-bit samples of a PPM image; reading decodes the stored bytes, not the originals.
 
+Memory: what a task holds of images is a few blocks of BATCH rows in the readers of stored tables, row groups of GROUP bytes in their
+writers, and one image in Python, whose samples are hashed where they are.
+
 Cases: null bytes count as empty; what is no image of a known kind raises ValueError; repeated rows are stored each, equal
 bytes give equal images; an empty table gives an empty result; other columns are not read.
 """
@@ -21,6 +24,8 @@ from . import shared
 
 ACROSS, CHANNELS = 64, 3
 TILE = (8, 9)  # rows, columns: a difference hash of 64 bits
+#: Rows that a reader of stored tables takes at once, and bytes of a row group of images.
+BATCH, GROUP = 512, 16 << 20
 
 
 def encode_ppm(samples: np.ndarray) -> bytes:
@@ -125,11 +130,19 @@ def _stored(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(at)), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
 
+def bounded(spark) -> None:
+    """Let readers of wide rows take fewer at once; a session's own setting stays."""
+    shared.prepare(spark)
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    if spark.conf.get(key) == "4096":
+        spark.conf.set(key, BATCH)
+
+
 def store(rows: DataFrame, data: str = "text") -> DataFrame:
     """Write doc_id, n_bytes and the image that holds each row's bytes, padded by spaces, as a table; read it again."""
-    shared.prepare(rows.sparkSession)
+    bounded(rows.sparkSession)
     made = rows.select(F.col("doc_id").cast("long"), shared.text_bytes(data).alias("data")).mapInArrow(_stored, "doc_id long, n_bytes long, media binary")
-    return shared.staged(made, "media")
+    return shared.staged(made, "media", group=GROUP)
 
 
 def _described(batches):
@@ -139,11 +152,11 @@ def _described(batches):
     for b in batches:
         out: dict[str, list] = {n: [] for n in names}
         for media in b.column(2):
-            data = media.as_buffer()
-            image = decode(data.to_pybytes())
-            payload = image.tobytes()
+            data = media.as_buffer().to_pybytes()
+            image = decode(data)
+            payload = memoryview(np.ascontiguousarray(image)).cast("B")
             tile = area_resize(image, *TILE)
-            for n, x in zip(names, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), data.size, hashlib.sha256(data).hexdigest(), npy(np.rint(tile).astype(np.uint8)), f"{difference_hash(tile):016x}")):
+            for n, x in zip(names, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), npy(np.rint(tile).astype(np.uint8)), f"{difference_hash(tile):016x}")):
                 out[n].append(x)
         kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string())
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(out[n], k) for n, k in zip(names, kinds))], ["doc_id", "n_bytes", *names])

@@ -51,10 +51,10 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write `df` to the shared folder and read it again: cuts the lineage and survives lost executors."""
+def staged(df: DataFrame, name: str, codec: str = "zstd", group: int | None = None) -> DataFrame:
+    """Write `df` to the shared folder and read it again: cuts the lineage and survives lost executors. `group`: bytes of a row group that a writer holds."""
     spark, path = df.sparkSession, new_folder(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
+    (df.write.option("compression", codec) if group is None else df.write.option("compression", codec).option("parquet.block.size", group)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
