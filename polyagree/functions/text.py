@@ -297,7 +297,7 @@ def script_entries(x: Column, merged: bool = False) -> Column:
         def entries(rest: Column) -> Column:
             def entry(name: str, chars: Column, pattern: str) -> Column:
                 n = F.char_length(chars)
-                made = F.struct(F.lit(name).alias("script"), n.alias("n"), (F.size(F.array_distinct(F.split(chars, ""))) - 1).alias("distinct"), F.regexp_instr(kept, F.lit(pattern)).alias("first"))
+                made = F.struct(F.lit(name).alias("script"), n.alias("n"), F.size(F.array_distinct(F.split(chars, ""))).alias("distinct"), F.regexp_instr(kept, F.lit(pattern)).alias("first"))
                 return F.when(n > 0, made)
 
             only = lambda k: entry(k, F.regexp_replace(kept if k == "Latin" else rest, f"[^{_class(java[k])}]", ""), f"[{_class(java[k])}]")
@@ -371,7 +371,7 @@ def is_repeated_output(x: Column) -> Column:
         longest = F.least(F.floor(size / 4), F.lit(11)).cast("int")
         times = lambda piece: (size - F.char_length(F.replace(t, piece, F.lit("")))) / F.greatest(F.char_length(piece), F.lit(1))
         pieces = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: F.transform(F.sequence(F.lit(2), F.greatest(longest, F.lit(2))), lambda n: F.substring(t, i, n))))
-        few = F.size(F.array_distinct(F.split(t, ""))) - 1 < 0.15 * size
+        few = F.size(F.array_distinct(F.split(t, ""))) < 0.15 * size
         return (size >= 20) & (few | F.exists(pieces, lambda p: (p != "") & (times(p) >= 5)))
 
     return F.coalesce(let(term, of), F.lit(False))

@@ -123,6 +123,35 @@ def script_agreement(cells: DataFrame, item: list[str], service: str, term: str
     return rows.join(most, item).withColumn("outlier", F.col("script") != F.col("majority"))
 
 
+def side_scripts(cells: DataFrame, item: list[str], sides: Mapping[str, Column], term: str = "term") -> DataFrame:
+    """(item, a script for each side, differ): the script of most terms of each side of services, ties to the least name, null where a side has none; differ only where all sides have one."""
+    rows = cells.where(X.present(F.col(term))).withColumn("script", X.dominant_script(F.col(term))).where("script <> 'Unknown'")
+    side = F.explode(F.array_compact(F.array(*(F.when(c, F.lit(name)) for name, c in sides.items()))))
+    counts = rows.withColumn("side", side).groupBy(*item, "side", "script").agg(F.count("*").alias("n"))
+    best = lambda name: F.min_by(F.when(F.col("side") == name, F.col("script")), F.when(F.col("side") == name, F.struct((-F.col("n")).alias("n"), "script")))
+    out = counts.groupBy(*item).agg(*(best(name).alias(name) for name in sides))
+    return out.withColumn("differ", F.coalesce(F.greatest(*(F.col(n) for n in sides)) != F.least(*(F.col(n) for n in sides)), F.lit(False)) & ~F.greatest(*(F.col(n).isNull() for n in sides)))
+
+
+def counted(items: DataFrame, found: DataFrame, key: list[str], groups: Mapping[str, Sequence[str]]) -> DataFrame:
+    """(kind, name, n, share): items by number of signals (`flags`), with each signal (`signal`), and with any of a group of signals (`group`). Signals are few."""
+    every = items.select(*key).distinct()
+    per = every.join(found.groupBy(*key).agg(F.collect_set("signal").alias("f")), key, "left").select(F.coalesce("f", F.array().cast("array<string>")).alias("f"))
+    row = lambda kind, name: F.struct(F.lit(kind).alias("kind"), name.alias("name"))
+    of_groups = F.array_compact(F.array(*(F.when(F.arrays_overlap("f", F.array(*(F.lit(s) for s in names))), row("group", F.lit(g))) for g, names in groups.items())))
+    rows = per.select(F.explode(F.concat(F.array(row("flags", F.size("f").cast("string"))), F.transform("f", lambda s: row("signal", s)), of_groups)).alias("x"))
+    total = F.broadcast(per.agg(F.count("*").alias("total")))  # one row
+    return rows.groupBy("x.kind", "x.name").agg(F.count("*").alias("n")).crossJoin(total).select("kind", "name", "n", F.round(F.col("n") / F.col("total"), 6).alias("share"))
+
+
+def wide(items: DataFrame, found: DataFrame, key: list[str], names: Sequence[str]) -> DataFrame:
+    """One row an item: for each signal has_* and *_services, and all signals joined with their number."""
+    columns = [c for n in names for c in (F.coalesce(F.max(F.col("signal") == n), F.lit(False)).alias(n), F.coalesce(F.max(F.when(F.col("signal") == n, F.col("services"))), F.lit("")).alias(f"{n.removeprefix('has_')}_services"))]
+    both = items.select(*key).distinct().join(found.where(F.col("signal").isin(*names)), key, "left").groupBy(*key)
+    listed = F.array_sort(F.collect_set("signal"))
+    return both.agg(*columns, F.array_join(listed, "; ").alias("automated_review_signals"), F.size(listed).alias("flag_count"))
+
+
 def recovered(paired: DataFrame, raw: DataFrame, key: list[str]) -> DataFrame:
     """`paired` (key, term) with shown and unpaired: the raw term where pairing took it away."""
     both = paired.join(raw.select(*key, F.col("term").alias("__raw")), key, "left")

@@ -245,10 +245,18 @@ def folded_terms(spark, d):
 
 
 def script_profile(spark, d):
-    t = F.col("text")
+    """Whole texts, each in the script of its kind."""
+    t = views.scripted(F.col("text"))
     return table(spark, d, "documents").where("text is not null").select("doc_id", X.dominant_script(t).alias("script"), X.is_mixed(t).alias("mixed"))
 
 
+def script_pairs(spark, d):
+    """Which second scripts, of a tenth of the letters or more, texts of each script have, and how many of them are mixed."""
+    rows = table(spark, d, "documents").where("text is not null").select(X.script_mix(views.scripted(F.col("text"))).alias("m"))
+    rows = rows.select("m.dominant", "m.mixed", F.explode("m.secondary").alias("x")).where(F.col("x.share") >= V.MIXED_SHARE)
+    return rows.groupBy("dominant", F.col("x.script").alias("second")).agg(F.count("*").alias("n"), F.count_if("mixed").alias("n_mixed"))
+
+
 def message_signatures(spark, d):
     return table(spark, d, "conversations").groupBy(X.signature(F.col("text")).alias("signature")).agg(F.count("*").alias("n"))
 
@@ -266,7 +274,7 @@ def parsed_replies(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", X.parsed_reply(reply).alias("r")).select("conv_id", "turn", "r.*")
 
 
-QUERIES = {f.__name__: f for f in (keep_latest, coverage_by_family, coverage_depth, outcome_matrix, error_residuals, source_overlap, support_quadrant, delivery_funnel, signal_table, signal_pivot, cooccurrence, miss_rate, value_add, hit_rates, reach, unique_contribution, sequential_novelty, cumulative_share, top_per_group, percent_within_group, describe_values, correlations, hierarchy_root, snapshot_merge, candidate_lookup, registry_union, fill_merged, text_signals, word_count_cv, error_taxonomy, error_compaction, mark_errored, circuit_breaks, event_windows, benchmark_retention, page_items, page_entities, folded_terms, script_profile, message_signatures, parsed_replies)}
+QUERIES = {f.__name__: f for f in (keep_latest, coverage_by_family, coverage_depth, outcome_matrix, error_residuals, source_overlap, support_quadrant, delivery_funnel, signal_table, signal_pivot, cooccurrence, miss_rate, value_add, hit_rates, reach, unique_contribution, sequential_novelty, cumulative_share, top_per_group, percent_within_group, describe_values, correlations, hierarchy_root, snapshot_merge, candidate_lookup, registry_union, fill_merged, text_signals, word_count_cv, error_taxonomy, error_compaction, mark_errored, circuit_breaks, event_windows, benchmark_retention, page_items, page_entities, folded_terms, script_profile, script_pairs, message_signatures, parsed_replies)}
 
 WORDS = r"regexp_extract_all({t}, '[^\x20\x09-\x0D]+')"
 
@@ -314,7 +322,8 @@ ORACLE_SQL = {
     "mark_errored": f"WITH {ERRORS} SELECT event_id, user_id, user_id IN (SELECT user_id FROM errors WHERE k % 4 <> 0) AS excluded FROM events WHERE event_type = 'purchase'",
     "circuit_breaks": "WITH r AS (SELECT user_id, event_type = 'error' AS failed, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM events), x AS (SELECT user_id, run, count(*) AS length FROM r WHERE failed GROUP BY 1, 2 HAVING count(*) >= 3) SELECT user_id, count(*) AS breaks, max(length) AS longest FROM x GROUP BY 1",
     "folded_terms": rf"WITH {TEXTS} SELECT doc_id, pos, trim(regexp_replace(regexp_replace(strip_accents(lower(term)), '[^\p{{L}}\p{{N}}\p{{M}}_\s]', '', 'g'), '\s+', ' ', 'g')) AS folded FROM texts",
-    "script_profile": r"WITH t AS (SELECT doc_id, regexp_matches(text, '\p{L}') AS l FROM documents WHERE text IS NOT NULL) SELECT doc_id, CASE WHEN l THEN 'Latin' ELSE 'Unknown' END AS script, false AS mixed FROM t",
+    "script_profile": f"WITH {views.scripts_sql('documents WHERE text IS NOT NULL', 'text')} SELECT doc_id, script, mixed FROM e",
+    "script_pairs": f"WITH {views.scripts_sql('documents WHERE text IS NOT NULL', 'text')} SELECT script AS dominant, second, count(*) AS n, count(*) FILTER (mixed) AS n_mixed FROM e WHERE wide GROUP BY 1, 2",
     "page_items": r"WITH r AS (SELECT page_id, regexp_extract_all(html, '(?is)<li[^>]*>(.*?)</li>', 1) AS x FROM pages), u AS (SELECT page_id, x, unnest(range(0, len(x))) AS pos FROM r) SELECT page_id, CAST(pos AS INTEGER) AS pos, trim(regexp_replace(x[pos + 1], '<[^>]*>', '', 'gs')) AS text FROM u",
     "parsed_replies": r"""WITH t AS (SELECT conv_id, turn, (conv_id * 3 + turn) % 8 AS k, regexp_replace(text, '["\\''{}]', '', 'g') AS t FROM conversations),
  s AS (SELECT *, CASE WHEN t IS NULL OR k = 6 AND trim(t, WHITE) = '' THEN 'empty' WHEN k = 5 THEN 'refused' WHEN k = 6 OR k = 2 AND length(t) + 41 >= 500 THEN 'unparsed' WHEN t = '' THEN 'refused' WHEN (k = 3 OR k = 4 AND length(t) + 51 >= 500) THEN CASE WHEN length(t) > 300 THEN 'too_long' ELSE 'saved' END ELSE 'parsed' END AS status FROM t)

@@ -91,8 +91,46 @@ def service_profiles(spark, d):
     return review.profile(_sentences(spark, d), ["service"], "term", F.col("rationale"))
 
 
+def _scripted(spark, d):
+    """Sentences, each in the script of its document's kind."""
+    return _sentences(spark, d).withColumn("term", views.scripted(F.col("term")))
+
+
 def script_outliers(spark, d):
-    return review.script_agreement(_sentences(spark, d), ["item", "pos"], "doc_id")
+    return review.script_agreement(_scripted(spark, d), ["item", "pos"], "doc_id")
+
+
+def script_sides(spark, d):
+    """Scripts of local services, each third document, beside those of the others."""
+    local = F.col("doc_id") % 3 == 0
+    return review.side_scripts(_scripted(spark, d), ["item", "pos"], {"local": local, "api": ~local})
+
+
+#: All signals of a cell, and the groups that a review reads them in.
+ALL_SIGNALS = ("has_repetition_loop", "has_mixed_script", "has_any_mixing", "has_placeholder_term", "has_unicode_escape", "has_extreme_term_length", "has_short_translation", "has_source_term", "has_unsafe_characters", "has_romanization", "has_language_name", "has_missing_rationale", "has_refusal_rationale", "has_transliteration_rationale", "has_placeholder_rationale", "has_foreign_rationale")
+GROUPS = {"term": ["has_repetition_loop", "has_placeholder_term", "has_unicode_escape", "has_extreme_term_length", "has_short_translation", "has_unsafe_characters"], "script": ["has_mixed_script", "has_any_mixing", "has_romanization"], "source": ["has_source_term", "has_language_name"], "rationale": ["has_missing_rationale", "has_refusal_rationale", "has_transliteration_rationale", "has_placeholder_rationale", "has_foreign_rationale"]}
+LANGUAGE, SOURCE = "the", "of the"
+
+
+def _all_signals(spark, d):
+    """All sixteen signals of sentences in the scripts of their documents; the next sentence is the rationale, of documents of the fifth kind in their script too."""
+    rows = _scripted(spark, d).withColumn("rationale", F.when(F.col("doc_id") % 5 == 4, views.scripted(F.col("rationale"))).otherwise(F.col("rationale")))
+    conditions = review.term_signals(F.col("term"), F.col("rationale"), SOURCE, F.lit(LANGUAGE))
+    return rows, review.signals(rows, ["item", "pos"], "doc_id", {k: conditions[k] for k in ALL_SIGNALS})
+
+
+def all_signals(spark, d):
+    return _all_signals(spark, d)[1]
+
+
+def signal_counts(spark, d):
+    rows, found = _all_signals(spark, d)
+    return review.counted(rows, found, ["item", "pos"], GROUPS)
+
+
+def signals_wide(spark, d):
+    rows, found = _all_signals(spark, d)
+    return review.wide(rows, found, ["item", "pos"], ALL_SIGNALS)
 
 
 def pattern_rates(spark, d):
@@ -170,7 +208,7 @@ def mean_of_means(spark, d):
     return each.groupBy("n_regionkey").agg(F.round(F.avg("m"), 4).alias("mean"), F.sum("n").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (review_signals, review_tiers, exclusion_tiers, search_terms_built, search_term_stages, convergence_detail, convergence_shares, convergence_by_sources, source_presence, anchor_alignment, service_profiles, script_outliers, pattern_rates, borrow_bands, refused_elsewhere, unpaired_recovery, variant_matrix, part_measures, order_totals, nation_totals, part_use, event_props, tag_outcomes, registry_built, family_queue, mean_of_means)}
+QUERIES = {f.__name__: f for f in (review_signals, review_tiers, exclusion_tiers, search_terms_built, search_term_stages, convergence_detail, convergence_shares, convergence_by_sources, source_presence, anchor_alignment, service_profiles, script_outliers, script_sides, all_signals, signal_counts, signals_wide, pattern_rates, borrow_bands, refused_elsewhere, unpaired_recovery, variant_matrix, part_measures, order_totals, nation_totals, part_use, event_props, tag_outcomes, registry_built, family_queue, mean_of_means)}
 
 
 def _sql(pattern: str) -> str:
@@ -196,6 +234,19 @@ e AS (SELECT *, CASE WHEN NOT ({PRESENT}) THEN 'blank' WHEN regexp_matches(term,
  WHEN regexp_matches(term, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]') THEN 'unsafe' WHEN low IN (SELECT low FROM x) THEN 'excluded' END AS early FROM t),
 b AS (SELECT low, count(*) >= 2 OR bool_or(valid) AS backed FROM e WHERE early IS NULL GROUP BY 1), s AS (SELECT e.*, coalesce(early, CASE WHEN NOT backed THEN 'uncorroborated' END, 'kept') AS stage FROM e LEFT JOIN b USING (low))"""
 FOLDED = r"trim(regexp_replace(regexp_replace(strip_accents(lower(term)), '[^\p{L}\p{N}\p{M}_\s]', '', 'g'), '\s+', ' ', 'g'))"
+_WHY = "rationale IS NOT NULL AND lower(trim(rationale, WHITE)) NOT IN ('', 'nan', 'none', 'null') AND lower(rtrim(trim(rationale, WHITE), '.')) NOT IN (EMPTY)".replace("WHITE", SP).replace("EMPTY", ", ".join("'" + x + "'" for x in V.EMPTY_RATIONALES))
+_CONDITIONS = {
+    "has_repetition_loop": "len(w) >= 4 AND top >= 4 AND top >= 0.3 * len(w)", "has_mixed_script": "mixed", "has_any_mixing": "wide", "has_placeholder_term": f"regexp_matches(term, {_sql(V.PLACEHOLDER_TERMS)})",
+    "has_unicode_escape": r"regexp_matches(term, '\\u[0-9a-fA-F]{4}')", "has_extreme_term_length": f"length(trim(term, {SP})) > 100", "has_short_translation": f"length(trim(term, {SP})) BETWEEN 1 AND 3",
+    "has_source_term": r"contains(lower(term), 'of the') OR regexp_matches(term, '\bOT\b')", "has_unsafe_characters": r"regexp_matches(term, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]')", "has_romanization": r"regexp_matches(term, '^[\x00-\x7F]+$') AND regexp_matches(rationale, '(?i)romani[sz]')",
+    "has_language_name": r"contains(' ' || trim(regexp_replace(lower(term), '[^\p{L}\p{N}\p{M}_]+', ' ', 'g')) || ' ', ' the ')", "has_missing_rationale": f"({PRESENT}) <> ({_WHY})",
+    "has_refusal_rationale": f"regexp_matches(rationale, {_sql(V.REFUSAL)})", "has_transliteration_rationale": f"regexp_matches(rationale, {_sql(V.TRANSLITERATION)})", "has_placeholder_rationale": f"regexp_matches(rationale, {_sql(V.PLACEHOLDER_RATIONALE)})",
+    "has_foreign_rationale": r"len(regexp_extract_all(rationale, '\p{L}')) >= 20 AND 2 * len(regexp_extract_all(rationale, '\p{Latin}')) < len(regexp_extract_all(rationale, '\p{L}'))",
+}
+_OTHER_WHY = f"(SELECT * EXCLUDE (rationale), CASE WHEN doc_id % 5 = 4 THEN {views._scripted_sql('rationale')} ELSE rationale END AS rationale FROM t)"
+ALL = f"""{views.scripts_sql(_OTHER_WHY, 'term')}, v AS (SELECT * EXCLUDE (term, t, w), t AS term, regexp_extract_all(lower(t), '[^\\x20\\x09-\\x0D]+') AS w FROM (SELECT *, NULL AS w FROM e)),
+u AS (SELECT *, coalesce(list_max(map_values(list_histogram(w))), 0) AS top FROM v), g AS (SELECT item, pos, doc_id, unnest([{', '.join(f"CASE WHEN {c} THEN '{n}' END" for n, c in _CONDITIONS.items())}]) AS signal FROM u),
+fs AS (SELECT item, pos, signal, string_agg(DISTINCT CAST(doc_id AS VARCHAR), ', ' ORDER BY CAST(doc_id AS VARCHAR)) AS services, count(DISTINCT doc_id) AS n_services FROM g WHERE signal IS NOT NULL GROUP BY 1, 2, 3)"""
 
 ORACLE_SQL = {
     "review_signals": f"WITH {FOUND} SELECT * FROM found",
@@ -214,7 +265,12 @@ ORACLE_SQL = {
     "source_presence": f"WITH {SENTENCES}, p AS (SELECT service, count(DISTINCT (item, pos)) FILTER ({PRESENT}) AS present FROM t GROUP BY 1), i AS (SELECT count(DISTINCT (item, pos)) AS items FROM t) SELECT service, present, items, round(present / items, 6) AS rate FROM p, i",
     "anchor_alignment": f"WITH {SENTENCES}, n AS (SELECT DISTINCT item, pos, service, {ALIGNED} AS norm FROM t WHERE {PRESENT}), a AS (SELECT * FROM n WHERE service = 'src1' AND norm <> ''), b AS (SELECT n.*, EXISTS (SELECT 1 FROM a WHERE a.item = n.item AND a.pos = n.pos AND a.norm = n.norm) AS hit FROM n WHERE service <> 'src1' AND norm <> '' AND EXISTS (SELECT 1 FROM a WHERE a.item = n.item AND a.pos = n.pos)) SELECT service, count(*) AS compared, count(*) FILTER (hit) AS aligned, round(count(*) FILTER (hit) / count(*), 6) AS rate FROM b GROUP BY 1",
     "service_profiles": rf"WITH {SENTENCES}, w AS (SELECT service, {PRESENT} AS has, regexp_extract_all(term, '[^\x20\x09-\x0D]+') AS ws, trim(lower(term)) AS a, trim(lower(rationale)) AS b FROM t) SELECT service, count(*) AS n, count(*) FILTER (has) AS covered, round(avg(len(ws)) FILTER (has), 6) AS mean_words, round(count(*) FILTER (has AND a = b) / nullif(count(*) FILTER (has), 0), 6) AS echo_rate, round(count(*) FILTER (has AND list_has_any(regexp_extract_all(a, '[^\x20\x09-\x0D]+'), regexp_extract_all(coalesce(b, ''), '[^\x20\x09-\x0D]+'))) / nullif(count(*) FILTER (has), 0), 6) AS overlap_rate FROM w GROUP BY 1",
-    "script_outliers": rf"WITH {SENTENCES} SELECT item, pos, doc_id, 'Latin' AS script, 'Latin' AS majority, false AS outlier FROM t WHERE {PRESENT} AND regexp_matches(term, '\p{{L}}')",
+    "script_outliers": f"WITH {SENTENCES}, {views.scripts_sql(f'(SELECT * FROM t WHERE {PRESENT})', 'term')}, k AS (SELECT item, pos, script, count(*) AS n FROM e WHERE script <> 'Unknown' GROUP BY 1, 2, 3), b AS (SELECT item, pos, first(script ORDER BY n DESC, script) AS majority FROM k GROUP BY 1, 2) SELECT item, pos, doc_id, script, majority, script <> majority AS outlier FROM e JOIN b USING (item, pos) WHERE script <> 'Unknown'",
+    "script_sides": f"WITH {SENTENCES}, {views.scripts_sql(f'(SELECT * FROM t WHERE {PRESENT})', 'term')}, k AS (SELECT item, pos, doc_id % 3 = 0 AS near, script, count(*) AS n FROM e WHERE script <> 'Unknown' GROUP BY 1, 2, 3, 4), b AS (SELECT item, pos, first(script ORDER BY n DESC, script) FILTER (near) AS local, first(script ORDER BY n DESC, script) FILTER (NOT near) AS api FROM k GROUP BY 1, 2) SELECT item, pos, local, api, coalesce(local <> api, false) AS differ FROM b",
+    "all_signals": f"WITH {SENTENCES}, {ALL} SELECT * FROM fs",
+    "signal_counts": f"""WITH {SENTENCES}, {ALL}, i AS (SELECT DISTINCT item, pos FROM t), p AS (SELECT i.item, i.pos, list(signal) FILTER (signal IS NOT NULL) AS f FROM i LEFT JOIN fs ON i.item = fs.item AND i.pos = fs.pos GROUP BY 1, 2),
+ r AS (SELECT 'flags' AS kind, CAST(len(coalesce(f, [])) AS VARCHAR) AS name FROM p UNION ALL SELECT 'signal', unnest(f) FROM p UNION ALL {' UNION ALL '.join(f"SELECT 'group', '{g}' FROM p WHERE list_has_any(f, {list(names)})" for g, names in GROUPS.items())}) SELECT kind, name, count(*) AS n, round(count(*) / (SELECT count(*) FROM i), 6) AS share FROM r GROUP BY 1, 2""",
+    "signals_wide": f"WITH {SENTENCES}, {ALL}, i AS (SELECT DISTINCT item, pos FROM t) SELECT i.item, i.pos, " + ", ".join(f"coalesce(bool_or(signal = '{n}'), false) AS {n}, coalesce(max(services) FILTER (signal = '{n}'), '') AS {n.removeprefix('has_')}_services" for n in ALL_SIGNALS) + ", coalesce(string_agg(signal, '; ' ORDER BY signal), '') AS automated_review_signals, CAST(count(signal) AS INTEGER) AS flag_count FROM i LEFT JOIN fs ON i.item = fs.item AND i.pos = fs.pos GROUP BY 1, 2",
     "pattern_rates": "SELECT role, count(*) AS n, " + ", ".join(f"round(count(*) FILTER ({' OR '.join(f'regexp_matches(text, {_sql(p)})' for p in ps)}) / count(*), 6) AS {f}" for f, ps in PATTERNS.items()) + " FROM conversations GROUP BY 1",
     "borrow_bands": f"WITH {SENTENCES}, w AS (SELECT item, pos, doc_id, list_filter(string_split({FOLDED}, ' '), lambda x: x IN ('the', 'of', 'and')) AS f FROM t), x AS (SELECT item, pos, doc_id, unnest(f) AS tok FROM w), g AS (SELECT item, pos, count(DISTINCT doc_id) AS services, string_agg(DISTINCT tok, ', ' ORDER BY tok) AS tokens FROM x GROUP BY 1, 2) SELECT *, CASE WHEN services <= 1 THEN '1' WHEN services <= 3 THEN '2-3' ELSE '4+' END AS band FROM g",
     "refused_elsewhere": f"WITH {SENTENCES}, r AS (SELECT DISTINCT item, pos, doc_id FROM t WHERE starts_with(lower(term), 'the')) SELECT DISTINCT item, pos, doc_id FROM t WHERE {PRESENT} AND EXISTS (SELECT 1 FROM r WHERE r.item = t.item AND r.pos = t.pos AND r.doc_id <> t.doc_id)",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from polyagree.functions import fixed as V
@@ -19,6 +19,33 @@ PAIRS = """pairs AS (SELECT conv_id, turn, text AS term, CASE WHEN next_role = '
  (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS next_role, lead(text) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS next_text FROM conversations) WHERE role = 'user')"""
 ERRORS = """errors AS (SELECT event_id, user_id, ts, event_type, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_type = 'error')"""
 
+#: Letters that stand for a to z in texts of other scripts; five kinds by the remainder of doc_id: as it is, Cyrillic, Greek, Cyrillic vowels among Latin, Arabic.
+LETTERS, CYRILLIC, GREEK, ARABIC = "abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопърстувшюыз", "αβψδεφγηιξκλμνοπϙρστθωςχυζ", "ابثدعفغهيجكلمنوپقرستخڤشذظز"
+VOWELS, CYRILLIC_VOWELS = "aeiou", "аеиоу"
+
+
+def _scripted_sql(x: str) -> str:
+    of = lambda a, b: f"translate({x}, '{a}{a.upper()}', '{b}{b}')"
+    return f"CASE doc_id % 5 WHEN 1 THEN {of(LETTERS, CYRILLIC)} WHEN 2 THEN {of(LETTERS, GREEK)} WHEN 3 THEN {of(VOWELS, CYRILLIC_VOWELS)} WHEN 4 THEN {of(LETTERS, ARABIC)} ELSE {x} END"
+
+
+def scripts_sql(rows: str, text: str) -> str:
+    """Tables s, c and e of a table with doc_id: the text in its script, its letters, and script, mixed, wide and second."""
+    letters = lambda n: f"regexp_extract_all(t, '\\p{{{n}}}')"
+    return f"""s AS (SELECT *, {_scripted_sql(text)} AS t, CASE doc_id % 5 WHEN 2 THEN 'Greek' WHEN 4 THEN 'Arabic' ELSE 'Cyrillic' END AS other FROM {rows}),
+ c AS (SELECT *, {letters('Latin')} AS l, CASE other WHEN 'Greek' THEN {letters('Greek')} WHEN 'Arabic' THEN {letters('Arabic')} ELSE {letters('Cyrillic')} END AS x FROM s),
+ d AS (SELECT *, CASE WHEN len(l) = 0 AND len(x) = 0 THEN 'Unknown' WHEN len(l) > len(x) OR len(l) = len(x) AND strpos(t, l[1]) < strpos(t, x[1]) THEN 'Latin' ELSE other END AS script FROM c),
+ m AS (SELECT *, CASE WHEN script = 'Latin' THEN x ELSE l END AS m, len(l) + len(x) AS n FROM d),
+ w AS (SELECT *, len(m) > 0 AND len(m) >= CAST(0.1 AS DOUBLE) * n AS wide, CASE WHEN script = 'Latin' THEN other ELSE 'Latin' END AS second FROM m),
+ e AS (SELECT *, wide AND (len(list_distinct(m)) >= 5 OR len(list_distinct(m)) >= 3 AND len(m) >= CAST(0.2 AS DOUBLE) * n) AS mixed FROM w)"""
+
+
+def scripted(x: Column) -> Column:
+    """A text in the script of its document's kind."""
+    of = lambda a, b: F.translate(x, a + a.upper(), b + b)
+    k = F.col("doc_id") % 5
+    return F.when(k == 1, of(LETTERS, CYRILLIC)).when(k == 2, of(LETTERS, GREEK)).when(k == 3, of(VOWELS, CYRILLIC_VOWELS)).when(k == 4, of(LETTERS, ARABIC)).otherwise(x)
+
 
 def cells(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_linestatus", "l_returnflag", "l_shipdate", "l_extendedprice", "l_partkey")

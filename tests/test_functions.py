@@ -31,6 +31,8 @@ def test_text_functions(spark):
     check(spark, X.is_placeholder_rationale, {"serves as a stand-in": True, "stopgap": True, "place": False})
     check(spark, X.dominant_script, {"word слово": "Cyrillic", "ab вг": "Latin", "вг ab": "Cyrillic", "12 !": "Unknown", "漢字かな": "CJK", "かな漢": "Japanese", None: "Unknown", "𞤀𞤁": "Adlam", "१२": "Unknown", "한국": "Korean"})
     check(spark, X.is_mixed, {"цифровые абвгд": False, "цифровые digital": True, "漢字かなカナ": False, "слово ab": False, "": False})
+    check(spark, X.is_mixed, {"абвгдежзик xyzab": True, "абвгдежзикл xyzax": True, "абвгдежзиклмнопрстуфхц xyza": False, "абвгдежзик xyz": True, "абвгдежзик xyx": False, "абвгдежзик": False})
+    check(spark, lambda t: X.script_mix(t)["secondary"][0]["distinct"], {"слово ab": 2, "слово aab": 2, "слово abc": 3})
     check(spark, X.is_mixed_at_all, {"слово ab": True, "слово": False, "": False})
     check(spark, X.has_foreign_rationale, {"это слово означает очень многое для всех": True, "word": False, "это слово": False, None: False})
     check(spark, lambda t: X.is_language_name(t, F.lit("Old Norse")), {"old norse": True, "in Old-Norse here": True, "norse": False, "norseman": False, None: False, "": False})
