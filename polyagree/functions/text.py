@@ -288,27 +288,27 @@ def script_entries(x: Column, merged: bool = False) -> Column:
     """Array of (script, n, distinct, first) of the scripts of a text: letters, different ones, and the first one's place.
 
     Spaces, marks, symbols, controls and digits do not count. What is of no script known is `Other`, unless `merged`, when Han
-    and the Japanese scripts are one. All but Latin letters are few in most texts, so the other scripts read only what is left.
+    and the Japanese scripts are one. Which scripts there are is looked up among the different letters, which are few; a whole text is
+    read only for those that it has.
     """
     groups = MERGED if merged else {k: [k] for k in V.SCRIPTS}
-    java = {k: [n for m in v for n in V.SCRIPTS[m]] for k, v in groups.items()}
+    java = {k: _class(n for m in v for n in V.SCRIPTS[m]) for k, v in groups.items()}
+    every = "".join(java.values())
+    none = F.lit(None).cast("struct<script:string,n:int,distinct:int,first:int>")
 
     def of(kept: Column) -> Column:
-        def entries(rest: Column) -> Column:
-            def entry(name: str, chars: Column, pattern: str) -> Column:
-                n = F.char_length(chars)
-                made = F.struct(F.lit(name).alias("script"), n.alias("n"), F.size(F.array_distinct(F.split(chars, ""))).alias("distinct"), F.regexp_instr(kept, F.lit(pattern)).alias("first"))
-                return F.when(n > 0, made)
-
-            only = lambda k: entry(k, F.regexp_replace(kept if k == "Latin" else rest, f"[^{_class(java[k])}]", ""), f"[{_class(java[k])}]")
-            found = [only("Latin")]
-            others = F.array(*(only(k) for k in java if k != "Latin"))
-            every = _class(n for v in java.values() for n in v)
-            if not merged:
-                found.append(entry("Other", F.regexp_replace(rest, f"[{every}]", ""), f"[^{every}]"))
-            return F.array_compact(F.concat(F.array(*found), F.when(F.char_length(rest) > 0, others).otherwise(F.array().cast("array<struct<script:string,n:int,distinct:int,first:int>>"))))
-
-        return let(F.regexp_replace(kept, "\\p{IsLatin}", ""), entries)
+        def entries(each: Column) -> Column:
+            def entry(name: str, others: str, own: str) -> Column:
+                size = lambda chars: F.char_length(F.regexp_replace(chars, f"[{others}]", ""))
+                made = F.struct(F.lit(name).alias("script"), size(kept).alias("n"), size(each).alias("distinct"), F.regexp_instr(kept, F.lit(f"[{own}]")).alias("first"))
+                return F.when(each.rlike(f"[{own}]"), made)
+
+            other = none if merged else entry("Other", every, f"^{every}")
+            rest = [entry(k, f"^{c}", c) for k, c in java.items() if k != "Latin"]
+            beyond = F.when(each.rlike("\\P{IsLatin}"), F.array(*rest)).otherwise(F.array(none))
+            return F.array_compact(F.concat(F.array(entry("Latin", f"^{java['Latin']}", java["Latin"]), other), beyond))
+
+        return let(F.array_join(F.array_distinct(F.split(kept, "")), ""), entries)
 
     return let(F.regexp_replace(F.coalesce(x, F.lit("")), "[\\p{Z}\\p{P}\\p{S}\\p{C}\\p{Nd}]", ""), of)
 
