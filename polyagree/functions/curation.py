@@ -12,8 +12,8 @@ COLON = "^\\s*([^:：]+?)\\s*[:：]\\s*(.+?)\\s*$"
 WRAPPED = "^\\s*/\\s*(.+?)\\s*/\\s*$"
 PARENTHESES = "\\s*[(（][^)）]*[)）]"
 AFTER_SLASH = "\\s*/.*$"
-#: Leading words of Latin letters and no others; marks and digits beside letters are let through.
-LATIN_WORDS = "^\\s*(?:(?=\\S*\\p{IsLatin})(?:\\p{IsLatin}|[^\\p{L}\\s])+\\s+)+"
+#: Leading words of Latin letters and no others; marks and digits beside letters are let through. Possessive, so that a long text takes no stack.
+LATIN_WORDS = "^\\s*+(?:(?=\\S*\\p{IsLatin})[\\p{IsLatin}[^\\p{L}\\s]]++\\s++)++"
 
 
 def _part(x: Column, pattern: str, group: int) -> Column:
@@ -37,14 +37,14 @@ def curated(rows: DataFrame, column: str) -> DataFrame:
     after_latin = F.when(x.rlike(LATIN_WORDS), F.regexp_replace(x, LATIN_WORDS, ""))
     forms = F.array(no_parens, X.stripped(F.regexp_replace(no_parens, AFTER_SLASH, "")), after_colon, after_latin)
     right = _part(x, EQUATION, 2)
-    echoed = F.coalesce((F.array_join(_scripts(_part(x, EQUATION, 1)), ",") == "Latin") & ~X.is_mixed(right), F.lit(False))
+    echoed = F.coalesce(F.contains(x, F.lit("=")) & (F.array_join(_scripts(_part(x, EQUATION, 1)), ",") == "Latin") & ~X.is_mixed(right), F.lit(False))
     fine = lambda c: c.isNotNull() & (c != "") & ~X.is_mixed(c)
     action = (
         F.when(x.isNull() | (X.stripped(x) == ""), "unchanged").when(X.is_placeholder(x), "placeholder")
         .when(echoed | _part(x, WRAPPED, 1).isNotNull(), "stripped").when(~X.is_mixed(x), "unchanged")
         .when(F.col(tried).isNotNull(), "stripped").otherwise("nulled")
     )
-    out = rows.withColumn(tried, F.get(F.filter(forms, fine), F.lit(0))).withColumn(f"{column}_action", action)
+    out = rows.withColumn(tried, F.when(X.is_mixed(x), F.get(F.filter(forms, fine), F.lit(0)))).withColumn(f"{column}_action", action)
     kept = F.when(F.col(f"{column}_action") == "unchanged", x).when(
         F.col(f"{column}_action") == "stripped", F.when(echoed, right).otherwise(F.coalesce(_part(x, WRAPPED, 1), F.col(tried)))
     )

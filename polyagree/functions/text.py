@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from polyagree.functions import fixed as V
 
+#: Latin letters beyond ASCII that most texts have.
+LATIN_LETTERS = "\\u00C0-\\u00D6\\u00D8-\\u00F6\\u00F8-\\u024F"
 #: Where scripts are compared, Han and the Japanese ones are one.
 MERGED = {"CJK": ["CJK", "Japanese"], **{k: [k] for k in V.SCRIPTS if k not in ("CJK", "Japanese")}}
 
@@ -324,9 +326,8 @@ def _main(entries: Column) -> Column:
 
 def dominant_script(x: Column, merged: bool = False) -> Column:
     """The script of most letters, of equals the one seen first; Unknown without a letter. Text of ASCII and Latin letters alone is not counted."""
-    latin = "\\u00C0-\\u00D6\\u00D8-\\u00F6\\u00F8-\\u024F"
-    simple = F.when(x.rlike(f"[A-Za-z{latin}]"), "Latin").otherwise("Unknown")
-    return F.when(x.rlike(f"[^\\x00-\\x7F{latin}]"), F.coalesce(_main(script_entries(x, merged)), F.lit("Unknown"))).otherwise(simple)
+    simple = F.when(x.rlike(f"[A-Za-z{LATIN_LETTERS}]"), "Latin").otherwise("Unknown")
+    return F.when(x.rlike(f"[^\\x00-\\x7F{LATIN_LETTERS}]"), F.coalesce(_main(script_entries(x, merged)), F.lit("Unknown"))).otherwise(simple)
 
 
 def script_mix(x: Column) -> Column:
@@ -348,7 +349,8 @@ def script_mix(x: Column) -> Column:
 
 
 def is_mixed(x: Column) -> Column:
-    return script_mix(x)["mixed"]
+    """Mixed as in script_mix(); text of ASCII and Latin letters alone is not looked at further."""
+    return F.coalesce(F.when(x.rlike(f"[^\\x00-\\x7F{LATIN_LETTERS}]"), script_mix(x)["mixed"]), F.lit(False))
 
 
 def is_mixed_at_all(x: Column, share: float = V.MIXED_SHARE) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from polyagree.functions import text as X
+from polyagree.functions.curation import curated
 
 
 def select_terms(classified: DataFrame, counts: DataFrame, key: list[str]) -> DataFrame:
@@ -77,6 +78,22 @@ def build(terms: DataFrame, source: str, excluded: DataFrame, least: int = 2) ->
     return grouped(staged(terms, source, excluded, least).where("stage = 'kept'").withColumn("term", X.stripped(F.col("term"))))
 
 
+def built_and_counted(cells: DataFrame, classified: DataFrame, key: list[str], source: str, excluded: DataFrame, least: int = 2) -> tuple[DataFrame, Observation]:
+    """build() of the terms that each item's category selects, repaired where they mix scripts, and the number of terms at each stage.
+
+    cells: key with `language`, term, direction, valid. classified: key, category, best_candidate. The stages are those of STAGES, and `uncurated`
+    for a term that has no repair. The counts come with the first action on the result (`get` of the observation), so no second job counts them.
+    A term of several directions in an item counts as right to left, and one valid rationale makes it valid.
+    """
+    terms = cells.groupBy(*key, "term").agg(F.count("*").alias("n"), F.max("direction").alias("direction"), F.bool_or("valid").alias("valid"))
+    chosen = select_terms(classified, terms.select(*key, "term", "n"), key).drop("n", "category").join(terms, [*key, "term"])
+    repaired = curated(chosen, "term").select("language", "direction", "valid", F.col("term_curated").alias("term"), (F.col("term").isNotNull() & F.col("term_curated").isNull()).alias("__lost"))
+    marked = staged(repaired, source, excluded, least).withColumn("stage", F.when(F.col("__lost"), "uncurated").otherwise(F.col("stage"))).drop("__lost")
+    counts = Observation()
+    marked = marked.observe(counts, *(F.count_if(F.col("stage") == s).alias(s) for s in ["uncurated", *STAGES, "kept"]))
+    return grouped(marked.where("stage = 'kept'").withColumn("term", X.stripped(F.col("term")))), counts
+
+
 def resolve_conflicts(rows: DataFrame, decisions: DataFrame) -> DataFrame:
     """Rows of grouped() with conflicts decided: set-ltr or set-rtl gives a term one direction, split a row for each; others stay. decisions: search_term, decision."""
     both = rows.join(decisions.select("search_term", F.col("decision").alias("__d")), "search_term", "left")

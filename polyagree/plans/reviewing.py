@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from polyagree.functions import fixed as V
 from polyagree.functions import text as X
-from polyagree.operators import families, registry, review, search_terms, shaping
+from polyagree.operators import agreement, families, registry, review, search_terms, shaping
 from polyagree.sources.files import table
 
 from . import views
+from .agreeing import PLURALITY
 from .curating import _registry
 from .views import CELLS, SP, TEXTS
 
@@ -59,6 +60,19 @@ def search_terms_built(spark, d):
     return search_terms.build(terms, "the thing", excluded)
 
 
+def _selected(spark, d):
+    """Selection, repair and all stages over sentences: consensus where an item's place has one term, an artefact of two, else a disagreement."""
+    cells = _sentences(spark, d).select("item", "pos", "language", "term", "doc_id", F.when(F.col("doc_id") % 11 == 0, "rtl").otherwise("ltr").alias("direction"), (F.col("doc_id") % 5 == 0).alias("valid"))
+    best = agreement.plurality(cells, ["item", "pos", "language"], "doc_id")
+    category = F.when(F.col("unique_candidates") == 1, "COMPLETE_CONSENSUS").when(F.col("unique_candidates") == 2, "MEASUREMENT_ARTEFACT").otherwise("TRANSMOGRIFICATION")
+    classified = best.select("item", "pos", "language", "best_candidate", category.alias("category"))
+    return search_terms.built_and_counted(cells, classified, ["item", "pos", "language"], "the thing", cells.where("doc_id % 97 = 0").select("term"))
+
+
+def search_terms_selected(spark, d):
+    return _selected(spark, d)[0]
+
+
 def search_term_stages(spark, d):
     """How many sentences each stage of the build takes out."""
     terms, excluded = _terms(spark, d)
@@ -208,7 +222,7 @@ def mean_of_means(spark, d):
     return each.groupBy("n_regionkey").agg(F.round(F.avg("m"), 4).alias("mean"), F.sum("n").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (review_signals, review_tiers, exclusion_tiers, search_terms_built, search_term_stages, convergence_detail, convergence_shares, convergence_by_sources, source_presence, anchor_alignment, service_profiles, script_outliers, script_sides, all_signals, signal_counts, signals_wide, pattern_rates, borrow_bands, refused_elsewhere, unpaired_recovery, variant_matrix, part_measures, order_totals, nation_totals, part_use, event_props, tag_outcomes, registry_built, family_queue, mean_of_means)}
+QUERIES = {f.__name__: f for f in (review_signals, review_tiers, exclusion_tiers, search_terms_built, search_terms_selected, search_term_stages, convergence_detail, convergence_shares, convergence_by_sources, source_presence, anchor_alignment, service_profiles, script_outliers, script_sides, all_signals, signal_counts, signals_wide, pattern_rates, borrow_bands, refused_elsewhere, unpaired_recovery, variant_matrix, part_measures, order_totals, nation_totals, part_use, event_props, tag_outcomes, registry_built, family_queue, mean_of_means)}
 
 
 def _sql(pattern: str) -> str:
@@ -234,6 +248,16 @@ e AS (SELECT *, CASE WHEN NOT ({PRESENT}) THEN 'blank' WHEN regexp_matches(term,
  WHEN regexp_matches(term, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]') THEN 'unsafe' WHEN low IN (SELECT low FROM x) THEN 'excluded' END AS early FROM t),
 b AS (SELECT low, count(*) >= 2 OR bool_or(valid) AS backed FROM e WHERE early IS NULL GROUP BY 1), s AS (SELECT e.*, coalesce(early, CASE WHEN NOT backed THEN 'uncorroborated' END, 'kept') AS stage FROM e LEFT JOIN b USING (low))"""
 FOLDED = r"trim(regexp_replace(regexp_replace(strip_accents(lower(term)), '[^\p{L}\p{N}\p{M}_\s]', '', 'g'), '\s+', ' ', 'g'))"
+#: Sentences as cells, chosen by category, repaired as texts of one script are, and through the stages.
+SELECTED = f"""{TEXTS}, cells AS (SELECT *, doc_id // 12 AS item, CASE WHEN doc_id % 11 = 0 THEN 'rtl' ELSE 'ltr' END AS direction, doc_id % 5 = 0 AS valid FROM texts), x AS (SELECT DISTINCT lower(term) AS low FROM texts WHERE doc_id % 97 = 0),
+p AS ({PLURALITY.format(key='item, pos, language', voter='doc_id')}), n AS (SELECT item, pos, language, term, count(*) AS n, max(direction) AS direction, bool_or(valid) AS valid FROM cells GROUP BY 1, 2, 3, 4),
+j AS (SELECT n.*, best_candidate, unique_candidates AS u, max(n) OVER (PARTITION BY n.item, n.pos, n.language) > 2 AS above FROM n JOIN p USING (item, pos, language)),
+r AS (SELECT language, direction, valid, term AS raw, CASE WHEN regexp_matches(term, {_sql(V.PLACEHOLDER_TERMS)}) THEN NULL WHEN regexp_matches(term, '^[^=]*\\p{{Latin}}[^=]*=.*\\S') THEN trim(regexp_extract(term, '^[^=]+=\\s*(.+?)\\s*$', 1)) WHEN regexp_matches(term, '^\\s*/\\s*(.+?)\\s*/\\s*$') THEN regexp_extract(term, '^\\s*/\\s*(.+?)\\s*/\\s*$', 1) ELSE term END AS term
+ FROM j WHERE CASE u WHEN 1 THEN term = best_candidate WHEN 2 THEN CASE WHEN above THEN n > 2 ELSE term = best_candidate END ELSE true END),
+t AS (SELECT *, lower(trim(term, {SP})) AS low FROM r),
+e AS (SELECT *, CASE WHEN term IS NULL THEN 'uncurated' WHEN NOT ({PRESENT}) THEN 'blank' WHEN language <> 'en' AND (contains(lower(term), 'the thing') OR regexp_matches(term, '\\bTT\\b')) THEN 'leak'
+ WHEN regexp_matches(term, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]') THEN 'unsafe' WHEN low IN (SELECT low FROM x) THEN 'excluded' END AS early FROM t),
+b AS (SELECT low, count(*) >= 2 OR bool_or(valid) AS backed FROM e WHERE early IS NULL GROUP BY 1), s AS (SELECT e.*, coalesce(early, CASE WHEN NOT backed THEN 'uncorroborated' END, 'kept') AS stage FROM e LEFT JOIN b USING (low))"""
 _WHY = "rationale IS NOT NULL AND lower(trim(rationale, WHITE)) NOT IN ('', 'nan', 'none', 'null') AND lower(rtrim(trim(rationale, WHITE), '.')) NOT IN (EMPTY)".replace("WHITE", SP).replace("EMPTY", ", ".join("'" + x + "'" for x in V.EMPTY_RATIONALES))
 _CONDITIONS = {
     "has_repetition_loop": "len(w) >= 4 AND top >= 4 AND top >= 0.3 * len(w)", "has_mixed_script": "mixed", "has_any_mixing": "wide", "has_placeholder_term": f"regexp_matches(term, {_sql(V.PLACEHOLDER_TERMS)})",
@@ -257,6 +281,9 @@ ORACLE_SQL = {
  SELECT item, bool_or(e) AS likely_error, bool_or(c) AS likely_search_complication FROM a GROUP BY 1 HAVING bool_or(e) OR bool_or(c)""",
     "search_terms_built": f"""WITH {TEXTS}, {STAGED}, k AS (SELECT DISTINCT low AS search_term, language, direction FROM s WHERE stage = 'kept')
  SELECT search_term, array_to_string(list_sort(list(DISTINCT language)), ', ') AS natural_language, count(DISTINCT language) AS counts, CASE WHEN count(*) FILTER (direction = 'ltr') >= count(*) FILTER (direction = 'rtl') THEN 'ltr' ELSE 'rtl' END AS directionality, count(DISTINCT direction) > 1 AS directionality_conflict,
+ coalesce(string_agg(DISTINCT language, ', ' ORDER BY language) FILTER (direction = 'ltr'), '') AS ltr_languages, coalesce(string_agg(DISTINCT language, ', ' ORDER BY language) FILTER (direction = 'rtl'), '') AS rtl_languages FROM k GROUP BY 1""",
+    "search_terms_selected": f"""WITH {SELECTED}, k AS (SELECT DISTINCT lower(trim(term, {SP})) AS search_term, language, direction FROM s WHERE stage = 'kept')
+ SELECT search_term, array_to_string(list_sort(list(DISTINCT language)), ', ') AS natural_language, count(DISTINCT language) AS counts, CASE WHEN count(*) FILTER (direction = 'ltr') >= count(*) FILTER (direction = 'rtl') THEN 'ltr' ELSE 'rtl' END AS directionality, count(DISTINCT direction) > 1 AS directionality_conflict,
  coalesce(string_agg(DISTINCT language, ', ' ORDER BY language) FILTER (direction = 'ltr'), '') AS ltr_languages, coalesce(string_agg(DISTINCT language, ', ' ORDER BY language) FILTER (direction = 'rtl'), '') AS rtl_languages FROM k GROUP BY 1""",
     "search_term_stages": f"WITH {TEXTS}, {STAGED} SELECT stage, count(*) AS n FROM s GROUP BY 1",
     "convergence_detail": f"WITH {SENTENCES}, {DETAIL} SELECT * FROM labels",

@@ -6,6 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from polyagree.functions import curation
 from polyagree.functions import text as X
 from polyagree.operators import agreement, disagreement, registry, review, search_terms, shaping
 from polyagree.sources import files
@@ -197,6 +198,22 @@ def test_search_terms(spark):
         assert sorted((r.directionality, r.natural_language) for r in search_terms.resolve_conflicts(built, decided).collect() if r.search_term == "بحر") == want
 
 
+def test_search_terms_are_selected_repaired_and_counted_in_one_pass(spark):
+    cells = [(1, "ru", t, "ltr", True) for t in ("море", "море", "море", "окно")] + [(2, "ru", "цифровые (digital)", "ltr", True), (3, "fr", "not translatable", "ltr", True), (4, "fr", "the thing", "ltr", True), (5, "fr", "a", "ltr", False), (5, "fr", "b", "ltr", True), (5, "fr", "c\x01", "ltr", True), (6, "ar", "بحر", "rtl", True), (7, "fr", "out", "ltr", True), (8, "fr", "\u3000", "ltr", True), (9, "ru", "слово word вот она", "ltr", True)]
+    rows = spark.createDataFrame(cells, "item int, language string, term string, direction string, valid boolean")
+    best = agreement.plurality(rows.withColumn("service", F.col("term")), ["item", "language"])
+    classified = best.select("item", "language", "best_candidate", F.when(F.col("unique_candidates") == 1, "COMPLETE_CONSENSUS").when(F.col("unique_candidates") == 2, "MEASUREMENT_ARTEFACT").otherwise("TRANSMOGRIFICATION").alias("category"))
+    built, counts = search_terms.built_and_counted(rows, classified, ["item", "language"], "the thing", spark.createDataFrame([("OUT",)], "term string"))
+    assert {r.search_term for r in built.collect()} == {"море", "цифровые", "b", "بحر"}
+    assert counts.get == {"uncurated": 2, "blank": 1, "placeholder": 0, "leak": 1, "unsafe": 1, "excluded": 1, "uncorroborated": 1, "kept": 4}
+
+
+def test_long_terms_are_curated(spark):
+    rows = spark.createDataFrame([(1, "слово " + "word " * 20000 + "вот она речь"), (2, "word " * 20000 + "слово вот она"), (3, "two words слово вот")], "i int, term string")
+    got = {r.i: (r.term_action, r.term_curated) for r in curation.curated(rows, "term").collect()}
+    assert got[1][0] in ("unchanged", "nulled", "stripped") and got[2] == ("unchanged", "word " * 20000 + "слово вот она") and got[3] == ("stripped", "слово вот")
+
+
 def test_shaping(spark):
     rows = spark.createDataFrame([(1, ["a", "b"], [1, 2], "x, y;z", "{'k': 'v', 'n': None}"), (2, ["c"], [3, 4], " ", '{"k": "it\'s"}')], "i int, p array<string>, q array<int>, t string, d string")
     assert sorted(map(tuple, shaping.parallel(rows, ["i"], ["p", "q"]).collect()), key=str) == [(1, "a", 1), (1, "b", 2), (2, "c", 3), (2, None, 4)]
