@@ -119,16 +119,6 @@ def read_json_tree(spark: SparkSession, path: str, levels: int, at: tuple[str, .
     return rows.withColumnRenamed("v", "value")
 
 
-def html_table(pages: DataFrame, junk: str | None = None) -> DataFrame:
-    """page_id, row and cells (array of texts) of the first table of each page, tags taken out; rows that match `junk`, and empty ones, are dropped."""
-    first = F.regexp_extract("html", "(?is)<table[^>]*>(.*?)</table>", 1)
-    rows = pages.select("page_id", F.posexplode(F.regexp_extract_all(first, F.lit("(?is)<tr[^>]*>(.*?)</tr>"), 1)).alias("row", "raw"))
-    plain = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "(?s)<[^>]*>", ""), "\\s+", " "))
-    cells = rows.select("page_id", "row", F.transform(F.regexp_extract_all("raw", F.lit("(?is)<t[dh][^>]*>(.*?)</t[dh]>"), 1), plain).alias("cells"))
-    cells = cells.where(F.array_join("cells", "") != "")
-    return cells if junk is None else cells.where(~F.array_join("cells", " ").rlike(junk))
-
-
 def read_variant(spark: SparkSession, folder: str, variant: str) -> DataFrame:
     """CSV files whose names hold the variant, with the file's name as a column."""
     rows = spark.read.options(header=True, pathGlobFilter=f"*{variant}*.csv").csv(folder)

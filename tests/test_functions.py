@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from polyagree.functions import curation
 from polyagree.functions import text as X
 from polyagree.operators import agreement, disagreement, registry, review, search_terms, shaping
-from polyagree.sources import files
+from polyagree.sources import files, html
 from polyagree.streaming import logs
 
 
@@ -262,7 +262,7 @@ def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "r.txt").write_text("File-Date: 1\n%%\nType: language\nDescription: one\n  two\n%%\nType: script\n")
     assert [tuple(r) for r in files.read_records(spark, str(tmp_path / "r.txt"), ["Type", "Description"]).collect()] == [("language", "one two"), ("script", None)]
     pages = spark.createDataFrame([(1, "<table><tr><th>A</th><th>B</th></tr><tr><td> x <b>y</b></td><td>z</td></tr><tr><td>junk</td></tr></table><table></table>"), (2, "none")], "page_id int, html string")
-    assert [(r.row, r.cells) for r in files.html_table(pages, "^junk$").collect()] == [(0, ["A", "B"]), (1, ["x y", "z"])]
+    assert [(r.row, r.cells) for r in html.first_table(pages, "page_id", junk="^junk$").collect()] == [(0, ["A", "B"]), (1, ["x y", "z"])]
     out = str(tmp_path / "out")
     files.append_evolving(spark.createDataFrame([(1, "a")], "k int, a string"), out)
     files.append_evolving(spark.createDataFrame([(2, 3)], "k int, b int"), out)
