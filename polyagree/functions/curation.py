@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from polyagree.functions import fixed as V
 from polyagree.functions import text as X
 
-EQUATION = "^\\s*([^=]+?)\\s*=\\s*(.+?)\\s*$"
-COLON = "^\\s*([^:：]+?)\\s*[:：]\\s*(.+?)\\s*$"
-WRAPPED = "^\\s*/\\s*(.+?)\\s*/\\s*$"
-PARENTHESES = "\\s*[(（][^)）]*[)）]"
-AFTER_SLASH = "\\s*/.*$"
+# How far a sign may stand from the start, and how long a remark in parentheses may be.
+SPACE = f"[{V.WHITE}]*"
+EQUATION = f"(?s)^([^=]{{1,100}}){SPACE}=+{SPACE}(.+)$"
+COLON = f"(?s)^([^:]{{1,100}}):{SPACE}(.+)$"
+WRAPPED = "(?s)^/+(.+?)/+$"
+PARENTHESES = f"{SPACE}\\([^()]{{1,150}}\\)"
+AFTER_SLASH = f"{SPACE}/{SPACE}[^\\n]+$"
 #: Leading words of Latin letters and no others; marks and digits beside letters are let through. Possessive, so that a long text takes no stack.
 LATIN_WORDS = "^\\s*+(?:(?=\\S*\\p{IsLatin})[\\p{IsLatin}[^\\p{L}\\s]]++\\s++)++"
 
@@ -27,14 +30,14 @@ def _scripts(x: Column) -> Column:
 def curated(rows: DataFrame, column: str) -> DataFrame:
     """`rows` with `<column>_curated` and `<column>_action`: unchanged, stripped, nulled or placeholder.
 
-    Null and blank terms are unchanged. In order: a placeholder is null; `latin = term` and `/term/` lose the sign; a term of one
+    Null and blank terms are unchanged. In order: a placeholder is null; `latin = term` and `/term/` lose their signs, repeated ones too; a term of one
     script stays; else the first form that does not mix scripts stands in: without parentheses, without what follows a slash,
     after a colon whose left side has nothing of the main script, after leading Latin words. Failing these it is null.
     """
     x, tried = F.col(column), "__tried"
     no_parens = X.stripped(F.regexp_replace(x, PARENTHESES, ""))
     after_colon = F.when(~F.array_contains(_scripts(_part(x, COLON, 1)), X.dominant_script(x)), _part(x, COLON, 2))
-    after_latin = F.when(x.rlike(LATIN_WORDS), F.regexp_replace(x, LATIN_WORDS, ""))
+    after_latin = F.when(x.rlike(LATIN_WORDS), F.array_join(X.words(F.regexp_replace(x, LATIN_WORDS, "")), " "))
     forms = F.array(no_parens, X.stripped(F.regexp_replace(no_parens, AFTER_SLASH, "")), after_colon, after_latin)
     right = _part(x, EQUATION, 2)
     echoed = F.coalesce(F.contains(x, F.lit("=")) & (F.array_join(_scripts(_part(x, EQUATION, 1)), ",") == "Latin") & ~X.is_mixed(right), F.lit(False))

@@ -66,12 +66,12 @@ def similarity_matrix(pairs: DataFrame, voters: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "rate").unionByName(turned).unionByName(voters.select("a", F.col("a").alias("b"), F.lit(1.0).alias("rate")))
 
 
-def mean_ranks(rows: DataFrame, column: str, name: str, parts: int = 256, by: Sequence[str] = ()) -> DataFrame:
-    """(by, column, name): the mean rank of each value among all rows, or those of its group, without all values of one in one task. Groups are few.
+def mean_ranks(rows: DataFrame, column: str, name: str, parts: int = 256, by: Sequence[str] = (), n: str | None = None) -> DataFrame:
+    """(by, column, name): the mean rank of each value among all rows, or those of its group, without all values of one in one task. Groups are few. With `n`, a row stands for that many.
 
     Values are parted at about equal quantiles; sums of earlier parts, `parts` rows, are added to the running count within a part.
     """
-    counts = rows.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("__n"))
+    counts = rows.where(F.col(column).isNotNull()).groupBy(*by, column).agg((F.sum(n) if n else F.count("*")).alias("__n"))
     quantiles = F.percentile_approx(column, [i / parts for i in range(1, parts)], 10000).alias("__edges")
     edges = F.broadcast(counts.groupBy(*by).agg(quantiles))  # one row, or one a group
     counts = counts.join(edges, [*by]) if by else counts.crossJoin(edges)

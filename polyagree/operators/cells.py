@@ -28,7 +28,12 @@ def enforce_pairs(cells: DataFrame) -> DataFrame:
 def fill_merge(parts: list[DataFrame], key: list[str], values: list[str]) -> DataFrame:
     """Parts in order; each value is the first that is not null, in one shuffle."""
     long = reduce(DataFrame.unionByName, (p.select(*key, *values, F.lit(i).alias("__part")) for i, p in enumerate(parts)))
-    return long.groupBy(*key).agg(*(F.min_by(v, F.when(F.col(v).isNotNull(), F.col("__part"))).alias(v) for v in values))
+    return fill_in_order(long, key, values, F.col("__part"))
+
+
+def fill_in_order(rows: DataFrame, key: list[str], values: list[str], order: Column) -> DataFrame:
+    """fill_merge() of parts that lie in one table, told apart by `order`; of equal order the least value counts."""
+    return rows.groupBy(*key).agg(*(F.min(F.when(F.col(v).isNotNull(), F.struct(order.alias("o"), F.col(v).alias("v"))))["v"].alias(v) for v in values))
 
 
 def apply_exclusions(cells: DataFrame, tiers: DataFrame, key: list[str], mode: str) -> DataFrame:

@@ -61,9 +61,20 @@ def synthesis(cells: DataFrame, item: list[str], variant: str, service: str = "s
 
 
 def correlations(rows: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
-    """(by, n, pearson, spearman) of two numbers, over all rows or for each group; rows that lack one of them don't count."""
-    rows = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    """(by, n, pearson, spearman) of two numbers, over all rows or for each group; rows that lack one of them don't count.
+
+    Rows become counts of pairs of values first, so ranks meet each pair once and not each row. Sums are taken around the means, which
+    keeps their digits. A correlation is null where a number does not vary. Groups are few.
+    """
+    number = lambda c: F.col(c).cast("double")
+    pairs = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, number(x).alias("x"), number(y).alias("y")).agg(F.count("*").alias("n"))
+    ranked = pairs
     for c in ("x", "y"):
-        rows = rows.join(agreement.mean_ranks(rows, c, f"r{c}", by=by), [*by, c])
-    out = [F.count("*").alias("n"), F.round(F.corr("x", "y"), 6).alias("pearson"), F.round(F.corr("rx", "ry"), 6).alias("spearman")]
-    return rows.groupBy(*by).agg(*out) if by else rows.agg(*out)
+        ranked = ranked.join(agreement.mean_ranks(pairs, c, f"r{c}", by=by, n="n"), [*by, c])
+    names = ("x", "y", "rx", "ry")
+    group = ranked.groupBy(*by)
+    means = group.agg(*((F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(f"m{c}") for c in names))
+    off = lambda c: F.col(c) - F.col(f"m{c}")
+    around = ranked.join(F.broadcast(means), [*by]) if by else ranked.crossJoin(F.broadcast(means))
+    together = lambda a, b: F.sum(F.col("n") * off(a) * off(b)) / F.nullif(F.sqrt(F.sum(F.col("n") * off(a) ** 2)) * F.sqrt(F.sum(F.col("n") * off(b) ** 2)), F.lit(0.0))
+    return around.groupBy(*by).agg(F.sum("n").alias("n"), F.round(together("x", "y"), 6).alias("pearson"), F.round(together("rx", "ry"), 6).alias("spearman"))

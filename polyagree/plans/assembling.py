@@ -17,7 +17,7 @@ from .curating import SIMILAR
 from .reviewing import FOUND, PRESENT, SENTENCES
 from .views import CELLS, PAIRS, SP
 
-SOURCES, LANGUAGES, TYPES = ["src0", "src1", "src2", "src3"], ["en", "de"], ["view", "click", "cart", "purchase"]
+SOURCES, LANGUAGES, TYPES = [f"src{i}" for i in range(20)], ["en", "de", "es", "fr"], ["view", "click", "cart", "purchase"]
 
 
 def variant_assembly(spark, d):
@@ -177,7 +177,7 @@ def order_days(spark, d):
 
 
 def review_export(spark, d):
-    """Sentences of four sources and two languages at each place of twelve documents, wide, with the review of the twelve."""
+    """Sentences of all sources and languages at each place of twelve documents, wide, with the review of the twelve."""
     wide = shaping.wide(reviewing._sentences(spark, d), ["item", "pos"], {"service": SOURCES, "language": LANGUAGES}, ["term"])
     found = review.summary(reviewing._documents(spark, d), reviewing.review_signals(spark, d), ["item"])
     return wide.join(found.select("item", "flags", "tier", "hint"), "item", "left")

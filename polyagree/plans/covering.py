@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from polyagree.functions import fixed as V
 from polyagree.functions import text as X
-from polyagree.operators import agreement, cells, quantiles, registry
+from polyagree.operators import agreement, cells, comparison, quantiles, registry
 from polyagree.sources import files
 from polyagree.sources.files import table
 from polyagree.streaming import logs
@@ -144,10 +144,7 @@ def describe_values(spark, d):
 
 def correlations(spark, d):
     """Pearson, and Spearman by mean ranks; ranks from counts of values, so that no row is ranked alone."""
-    rows = table(spark, d, "part").select(F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"))
-    for c in ("x", "y"):
-        rows = rows.join(agreement.mean_ranks(rows, c, f"r{c}"), c)
-    return rows.agg(F.round(F.corr("x", "y"), 6).alias("pearson"), F.round(F.corr("rx", "ry"), 6).alias("spearman"))
+    return comparison.correlations(table(spark, d, "part"), "p_size", "p_retailprice").drop("n")
 
 
 def hierarchy_root(spark, d):
@@ -182,9 +179,9 @@ def registry_union(spark, d):
 
 
 def fill_merged(spark, d):
-    rows = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("term"))
-    parts = [rows.where(F.col("l_linenumber") == k).select("l_orderkey", F.when(F.col("term") != "N", F.col("term")).alias("term")) for k in (1, 2, 3)]
-    return cells.fill_merge(parts, ["l_orderkey"], ["term"])
+    """Lines of an order stand for the services that fill it in turn; N is no term."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("term"))
+    return cells.fill_in_order(rows, ["l_orderkey"], ["term"], F.col("l_linenumber"))
 
 
 def text_signals(spark, d):
@@ -313,7 +310,7 @@ ORACLE_SQL = {
     "snapshot_merge": "SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN '2024-01-01' ELSE '2024-06-01' END AS first_seen, CASE WHEN c_custkey % 2 = 0 THEN '2024-06-01' ELSE '2024-01-01' END AS last_seen, CASE WHEN c_custkey % 3 = 0 THEN 'added' WHEN c_custkey % 2 <> 0 THEN 'gone' ELSE 'kept' END AS status FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 2 = 0",
     "candidate_lookup": "WITH k AS (SELECT 'k' || n_nationkey AS code FROM nation) SELECT c_custkey, CASE WHEN 'k' || (c_custkey % 97) IN (SELECT code FROM k) THEN 'k' || (c_custkey % 97) WHEN 'k' || (c_custkey % 31) IN (SELECT code FROM k) THEN 'k' || (c_custkey % 31) ELSE 'k' || (c_custkey % 7) END AS code FROM customer",
     "registry_union": "WITH u AS (SELECT c_nationkey AS code, 'customer' AS source FROM customer UNION SELECT s_nationkey, 'supplier' FROM supplier UNION SELECT n_nationkey, 'nation' FROM nation), s AS (SELECT code, string_agg(source, ' + ' ORDER BY source) AS combination FROM u GROUP BY 1) SELECT combination, count(*) AS n FROM s GROUP BY 1",
-    "fill_merged": "WITH r AS (SELECT l_orderkey, l_linenumber, nullif(min(l_returnflag), 'N') AS term FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2) SELECT l_orderkey, arg_min(term, l_linenumber) FILTER (term IS NOT NULL) AS term FROM r GROUP BY 1",
+    "fill_merged": "SELECT l_orderkey, arg_min(l_returnflag, (l_linenumber, l_returnflag)) FILTER (l_returnflag <> 'N') AS term FROM lineitem GROUP BY 1",
     "text_signals": rf"""WITH t AS (SELECT doc_id, text, {WORDS.format(t='lower(text)')} AS l FROM documents WHERE text IS NOT NULL), m AS (SELECT *, coalesce(list_max(map_values(list_histogram(l))), 0) AS top FROM t)
  SELECT doc_id, CAST(len(l) AS BIGINT) AS n_words, len(l) >= 4 AND top >= 4 AND top >= 0.3 * len(l) AS "loop", length(trim(text, {SP})) > 100 AS extreme, coalesce(length(trim(text, {SP})) BETWEEN 1 AND 3, false) AS short, regexp_matches(text, '\\u[0-9a-fA-F]{{4}}') AS escape, regexp_matches(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]') AS unsafe, contains(lower(text), 'the thing') OR regexp_matches(text, '\bTT\b') AS leak FROM m""",
     "word_count_cv": rf"WITH w AS (SELECT lang, source, len({WORDS.format(t='text')}) AS w FROM documents WHERE text IS NOT NULL) SELECT lang, source, count(w) AS n, round(avg(w), 6) AS mean, round(median(w), 6) AS median, round(stddev_samp(w), 6) AS std, round(stddev_samp(w) / avg(w), 6) AS cv FROM w GROUP BY 1, 2",

@@ -252,7 +252,7 @@ FOLDED = r"trim(regexp_replace(regexp_replace(strip_accents(lower(term)), '[^\p{
 SELECTED = f"""{TEXTS}, cells AS (SELECT *, doc_id // 12 AS item, CASE WHEN doc_id % 11 = 0 THEN 'rtl' ELSE 'ltr' END AS direction, doc_id % 5 = 0 AS valid FROM texts), x AS (SELECT DISTINCT lower(term) AS low FROM texts WHERE doc_id % 97 = 0),
 p AS ({PLURALITY.format(key='item, pos, language', voter='doc_id')}), n AS (SELECT item, pos, language, term, count(*) AS n, max(direction) AS direction, bool_or(valid) AS valid FROM cells GROUP BY 1, 2, 3, 4),
 j AS (SELECT n.*, best_candidate, unique_candidates AS u, max(n) OVER (PARTITION BY n.item, n.pos, n.language) > 2 AS above FROM n JOIN p USING (item, pos, language)),
-r AS (SELECT language, direction, valid, term AS raw, CASE WHEN regexp_matches(term, {_sql(V.PLACEHOLDER_TERMS)}) THEN NULL WHEN regexp_matches(term, '^[^=]*\\p{{Latin}}[^=]*=.*\\S') THEN trim(regexp_extract(term, '^[^=]+=\\s*(.+?)\\s*$', 1)) WHEN regexp_matches(term, '^\\s*/\\s*(.+?)\\s*/\\s*$') THEN regexp_extract(term, '^\\s*/\\s*(.+?)\\s*/\\s*$', 1) ELSE term END AS term
+r AS (SELECT language, direction, valid, term AS raw, CASE WHEN regexp_matches(term, {_sql(V.PLACEHOLDER_TERMS)}) THEN NULL WHEN regexp_matches(term, '^[^=]*\\p{{Latin}}[^=]*=.*[^=\\s]') AND regexp_matches(term, '^[^=]{{1,100}}\\s*=') THEN trim(regexp_extract(term, '^[^=]+=+\\s*(.+?)\\s*$', 1)) WHEN regexp_matches(term, '^/+.*[^/\\s].*/+$') THEN trim(regexp_extract(term, '^/+(.+?)/+$', 1)) ELSE term END AS term
  FROM j WHERE CASE u WHEN 1 THEN term = best_candidate WHEN 2 THEN CASE WHEN above THEN n > 2 ELSE term = best_candidate END ELSE true END),
 t AS (SELECT *, lower(trim(term, {SP})) AS low FROM r),
 e AS (SELECT *, CASE WHEN term IS NULL THEN 'uncurated' WHEN NOT ({PRESENT}) THEN 'blank' WHEN language <> 'en' AND (contains(lower(term), 'the thing') OR regexp_matches(term, '\\bTT\\b')) THEN 'leak'

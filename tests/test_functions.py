@@ -214,6 +214,18 @@ def test_long_terms_are_curated(spark):
     assert got[1][0] in ("unchanged", "nulled", "stripped") and got[2] == ("unchanged", "word " * 20000 + "слово вот она") and got[3] == ("stripped", "слово вот")
 
 
+def test_bounds_of_curation(spark):
+    cases = {
+        "term == слово": ("stripped", "слово"), "one = two": ("stripped", "two"), "//term//": ("stripped", "term"), "/a\nb/": ("stripped", "a\nb"), "x" * 100 + " = слово": ("stripped", "слово"),
+        "x" * 101 + " = two": ("unchanged", "x" * 101 + " = two"), " /term/": ("unchanged", " /term/"), "///": ("stripped", "/"),
+        "слово вот " * 5 + "(" + "romanised " * 15 + ")": ("stripped", ("слово вот " * 5).strip()), "слово вот " * 5 + "(" + "romanised " * 16 + ")": ("nulled", None), "слово вот (a (b) wordy)": ("nulled", None),
+        "term here: слово вот": ("stripped", "слово вот"), "wordy:\nслово\nвот": ("stripped", "слово\nвот"), "words  and \t слово  вот": ("stripped", "слово вот"),
+    }
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(cases)], "i int, term string")
+    got = {r.term: (r.term_action, r.term_curated) for r in curation.curated(rows, "term").collect()}
+    assert got == cases
+
+
 def test_shaping(spark):
     rows = spark.createDataFrame([(1, ["a", "b"], [1, 2], "x, y;z", "{'k': 'v', 'n': None}"), (2, ["c"], [3, 4], " ", '{"k": "it\'s"}')], "i int, p array<string>, q array<int>, t string, d string")
     assert sorted(map(tuple, shaping.parallel(rows, ["i"], ["p", "q"]).collect()), key=str) == [(1, "a", 1), (1, "b", 2), (2, "c", 3), (2, None, 4)]
