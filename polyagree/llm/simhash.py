@@ -128,11 +128,24 @@ def near(a: str, b: str, distance: int) -> F.Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
 
 
+#: Members of a bucket that one task compares all its others with.
+TILE = 1 << 14
+
+
+def _across(members: DataFrame, others: DataFrame, key: list[str], distance: int) -> DataFrame:
+    """(a, b): labels of near members of a bucket that are in different components. Members of the least label meet all others; of two others, that of the lesser label stands on the left."""
+    others = others.where("label <> lo").select(*key, F.col("fp").alias("fp2"), F.col("label").alias("label2"))
+    one_side = (F.col("label") == F.col("lo")) | (F.col("label") < F.col("label2"))
+    found = members.join(others, key).where((F.col("label") != F.col("label2")) & one_side & near("fp", "fp2", distance))
+    return found.select(F.col("label").alias("a"), F.col("label2").alias("b"))
+
+
 def classes(prints: DataFrame, distance: int, chosen: int = 1) -> DataFrame:
     """(fp, label) of distinct fingerprints `prints` (fp): label is the least fingerprint reachable.
 
-    Each of the two passes shuffles the index once. What a bucket's members have in common is found beside them by a
-    window, so that no row is made for members that merely share a key.
+    What a bucket's members have in common is found beside them by a window, so that no row is made for members that merely share a
+    key. A bucket with more than TILE others is parted by a hash of these, and each part meets all members in a task of its own: the
+    same pairs are compared, and no bucket is one task's work.
     """
     bucket = Window.partitionBy("key")
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -143,10 +156,13 @@ def classes(prints: DataFrame, distance: int, chosen: int = 1) -> DataFrame:
     named = shared.staged(named, "named")
     members = variants(named.repartition(parts, "fp"), distance, chosen)
     members = members.withColumns({"lo": F.min("label").over(bucket), "hi": F.max("label").over(bucket)}).where("lo < hi").drop("hi")
-    others = members.where("label <> lo").select("key", F.col("fp").alias("fp2"), F.col("label").alias("label2"))
-    one_side = (F.col("label") == F.col("lo")) | (F.col("label") < F.col("label2"))
-    across = members.join(others, "key").where((F.col("label") != F.col("label2")) & one_side & near("fp", "fp2", distance))
-    second = components(across.select(F.col("label").alias("a"), F.col("label2").alias("b")).distinct())
+    members = members.withColumn("tiles", F.ceil(F.count_if(F.col("label") != F.col("lo")).over(bucket) / TILE).cast("int"))
+    large = shared.staged(members.where("tiles > 1"), "large")
+    spread = large.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    parted = large.withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
+    small = members.where("tiles = 1")
+    across = _across(small, small, ["key"], distance).union(_across(spread, parted, ["key", "tile"], distance))
+    second = components(across.distinct())
     return named.join(second, named.label == second.node, "left").select("fp", F.coalesce(second.label, named.label).alias("label"))
 
 

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from polyagree.llm import alignment, hard_negatives, minhash, queries
+from polyagree.llm import alignment, hard_negatives, minhash, queries, shared, simhash
 
 from test_operators import ROWS, SCHEMA, lowered
 
@@ -238,3 +238,31 @@ def test_sketches_agree_as_sets_are_alike():
         errors.append((s[0] == s[1]).mean() - 17 / 20)
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 1.5 * math.sqrt(0.85 * 0.15 / minhash.SIZE)
     assert (minhash.sketches_of(np.concatenate([a, a]), np.array([len(a)] * 2))[0] == minhash.sketches_of(a, np.array([len(a)]))[0]).all()
+
+
+# -- buckets of near fingerprints
+
+
+@pytest.mark.parametrize("tile", [3, 64, 1 << 14])
+def test_large_buckets_are_parted_with_the_same_links(spark, monkeypatch, tile):
+    rng = random.Random(11)
+    centre = rng.getrandbits(64)
+    loose = {centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 9))) for _ in range(500)} | {rng.getrandbits(64) for _ in range(200)} | {0, (1 << 64) - 1}
+    prints = [x - (x >> 63 << 64) for x in loose]
+    root = {x: x for x in prints}
+
+    def top(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i, x in enumerate(prints):
+        for y in prints[:i]:
+            if ((x ^ y) & (1 << 64) - 1).bit_count() <= 4:
+                a, b = sorted((top(x), top(y)))
+                root[b] = a
+    shared.prepare(spark)
+    monkeypatch.setattr(simhash, "TILE", tile)
+    got = {r.fp: r.label for r in simhash.classes(spark.createDataFrame([(x,) for x in prints], "fp long"), 4).collect()}
+    assert got == {x: top(x) for x in prints} and 20 < len(set(got.values())) < 700
