@@ -162,7 +162,7 @@ def classes(prints: DataFrame, distance: int, chosen: int = 1) -> DataFrame:
     parted = large.withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
     small = members.where("tiles = 1")
     across = _across(small, small, ["key"], distance).union(_across(spread, parted, ["key", "tile"], distance))
-    second = components(across.distinct())
+    second = components(shared.staged(across.distinct(), "links"))
     return named.join(second, named.label == second.node, "left").select("fp", F.coalesce(second.label, named.label).alias("label"))
 
 
