@@ -111,3 +111,10 @@ def test_the_script_of_plain_text_is_that_of_its_letters(spark):
     assert [r[0] for r in rows.select(X.dominant_script(F.col("x"))).collect()] == ["Latin", "Latin", "Unknown", "Unknown", "Unknown", "Latin", "Cyrillic", "CJK", "Latin", "Latin"]
     slow = F.coalesce(X._main(X.script_entries(F.col("x"))), F.lit("Unknown"))
     assert rows.where(X.dominant_script(F.col("x")) != slow).count() == 0
+
+
+def test_similarity_broadcasts_no_ngrams(spark):
+    rows = spark.createDataFrame([(i % 3, i, f"word{i} and {i % 5} more") for i in range(60)], "g int, i int, t string")
+    found = similarity.mean_similarity(rows, "g", ["i"], "t")
+    assert len(found.collect()) == 3
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
