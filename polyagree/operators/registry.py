@@ -82,10 +82,13 @@ def built(sources: dict[str, DataFrame], key: str, values: list[str]) -> DataFra
     )
 
 
-def valid_key(x: Column, excluded: Sequence[str] = ()) -> Column:
-    """What speaks against a code, the first that holds: blank, excluded, space, form; `valid` if nothing does."""
+def valid_key(x: Column, excluded: Sequence[str] = (), blank: Column | None = None) -> Column:
+    """What speaks against a code, the first that holds: blank, excluded, space, form; `valid` if nothing does.
+
+    `blank`: what counts as no code, by default also the words for a missing value, one of which, `nan`, is the code of a language.
+    """
     form = x.rlike("^[A-Za-z][A-Za-z0-9_-]{1,14}$")
-    return F.when(~present(x), "blank").when(x.isin(*excluded), "excluded").when(F.contains(x, F.lit(" ")), "space").when(~form, "form").otherwise("valid")
+    return F.when(~present(x) if blank is None else blank, "blank").when(x.isin(*excluded), "excluded").when(F.contains(x, F.lit(" ")), "space").when(~form, "form").otherwise("valid")
 
 
 def split_alternative(x: Column, mark: str = "-alt-") -> Column:
@@ -95,13 +98,16 @@ def split_alternative(x: Column, mark: str = "-alt-") -> Column:
     return F.struct(F.get(parts, 0).alias("base"), other.alias("alternative"), (F.coalesce(other, F.lit("")) != "secondary").alias("primary"))
 
 
-def preferred_tag(code: Column, short: Column, long: Column, fallbacks: Mapping[str, str]) -> Column:
-    """Struct of tag and source: a fallback by the code, else the short code, the long one, or the code itself; each in its usual form."""
+def preferred_tag(code: Column, short: Column, long: Column, fallbacks: Mapping[str, str], given_as=present) -> Column:
+    """Struct of tag and source: a fallback by the code, else the short code, the long one, or the code itself; each in its usual form.
+
+    `given_as`: whether a column holds a code; by default a word for a missing value, such as `nan`, is none.
+    """
     given = F.create_map(*(F.lit(x) for kv in fallbacks.items() for x in kv))[code] if fallbacks else F.lit(None).cast("string")
     of = lambda tag, source: F.struct(tag.alias("tag"), F.lit(source).alias("source"))
     return (
-        F.when(given.isNotNull(), of(given, "fallback")).when(present(short), of(canonical_tag(short), "short"))
-        .when(present(long), of(canonical_tag(long), "long")).otherwise(of(canonical_tag(code), "code"))
+        F.when(given.isNotNull(), of(given, "fallback")).when(given_as(short), of(canonical_tag(short), "short"))
+        .when(given_as(long), of(canonical_tag(long), "long")).otherwise(of(canonical_tag(code), "code"))
     )
 
 

@@ -24,6 +24,11 @@ def _known(x: Column) -> Column:
     return F.coalesce(x, F.lit(False))
 
 
+def _holds(x: Column | str) -> Column:
+    """Whether a text column, in which nothing is an empty text, holds a code; `nan` is that of Min Nan Chinese and no missing value."""
+    return _text(x) != ""
+
+
 def _one(rows: DataFrame, key: Sequence[str]) -> DataFrame:
     """One row a key: the least of each other column."""
     return rows.groupBy(*key).agg(*(F.min(c).alias(c) for c in rows.columns if c not in key))
@@ -47,7 +52,7 @@ def merged(main: DataFrame, community: DataFrame, official: DataFrame, right_to_
     added = plain(lacking.select(F.when(F.col("short") != "", F.col("short")).otherwise(F.col("code")).alias("code"), "name"), "official_only", 2)
     rows = both.unionByName(added)
     rows = rows.groupBy("code").agg(F.min(F.struct("at", *(c for c in rows.columns if c not in ("code", "at")))).alias("x")).select("code", "x.*").drop("at")
-    rows = rows.where((valid_key(F.col("code"), excluded) == "valid"))
+    rows = rows.where(valid_key(F.col("code"), excluded, ~_holds("code")) == "valid")
 
     given = single.select(F.col("code").alias("official"), "bibliographic", "short")
     ids = given.withColumn("code", F.col("official")).unionByName(_one(given.where(F.char_length("short") == 2).withColumn("code", F.col("short")), ["code"]))
@@ -148,7 +153,7 @@ def identified(registry: DataFrame, fallbacks: Mapping[str, str], legacy: Mappin
     for before, after in sorted(legacy.items()):
         old.setdefault(after, []).append(before)
     others = F.create_map(*(x for k, v in old.items() for x in (F.lit(k), F.array(*map(F.lit, v))))) if old else None
-    rows = registry.withColumn("__tag", preferred_tag(F.col("code"), F.col("short"), F.col("official"), fallbacks))
+    rows = registry.withColumn("__tag", preferred_tag(F.col("code"), F.col("short"), F.col("official"), fallbacks, _holds))
     rows = rows.select(*registry.columns, F.col("__tag.tag").alias("tag"), F.col("__tag.source").alias("tag_source"))
     forms = []
     for c in ("tag", "code", "short", "official", "bibliographic"):

@@ -127,3 +127,14 @@ def test_openings(spark):
     rows = spark.createDataFrame([("p", "I am  sorry"), ("p", "i am"), ("p", "I am\tglad"), ("p", "No"), ("q", ""), ("q", None)], "by string, m string")
     got = sorted(map(tuple, errors.openings(rows, ["by"], rows.m, words=2, top=2).collect()))
     assert got == [("p", 1, "I am", 2, 0.5, 0.5), ("p", 2, "No", 1, 0.25, 0.75), ("q", 1, "", 2, 1.0, 1.0)]
+
+
+def test_nan_is_a_code(spark):
+    """`nan` is the code of Min Nan Chinese, in lists of codes and among those a tag is made of."""
+    main = spark.createDataFrame([("aa", "Afar", "Latn", 1, True, False), ("", "none", "", 0, True, False), (None, "none", "", 0, True, False)], "code string, name string, script string, n_scripts int, modern boolean, is_official boolean")
+    community = spark.createDataFrame([("de", "German", "ltr", "Deutsch")], "code string, name string, direction string, local_name string")
+    official = spark.createDataFrame([("nan", "nan", "", "Min Nan Chinese", False), ("aar", "aar", "aa", "Afar", False)], "code string, bibliographic string, short string, primary_name string, is_group boolean")
+    rows = registry_build.merged(main, community, official, ["Arab"])
+    got = {r.code: r for r in registry_build.identified(rows, {}, {}).collect()}
+    assert set(got) == {"aa", "de", "nan"} and (got["nan"].name, got["nan"].official, got["nan"].sources) == ("Min Nan Chinese", "nan", "official_only")
+    assert (got["nan"].tag, got["nan"].tag_source, got["nan"].candidates) == ("nan", "long", ["nan"])
