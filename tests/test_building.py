@@ -138,3 +138,15 @@ def test_nan_is_a_code(spark):
     got = {r.code: r for r in registry_build.identified(rows, {}, {}).collect()}
     assert set(got) == {"aa", "de", "nan"} and (got["nan"].name, got["nan"].official, got["nan"].sources) == ("Min Nan Chinese", "nan", "official_only")
     assert (got["nan"].tag, got["nan"].tag_source, got["nan"].candidates) == ("nan", "long", ["nan"])
+
+
+def test_plain_pages_need_no_parser():
+    """A page of plain markup is read as the parser reads it; any other page is left to the parser."""
+    plain = "<html><!-- <table> --><table class=a><TR><th rowspan=\"2\">a<br>1</th><td colspan=2> x &amp; <b>y</b><td><table><tr><td>in</table></td></tr>\n</table>"
+    for page in [plain, "<table><td a=1 colspan='3'>&lt&", "<p>none", "", "<table></td>x<tr><th\tcolspan>z</div>"]:
+        parser = html._Tables()
+        parser.feed(page)
+        parser.close()
+        assert html._plain_tables(page).tables == parser.tables == html.read_tables(page)
+    for page in ["<table><td>a<br/>b", "<!-- a-b --><table>", "<table><script>'<td>'</script>", "<table><td x='&amp;'>", "a < b", "<![if x]>", "<td colspan = 2>", "<title><table>"]:
+        assert html._plain_tables(page) is None
