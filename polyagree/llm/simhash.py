@@ -11,10 +11,11 @@ its key's bucket; buckets whose members are then one component need no further l
 different components are compared, one of each two of them on the left side. So a dense group of near copies
 costs about its size, not its square, and no link between components is lost.
 
-`keep_one` deduplicates by similarity of texts rather than by distance of one fingerprint. Texts whose five-word shingles are
-alike to 0.8 (Jaccard) meet in a band of minima of hashes over the shingles (MinHash; BANDS of ROWS minima: 5 of 100,000 pairs
-of just 0.8 meet in none, fewer above). A loose fingerprint of 128 bits sorts out the unlike, what two texts differ from a central
-third bounds what they have in common, and every link left is checked on the sets of shingles themselves, by 32-bit hashes.
+`keep_one` deduplicates by similarity of texts: those whose five-word shingles are alike to 0.8 (Jaccard). Both passes look up
+the variants of a fingerprint of these shingles as above. As fingerprints of texts alike to just 0.8 may differ in ten bits, texts
+also meet in bands of minima of hashes over the shingles (MinHash; BANDS of ROWS minima: 5 of 100,000 pairs of just 0.8 meet in
+none, fewer above). For these a loose fingerprint of 128 bits sorts out the unlike, and what two texts differ from a central third
+bounds what they have in common. Every link, by either index, is checked on the sets of shingles themselves, by 32-bit hashes.
 
 Cases: null text counts as empty; a text without words has fingerprint zero and links like any other; fewer words than a
 shingle give one shingle; repeated rows stay rows (keep_one() keeps one); a null doc_id has no part in naming components; an
@@ -132,28 +133,22 @@ def near(a: str, b: str, distance: int) -> F.Column:
 TILE = 1 << 14
 
 
-def _across(members: DataFrame, others: DataFrame, key: list[str], distance: int) -> DataFrame:
-    """(a, b): labels of near members of a bucket that are in different components. Members of the least label meet all others; of two others, that of the lesser label stands on the left."""
-    others = others.where("label <> lo").select(*key, F.col("fp").alias("fp2"), F.col("label").alias("label2"))
+def _across(members: DataFrame, others: DataFrame, key: list[str], distance: int, name: str) -> DataFrame:
+    """(a, b): names of near members of a bucket that are in different components. Members of the least label meet all others; of two others, that of the lesser label stands on the left."""
+    others = others.where("label <> lo").select(*key, F.col("fp").alias("fp2"), F.col("label").alias("label2"), F.col(name).alias("name2"))
     one_side = (F.col("label") == F.col("lo")) | (F.col("label") < F.col("label2"))
     found = members.join(others, key).where((F.col("label") != F.col("label2")) & one_side & near("fp", "fp2", distance))
-    return found.select(F.col("label").alias("a"), F.col("label2").alias("b"))
+    return found.select(F.col(name).alias("a"), F.col("name2").alias("b"))
 
 
-def classes(prints: DataFrame, distance: int, chosen: int = 1) -> DataFrame:
-    """(fp, label) of distinct fingerprints `prints` (fp): label is the least fingerprint reachable.
+def crossing(named: DataFrame, distance: int, chosen: int = 1, name: str = "label") -> DataFrame:
+    """(a, b): names of the members of `named` (fp, label, and `name`) that are near and in different components, a row or more for each two.
 
     What a bucket's members have in common is found beside them by a window, so that no row is made for members that merely share a
     key. A bucket with more than TILE others is parted by a hash of these, and each part meets all members in a task of its own: the
     same pairs are compared, and no bucket is one task's work.
     """
-    bucket = Window.partitionBy("key")
-    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spokes = variants(prints.repartition(parts, "fp"), distance, chosen).withColumn("hub", F.min("fp").over(bucket))
-    spokes = spokes.where((F.col("fp") != F.col("hub")) & near("fp", "hub", distance))
-    first = components(spokes.select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct())
-    named = prints.join(first, prints.fp == first.node, "left").select("fp", F.coalesce("label", "fp").alias("label"))
-    named = shared.staged(named, "named")
+    bucket, parts = Window.partitionBy("key"), int(named.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     members = variants(named.repartition(parts, "fp"), distance, chosen)
     members = members.withColumns({"lo": F.min("label").over(bucket), "hi": F.max("label").over(bucket)}).where("lo < hi").drop("hi")
     members = members.withColumn("tiles", F.ceil(F.count_if(F.col("label") != F.col("lo")).over(bucket) / TILE).cast("int"))
@@ -161,8 +156,19 @@ def classes(prints: DataFrame, distance: int, chosen: int = 1) -> DataFrame:
     spread = large.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     parted = large.withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
     small = members.where("tiles = 1")
-    across = _across(small, small, ["key"], distance).union(_across(spread, parted, ["key", "tile"], distance))
-    second = components(shared.staged(across.distinct(), "links"))
+    return _across(small, small, ["key"], distance, name).union(_across(spread, parted, ["key", "tile"], distance, name))
+
+
+def classes(prints: DataFrame, distance: int, chosen: int = 1) -> DataFrame:
+    """(fp, label) of distinct fingerprints `prints` (fp): label is the least fingerprint reachable."""
+    bucket = Window.partitionBy("key")
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spokes = variants(prints.repartition(parts, "fp"), distance, chosen).withColumn("hub", F.min("fp").over(bucket))
+    spokes = spokes.where((F.col("fp") != F.col("hub")) & near("fp", "hub", distance))
+    first = components(spokes.select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct())
+    named = prints.join(first, prints.fp == first.node, "left").select("fp", F.coalesce("label", "fp").alias("label"))
+    named = shared.staged(named, "named")
+    second = components(shared.staged(crossing(named, distance, chosen).distinct(), "links"))
     return named.join(second, named.label == second.node, "left").select("fp", F.coalesce(second.label, named.label).alias("label"))
 
 
@@ -342,22 +348,40 @@ def hubs(index: DataFrame) -> DataFrame:
     return found
 
 
+def near_least(prints: DataFrame, distance: int, chosen: int = 1) -> DataFrame:
+    """(a, b): each node of `prints` (node, fp), and of the least members of its buckets that are near to it the least of all."""
+    bucket, parts = Window.partitionBy("key"), int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = variants(prints.repartition(parts, "fp"), distance, chosen).withColumn("least", F.min(F.struct("fp", "node")).over(bucket))
+    found = found.withColumn("fp2", F.col("least.fp")).where((F.col("node") != F.col("least.node")) & near("fp", "fp2", distance))
+    return found.groupBy(F.col("node").alias("a")).agg(F.min("least").getField("node").alias("b"))
+
+
+#: Bits in which fingerprints of keep_one() may differ to be found by their variants.
+DISTANCE = 4
+
+
 def text_classes(marked: DataFrame) -> DataFrame:
     """(node, label) of the distinct sets of `marked` (node, n, g0, g1, keys, members): label is the least node reachable.
 
-    Sets meet in keys of bands. The first pass checks each set against its hub alone. The second pass compares the members of
-    a key that are in different components; of those with one hub, a bound from what each differs from the hub leaves nearly
-    none but true links (2,234 pairs of 1,598,055 on a table with a group of 4,000 copies, 1,645 of them links), and what is
-    left is checked on the sets. So a group of copies costs about its size in rows made, and no link between components is lost.
+    Sets meet in variants of their fingerprint g0, and in keys of bands. The first pass checks each set against the least near
+    one of its fingerprint's buckets, and against the hub of its bands. The second pass compares the members of a bucket or key
+    that are in different components: by fingerprints those that are near, and by bands those that a bound leaves: of two with one
+    hub, what each differs from it leaves nearly none but true links (2,234 pairs of 1,598,055 on a table with a group of 4,000
+    copies, 1,645 of them links). What is left is checked on the sets. So a group of copies costs about its size in rows made, and
+    no link between components is lost.
     """
     sets = marked.select("node", "members")
     prints = shared.staged(marked.select("node", "n", "g0", "g1", "keys").dropDuplicates(["node"]), "prints")
     index = prints.select(F.explode("keys").alias("key"), "node")
     index = shared.staged(index.join(index.groupBy("key").agg(F.count("*").alias("many")).where("many > 1"), "key").select("key", "node"), "index")
-    found = hubs(index)
-    apart = with_sets(found.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")), sets, "hub")
-    apart = shared.staged(apart.select("a", "b", differences("a_members", "b_members").alias("d")), "apart")
+    found, chosen = hubs(index), chosen_for(prints.count())
+    by_print = near_least(prints.select("node", F.col("g0").alias("fp")), DISTANCE, chosen).withColumn("hub", F.lit(False))
+    by_bands = found.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"), F.lit(True).alias("hub"))
+    near_ = shared.staged(by_print.union(by_bands).groupBy("a", "b").agg(F.bool_or("hub").alias("hub")), "near")
+    apart = with_sets(near_, sets, "hub")
+    apart = shared.staged(apart.select("a", "b", "hub", differences("a_members", "b_members").alias("d")), "apart")
     first = components(apart.where("d.alike").select("a", "b"))
+    apart = apart.where("hub")
     named = shared.staged(prints.select("node").join(first, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "named")
     open_ = index.join(named, "node")
     ends = open_.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
@@ -370,7 +394,9 @@ def text_classes(marked: DataFrame) -> DataFrame:
     one_side = (F.col("label") == F.col("lo")) | (F.col("label") < F.col("label2"))
     near_ = likely("f.g0", "f.g1", F.col("f.n"), "g.g0", "g.g1", F.col("g.n")) & may_be_alike("f", "g")
     across = members.join(others, "key").where((F.col("label") != F.col("label2")) & one_side & near_)
-    pairs = shared.staged(across.select(F.col("node").alias("a"), "b").distinct(), "pairs")
+    near_ = crossing(prints.select("node", F.col("g0").alias("fp")).join(named, "node"), DISTANCE, chosen, "node")
+    both = near_.union(across.select(F.col("node").alias("a"), "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = shared.staged(both.distinct(), "pairs")
     links = with_sets(pairs, sets, "pair").where(sets_alike("a_members", "b_members")).select("a", "b")
     links = links.join(named.toDF("a", "label"), "a").join(named.toDF("b", "label2"), "b")
     second = components(shared.staged(links.select(F.col("label").alias("a"), F.col("label2").alias("b")).distinct(), "links"))

@@ -266,3 +266,28 @@ def test_large_buckets_are_parted_with_the_same_links(spark, monkeypatch, tile):
     monkeypatch.setattr(simhash, "TILE", tile)
     got = {r.fp: r.label for r in simhash.classes(spark.createDataFrame([(x,) for x in prints], "fp long"), 4).collect()}
     assert got == {x: top(x) for x in prints} and 20 < len(set(got.values())) < 700
+
+
+def test_fingerprints_find_near_copies_that_no_band_does(spark):
+    """The pipeline's near copies: without keys of bands, texts of near fingerprints are found by the variants of these, and checked on their sets."""
+    rng = random.Random(5)
+    texts = []
+    for _ in range(12):
+        words = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        for _ in range(5):
+            other = list(words)
+            for i in rng.sample(range(400), rng.randrange(3)):
+                other[i] = "x" + other[i]
+            texts.append(" ".join(other))
+    made = {s[0]: s for s in (simhash.sketch(t.encode()) for t in texts)}
+    sets, root = {k: set(np.frombuffer(s[5], "<u4").tolist()) for k, s in made.items()}, {k: k for k in made}
+
+    def alike(a, b):
+        return len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and ((made[a][2] ^ made[b][2]) & (1 << 64) - 1).bit_count() <= simhash.DISTANCE
+
+    while (after := {a: min(root[b] for b in made if a == b or alike(a, b)) for a in made}) != root:
+        root = after
+    shared.prepare(spark)
+    rows = spark.createDataFrame([(k, s[1], s[2], s[3], [], bytearray(s[5])) for k, s in made.items()], "node long, n int, g0 long, g1 long, keys array<long>, members binary")
+    got = {r.node: r.label for r in simhash.text_classes(shared.staged(rows, "test-marked")).collect()}
+    assert got == root and 12 <= len(set(got.values())) < len(got)
