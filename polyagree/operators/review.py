@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from polyagree.functions import fixed as V
@@ -17,7 +17,7 @@ def term_signals(term: Column, rationale: Column, source: str, language_name: Co
     has_term, has_why = X.present(term), ~X.is_empty_rationale(rationale)
     ascii_ = F.coalesce(term.rlike("^[\\x00-\\x7F]+$"), F.lit(False))
     return {
-        "has_repetition_loop": X.is_repetition_loop(term), "has_mixed_script": X.is_mixed(term), "has_any_mixing": X.script_mix(term)["any"], "has_placeholder_term": X.is_placeholder(term),
+        "has_repetition_loop": X.is_repetition_loop(term), "has_mixed_script": X.is_mixed(term), "has_any_mixing": X.has_any_mixing(term), "has_placeholder_term": X.is_placeholder(term),
         "has_unicode_escape": X.has_escape(term), "has_extreme_term_length": X.is_extreme_length(term), "has_short_translation": X.is_short(term),
         "has_source_term": X.leaks_source(term, source), "has_unsafe_characters": X.is_search_unsafe(term), "has_romanization": ascii_ & X.says(rationale, "romani[sz]"),
         "has_language_name": X.is_language_name(term, language_name) if language_name is not None else F.lit(False), "has_missing_rationale": has_term != has_why,
@@ -28,8 +28,8 @@ def term_signals(term: Column, rationale: Column, source: str, language_name: Co
 
 def signals(cells: DataFrame, key: list[str], service: str, conditions: Mapping[str, Column]) -> DataFrame:
     """(key, signal, services, n_services): the services of each item that show a signal, sorted and joined."""
-    flags = F.filter(F.array(*(F.when(c, F.lit(n)) for n, c in conditions.items())), lambda x: x.isNotNull())
-    long = cells.select(*key, service, F.explode(flags).alias("signal"))
+    flags = F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in conditions.items())))
+    long = cells.select(*key, service, F.explode_outer(flags).alias("signal")).where("signal is not null")  # explode() would compute them a second time, to look for empty arrays
     return long.groupBy(*key, "signal").agg(F.array_join(F.array_sort(F.collect_set(F.col(service).cast("string"))), ", ").alias("services"), F.count_distinct(service).alias("n_services"))
 
 
@@ -115,17 +115,23 @@ def profile(cells: DataFrame, by: list[str], term: str, source: Column) -> DataF
     )
 
 
+def _in_script(cells: DataFrame, term: str) -> DataFrame:
+    """`cells` with a term in a known script, and `script`. As rows of an array scripts are computed once; a condition on a column would be a second time."""
+    rows = cells.where(X.present(F.col(term)))
+    return rows.select("*", F.explode_outer(F.array(X.dominant_script(F.col(term)))).alias("script")).where("script <> 'Unknown'")
+
+
 def script_agreement(cells: DataFrame, item: list[str], service: str, term: str = "term") -> DataFrame:
     """(item, service, script, majority, outlier): each service's script beside the one of most, ties to the least name."""
-    rows = cells.where(X.present(F.col(term))).select(*item, service, X.dominant_script(F.col(term)).alias("script")).where("script <> 'Unknown'")
-    counts = rows.groupBy(*item, "script").agg(F.count("*").alias("n"))
-    most = counts.groupBy(*item).agg(F.min_by("script", F.struct((-F.col("n")).alias("n"), "script")).alias("majority"))
-    return rows.join(most, item).withColumn("outlier", F.col("script") != F.col("majority"))
+    rows = _in_script(cells.dropna(subset=item), term).select(*item, service, "script").repartition(*item)  # for both windows
+    most = F.min_by("script", F.struct((-F.col("n")).alias("n"), "script")).over(Window.partitionBy(*item))
+    rows = rows.withColumn("n", F.count("*").over(Window.partitionBy(*item, "script"))).withColumn("majority", most).drop("n")
+    return rows.withColumn("outlier", F.col("script") != F.col("majority"))
 
 
 def side_scripts(cells: DataFrame, item: list[str], sides: Mapping[str, Column], term: str = "term") -> DataFrame:
     """(item, a script for each side, differ): the script of most terms of each side of services, ties to the least name, null where a side has none; differ only where all sides have one."""
-    rows = cells.where(X.present(F.col(term))).withColumn("script", X.dominant_script(F.col(term))).where("script <> 'Unknown'")
+    rows = _in_script(cells, term)
     side = F.explode(F.array_compact(F.array(*(F.when(c, F.lit(name)) for name, c in sides.items()))))
     counts = rows.withColumn("side", side).groupBy(*item, "side", "script").agg(F.count("*").alias("n"))
     best = lambda name: F.min_by(F.when(F.col("side") == name, F.col("script")), F.when(F.col("side") == name, F.struct((-F.col("n")).alias("n"), "script")))
