@@ -81,14 +81,17 @@ def reached(results: DataFrame, terms: DataFrame, groups: DataFrame, kinds: Sequ
     """(group, n_<kind> for each kind, total, unique, reach) of groups of languages: `groups` (language, group), where a language may be its own group.
 
     An id counts once for a group and kind. `unique`: ids that no term of the first language finds. reach: `first` where the group has an id of a
-    term of the first language, `major` where of a major one only, else `multilingual only`.
+    term of the first language, `major` where of a major one only, else `multilingual only`. Groups of languages are few and go to all tasks; a
+    term has its groups as a list and an id those of its terms, so there is no shuffle by language and none with a row for each id and group.
     """
     found = of_terms(results, terms).where("id is not null").distinct()
     named = languages_of(terms, languages)
-    flags = named.groupBy("term").agg(F.bool_or(F.col("language") == first).alias("f"), F.bool_or(F.col("language").isin(first, *major)).alias("m"))
-    ids = found.join(flags, "term").groupBy("kind", "id").agg(F.bool_or("f").alias("f"), F.bool_or("m").alias("m"))
-    bridge = named.join(groups.select("language", group), "language").where(F.col(group).isNotNull()).select("term", group).distinct()
-    each = found.join(bridge, "term").select("kind", "id", group).distinct().join(ids, ["kind", "id"])
+    few = F.broadcast(groups.select("language", group).distinct())
+    facts = named.join(few, "language", "left").groupBy("term").agg(
+        F.bool_or(F.col("language") == first).alias("f"), F.bool_or(F.col("language").isin(first, *major)).alias("m"), F.array_sort(F.collect_set(group)).alias("__groups")
+    )
+    ids = found.join(facts, "term").groupBy("kind", "id").agg(F.bool_or("f").alias("f"), F.bool_or("m").alias("m"), F.collect_set("__groups").alias("__groups"))
+    each = ids.select("kind", "id", "f", "m", F.explode(F.array_distinct(F.flatten("__groups"))).alias(group))
     counts = [F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in kinds]
     out = each.where(F.col("kind").isin(*kinds)).groupBy(group).agg(*counts, F.count("*").alias("total"), F.count_if(~F.col("f")).alias("unique"), F.bool_or("f").alias("f"), F.bool_or("m").alias("m"))
     return out.select(group, *(f"n_{k}" for k in kinds), "total", "unique", F.when(F.col("f"), "first").when(F.col("m"), "major").otherwise("multilingual only").alias("reach"))
