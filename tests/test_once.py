@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from polyagree.operators import disagreement, results, review, search_terms
+from polyagree.operators import disagreement, genre, ordering, results, review, search_terms
 
 CELLS = [(1, 0, "a", "слово"), (1, 0, "b", "слова"), (1, 0, "c", "word"), (2, 0, "a", "λόγος"), (2, 0, "b", "..."), (None, 0, "a", "слово"), (3, 1, "a", "سخن"), (3, 1, "b", "word")]
 
@@ -57,3 +57,17 @@ def test_groups_of_languages_are_not_shuffled_by_language(spark):
     out = results.reached(found, terms, groups, ["A", "N"], "en", ["de"])
     assert {r.family: tuple(r)[1:] for r in out.collect()} == {"G": (2, 1, 3, 1, "first"), "R": (2, 0, 2, 1, "first")}
     assert not re.search(r"hashpartitioning\(language#\d+, \d", out._jdf.queryExecution().executedPlan().toString())
+
+
+def test_folds_are_weighted_from_one_count(spark, monkeypatch):
+    rows = [(i, "ab"[i % 2], " ".join(["red apple", "blue pear", "green plum stone", "red plum"][j] for j in {i % 3, i % 4, (i // 2) % 4})) for i in range(60)]
+    dealt = ordering.folds(genre.terms(spark.createDataFrame(rows, "id int, kind string, why string"), "why"), "id", "kind", genre.FOLDS, seed=17, name="__fold").persist()
+    sizes = [dealt.where(F.col("__fold") == k).count() for k in range(genre.FOLDS)]
+    for k, got in enumerate(genre._vocabularies(dealt, sizes, 5)):
+        seen = genre.Weights(dealt.where(F.col("__fold") != k), 5)
+        assert got.keys() == set(seen.vocabulary) and all(abs(got[t] - x) < 1e-9 for t, x in zip(seen.vocabulary, seen.idf))
+    whole, every = spark.createDataFrame(rows, "id int, kind string, why string"), genre.terms
+    calls = []
+    monkeypatch.setattr(genre, "terms", lambda *a: calls.append(a) or every(*a))
+    monkeypatch.setattr(genre, "Weights", None)
+    assert genre.out_of_fold(whole, "id", "why", "kind", ["a", "b"]).count() == 60 and len(calls) == 1
