@@ -28,8 +28,8 @@ def term_signals(term: Column, rationale: Column, source: str, language_name: Co
 
 def signals(cells: DataFrame, key: list[str], service: str, conditions: Mapping[str, Column]) -> DataFrame:
     """(key, signal, services, n_services): the services of each item that show a signal, sorted and joined."""
-    flags = F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in conditions.items())))
-    long = cells.select(*key, service, F.explode_outer(flags).alias("signal")).where("signal is not null")  # explode() would compute them a second time, to look for empty arrays
+    flags = F.array(*(F.when(c, F.lit(n)) for n, c in conditions.items())).alias("__flags")  # in a step of its own, which computes what conditions share once
+    long = cells.select(*key, service, flags).select(*key, service, F.explode_outer(F.array_compact("__flags")).alias("signal")).where("signal is not null")  # explode() would compute them a second time, to look for empty arrays
     return long.groupBy(*key, "signal").agg(F.array_join(F.array_sort(F.collect_set(F.col(service).cast("string"))), ", ").alias("services"), F.count_distinct(service).alias("n_services"))
 
 
