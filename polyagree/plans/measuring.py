@@ -90,10 +90,13 @@ def tier_ranks(spark, d):
 def masked_rationales(spark, d):
     """Sentences under the four presets: how many change, and what is left of them. A language's name stands for its code; the first word is the term."""
     names = F.create_map(*(F.lit(x) for kv in {"en": "English", "de": "German language", "es": "Spanish", "fr": "French"}.items() for x in kv))
-    rows = views.texts(spark, d).select("language", names[F.col("language")].alias("name"), F.col("term").alias("text"), F.regexp_extract("term", "^[^ ]+", 0).alias("term"))
-    kinds = [F.struct(F.lit(k).alias("preset"), masking.masked(F.col("text"), m, F.col("name"), F.col("language"), F.col("term")).alias("left")) for k, m in masking.PRESETS.items()]
-    out = rows.select("language", "text", F.explode(F.array(*kinds)).alias("x"))
-    return out.groupBy("language", "x.preset").agg(F.count("*").alias("n"), F.count_if(F.col("x.left") != F.col("text")).alias("changed"), F.sum(F.char_length("x.left")).alias("chars"))
+    alike = views.texts(spark, d).groupBy("language", F.col("term").alias("text")).agg(F.count("*").alias("rows"))  # each different sentence is masked once
+    rows = alike.select("language", "rows", names[F.col("language")].alias("name"), "text", F.regexp_extract("text", "^[^ ]+", 0).alias("term"))
+    rows = masking.masked_by(rows, F.col("text"), masking.PRESETS, F.col("name"), F.col("language"), F.col("term"))
+    left = {k: F.col(f"masked_{k}") for k in masking.PRESETS}
+    n, sums = F.sum("rows"), {k: (F.sum(F.when(x != F.col("text"), F.col("rows")).otherwise(0)), F.sum(F.char_length(x) * F.col("rows"))) for k, x in left.items()}
+    kinds = [F.struct(F.lit(k).alias("preset"), n.alias("n"), changed.alias("changed"), chars.alias("chars")) for k, (changed, chars) in sums.items()]
+    return rows.groupBy("language").agg(F.array(*kinds).alias("kinds")).select("language", F.explode("kinds").alias("x")).select("language", "x.*")
 
 
 QUERIES = {f.__name__: f for f in (price_quantiles, quantity_quantiles, coverage_by_number, coverage_pairs, coverage_verified, coverage_sole, agreement_by_pool, difference_summaries, stability_differences, order_ranks, tier_ranks, masked_rationales)}
