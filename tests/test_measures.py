@@ -118,3 +118,27 @@ def test_similarity_broadcasts_no_ngrams(spark):
     found = similarity.mean_similarity(rows, "g", ["i"], "t")
     assert len(found.collect()) == 3
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ngrams_stay_in_the_task(spark, monkeypatch):
+    words = ["loan", "über", "字", "word's", "of", "alike", "phrase", "𝔘x", "at"]
+    texts = [(i % 4, i, " \t".join(words[(i * j + j) % 9] + str(j % 3) for j in range(1 + i % 11))) for i in range(120)] + [(9, 0, "alone"), (9, 0, "alone"), (8, 0, "ab"), (8, 1, "xyz")]
+    rows = spark.createDataFrame(texts, "g int, i int, t string")
+    found = similarity.mean_similarity(rows, "g", ["i"], "t")
+    whole = {r.g: (r.n, r.similarity) for r in found.collect()}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "gram" not in plan
+    assert whole[9] == (1, None) and whole[8] == (2, 0.0) and whole[0][0] == 30
+    monkeypatch.setattr(similarity, "LIMIT", 200)  # blocks of a group or two, and groups in parts
+    parted = similarity.mean_similarity(rows, "g", ["i"], "t")
+    got = {r.g: (r.n, r.similarity) for r in parted.collect()}
+    assert got.keys() == whole.keys()
+    for g, (n, x) in whole.items():
+        vectors = [vector(t) for t in sorted({(i, t) for k, i, t in texts if k == g}) for t in t[1:]]
+        df, unit = Counter(k for v in vectors for k in v), []
+        for v in vectors:
+            w = {k: c * (math.log((len(vectors) + 1) / (df[k] + 1)) + 1) for k, c in v.items()}
+            unit.append({k: y / math.sqrt(sum(z * z for z in w.values())) for k, y in w.items()})
+        pairs = [sum(y * unit[j].get(k, 0) for k, y in unit[i].items()) for i in range(n) for j in range(i + 1, n)]
+        assert got[g][0] == n == len(vectors)
+        assert x is None and got[g][1] is None or abs(x - sum(pairs) / len(pairs)) < 1e-4 and abs(got[g][1] - x) < 1.5e-4
