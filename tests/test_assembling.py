@@ -143,3 +143,10 @@ def test_stable_terms_are_those_that_tell_classes_apart(spark):
     rows = spark.createDataFrame([(i, ("apple orchard " if i % 2 else "engine piston ") + f"filler{i % 7}", str(i % 2)) for i in range(120)], "id long, t string, y string")
     out = got(genre.stable_terms(rows, "id", "t", "y", ["0", "1"], n=4, min_df=2), "class", "term")
     assert {("1", "apple"), ("1", "orchard"), ("0", "engine"), ("0", "piston")} <= out
+
+
+def test_a_run_shuffles_no_ngrams(spark):
+    rows = spark.createDataFrame([("aa", "m", "Haus", "a house"), ("aa", "n", "haus", "a house, too"), ("bb", "m", "casa", "one")], "code string, service string, term string, rationale string")
+    out = assembly.run(rows, "code", spark.createDataFrame([], DECISION), spark.createDataFrame([], "code string, service string"), F.lit(True), ["the"], "anchor")
+    assert got(out, "code", "n_rationales") == {("aa", 2), ("bb", 1)}
+    assert "gram" not in out._jdf.queryExecution().optimizedPlan().toString()
