@@ -11,13 +11,14 @@ from polyagree.functions import fixed as V
 from polyagree.functions import text as X
 
 
-def term_signals(term: Column, rationale: Column, source: str, language_name: Column | None = None, english: Column | None = None) -> dict[str, Column]:
-    """The signals of one cell by name. Rationales are read where they are English."""
+def term_signals(term: Column, rationale: Column, source: str, language_name: Column | None = None, english: Column | None = None, mix: Column | None = None) -> dict[str, Column]:
+    """The signals of one cell by name. Rationales are read where they are English. `mix`: a column of the cells that holds X.mix() of the term, as two signals would each compute it."""
+    of_mix = lambda name: F.coalesce(mix[name], F.lit(False))
     english = F.lit(True) if english is None else english
     has_term, has_why = X.present(term), ~X.is_empty_rationale(rationale)
     ascii_ = F.coalesce(term.rlike("^[\\x00-\\x7F]+$"), F.lit(False))
     return {
-        "has_repetition_loop": X.is_repetition_loop(term), "has_mixed_script": X.is_mixed(term), "has_any_mixing": X.has_any_mixing(term), "has_placeholder_term": X.is_placeholder(term),
+        "has_repetition_loop": X.is_repetition_loop(term), "has_mixed_script": X.is_mixed(term) if mix is None else of_mix("mixed"), "has_any_mixing": X.has_any_mixing(term) if mix is None else of_mix("any"), "has_placeholder_term": X.is_placeholder(term),
         "has_unicode_escape": X.has_escape(term), "has_extreme_term_length": X.is_extreme_length(term), "has_short_translation": X.is_short(term),
         "has_source_term": X.leaks_source(term, source), "has_unsafe_characters": X.is_search_unsafe(term), "has_romanization": ascii_ & X.says(rationale, "romani[sz]"),
         "has_language_name": X.is_language_name(term, language_name) if language_name is not None else F.lit(False), "has_missing_rationale": has_term != has_why,
@@ -30,7 +31,8 @@ def signals(cells: DataFrame, key: list[str], service: str, conditions: Mapping[
     """(key, signal, services, n_services): the services of each item that show a signal, sorted and joined."""
     flags = F.array(*(F.when(c, F.lit(n)) for n, c in conditions.items())).alias("__flags")  # in a step of its own, which computes what conditions share once
     long = cells.select(*key, service, flags).select(*key, service, F.explode_outer(F.array_compact("__flags")).alias("signal")).where("signal is not null")  # explode() would compute them a second time, to look for empty arrays
-    return long.groupBy(*key, "signal").agg(F.array_join(F.array_sort(F.collect_set(F.col(service).cast("string"))), ", ").alias("services"), F.count_distinct(service).alias("n_services"))
+    found = F.collect_set(F.col(service).cast("string"))
+    return long.groupBy(*key, "signal").agg(F.array_join(F.array_sort(found), ", ").alias("services"), F.size(found).cast("long").alias("n_services"))  # count_distinct() would be a shuffle more
 
 
 def tier(flags: Column) -> Column:

@@ -71,3 +71,21 @@ def test_folds_are_weighted_from_one_count(spark, monkeypatch):
     monkeypatch.setattr(genre, "terms", lambda *a: calls.append(a) or every(*a))
     monkeypatch.setattr(genre, "Weights", None)
     assert genre.out_of_fold(whole, "id", "why", "kind", ["a", "b"]).count() == 60 and len(calls) == 1
+
+
+def test_mixes_of_scripts_are_found_once_and_by_one_pattern(spark, tmp_path):
+    from polyagree.functions import text as X
+    from polyagree.plans import reviewing
+
+    texts = ["слово", "word", "слово ab", "σλόγος", "سخن، ۱۲", "漢字かな", "漢字 abcdef", "слово ԱԲԳ", "ꆈꌠ abc", "été слово", "a\u0301б", "", None, "слово\n", "\u0378бв", "ⅣБ", "한국 abc де"]
+    rows = spark.createDataFrame([(x,) for x in texts], "x string")
+    slow = X.script_mix(F.col("x"))
+    found = rows.select(X.is_mixed(F.col("x")).alias("a"), X.has_any_mixing(F.col("x")).alias("b"), F.coalesce(slow["mixed"], F.lit(False)).alias("c"), F.coalesce(slow["any"], F.lit(False)).alias("d"))
+    got = [tuple(r) for r in found.collect()]
+    assert [r[:2] for r in got] == [r[2:] for r in got] and any(r[1] for r in got)
+    spark.createDataFrame([(i, "en", "src0", "Was ist. Das e ist.") for i in range(24)], "doc_id long, lang string, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    plan = optimized(reviewing.all_signals(spark, str(tmp_path)))
+    assert plan.count("IsThaana") and sum("IsThaana" in line for line in plan.splitlines()) == 1
+    assert sum("Aggregate" in line for line in plan.splitlines()) == 1 and "Expand" not in plan
+    alone = optimized(rows.select(X.mix(F.col("x")).alias("m")))
+    assert plan.count("IsThaana") <= alone.count("IsThaana")
