@@ -60,7 +60,7 @@ def test_groups_of_languages_are_not_shuffled_by_language(spark):
 
 
 def test_folds_are_weighted_from_one_count(spark, monkeypatch):
-    rows = [(i, "ab"[i % 2], " ".join(["red apple", "blue pear", "green plum stone", "red plum"][j] for j in {i % 3, i % 4, (i // 2) % 4})) for i in range(60)]
+    rows = [(i, "ab"[i % 2], " ".join(["red apple", "blue pear", "green plum stone", "red plum"][j] for j in {i % 3, i % 4, (i // 2) % 4})) for i in range(1, 61)]
     dealt = ordering.folds(genre.terms(spark.createDataFrame(rows, "id int, kind string, why string"), "why"), "id", "kind", genre.FOLDS, seed=17, name="__fold").persist()
     sizes = [dealt.where(F.col("__fold") == k).count() for k in range(genre.FOLDS)]
     for k, got in enumerate(genre._vocabularies(dealt, sizes, 5)):
@@ -89,3 +89,14 @@ def test_mixes_of_scripts_are_found_once_and_by_one_pattern(spark, tmp_path):
     assert sum("Aggregate" in line for line in plan.splitlines()) == 1 and "Expand" not in plan
     alone = optimized(rows.select(X.mix(F.col("x")).alias("m")))
     assert plan.count("IsThaana") <= alone.count("IsThaana")
+
+
+def test_selected_terms_cross_few_shuffles(spark, tmp_path):
+    from polyagree.plans import reviewing
+
+    rows = [(i, "en" if i % 3 else "de", f"src{i % 4}", "The loan. A word of loan. the loan. " + "Alike here. " * (i % 5 == 0)) for i in range(1, 61)]
+    spark.createDataFrame(rows, "doc_id long, lang string, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = reviewing.search_terms_selected(spark, str(tmp_path))
+    assert {r.search_term for r in found.collect()} >= {"the loan", "a word of loan"}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Join" in line for line in plan.splitlines()) == 2  # with the categories, and with what is excluded
