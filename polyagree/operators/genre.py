@@ -15,7 +15,7 @@ from pyspark.ml.classification import LogisticRegression, LogisticRegressionMode
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, StopWordsRemover
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from polyagree.operators import ordering
@@ -25,6 +25,13 @@ TERMS = 15_000
 FOLDS = 5
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold 4 MB instead of 64, as a text's terms take several times its length and a task's arrays several times its batch; a session's own setting stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) in (None, "67108864b"):
+        spark.conf.set(name, str(4 << 20))
+
+
 def masked(x: Column, terms: Sequence[str]) -> Column:
     """`x` without these words and phrases, in any case and with any space between their words, and with single spaces; longer phrases go first."""
     if not terms:
@@ -170,6 +177,7 @@ def _fitted(seen: DataFrame, min_df: float) -> tuple[Weights, LogisticRegression
 
 def out_of_fold(rows: DataFrame, key: str, text: str, label: str, classes: Sequence[str], min_df: float = 5) -> DataFrame:
     """(key, label, predicted) of each row whose label is among `classes`, predicted by a model that has not seen its fold."""
+    bound_batches(rows.sparkSession)
     names = F.array(*(F.lit(c) for c in classes))
     rows = stored(ordering.folds(_numbered(rows, key, text, label, classes), key, "label", FOLDS, seed=17, name="__fold"), "folds")
     sizes = {r["__fold"]: r["count"] for r in rows.groupBy("__fold").count().collect()}

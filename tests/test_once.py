@@ -100,3 +100,21 @@ def test_selected_terms_cross_few_shuffles(spark, tmp_path):
     assert {r.search_term for r in found.collect()} >= {"the loan", "a word of loan"}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert sum("Join" in line for line in plan.splitlines()) == 2  # with the categories, and with what is excluded
+
+
+def test_folds_read_terms_in_small_batches(spark):
+    import pyarrow as pa
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.unset(name)
+        genre.bound_batches(spark)
+        rows = spark.range(0, 400, 1, 1).select(F.array_repeat(F.lit("x" * 50), 1000).alias("terms"))  # 20 MB
+        sizes = rows.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": pa.array([b.nbytes], pa.int64())}) for b in batches), "n long").collect()
+        assert len(sizes) > 3 and max(r.n for r in sizes) < 8 << 20
+        spark.conf.set(name, "1000000")
+        genre.bound_batches(spark)
+        assert spark.conf.get(name) == "1000000"
+    finally:
+        spark.conf.set(name, before)
